@@ -79,6 +79,11 @@ def _stock(flux, stock, keys, amount, stock_value, sign, frame):
     return d.withColumn("stock_monthly", F.col("__s") + sign * F.col("__m")).drop("__a", "__m", "__s")
 
 
+def with_position(df: DataFrame, keys, order: str = "year", out: str = "x") -> DataFrame:
+    """0-based position of each row in its series."""
+    return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1)
+
+
 def linear_trend(df: DataFrame, keys, x: str = "t", value: str = "value") -> DataFrame:
     """Least-squares slope and intercept per series on present pairs; missing when x does
     not vary."""
@@ -89,8 +94,7 @@ def linear_trend(df: DataFrame, keys, x: str = "t", value: str = "value") -> Dat
 def annual_trend(df: DataFrame, keys, value: str = "value") -> DataFrame:
     """Trend of annual means against 0..n-1 per series."""
     annual = df.groupBy(*keys, "year").agg(F.avg(value).alias(value))
-    pos = F.row_number().over(W.partitionBy(*keys).orderBy("year")) - 1
-    return linear_trend(annual.withColumn("__x", pos), keys, "__x", value)
+    return linear_trend(with_position(annual, keys, out="__x"), keys, "__x", value)
 
 
 def mean_trend(df: DataFrame, keys, cell=("lat_idx", "lon_idx"), value: str = "value") -> DataFrame:
@@ -148,8 +152,7 @@ def cellwise_variability(df: DataFrame, keys, cell=("lat_idx", "lon_idx"), value
     """Detrended annual anomalies per cell, then their space mean per year."""
     per_cell = [*keys, *cell]
     annual = df.groupBy(*per_cell, "year").agg(F.avg(value).alias(value))
-    pos = F.row_number().over(W.partitionBy(*per_cell).orderBy("year")) - 1
-    d = detrend(annual.withColumn("__x", pos), per_cell, "__x", value, out="__r")
+    d = detrend(with_position(annual, per_cell, out="__x"), per_cell, "__x", value, out="__r")
     return d.groupBy(*keys, "year").agg(F.avg("__r").alias("iav"))
 
 

@@ -1 +1,174 @@
-"""Queries."""
+"""Standardisation and sample assembly."""
+
+from pyspark.sql import functions as F
+
+from gridspark.operators import aggregates as ag, samples as sm
+from gridspark.queries.registry import query, rounded
+from gridspark.schema import INPUT_GROUPS, OUTPUT_GROUPS
+from gridspark.sources import adapters as ad
+
+_Y = ("source", "cell", "year")
+K = ["variable", "source", "lat_idx", "lon_idx", "year"]
+KS = ", ".join(K)
+FV = ad.field_vars_sql(*_Y)
+_STATS = "st AS (SELECT variable, avg(value) AS mean, stddev_pop(value) AS std FROM field GROUP BY variable)"
+
+
+def _field_and_stats(spark, sf):
+    f = ad.field_vars(spark, sf, *_Y)
+    return f, ag.finish_moments(ag.moments(f))
+
+
+@query("n01_standardise", f"WITH {FV}, {_STATS} SELECT {KS}, round((value - mean) / std, 6) AS value FROM field JOIN st USING (variable)")
+def standardise(spark, sf):
+    f, st = _field_and_stats(spark, sf)
+    return rounded(sm.standardise(f, st, ad.VARIABLES), "value")
+
+
+@query("n02_destandardise", f"""
+WITH {FV}, {_STATS} SELECT {KS}, round((value / 100) * CASE WHEN variable = 'npp' THEN 1 ELSE std END + CASE WHEN variable = 'npp' THEN 0 ELSE mean END, 6) AS value FROM field JOIN st USING (variable)""")
+def destandardise(spark, sf):
+    f, st = _field_and_stats(spark, sf)
+    d = sm.destandardise(f.withColumn("value", F.col("value") / 100), st.filter("variable <> 'npp'"), ad.VARIABLES)
+    return rounded(d, "value")
+
+
+@query("n03_stats_vectors", f"""
+WITH {FV}, {_STATS} SELECT round(max(CASE WHEN variable = 'npp' THEN mean END), 6) AS m0, 0.0 AS m1, round(max(CASE WHEN variable = 'gpp' THEN mean END), 6) AS m2,
+  round(max(CASE WHEN variable = 'npp' THEN std END), 4) AS s0, 1.0 AS s1, 1.0 AS s2 FROM st""")
+def stats_vectors(spark, sf):
+    _, st = _field_and_stats(spark, sf)
+    st = st.withColumn("std", F.when(F.col("variable") != "gpp", F.col("std")).otherwise(0.0))
+    d = sm.stats_vectors(st, ["npp", "unknown", "gpp"])
+    cols = [F.round(F.col("mean")[i], 6).alias(f"m{i}") for i in range(3)] + [F.round(F.col("std")[i], 4).alias(f"s{i}") for i in range(3)]
+    return d.select(*cols)
+
+
+def _channel_values():
+    rows = []
+    for role, groups in (("input", INPUT_GROUPS), ("output", OUTPUT_GROUPS)):
+        for g, (group, names) in enumerate(groups):
+            rows += [f"('{role}', {g}, '{group}', '{n}')" for n in names]
+    return ", ".join(rows)
+
+
+@query("n04_channel_order", f"""
+WITH {ad.field_vars_sql("source", "year")}, c AS (SELECT * FROM (VALUES {_channel_values()}) v(role, g, channel_group, variable)),
+p AS (SELECT DISTINCT variable FROM field)
+SELECT role, channel_group, variable, CAST(row_number() OVER (PARTITION BY role ORDER BY g, variable) - 1 AS INT) AS channel_idx FROM c SEMI JOIN p USING (variable)""")
+def channel_order(spark, sf):
+    f = ad.field_vars(spark, sf, "source", "year")
+    d = sm.order_channels(f, "output").unionByName(sm.order_channels(f, "input"))
+    return d.select("role", "channel_group", "variable", "channel_idx")
+
+
+# Samples: locations are suppliers, daily forcing by ship date, monthly and annual from the same lines.
+_LOC = "'S' || CAST(l_linenumber % 4 AS VARCHAR) AS scenario, l_suppkey AS loc_id"
+
+
+def _sample_tables(spark, sf):
+    li = ad.table(spark, sf, "lineitem").withColumns({
+        "scenario": F.concat(F.lit("S"), F.pmod("l_linenumber", F.lit(4)).cast("string")), "loc_id": F.col("l_suppkey"),
+        "year": F.year("l_shipdate"), "month": F.month("l_shipdate"), "t": ad.nl.date_to_day("l_shipdate")})
+    p = F.col("l_extendedprice") / 365.2425
+
+    def long(by, **aggs):
+        d = li.groupBy("scenario", "loc_id", *by).agg(*[F.avg(e).alias(n) for n, e in aggs.items()])
+        return d.unpivot(["scenario", "loc_id", *by], list(aggs), "variable", "value")
+
+    daily = long(["year", "month", "t"], pre=p, tmp=p * F.col("l_discount"))
+    monthly = long(["year", "month"], drynhx=p * F.col("l_tax"), lai=p * F.col("l_quantity"))
+    annual = long(["year"], co2=p * (1 + F.col("l_tax")), cVeg=p * (1 - F.col("l_discount")))
+    return daily, monthly, annual
+
+
+_SAMPLES = f"""
+p AS (SELECT {_LOC}, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, CAST((year(l_shipdate) - 1901) * 365 + {ad.CUM_SQL}[month(l_shipdate)]
+  + CASE WHEN month(l_shipdate) = 2 AND day(l_shipdate) = 29 THEN 28 ELSE day(l_shipdate) END - 1 AS INT) AS t, l_extendedprice / 365.2425 AS p, l_discount, l_tax, l_quantity FROM lineitem),
+d AS (SELECT scenario, loc_id, year, month, t, avg(p) AS pre, avg(p * l_discount) AS tmp FROM p GROUP BY ALL),
+m0 AS (SELECT scenario, loc_id, year, month, avg(p * l_tax) AS drynhx, avg(p * l_quantity) AS lai FROM p GROUP BY ALL),
+a0 AS (SELECT scenario, loc_id, year, avg(p * (1 + l_tax)) AS co2, avg(p * (1 - l_discount)) AS cveg FROM p GROUP BY ALL),
+st AS (SELECT (SELECT avg(pre) FROM d) AS m1, (SELECT stddev_pop(pre) FROM d) AS s1, (SELECT avg(tmp) FROM d) AS m2, (SELECT stddev_pop(tmp) FROM d) AS s2,
+  (SELECT avg(drynhx) FROM m0) AS m3, (SELECT stddev_pop(drynhx) FROM m0) AS s3, (SELECT avg(lai) FROM m0) AS m4, (SELECT stddev_pop(lai) FROM m0) AS s4,
+  (SELECT avg(co2) FROM a0) AS m5, (SELECT stddev_pop(co2) FROM a0) AS s5, (SELECT avg(cveg) FROM a0) AS m6, (SELECT stddev_pop(cveg) FROM a0) AS s6)"""
+
+
+@query("n05_assemble_samples", f"""
+WITH {_SAMPLES},
+m AS (SELECT scenario, loc_id, year, month, drynhx, lag(lai, 1, 0.0) OVER (PARTITION BY scenario, loc_id ORDER BY year, month) AS lai FROM m0),
+a AS (SELECT scenario, loc_id, year, co2, lag(cveg, 1, 0.0) OVER (PARTITION BY scenario, loc_id ORDER BY year) AS cveg FROM a0),
+j AS (SELECT d.*, m.drynhx, m.lai, a.co2, a.cveg, min(d.year) OVER (PARTITION BY scenario, loc_id) AS y0 FROM d JOIN m USING (scenario, loc_id, year, month) JOIN a USING (scenario, loc_id, year))
+SELECT scenario, loc_id, year, month, t, round((pre - m1) / s1, 6) AS pre, round((tmp - m2) / s2, 6) AS tmp, round((drynhx - m3) / s3, 6) AS drynhx,
+  round((lai - m4) / s4, 6) AS lai, round((co2 - m5) / s5, 6) AS co2, round((cveg - m6) / s6, 6) AS "cVeg" FROM j, st WHERE year > y0""")
+def assemble_samples(spark, sf):
+    daily, monthly, annual = _sample_tables(spark, sf)
+    stats = ag.finish_moments(ag.moments(daily.select("variable", "value").unionByName(monthly.select("variable", "value"))
+                                         .unionByName(annual.select("variable", "value"))))
+    d = sm.assemble_samples(daily, monthly, annual, stats, ["pre", "tmp"], ["drynhx", "lai"], ["co2", "cVeg"],
+                            monthly_states=["lai"], annual_states=["cVeg"])
+    return rounded(d, "pre", "tmp", "drynhx", "lai", "co2", "cVeg")
+
+
+@query("n05_sample_labels", f"""
+WITH {_SAMPLES}, j AS (SELECT *, min(year) OVER (PARTITION BY scenario, loc_id) AS y0 FROM m0)
+SELECT scenario, loc_id, year, month, round((lai - m4) / s4, 6) AS lai FROM j, st WHERE year > y0""")
+def sample_labels(spark, sf):
+    _, monthly, annual = _sample_tables(spark, sf)
+    stats = ag.finish_moments(ag.moments(monthly.select("variable", "value").unionByName(annual.select("variable", "value"))))
+    m, _ = sm.assemble_labels(monthly, annual, stats, ["lai"], ["cVeg"])
+    return rounded(m, "lai")
+
+
+@query("n06_location_blocks", """
+WITH l AS (SELECT l_returnflag AS split, l_suppkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_suppkey) AS loc_id FROM (SELECT DISTINCT l_returnflag, l_suppkey FROM lineitem)),
+b AS (SELECT *, (loc_id - 1) // 30 AS block_id, count(*) OVER (PARTITION BY split, (loc_id - 1) // 30) AS n FROM l)
+SELECT split, l_suppkey, loc_id, CAST(block_id AS INT) AS block_id FROM b WHERE n = 30""")
+def location_blocks(spark, sf):
+    from gridspark.functions.ranking import ordered_rank
+    loc = ad.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("split"), "l_suppkey").distinct()
+    r = ordered_rank(loc, ["split"], "l_suppkey", out="loc_id").drop("loc_id_of")
+    return sm.location_blocks(r, block=30, keys=["split"])
+
+
+@query("n06_resolution_checks", f"""
+WITH c AS (SELECT l_suppkey AS store, count(DISTINCT CAST(l_shipdate AS DATE)) AS n_days, count(DISTINCT year(l_shipdate) * 100 + month(l_shipdate)) AS n_months, count(DISTINCT year(l_shipdate)) AS n_years FROM lineitem GROUP BY 1)
+SELECT store, n_days, n_months, n_years, concat_ws(',', CASE WHEN n_days <> 365 * n_years THEN 'daily length is not 365 Y' END, CASE WHEN n_months <> 12 * n_years THEN 'monthly length is not 12 Y' END,
+  CASE WHEN n_years < 2 THEN 'too few years' END) AS issues FROM c""")
+def resolution_checks(spark, sf):
+    d = ad.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("store"), F.to_date("l_shipdate").alias("d"), F.year("l_shipdate").alias("y"),
+        (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("ym")).distinct()
+    c = d.groupBy("store").agg(F.count("d").alias("n_days"))
+    m = d.select("store", "ym").distinct().groupBy("store").agg(F.count("ym").alias("n_months"))
+    y = d.select("store", "y").distinct().groupBy("store").agg(F.count("y").alias("n_years"))
+    out = sm.resolution_checks(c.join(m, "store").join(y, "store"))
+    return out.withColumn("issues", F.array_join("issues", ","))
+
+
+@query("n07_transfer_window", f"""
+WITH {ad.field_sql("source", "scenario", "cell", "year")}, w AS (SELECT * FROM field WHERE scenario = 'S3' AND year BETWEEN 1997 AND 1999),
+s AS (SELECT source, lat_idx, lon_idx FROM w GROUP BY ALL HAVING count(DISTINCT year) >= 3)
+SELECT scenario, source, lat_idx, lon_idx, year, round(value, 6) AS value FROM w SEMI JOIN s USING (source, lat_idx, lon_idx)""")
+def transfer_window(spark, sf):
+    f = ad.field(spark, sf, "source", "scenario", "cell", "year")
+    return rounded(sm.transfer_window(f, ["source", "lat_idx", "lon_idx"], 1997, 1999, min_years=3), "value")
+
+
+@query("n08_window_counts", """
+WITH b AS (SELECT l_returnflag AS split, l_suppkey, count(DISTINCT l_partkey) AS n_locations, count(DISTINCT year(l_shipdate)) AS n_years FROM lineitem GROUP BY ALL)
+SELECT split, count(*) AS batches, CAST(sum(n_locations * greatest(n_years - 1, 0)) AS BIGINT) AS windows, CAST(ceil(sum(n_locations * greatest(n_years - 1, 0)) / 4.0) AS BIGINT) AS steps_per_epoch FROM b GROUP BY split""")
+def window_counts(spark, sf):
+    d = ad.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("split"), "l_suppkey", "l_partkey", F.year("l_shipdate").alias("y"))
+    a = d.select("split", "l_suppkey", "l_partkey").distinct().groupBy("split", "l_suppkey").agg(F.count("l_partkey").alias("n_locations"))
+    b = d.select("split", "l_suppkey", "y").distinct().groupBy("split", "l_suppkey").agg(F.count("y").alias("n_years"))
+    return sm.window_counts(a.join(b, ["split", "l_suppkey"]), accum_steps=4)
+
+
+@query("n09_carry_windows", """
+WITH l AS (SELECT l_suppkey AS loc_id, count(DISTINCT year(l_shipdate)) AS n_years FROM lineitem GROUP BY 1),
+t AS (SELECT loc_id, n_years, unnest(range(2, n_years)) AS target_year FROM l WHERE n_years > 2)
+SELECT loc_id, target_year, unnest(range(target_year - 2, target_year + 1)) AS year_pos FROM t""")
+def carry_windows(spark, sf):
+    l = ad.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("loc_id"), F.year("l_shipdate").alias("y")).distinct()
+    l = l.groupBy("loc_id").agg(F.count("y").alias("n_years"))
+    return sm.carry_windows(l, "n_years", carry=2).select("loc_id", "target_year", "year_pos")

@@ -186,9 +186,7 @@ WITH {ad.field_sql("source", "year")}, x AS (SELECT *, row_number() OVER (PARTIT
 tr AS (SELECT source, regr_slope(value, x) AS slope, regr_intercept(value, x) AS intercept FROM x GROUP BY source)
 SELECT source, year, round(slope * x + intercept, 6) AS line, round(value, 6) AS rebuilt FROM x JOIN tr USING (source)""")
 def rebuild_series(spark, sf):
-    f = ad.field(spark, sf, "source", "year")
-    x = se.positions_to_years(f, ["source"], 0, 0, 10_000, order="year").withColumnRenamed("year", "x")
-    x = f.join(x.withColumnRenamed("value", "v"), (f.source == x.source) & (f.value == F.col("v"))).select(f.source, f.year, f.value, "x")
+    x = se.with_position(ad.field(spark, sf, "source", "year"), ["source"])
     trend = se.linear_trend(x, ["source"], x="x")
     res = se.detrend(x, ["source"], x="x", out="iav")
     d = se.rebuild_series(trend, res, ["source"])

@@ -1 +1,101 @@
-"""Queries."""
+"""Skill metrics."""
+
+from pyspark.sql import functions as F
+
+from gridspark.operators import skill as sk
+from gridspark.queries.registry import query, rounded
+from gridspark.sources import adapters as ad
+
+P = ad.PAIRS_SQL
+_R2 = "1 - sum((y - yhat) * (y - yhat)) / (count(*) * var_pop(y))"
+_RMSE = "sqrt(avg((yhat - y) * (yhat - y)))"
+
+
+def _by_variable(spark, sf, **aggs):
+    d = ad.pairs(spark, sf).groupBy("variable").agg(*[e.alias(n) for n, e in aggs.items()])
+    return rounded(d, *aggs)
+
+
+@query("k01_r2", f"WITH {P} SELECT variable, round({_R2}, 6) AS r2 FROM pairs GROUP BY ALL")
+def r2(spark, sf):
+    return _by_variable(spark, sf, r2=sk.r2())
+
+
+@query("k02_rmse", f"WITH {P} SELECT variable, round({_RMSE}, 6) AS rmse FROM pairs GROUP BY ALL")
+def rmse(spark, sf):
+    return _by_variable(spark, sf, rmse=sk.rmse())
+
+
+@query("k03_nrmse", f"WITH {P} SELECT variable, round({_RMSE} / stddev_pop(y), 6) AS nrmse FROM pairs GROUP BY ALL")
+def nrmse(spark, sf):
+    return _by_variable(spark, sf, nrmse=sk.nrmse())
+
+
+@query("k04_acc", f"WITH {P} SELECT variable, round(corr(y, yhat), 6) AS acc FROM pairs GROUP BY ALL")
+def acc(spark, sf):
+    return _by_variable(spark, sf, acc=sk.acc())
+
+
+@query("k05_metric_table", f"""
+WITH {P}, m AS (SELECT variable, count(*) AS n, {_R2} AS r2, {_RMSE} / stddev_pop(y) AS nr, corr(y, yhat) AS acc FROM pairs GROUP BY ALL)
+SELECT variable, n, round(r2, 6) AS "R2", round(nr, 6) AS "nRMSE", round(acc, 6) AS "ACC" FROM m
+UNION ALL SELECT 'GLOBAL(equal_weight)', CAST(sum(n) AS BIGINT), round(avg(r2), 6), round(avg(nr), 6), round(avg(acc), 6) FROM m""")
+def metric_table(spark, sf):
+    return rounded(sk.metric_table(ad.pairs(spark, sf)), "R2", "nRMSE", "ACC")
+
+
+@query("k06_cell_metrics", f"""
+WITH {P} SELECT variable, lat_idx, lon_idx, round(CASE WHEN var_pop(y) > 0 THEN {_R2} END, 6) AS r2, round({_RMSE}, 6) AS rmse FROM pairs GROUP BY ALL""")
+def cell_metrics(spark, sf):
+    return rounded(sk.cell_metrics(ad.pairs(spark, sf), ["variable", "lat_idx", "lon_idx"]), "r2", "rmse")
+
+
+@query("k07_other_r2", f"""
+WITH {P} SELECT variable, round(1 - sum((y - yhat) * (y - yhat)) / (count(*) * var_pop(yhat)), 6) AS r2_prediction, round(corr(y, yhat) * corr(y, yhat), 6) AS r2_pearson FROM pairs GROUP BY ALL""")
+def other_r2(spark, sf):
+    return _by_variable(spark, sf, r2_prediction=sk.r2(kind="prediction"), r2_pearson=sk.r2(kind="pearson2"))
+
+
+@query("k08_taylor_statistics", f"""
+WITH {P} SELECT variable, round(stddev_samp(y), 5) AS ref_std, round(stddev_samp(yhat), 5) AS std, round(corr(y, yhat), 6) AS corr,
+  round(stddev_samp(yhat) / stddev_samp(y), 6) AS rel_std, round(acos(corr(y, yhat)), 6) AS theta FROM pairs GROUP BY ALL""")
+def taylor_statistics(spark, sf):
+    d = sk.taylor_statistics(ad.pairs(spark, sf), ["variable"])
+    return rounded(rounded(d, "ref_std", "std", n=5), "corr", "rel_std", "theta")
+
+
+@query("k09_supervised_score", f"""
+WITH {ad.field_day_sql()}, d AS (SELECT variable, lat_idx, lon_idx, CAST(t // 365 + 1901 AS INT) AS year, {ad.month_of_doy_sql('t % 365 + 1')} AS month, value FROM field),
+m AS (SELECT variable, lat_idx, lon_idx, year, month, avg(value) AS p FROM d GROUP BY ALL), y AS (SELECT variable, lat_idx, lon_idx, year, avg(value) AS p FROM d GROUP BY ALL),
+l AS (SELECT variable, lat_idx, lon_idx, year, month, max(value) AS label FROM d GROUP BY ALL),
+s AS (SELECT variable, avg((p - label) * (p - label)) AS loss FROM m JOIN l USING (variable, lat_idx, lon_idx, year, month) WHERE variable <> 'error' GROUP BY variable
+  UNION ALL SELECT variable, avg((p - label) * (p - label)) FROM y JOIN l USING (variable, lat_idx, lon_idx, year) WHERE variable = 'error' GROUP BY variable)
+SELECT variable, round(loss, 5) AS loss, CASE WHEN variable = 'click' THEN 2.0 ELSE 1.0 END AS weight, round(CASE WHEN variable = 'click' THEN 2.0 ELSE 1.0 END * loss, 5) AS weighted FROM s""")
+def supervised_score(spark, sf):
+    from gridspark.functions import noleap as nl
+    d = ad.field_day(spark, sf).withColumns({"year": nl.year_of("t"), "month": nl.month_of("t")})
+    cell = ["lat_idx", "lon_idx"]
+    labels = d.groupBy("variable", *cell, "year", "month").agg(F.max("value").alias("value"))
+    monthly = labels.filter("variable <> 'error'")
+    annual = labels.filter("variable = 'error'").drop("month")
+    return rounded(sk.supervised_score(d, monthly, annual, cell, {"click": 2.0}), "loss", "weighted", n=5)
+
+
+@query("k10_loss_rollup", f"""
+WITH {P}, s AS (SELECT variable, l_suppkey, avg((yhat - y) * (yhat - y)) / 1e6 AS loss, count(*) AS n FROM pairs GROUP BY ALL)
+SELECT variable, round(sum(loss * n) / sum(n), 6) AS loss, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY variable""")
+def loss_rollup(spark, sf):
+    e = F.col("yhat") - F.col("y")
+    s = ad.pairs(spark, sf).groupBy("variable", "l_suppkey").agg((F.avg(e * e) / 1e6).alias("loss"), F.count(F.lit(1)).alias("n"))
+    return rounded(sk.loss_rollup(s, ["variable"]), "loss")
+
+
+@query("k11_complete_label_years", f"""
+WITH {ad.field_vars_sql("source", "cell", "year")}, v AS (SELECT CASE variable WHEN 'rh' THEN 'lai_modis' ELSE variable END AS variable, source, lat_idx, lon_idx, year,
+  CASE WHEN value BETWEEN 12 AND 60 THEN NULL ELSE value END AS value FROM field)
+SELECT source, lat_idx, lon_idx, year FROM v GROUP BY ALL HAVING bool_and(value IS NOT NULL OR variable = 'lai_modis')""")
+def complete_label_years(spark, sf):
+    f = ad.field_vars(spark, sf, "source", "cell", "year")
+    f = f.withColumns({"variable": F.when(F.col("variable") == "rh", "lai_modis").otherwise(F.col("variable")),
+                       "value": F.when(~F.col("value").between(12, 60), F.col("value"))})
+    return sk.complete_label_years(f, ["source", "lat_idx", "lon_idx"])

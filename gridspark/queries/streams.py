@@ -1 +1,40 @@
-"""Queries."""
+"""Incremental ingestion."""
+
+from pyspark.sql import functions as F
+
+from gridspark.queries.registry import query, rounded
+from gridspark.session import scratch_path
+from gridspark.sources import adapters as ad
+from gridspark.streaming import ingest
+
+
+def _ingested(spark, sf, name):
+    """Run the lineitem file through the stream as field rows of two variables."""
+    schema = ad.table(spark, sf, "lineitem").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+
+    def to_field(batch):
+        d = batch.select("l_suppkey", F.year("l_shipdate").alias("year"), (F.col("l_extendedprice") / 365.2425).alias("gpp"),
+                         (F.col("l_quantity") / 7.302).alias("lai"))
+        return d.unpivot(["l_suppkey", "year"], ["gpp", "lai"], "variable", "value")
+
+    path = scratch_path(spark, name)
+    ingest.ingest_pieces(spark, stream, f"{path}/table", f"{path}/checkpoint", to_field)
+    return f"{path}/table"
+
+
+_FIELD = """f AS (SELECT 'gpp' AS variable, CAST(year(l_shipdate) AS INT) AS year, l_extendedprice / 365.2425 AS value FROM lineitem
+  UNION ALL SELECT 'lai', CAST(year(l_shipdate) AS INT), l_quantity / 7.302 FROM lineitem)"""
+
+
+@query("st01_ingest_pieces", f"WITH {_FIELD} SELECT variable, year, count(*) AS n, round(avg(value), 6) AS value FROM f GROUP BY ALL")
+def ingest_pieces(spark, sf):
+    d = ingest.read_ingested(spark, _ingested(spark, sf, "st01"))
+    return rounded(d.groupBy("variable", "year").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value")), "value")
+
+
+@query("st01_running_moments", f"""
+WITH {_FIELD} SELECT variable, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 4) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM f GROUP BY ALL""")
+def running_moments(spark, sf):
+    d = ingest.running_moments(spark, _ingested(spark, sf, "st01m"))
+    return rounded(rounded(d.select("variable", "n", "mean", "std", "min", "max"), "mean", "min", "max"), "std", n=4)
