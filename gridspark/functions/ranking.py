@@ -1,13 +1,16 @@
-"""Exact ranks and quantiles of groups too large for one task.
+"""Exact ranks, samples and quantiles of groups too large for one task.
 
-A window over a whole group sorts the group in one task. Here rows are first put
-into order-preserving buckets; only bucket counts are accumulated per group, and
-the sort happens inside (group, bucket).
+A window over a whole group sorts the group in one task. Here rows are put into
+order-preserving buckets; only bucket counts, combined map-side, are accumulated per
+group, and a sort happens inside one bucket at most. The count tables are stored and
+measured, then broadcast, so the rows themselves are not shuffled to meet them.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-HASH_BUCKETS = 1024
+from gridspark.functions.sizing import broadcast_counted, stored
+
+SPLITS = 64
 
 
 def hash_key(*cols, seed: int = 0) -> Column:
@@ -15,31 +18,41 @@ def hash_key(*cols, seed: int = 0) -> Column:
     return F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols], F.lit(seed))
 
 
-def hash_bucket(h, buckets_log2: int = 10) -> Column:
+def hash_bucket(h, bits: int = 10) -> Column:
     """Bucket from the leading bits of a 64-bit hash; keeps the order of the hash."""
     h = F.col(h) if isinstance(h, str) else h
-    return F.shiftright(h, 64 - buckets_log2)
-
-
-def _rank_in_buckets(df, keys, order, bucket, out, descending=False) -> DataFrame:
-    cum = W.partitionBy(*keys).orderBy(F.col(bucket).desc() if descending else F.col(bucket))
-    before = (
-        df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(
-            F.sum("__n").over(cum.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("__total", F.sum("__n").over(W.partitionBy(*keys)))
-        .drop("__n")
-    )
-    inside = W.partitionBy(*keys, bucket).orderBy(*order)
-    # Null-safe keys: a NULL key is a group of its own.
-    left = df.withColumn("__pos", F.row_number().over(inside)).alias("l")
-    right = before.alias("r")
+    return F.shiftright(h, 64 - bits)
+
+
+def attach(df: DataFrame, summary: DataFrame, keys) -> DataFrame:
+    """Join a stored summary on its keys, a NULL key being a group of its own."""
+    if not keys:
+        return df.crossJoin(F.broadcast(summary))  # the summary of no keys is one row
+    l, r = df.alias("l"), broadcast_counted(summary).alias("r")
     on = F.lit(True)
-    for k in [*keys, bucket]:
+    for k in keys:
         on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    return left.join(right, on).select(
-        "l.*", (F.col("r.__before") + F.col("l.__pos")).alias(out),
-        F.col("r.__total").alias(f"{out}_of")).drop("__pos", bucket)
+    extra = [F.col(f"r.{c}") for c in summary.columns if c not in keys]
+    return l.join(r, on).select("l.*", *extra)
+
+
+def _bucket_offsets(df: DataFrame, keys, bucket: str, name: str) -> DataFrame:
+    """Rows per (group, bucket), rows of the group before the bucket, and group size."""
+    cum = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1) if keys \
+        else W.partitionBy(F.lit(0)).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.withColumns({"__before": F.coalesce(F.sum("__n").over(cum), F.lit(0)),
+                               "__total": F.sum("__n").over(whole)})
+    return stored(sizes, name)
+
+
+def _rank_in_buckets(df, keys, order, bucket, out) -> DataFrame:
+    offsets = _bucket_offsets(df, keys, bucket, "offsets").drop("__n")
+    inside = W.partitionBy(*keys, bucket).orderBy(*order)
+    d = attach(df.withColumn("__pos", F.row_number().over(inside)), offsets, [*keys, bucket])
+    return (d.withColumns({out: F.col("__before") + F.col("__pos"), f"{out}_of": F.col("__total")})
+            .drop("__pos", "__before", "__total", bucket))
 
 
 def hash_rank(df: DataFrame, keys, id_cols, seed: int = 0, out: str = "rn") -> DataFrame:
@@ -51,89 +64,110 @@ def hash_rank(df: DataFrame, keys, id_cols, seed: int = 0, out: str = "rn") -> D
     return _rank_in_buckets(d, list(keys), order, "__b", out).drop("__h")
 
 
-def ordered_rank(df: DataFrame, keys, order_col: str, tie_cols=(), out: str = "rn",
-                 bucket_width: float | None = None) -> DataFrame:
-    """1-based rank by a numeric column per group, plus the group size in ``<out>_of``.
+def hash_smallest(df: DataFrame, keys, id_cols, how_many, seed: int = 0, bits: int = 16) -> DataFrame:
+    """The rows of smallest seeded hash per group: ``how_many(total)`` of them.
 
-    Buckets come from approximate quantiles of ``order_col`` per group, so they hold
-    about equally many rows whatever the distribution.
+    Whole buckets below the boundary are kept unsorted; only the boundary bucket of a
+    group is ranked.
     """
     keys = list(keys)
-    d = df.withColumn("__o", F.col(order_col).cast("double"))
-    if bucket_width:
-        d = d.withColumn("__b", F.floor(F.col("__o") / bucket_width))
-    else:
-        splits = splitters(d, keys, "__o")
-        d = _attach_bucket(d, splits, keys, "__o")
-    order = [F.col(order_col), *[F.col(c) for c in tie_cols]]
-    return _rank_in_buckets(d, keys, order, "__b", out).drop("__o")
-
-
-def splitters(df, keys, col, n: int = 200) -> DataFrame:
-    """About ``n`` split points per group, from a mergeable quantile sketch."""
-    ps = [i / n for i in range(1, n)]
-    agg = F.percentile_approx(col, ps, 5000).alias("__splits")
-    return df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
-
-
-def _attach_bucket(df, splits, keys, col) -> DataFrame:
-    """Bucket number = how many split points lie below the value."""
+    d = (df.withColumn("__h", hash_key(*id_cols, seed=seed))
+         .withColumn("__b", hash_bucket("__h", bits)))
+    sizes = _bucket_offsets(d, keys, "__b", "buckets")
+    want = how_many(F.col("__total"))
+    edge = (sizes.filter((F.col("__before") < want) & (F.col("__before") + F.col("__n") >= want))
+            .select(*keys, F.col("__b").alias("__edge"), (want - F.col("__before")).alias("__need")))
+    # A group smaller than the wanted number has no edge and is kept whole.
+    every = (sizes.groupBy(*keys) if keys else sizes.groupBy()).agg(F.max("__b").alias("__top"))
     if keys:
-        left, right = df.alias("l"), splits.alias("r")
+        e, s = edge.alias("e"), every.alias("s")
         on = F.lit(True)
         for k in keys:
-            on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-        d = left.join(right, on).select("l.*", "r.__splits")
+            on = on & F.col(f"e.{k}").eqNullSafe(F.col(f"s.{k}"))
+        bounds = s.join(e, on, "left").select(*[F.col(f"s.{k}") for k in keys], "__top", "__edge", "__need")
     else:
-        d = df.crossJoin(F.broadcast(splits))  # one row
-    bucket = F.size(F.filter("__splits", lambda s: s < F.col(col)))
-    return d.withColumn("__b", bucket).drop("__splits")
+        bounds = every.crossJoin(F.broadcast(edge)) if edge.limit(1).count() else every.withColumns(
+            {"__edge": F.lit(None).cast("bigint"), "__need": F.lit(None).cast("bigint")})
+    bounds = stored(bounds, "bounds")
+    d = attach(d, bounds, keys)
+    drop = ("__h", "__b", "__top", "__edge", "__need")
+    below = d.filter(F.col("__edge").isNull() | (F.col("__b") < F.col("__edge")))
+    inside = W.partitionBy(*keys, "__b").orderBy("__h", *id_cols)
+    at = (d.filter(F.col("__b") == F.col("__edge")).withColumn("__pos", F.row_number().over(inside))
+          .filter(F.col("__pos") <= F.col("__need")).drop("__pos"))
+    return below.drop(*drop).unionByName(at.drop(*drop))
+
+
+def _index_in(cuts: str, n: int, value: Column) -> Column:
+    """How many of the first n cut points lie below the value."""
+    total = F.lit(0)
+    for i in range(n):
+        total = total + (value > F.get(F.col(cuts), F.lit(i))).cast("int")
+    return F.coalesce(total, F.lit(0))
+
+
+def ordered_rank(df: DataFrame, keys, order_col: str, tie_cols=(), out: str = "rn") -> DataFrame:
+    """1-based rank by a numeric column per group, plus the group size in ``<out>_of``.
 
+    Bucket limits come from approximate quantiles per group, so buckets hold about
+    equally many rows whatever the distribution.
+    """
+    keys = list(keys)
+    o = F.col(order_col).cast("double")
+    ps = [i / SPLITS for i in range(1, SPLITS)]
+    sketch = F.percentile_approx(o, ps, 2000).alias("__cuts")
+    cuts = stored(df.groupBy(*keys).agg(sketch) if keys else df.agg(sketch), "cuts")
+    d = attach(df, cuts, keys).withColumn("__b", _index_in("__cuts", len(ps), o)).drop("__cuts")
+    order = [F.col(order_col), *[F.col(c) for c in tie_cols]]
+    return _rank_in_buckets(d, keys, order, "__b", out)
 
-def exact_quantiles(df: DataFrame, keys, col: str, probs, names) -> DataFrame:
-    """Linear-interpolation quantiles of arbitrarily large groups, without holding a
-    group in one task.
 
-    Equal values are counted first; bucket counts tell which bucket holds each wanted
-    rank; only those buckets are sorted.
+def exact_quantiles(df: DataFrame, keys, col: str, probs, names, parts: int = 1000) -> DataFrame:
+    """Linear-interpolation quantiles of few but arbitrarily large groups, without
+    holding a group in one task and without shuffling its rows.
+
+    A quantile sketch gives a narrow bracket around every wanted rank; the brackets and
+    the gaps between them are cut into equal parts; counts per part tell which part holds
+    each rank, and only those parts are sorted. If the sketch is off, the rank falls into
+    a gap and is still found there.
     """
     keys = list(keys)
-    d = (df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("__v"))
-         .agg(F.count(F.lit(1)).alias("__c")))
-    d = _attach_bucket(d, splitters(d, keys, "__v"), keys, "__v")
-    sizes = d.groupBy(*keys, "__b").agg(F.sum("__c").alias("__n"))
-    cum = W.partitionBy(*keys).orderBy("__b")
-    sizes = (sizes
-             .withColumn("__before", F.coalesce(F.sum("__n").over(
-                 cum.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("__total", F.sum("__n").over(W.partitionBy(*keys))))
-    # The two 0-based ranks around every probability.
+    value = F.col(col).cast("double")
+    d = df.filter(F.col(col).isNotNull()).select(*keys, value.alias("__v"))
+    slack = 2e-4
+    ps = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-slack, slack)})
+    sketch = [F.percentile_approx("__v", ps, 10_000).alias("__cuts"),
+              F.min("__v").alias("__min"), F.max("__v").alias("__max")]
+    cuts = stored(d.groupBy(*keys).agg(*sketch) if keys else d.agg(*sketch), "cuts")
+    edges = F.concat(F.array("__min"), F.col("__cuts"), F.array("__max"))
+    cuts = cuts.withColumn("__edges", edges).drop("__min", "__max")
+
+    def located(x):
+        x = attach(x, cuts, keys).withColumn("__i", _index_in("__cuts", len(ps), F.col("__v")))
+        lo, hi = F.get("__edges", F.col("__i")), F.get("__edges", F.col("__i") + 1)
+        share = F.when(hi > lo, (F.col("__v") - lo) / (hi - lo)).otherwise(0.0)
+        part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts)))
+        return x.withColumn("__b", (F.col("__i") * parts + part).cast("long")).drop("__cuts", "__edges", "__i")
+
+    sizes = _bucket_offsets(located(d), keys, "__b", "parts")
     ranks = F.flatten(F.array(*[
-        F.array(F.floor(p * (F.col("__total") - 1)), F.ceil(p * (F.col("__total") - 1)))
-        for p in probs]))
-    hit = F.filter(ranks, lambda r: (r >= F.col("__before"))
-                   & (r < F.col("__before") + F.col("__n")))
-    wanted = (sizes.withColumn("__hits", F.array_distinct(hit)).filter(F.size("__hits") > 0)
-              .drop("__n"))
-    l, r = d.alias("l"), wanted.alias("r")
-    on = F.lit(True)
-    for k in [*keys, "__b"]:
-        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    inb = W.partitionBy(*[F.col(k) for k in keys], "__b").orderBy("__v")
-    picked = (
-        l.join(r, on).select("l.*", "r.__before", "r.__total", "r.__hits")
-        .withColumn("__end", F.col("__before") + F.sum("__c").over(
-            inb.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("__rank", F.explode(F.filter(
-            "__hits", lambda x: (x < F.col("__end")) & (x >= F.col("__end") - F.col("__c")))))
-    )
+        F.array(F.floor(p * (F.col("__total") - 1)), F.ceil(p * (F.col("__total") - 1))) for p in probs]))
+    hit = F.filter(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))
+    wanted = (sizes.withColumn("__hits", F.array_distinct(hit)).filter(F.size("__hits") > 0).drop("__n"))
+    wanted = stored(wanted, "wanted")
+    # Equal values are counted before they meet, so ties cost one row.
+    few = (attach(located(d), wanted, [*keys, "__b"])
+           .groupBy(*keys, "__b", "__v", "__before", "__total", "__hits").agg(F.count(F.lit(1)).alias("__c")))
+    inside = W.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    end = F.col("__before") + F.sum("__c").over(inside)
+    picked = few.withColumn("__end", end).withColumn("__rank", F.explode(F.filter(
+        "__hits", lambda x: (x < F.col("__end")) & (x >= F.col("__end") - F.col("__c")))))
     aggs = []
     for p, name in zip(probs, names):
         pos = p * (F.col("__total") - 1)
         lo = F.max(F.when(F.col("__rank") == F.floor(pos), F.col("__v")))
         hi = F.max(F.when(F.col("__rank") == F.ceil(pos), F.col("__v")))
-        frac = F.max(pos - F.floor(pos))
-        aggs.append((lo + (hi - lo) * frac).alias(name))
+        aggs.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(name))
     return picked.groupBy(*keys).agg(*aggs) if keys else picked.agg(*aggs)
 
 
@@ -143,5 +177,5 @@ def smallest_k(df: DataFrame, keys, order, k: int, salts: int = 64) -> DataFrame
     d = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
     part = W.partitionBy(*keys, "__salt").orderBy(*order)
     d = d.withColumn("rn", F.row_number().over(part)).filter(F.col("rn") <= k).drop("rn", "__salt")
-    whole = W.partitionBy(*keys).orderBy(*order) if keys else W.orderBy(*order)
-    return d.withColumn("rn", F.row_number().over(whole)).filter(F.col("rn") <= k)
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    return d.withColumn("rn", F.row_number().over(whole.orderBy(*order))).filter(F.col("rn") <= k)

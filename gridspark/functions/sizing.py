@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridspark.session import scratch_path
+
 # A row of a dimension table here is a few numbers: 500k rows stay below about 40 MB.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -20,6 +22,17 @@ def broadcast_counted(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     return F.broadcast(df) if small else df
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a summary table to the shared scratch folder and read it back.
+
+    The summary is computed once however often it is joined, its lineage ends there, and
+    its size can be measured before it is broadcast.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def per_cell(df: DataFrame, grid) -> DataFrame:
     """One row per cell of ``grid``, so the result has at most ``grid.n_cells`` rows."""
     inside = F.col("lat_idx").between(0, grid.nlat - 1) & F.col("lon_idx").between(0, grid.nlon - 1)

@@ -4,10 +4,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridspark.functions import noleap as nl
+from gridspark.functions.geo import HALF_DEGREE, GridSpec
 from gridspark.functions.sizing import broadcast_bounded, broadcast_counted
 from gridspark.operators.samples import stats_of
-from gridspark.schema import NON_NEGATIVE_OFFSETS
+from gridspark.schema import CELL, NON_NEGATIVE_OFFSETS
 
 
 # --- carry rules as DataFrames -------------------------------------------------------
@@ -85,46 +85,74 @@ def rollout_affine(df: DataFrame, keys, gain: float, weight: float, initial: flo
 # --- rollout with a caller's predictor -----------------------------------------------
 
 def rollout(df: DataFrame, keys, predict, states: dict[str, str], outputs, carry: str = "annual",
-            steps=("year", "month"), initial: float = 0.0) -> DataFrame:
-    """Yearly rollout per cell with any predictor.
-
-    ``predict(frame)`` gets one year of a cell as a pandas frame, in step order, with the
-    forcing and one column per state in ``states`` (name -> 'monthly' or 'annual'), and
-    returns the ``outputs`` (a superset of the states) as columns of equal length.
-    Carry rules: 'annual' (last year's mean), 'december' (monthly states take last
-    December in January only). The group is a single cell's series.
+            cell=CELL, steps=("year", "month"), initial: float = 0.0, grid: GridSpec = HALF_DEGREE) -> DataFrame:
+    """Yearly rollout with any predictor, a tile of cells at a time.
+
+    ``predict(frame)`` gets one year of all cells of a tile as a pandas frame, ordered by
+    cell and step, with the forcing and one column per state in ``states`` (name ->
+    'monthly' or 'annual'), and returns the ``outputs`` (a superset of the states) as
+    columns in the same row order. ``keys`` are what a tile is repeated over (source,
+    scenario). Carry rules: 'annual' (last year's mean) and 'december' (monthly states
+    take last December in January, 0 in other months).
+
+    Partitions are sorted by tile and year and read as a stream, so a task holds one year
+    of one tile (at most tile*tile cells) and its carried states, not the whole series.
     """
-    key_fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, *steps])
-    schema = key_fields + "".join(f", `{o}` double" for o in outputs)
-    by = [*steps]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by, kind="stable").reset_index(drop=True)
-        parts, prev = [], None
-        for _, year in pdf.groupby(by[0], sort=True):
-            frame = year.reset_index(drop=True)
-            for name, kind in states.items():
-                frame[name] = _template(frame, prev, name, kind, carry, initial)
-            got = predict(frame)
-            res = frame[[*keys, *steps]].copy()
-            for o in outputs:
-                res[o] = np.asarray(got[o], dtype=float)
-            parts.append(res)
-            prev = res
-        return pd.concat(parts, ignore_index=True)
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
-def _template(frame, prev, name, kind, carry, initial):
-    n = len(frame)
-    if prev is None:
-        return np.full(n, initial)
-    mean = prev[name].mean()
-    if carry == "annual" or kind == "annual":
-        return np.full(n, mean)
-    december = prev.loc[prev["month"] == 12, name].mean()
-    return np.where(frame["month"].to_numpy() == 1, december, 0.0)
+    keys, cell, steps = list(keys), list(cell), list(steps)
+    year = steps[0]
+    names = [*keys, *cell, *steps]
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in names)
+    schema += "".join(f", `{o}` double" for o in outputs)
+    unit = [*keys, "__tile"]
+    d = df.withColumn("__tile", grid.tile_id(*cell)) if cell == list(CELL) else df.withColumn(
+        "__tile", F.pmod(F.xxhash64(*cell), F.lit(grid.n_tiles)))
+    d = d.repartition(*unit).sortWithinPartitions(*unit, year, *cell, *steps[1:])
+
+    def run(batches):
+        held, now, carried = [], None, None
+        for pdf in batches:
+            for key, piece in pdf.groupby([*unit, year], sort=False, dropna=False):
+                if now is not None and key != now:
+                    out, carried = _score_year(pd.concat(held), names, cell, predict, states, outputs, carry, initial, carried)
+                    yield out
+                    if key[:-1] != now[:-1]:
+                        carried = None
+                    held = []
+                now = key
+                held.append(piece)
+        if held:
+            yield _score_year(pd.concat(held), names, cell, predict, states, outputs, carry, initial, carried)[0]
+
+    return d.mapInPandas(run, schema)
+
+
+def _score_year(frame, names, cell, predict, states, outputs, carry, initial, carried):
+    """Score one year of a tile; returns its rows and the states to carry on, per cell."""
+    frame = frame.reset_index(drop=True)
+    where = pd.MultiIndex.from_frame(frame[cell])
+    for name, kind in states.items():
+        if carried is None:
+            frame[name] = initial
+            continue
+        mean = carried[f"{name}:year"].reindex(where).to_numpy()
+        if carry == "annual" or kind == "annual":
+            frame[name] = mean
+        else:
+            december = carried[f"{name}:december"].reindex(where).to_numpy()
+            frame[name] = np.where(frame["month"].to_numpy() == 1, december, 0.0)
+        fresh = ~where.isin(carried.index)
+        frame.loc[fresh, name] = initial
+    got = predict(frame)
+    res = frame[names].copy()
+    for o in outputs:
+        res[o] = np.asarray(got[o], dtype=float)
+    names_of = list(states)
+    years = res.groupby(cell)[names_of].mean().add_suffix(":year")
+    if "month" in res:
+        december = res[res["month"] == 12].groupby(cell)[names_of].mean().add_suffix(":december")
+        years = years.join(december)
+    # A cell without rows this year keeps what it carried.
+    return res, years if carried is None else years.combine_first(carried)
 
 
 # --- nudging -------------------------------------------------------------------------

@@ -68,6 +68,17 @@ def order_channels(df: DataFrame, role: str = "input") -> DataFrame:
     return d.withColumn("channel_idx", rank.cast("int"))
 
 
+def _columns(df: DataFrame, stats: DataFrame, names, by) -> DataFrame:
+    """Standardised values, one column per variable; there is one row per key and variable."""
+    z = standardise(df, stats, names)
+    return z.groupBy(*by).agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
+
+
+def _without_first_year(df: DataFrame, keys) -> DataFrame:
+    first = F.min("year").over(W.partitionBy(*keys))
+    return df.withColumn("__first", first).filter(F.col("year") > F.col("__first")).drop("__first")
+
+
 def assemble_samples(daily: DataFrame, monthly: DataFrame, annual: DataFrame, stats: DataFrame,
                      daily_vars, monthly_vars, annual_vars, monthly_states=(), annual_states=(),
                      keys=("scenario", "loc_id")) -> DataFrame:
@@ -75,8 +86,9 @@ def assemble_samples(daily: DataFrame, monthly: DataFrame, annual: DataFrame, st
 
     States are lagged by one month or one year, every value is standardised, monthly and
     annual values are held over their days, and the first year of a location, whose lag
-    is a dummy, is dropped. Monthly and annual rows stay at their own resolution until the
-    last join, so nothing is opened up to days before it has to be.
+    is a dummy, is dropped. Monthly and annual columns meet first, at monthly resolution;
+    the daily rows are shuffled once, by location and month, for both their own grouping
+    and that join.
     """
     keys = list(keys)
 
@@ -87,18 +99,22 @@ def assemble_samples(daily: DataFrame, monthly: DataFrame, annual: DataFrame, st
         s = s.withColumn("value", F.col("__p")).drop("__p")
         return df.filter(~F.col("variable").isin(*states)).unionByName(s)
 
-    def wide(df, names, by):
-        z = standardise(df, stats, names)
-        return z.groupBy(*by).pivot("variable", list(names)).agg(F.first("value"))
-
-    d = wide(daily, daily_vars, [*keys, "year", "month", "t"])
-    m = wide(lagged(monthly, monthly_states, ["year", "month"]), monthly_vars, [*keys, "year", "month"])
-    a = wide(lagged(annual, annual_states, "year"), annual_vars, [*keys, "year"])
-    out = d.join(m, [*keys, "year", "month"]).join(a, [*keys, "year"])
-    first = F.min("year").over(W.partitionBy(*keys))
+    m = _columns(lagged(monthly, monthly_states, ["year", "month"]), stats, monthly_vars, [*keys, "year", "month"])
+    a = _columns(lagged(annual, annual_states, "year"), stats, annual_vars, [*keys, "year"])
+    slow = m.join(_without_first_year(a, keys), [*keys, "year"])
+    spread = daily.repartition(*keys, "year", "month")
+    d = _columns(spread, stats, daily_vars, [*keys, "year", "month", "t"])
     order = [*daily_vars, *monthly_vars, *annual_vars]
-    return (out.withColumn("__first", first).filter(F.col("year") > F.col("__first"))
-            .select(*keys, "year", "month", "t", *order))
+    return d.join(slow, [*keys, "year", "month"]).select(*keys, "year", "month", "t", *order)
+
+
+def assemble_labels(monthly: DataFrame, annual: DataFrame, stats: DataFrame, monthly_vars, annual_vars,
+                    keys=("scenario", "loc_id")) -> tuple[DataFrame, DataFrame]:
+    """Standardised monthly and annual labels, without the first year of a location."""
+    keys = list(keys)
+    m = _columns(monthly, stats, monthly_vars, [*keys, "year", "month"])
+    a = _columns(annual, stats, annual_vars, [*keys, "year"])
+    return _without_first_year(m, keys), _without_first_year(a, keys)
 
 
 def location_blocks(locations: DataFrame, block: int = 70, loc: str = "loc_id", keys=()) -> DataFrame:
@@ -147,15 +163,3 @@ def carry_windows(locations: DataFrame, n_years: str, carry: int, min_target: in
     d = d.withColumn("target_year", F.explode(F.sequence(F.lit(first), (F.col(n_years) - 1).cast("int"))))
     return d.withColumn("year_pos", F.explode(F.sequence(F.col("target_year") - carry, F.col("target_year"))))
 
-
-def assemble_labels(monthly: DataFrame, annual: DataFrame, stats: DataFrame, monthly_vars, annual_vars,
-                    keys=("scenario", "loc_id")) -> tuple[DataFrame, DataFrame]:
-    """Standardised monthly and annual labels, without the first year of a location."""
-    keys = list(keys)
-
-    def wide(df, names, by):
-        z = standardise(df, stats, names).groupBy(*by).pivot("variable", list(names)).agg(F.first("value"))
-        first = F.min("year").over(W.partitionBy(*keys))
-        return z.withColumn("__f", first).filter(F.col("year") > F.col("__f")).drop("__f")
-
-    return (wide(monthly, monthly_vars, [*keys, "year", "month"]), wide(annual, annual_vars, [*keys, "year"]))

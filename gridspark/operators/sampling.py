@@ -2,13 +2,12 @@
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gridspark.functions.ranking import hash_key, hash_rank, ordered_rank, smallest_k
+from gridspark.functions.ranking import hash_rank, hash_smallest, ordered_rank, smallest_k
 
 
 def uniform_sample(df: DataFrame, keys, id_cols, k: int, seed: int = 0) -> DataFrame:
     """Uniform sample of k rows per key: the k smallest seeded hashes of the row ids."""
-    d = df.withColumn("__h", hash_key(*id_cols, seed=seed))
-    return smallest_k(d, keys, ["__h", *id_cols], k).drop("__h", "rn")
+    return hash_smallest(df, keys, id_cols, lambda total: F.lit(k), seed)
 
 
 def keyed_sample(df: DataFrame, keys, order, k: int) -> DataFrame:
@@ -33,9 +32,7 @@ def sample_per_region(df: DataFrame, region: str, id_cols, n: int, seed: int = 0
 
 def sample_fraction(df: DataFrame, id_cols, fraction: float, seed: int = 0, keys=()) -> DataFrame:
     """Exactly round(fraction * N) rows, at least one, in a seeded random order."""
-    r = hash_rank(df.withColumn("__k", F.lit(0)), ["__k", *keys], id_cols, seed=seed, out="rn")
-    want = F.greatest(F.lit(1), F.round(F.col("rn_of") * fraction))
-    return r.filter(F.col("rn") <= want).drop("rn", "rn_of", "__k")
+    return hash_smallest(df, keys, id_cols, lambda n: F.greatest(F.lit(1), F.round(n * fraction)), seed)
 
 
 def top_k_latest(df: DataFrame, key: str, latest: str, value: str, k: int, ascending: bool = True) -> DataFrame:
@@ -61,14 +58,14 @@ def first_step(df: DataFrame, keys, t: str = "t") -> DataFrame:
 
 def round_robin(df: DataFrame, order: str, k: int, out: str = "shard") -> DataFrame:
     """Item i (from 0, in order) goes to shard i mod k."""
-    r = ordered_rank(df.withColumn("__k", F.lit(0)), ["__k"], order, out="rn")
-    return r.withColumn(out, F.pmod(F.col("rn") - 1, F.lit(k)).cast("int")).drop("__k", "rn", "rn_of")
+    r = ordered_rank(df, [], order, out="rn")
+    return r.withColumn(out, F.pmod(F.col("rn") - 1, F.lit(k)).cast("int")).drop("rn", "rn_of")
 
 
 def contiguous_blocks(df: DataFrame, order: str, k: int, balanced: bool = False, out: str = "shard") -> DataFrame:
     """k contiguous parts of ceil(N/k) items, the last ones shorter or empty; ``balanced``
     gives the first N mod k parts one item more than the others instead."""
-    r = ordered_rank(df.withColumn("__k", F.lit(0)), ["__k"], order, out="rn")
+    r = ordered_rank(df, [], order, out="rn")
     i, n = F.col("rn") - 1, F.col("rn_of")
     if balanced:
         base, rem = F.floor(n / k), F.pmod(n, F.lit(k))
@@ -76,7 +73,7 @@ def contiguous_blocks(df: DataFrame, order: str, k: int, balanced: bool = False,
         shard = F.when(i < cut, F.floor(i / (base + 1))).otherwise(rem + F.floor(F.try_divide(i - cut, base)))
     else:
         shard = F.floor(i / F.ceil(n / k))
-    return r.withColumn(out, shard.cast("int")).drop("__k", "rn", "rn_of")
+    return r.withColumn(out, shard.cast("int")).drop("rn", "rn_of")
 
 
 def concatenate(parts: list[DataFrame]) -> DataFrame:

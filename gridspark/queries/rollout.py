@@ -33,7 +33,7 @@ def _predict(frame: pd.DataFrame) -> pd.DataFrame:
 def rollout_predictor(spark, sf):
     """The same recursion through a caller's predictor, one step a year."""
     f = ad.field(spark, sf, *_Y).withColumn("month", F.lit(1))
-    return rounded(ro.rollout(f, K, _predict, {"soil": "annual"}, ["soil"], initial=5.0), "soil")
+    return rounded(ro.rollout(f, ["source"], _predict, {"soil": "annual"}, ["soil"], initial=5.0), "soil")
 
 
 @query("r02_carry_annual_mean", f"""
