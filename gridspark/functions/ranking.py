@@ -134,9 +134,9 @@ def exact_quantiles(df: DataFrame, keys, col: str, probs, names, parts: int = 10
     keys = list(keys)
     value = F.col(col).cast("double")
     d = df.filter(F.col(col).isNotNull()).select(*keys, value.alias("__v"))
-    slack = 2e-4
+    slack = 1e-3
     ps = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-slack, slack)})
-    sketch = [F.percentile_approx("__v", ps, 10_000).alias("__cuts"),
+    sketch = [F.percentile_approx("__v", ps, 2_000).alias("__cuts"),
               F.min("__v").alias("__min"), F.max("__v").alias("__max")]
     cuts = stored(d.groupBy(*keys).agg(*sketch) if keys else d.agg(*sketch), "cuts")
     edges = F.concat(F.array("__min"), F.col("__cuts"), F.array("__max"))

@@ -63,28 +63,43 @@ def _change_in_year(col, keys):
     return F.col(col) - F.lag(col).over(W.partitionBy(*keys, "year").orderBy("month"))
 
 
+def _water(keys):
+    net = (F.col("pre") - F.col("mrro") - F.col("evapotrans")) * nl.seconds_in_month("month")
+    return _change_in_year("mrso", keys) - net
+
+
+def _npp():
+    return F.col("npp") - (F.col("gpp") - F.col("ra"))
+
+
+def _nbp():
+    return F.col("nbp") - (F.col("npp") - F.col("rh") - F.col("fFire") - F.col("fLuc"))
+
+
+def _stock_flux(keys, integrate):
+    flux = F.col("nbp") * nl.seconds_in_month("month") if integrate else F.col("nbp")
+    return _change_in_year("cTotal_monthly", keys) - flux
+
+
 def water_residual(wide: DataFrame, keys) -> DataFrame:
     """Change of soil moisture minus (pre - mrro - evapotrans) over the month, Feb..Dec."""
-    net = (F.col("pre") - F.col("mrro") - F.col("evapotrans")) * nl.seconds_in_month("month")
-    d = wide.withColumn("residual", _change_in_year("mrso", keys) - net)
-    return d.filter(F.col("month") > 1)
+    return wide.withColumn("residual", _water(keys)).filter(F.col("month") > 1)
 
 
 def npp_residual(wide: DataFrame) -> DataFrame:
-    return wide.withColumn("residual", F.col("npp") - (F.col("gpp") - F.col("ra")))
+    """npp - (gpp - ra)."""
+    return wide.withColumn("residual", _npp())
 
 
 def nbp_residual(wide: DataFrame) -> DataFrame:
-    r = F.col("nbp") - (F.col("npp") - F.col("rh") - F.col("fFire") - F.col("fLuc"))
-    return wide.withColumn("residual", r)
+    """nbp - (npp - rh - fFire - fLuc)."""
+    return wide.withColumn("residual", _nbp())
 
 
 def stock_flux_residual(wide: DataFrame, keys, integrate: bool = True) -> DataFrame:
     """Change of monthly total carbon minus nbp over the month, Feb..Dec; without
     ``integrate`` the flux is not multiplied by seconds."""
-    flux = F.col("nbp") * nl.seconds_in_month("month") if integrate else F.col("nbp")
-    d = wide.withColumn("residual", _change_in_year("cTotal_monthly", keys) - flux)
-    return d.filter(F.col("month") > 1)
+    return wide.withColumn("residual", _stock_flux(keys, integrate)).filter(F.col("month") > 1)
 
 
 def partition_residual(monthly: DataFrame, annual: DataFrame, keys) -> DataFrame:
@@ -105,24 +120,31 @@ BALANCES = {
 
 
 def balance_residuals(monthly: DataFrame, keys, annual: DataFrame | None = None) -> DataFrame:
-    """Residuals of every balance whose variables are all columns, long form."""
+    """Residuals of every balance whose variables are all columns, long form.
+
+    The monthly balances are columns of one pass, opened into rows afterwards.
+    """
     have = set(monthly.columns)
     pools = set(annual.columns) if annual is not None else set()
-    parts = []
+    found = {}
     if have.issuperset(BALANCES["water_balance"]):
-        parts.append(("water_balance", water_residual(monthly, keys)))
+        found["water_balance"] = _water(keys)
     if have.issuperset(BALANCES["npp_balance"]):
-        parts.append(("npp_balance", npp_residual(monthly)))
+        found["npp_balance"] = _npp()
     if have.issuperset(BALANCES["nbp_balance"]):
-        parts.append(("nbp_balance", nbp_residual(monthly)))
+        found["nbp_balance"] = _nbp()
     if have.issuperset(BALANCES["nbp_vs_delta_ctotal_monthly"]):
-        parts.append(("nbp_vs_delta_ctotal_monthly", stock_flux_residual(monthly, keys)))
-    if "cTotal_monthly" in have and pools.issuperset(("cVeg", "cLitter", "cSoil")):
-        parts.append(("carbon_partition_december", partition_residual(monthly, annual, keys)))
+        found["nbp_vs_delta_ctotal_monthly"] = _stock_flux(keys, True)
     out = None
-    for name, d in parts:
-        p = d.select(F.lit(name).alias("balance"), "residual")
-        out = p if out is None else out.unionByName(p)
+    if found:
+        wide = monthly.select("month", *[e.alias(n) for n, e in found.items()])
+        out = wide.unpivot(["month"], list(found), "balance", "residual")
+        changes = F.col("balance").isin("water_balance", "nbp_vs_delta_ctotal_monthly")
+        out = out.filter(~changes | (F.col("month") > 1)).drop("month")
+    if "cTotal_monthly" in have and pools.issuperset(("cVeg", "cLitter", "cSoil")):
+        part = partition_residual(monthly, annual, keys).select(
+            F.lit("carbon_partition_december").alias("balance"), "residual")
+        out = part if out is None else out.unionByName(part)
     return out
 
 

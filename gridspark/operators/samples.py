@@ -95,9 +95,9 @@ def assemble_samples(daily: DataFrame, monthly: DataFrame, annual: DataFrame, st
     def lagged(df, states, order):
         if not states:
             return df
-        s = lag_state(df.filter(F.col("variable").isin(*states)), [*keys, "variable"], order, out="__p")
-        s = s.withColumn("value", F.col("__p")).drop("__p")
-        return df.filter(~F.col("variable").isin(*states)).unionByName(s)
+        s = lag_state(df, [*keys, "variable"], order, out="__p")
+        state = F.col("variable").isin(*states)
+        return s.withColumn("value", F.when(state, F.col("__p")).otherwise(F.col("value"))).drop("__p")
 
     m = _columns(lagged(monthly, monthly_states, ["year", "month"]), stats, monthly_vars, [*keys, "year", "month"])
     a = _columns(lagged(annual, annual_states, "year"), stats, annual_vars, [*keys, "year"])

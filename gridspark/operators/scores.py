@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from gridspark.functions.sizing import broadcast_counted, stored
+
 # Markers of a missing score.
 MISSING_SCORES = ("--", "~")
 
@@ -147,17 +149,19 @@ def parse_log(lines: DataFrame, file: str = "file", line_no: str = "line_no", te
         part("preflight", 1).cast("double").alias("f_loss"),
         part("summary", 1).alias("s_ts"), part("summary", 2).cast("double").alias("s_train"),
         part("summary", 3).cast("double").alias("s_val"), part("summary", 4).cast("int").alias("s_cnt"))
+    hit = F.lit(False)
+    for c in ("p_loss", "b_loss", "v_loss", "f_loss", "s_ts"):
+        hit = hit | F.col(c).isNotNull()
+    # Few lines match, and every later step needs only those: the text is read once.
+    d = stored(d.filter(hit | F.col("steps_seen").isNotNull() | F.col("epoch_now").isNotNull()), "log")
     # First steps-per-epoch line and first epoch line per file, from one aggregate.
     heads = d.groupBy(file).agg(
         F.min_by("steps_seen", F.when(F.col("steps_seen").isNotNull(), F.col(line_no))).alias("__steps"),
         F.min(F.when(F.col("steps_seen").isNotNull(), F.col(line_no))).alias("__steps_at"),
         F.min_by("epoch_now", F.when(F.col("epoch_now").isNotNull(), F.col(line_no))).alias("__base"),
         F.max("p_batch").alias("__max_batch"))
-    hit = F.lit(False)
-    for c in ("p_loss", "b_loss", "v_loss", "f_loss", "s_ts"):
-        hit = hit | F.col(c).isNotNull()
     d = carry_forward(d, [file], line_no, ["epoch_now"]).filter(hit)
-    d = d.join(heads, file)
+    d = d.join(broadcast_counted(stored(heads, "heads")), file)
     base = F.coalesce("__base", F.lit(1))
     alone = F.col("b_loss").isNotNull() & (F.col("__steps_at") <= F.col(line_no)) & F.col("epoch_now").isNotNull()
     kind = (F.when(F.col("p_loss").isNotNull(), "batch").when(alone, "batch")

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from gridspark.functions.ranking import ordered_rank
+from gridspark.functions.sizing import stored
 from gridspark.operators import aggregates as ag, samples as sm
 from gridspark.queries.registry import query, rounded
 from gridspark.schema import INPUT_GROUPS, OUTPUT_GROUPS
@@ -102,8 +104,8 @@ SELECT scenario, loc_id, year, month, t, round((pre - m1) / s1, 6) AS pre, round
   round((lai - m4) / s4, 6) AS lai, round((co2 - m5) / s5, 6) AS co2, round((cveg - m6) / s6, 6) AS "cVeg" FROM j, st WHERE year > y0""")
 def assemble_samples(spark, sf):
     daily, monthly, annual = _sample_tables(spark, sf)
-    stats = ag.finish_moments(ag.moments(daily.select("variable", "value").unionByName(monthly.select("variable", "value"))
-                                         .unionByName(annual.select("variable", "value"))))
+    every = daily.select("variable", "value").unionByName(monthly.select("variable", "value")).unionByName(annual.select("variable", "value"))
+    stats = stored(ag.finish_moments(ag.moments(every)), "stats")
     d = sm.assemble_samples(daily, monthly, annual, stats, ["pre", "tmp"], ["drynhx", "lai"], ["co2", "cVeg"],
                             monthly_states=["lai"], annual_states=["cVeg"])
     return rounded(d, "pre", "tmp", "drynhx", "lai", "co2", "cVeg")
@@ -124,7 +126,6 @@ WITH l AS (SELECT l_returnflag AS split, l_suppkey, row_number() OVER (PARTITION
 b AS (SELECT *, (loc_id - 1) // 30 AS block_id, count(*) OVER (PARTITION BY split, (loc_id - 1) // 30) AS n FROM l)
 SELECT split, l_suppkey, loc_id, CAST(block_id AS INT) AS block_id FROM b WHERE n = 30""")
 def location_blocks(spark, sf):
-    from gridspark.functions.ranking import ordered_rank
     loc = ad.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("split"), "l_suppkey").distinct()
     r = ordered_rank(loc, ["split"], "l_suppkey", out="loc_id").drop("loc_id_of")
     return sm.location_blocks(r, block=30, keys=["split"])
