@@ -106,18 +106,34 @@ def _index_in(cuts: str, n: int, value: Column) -> Column:
     return F.coalesce(total, F.lit(0))
 
 
-def ordered_rank(df: DataFrame, keys, order_col: str, tie_cols=(), out: str = "rn") -> DataFrame:
+def _cuts(df: DataFrame, keys, value: str, probs, accuracy: int) -> DataFrame:
+    """Stored per-group table: approximate quantiles, and these between min and max."""
+    sketch = [F.percentile_approx(value, list(probs), accuracy).alias("__cuts"),
+              F.min(value).alias("__min"), F.max(value).alias("__max")]
+    cuts = stored(df.groupBy(*keys).agg(*sketch) if keys else df.agg(*sketch), "cuts")
+    edges = F.concat(F.array("__min"), F.col("__cuts"), F.array("__max"))
+    return cuts.withColumn("__edges", edges).drop("__min", "__max")
+
+
+def _located(df: DataFrame, keys, value: str, cuts: DataFrame, n: int, parts: int) -> DataFrame:
+    """Order-preserving bucket ``__b``: the interval between two cuts, in equal parts."""
+    x = attach(df, cuts, keys).withColumn("__i", _index_in("__cuts", n, F.col(value)))
+    lo, hi = F.get("__edges", F.col("__i")), F.get("__edges", F.col("__i") + 1)
+    share = F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(0.0)
+    part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts)))
+    return x.withColumn("__b", (F.col("__i") * parts + part).cast("long")).drop("__cuts", "__edges", "__i")
+
+
+def ordered_rank(df: DataFrame, keys, order_col: str, tie_cols=(), out: str = "rn", parts: int = 1000) -> DataFrame:
     """1-based rank by a numeric column per group, plus the group size in ``<out>_of``.
 
-    Bucket limits come from approximate quantiles per group, so buckets hold about
-    equally many rows whatever the distribution.
+    Each of 64 approximate quantile intervals is cut into equal parts, so a bucket that
+    is sorted by one task holds about N/64000 rows of a group.
     """
     keys = list(keys)
-    o = F.col(order_col).cast("double")
+    d = df.withColumn("__o", F.col(order_col).cast("double"))
     ps = [i / SPLITS for i in range(1, SPLITS)]
-    sketch = F.percentile_approx(o, ps, 2000).alias("__cuts")
-    cuts = stored(df.groupBy(*keys).agg(sketch) if keys else df.agg(sketch), "cuts")
-    d = attach(df, cuts, keys).withColumn("__b", _index_in("__cuts", len(ps), o)).drop("__cuts")
+    d = _located(d, keys, "__o", _cuts(d, keys, "__o", ps, 2_000), len(ps), parts).drop("__o")
     order = [F.col(order_col), *[F.col(c) for c in tie_cols]]
     return _rank_in_buckets(d, keys, order, "__b", out)
 
@@ -132,31 +148,19 @@ def exact_quantiles(df: DataFrame, keys, col: str, probs, names, parts: int = 10
     a gap and is still found there.
     """
     keys = list(keys)
-    value = F.col(col).cast("double")
-    d = df.filter(F.col(col).isNotNull()).select(*keys, value.alias("__v"))
+    d = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__v"))
     slack = 1e-3
     ps = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-slack, slack)})
-    sketch = [F.percentile_approx("__v", ps, 2_000).alias("__cuts"),
-              F.min("__v").alias("__min"), F.max("__v").alias("__max")]
-    cuts = stored(d.groupBy(*keys).agg(*sketch) if keys else d.agg(*sketch), "cuts")
-    edges = F.concat(F.array("__min"), F.col("__cuts"), F.array("__max"))
-    cuts = cuts.withColumn("__edges", edges).drop("__min", "__max")
-
-    def located(x):
-        x = attach(x, cuts, keys).withColumn("__i", _index_in("__cuts", len(ps), F.col("__v")))
-        lo, hi = F.get("__edges", F.col("__i")), F.get("__edges", F.col("__i") + 1)
-        share = F.when(hi > lo, (F.col("__v") - lo) / (hi - lo)).otherwise(0.0)
-        part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts)))
-        return x.withColumn("__b", (F.col("__i") * parts + part).cast("long")).drop("__cuts", "__edges", "__i")
-
-    sizes = _bucket_offsets(located(d), keys, "__b", "parts")
+    cuts = _cuts(d, keys, "__v", ps, 2_000)
+    located = _located(d, keys, "__v", cuts, len(ps), parts)
+    sizes = _bucket_offsets(located, keys, "__b", "parts")
     ranks = F.flatten(F.array(*[
         F.array(F.floor(p * (F.col("__total") - 1)), F.ceil(p * (F.col("__total") - 1))) for p in probs]))
     hit = F.filter(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))
     wanted = (sizes.withColumn("__hits", F.array_distinct(hit)).filter(F.size("__hits") > 0).drop("__n"))
     wanted = stored(wanted, "wanted")
     # Equal values are counted before they meet, so ties cost one row.
-    few = (attach(located(d), wanted, [*keys, "__b"])
+    few = (attach(located, wanted, [*keys, "__b"])
            .groupBy(*keys, "__b", "__v", "__before", "__total", "__hits").agg(F.count(F.lit(1)).alias("__c")))
     inside = W.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
     end = F.col("__before") + F.sum("__c").over(inside)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from gridspark.functions.ranking import hash_rank, hash_smallest, ordered_rank, smallest_k
+from gridspark.functions.ranking import hash_key, hash_smallest, ordered_rank, smallest_k
+from gridspark.functions.sizing import broadcast_counted, stored
 
 
 def uniform_sample(df: DataFrame, keys, id_cols, k: int, seed: int = 0) -> DataFrame:
@@ -17,15 +18,18 @@ def keyed_sample(df: DataFrame, keys, order, k: int) -> DataFrame:
 
 def sample_per_region(df: DataFrame, region: str, id_cols, n: int, seed: int = 0) -> DataFrame:
     """n rows per region: without replacement where the region is large enough, otherwise
-    n independent draws with replacement."""
-    ranked = hash_rank(df, [region], id_cols, seed=seed, out="rn")
-    large = ranked.filter((F.col("rn_of") >= n) & (F.col("rn") <= n)).withColumn("draw", F.col("rn"))
-    # A region smaller than n: at most n rows, so n draws per region is the whole work.
-    small = ranked.filter(F.col("rn_of") < n)
-    draws = (small.groupBy(region).agg(F.max("rn_of").alias("__n"))
-             .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-             .withColumn("rn", F.pmod(F.xxhash64(region, "draw", F.lit(seed)), F.col("__n")) + 1).drop("__n"))
-    again = small.join(draws, [region, "rn"])
+    n independent draws with replacement. Only the n chosen rows of a region are ranked."""
+    chosen = hash_smallest(df, [region], id_cols, lambda total: F.lit(n), seed)
+    every = W.partitionBy(region)
+    ranked = (chosen.withColumn("__h", hash_key(*id_cols, seed=seed))
+              .withColumns({"draw": F.row_number().over(every.orderBy("__h", *id_cols)),
+                            "__n": F.count(F.lit(1)).over(every)}).drop("__h"))
+    large = ranked.filter(F.col("__n") == n)
+    small = ranked.filter(F.col("__n") < n)
+    draws = (small.groupBy(region).agg(F.max("__n").alias("__m"))
+             .withColumn("__d", F.explode(F.sequence(F.lit(1), F.lit(n))))
+             .withColumn("draw", (F.pmod(F.xxhash64(region, "__d", F.lit(seed)), F.col("__m")) + 1).cast("int")))
+    again = small.join(draws, [region, "draw"]).withColumn("draw", F.col("__d"))
     cols = [*df.columns, "draw"]
     return large.select(*cols).unionByName(again.select(*cols))
 
@@ -51,9 +55,10 @@ def best_row(df: DataFrame, keys, value: str, columns) -> DataFrame:
 
 
 def first_step(df: DataFrame, keys, t: str = "t") -> DataFrame:
-    """Rows of the first time step per key, found by an aggregate."""
-    lo = df.groupBy(*keys).agg(F.min(t).alias(t))
-    return df.join(lo, [*keys, t], "left_semi")
+    """Rows of the first time step per key; the table of first steps is stored and
+    measured, so the field is filtered where it lies."""
+    lo = stored(df.groupBy(*keys).agg(F.min(t).alias(t)), "first")
+    return df.join(broadcast_counted(lo), [*keys, t], "left_semi")
 
 
 def round_robin(df: DataFrame, order: str, k: int, out: str = "shard") -> DataFrame:

@@ -105,7 +105,8 @@ def mean_trend(df: DataFrame, keys, cell=("lat_idx", "lon_idx"), value: str = "v
 
 def deseasonalised_trend(df: DataFrame, keys, t: str = "t", value: str = "value") -> DataFrame:
     """Slope per year on fractional years after taking out the monthly climatology."""
-    a = anomaly(df, keys, value).withColumn("__x", nl.fractional_year(t))
+    together = df.repartition(*keys)  # serves the monthly window and the fit
+    a = anomaly(together, keys, value).withColumn("__x", nl.fractional_year(t))
     return a.groupBy(*keys).agg(F.regr_slope("anomaly", "__x").alias("slope_per_year"))
 
 

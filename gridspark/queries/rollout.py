@@ -104,7 +104,7 @@ _NUDGE_SQL = {
 
 @query("r07_nudge_states", f"""
 WITH {ad.field_vars_sql("source", "scenario", "cell", "year")}, st AS (SELECT variable, avg(value) AS mean, stddev_pop(value) AS std FROM field GROUP BY ALL)
-""" + " UNION ALL ".join(f"SELECT '{m}' AS mode, variable, source, scenario, lat_idx, lon_idx, year, round(CASE WHEN variable IN ('gpp', 'ra') THEN {_NUDGE_SQL[m]} ELSE value END, 5) AS value FROM field JOIN st USING (variable)" for m in _NUDGES))
+""" + " UNION ALL ".join(f"SELECT '{m}' AS mode, variable, source, scenario, lat_idx, lon_idx, year, round(CASE WHEN variable IN ('gpp', 'ra') THEN {_NUDGE_SQL[m]} ELSE value END, 4) AS value FROM field JOIN st USING (variable)" for m in _NUDGES))
 def nudge_states(spark, sf):
     f = ad.field_vars(spark, sf, "source", "scenario", "cell", "year")
     st = ag.finish_moments(ag.moments(f))
@@ -112,7 +112,7 @@ def nudge_states(spark, sf):
     for m in _NUDGES:
         d = ro.nudge_states(f, st, ["gpp", "ra"], 0.3, m).withColumn("mode", F.lit(m))
         out = d if out is None else out.unionByName(d)
-    return rounded(out, "value", n=5)
+    return rounded(out, "value", n=4)
 
 
 SPEC = "monthly:pre=-20%, annual:lai=0.5,spfh=-20%,weekly:tmp=2,monthly:tmp=x, monthly:tmp=-3,monthly:pre=-50%"

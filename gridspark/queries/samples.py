@@ -100,25 +100,25 @@ WITH {_SAMPLES},
 m AS (SELECT scenario, loc_id, year, month, drynhx, lag(lai, 1, 0.0) OVER (PARTITION BY scenario, loc_id ORDER BY year, month) AS lai FROM m0),
 a AS (SELECT scenario, loc_id, year, co2, lag(cveg, 1, 0.0) OVER (PARTITION BY scenario, loc_id ORDER BY year) AS cveg FROM a0),
 j AS (SELECT d.*, m.drynhx, m.lai, a.co2, a.cveg, min(d.year) OVER (PARTITION BY scenario, loc_id) AS y0 FROM d JOIN m USING (scenario, loc_id, year, month) JOIN a USING (scenario, loc_id, year))
-SELECT scenario, loc_id, year, month, t, round((pre - m1) / s1, 6) AS pre, round((tmp - m2) / s2, 6) AS tmp, round((drynhx - m3) / s3, 6) AS drynhx,
-  round((lai - m4) / s4, 6) AS lai, round((co2 - m5) / s5, 6) AS co2, round((cveg - m6) / s6, 6) AS "cVeg" FROM j, st WHERE year > y0""")
+SELECT scenario, loc_id, year, month, t, round((pre - m1) / s1, 5) AS pre, round((tmp - m2) / s2, 5) AS tmp, round((drynhx - m3) / s3, 5) AS drynhx,
+  round((lai - m4) / s4, 5) AS lai, round((co2 - m5) / s5, 5) AS co2, round((cveg - m6) / s6, 5) AS "cVeg" FROM j, st WHERE year > y0""")
 def assemble_samples(spark, sf):
     daily, monthly, annual = _sample_tables(spark, sf)
     every = daily.select("variable", "value").unionByName(monthly.select("variable", "value")).unionByName(annual.select("variable", "value"))
     stats = stored(ag.finish_moments(ag.moments(every)), "stats")
     d = sm.assemble_samples(daily, monthly, annual, stats, ["pre", "tmp"], ["drynhx", "lai"], ["co2", "cVeg"],
                             monthly_states=["lai"], annual_states=["cVeg"])
-    return rounded(d, "pre", "tmp", "drynhx", "lai", "co2", "cVeg")
+    return rounded(d, "pre", "tmp", "drynhx", "lai", "co2", "cVeg", n=5)
 
 
 @query("n05_sample_labels", f"""
 WITH {_SAMPLES}, j AS (SELECT *, min(year) OVER (PARTITION BY scenario, loc_id) AS y0 FROM m0)
-SELECT scenario, loc_id, year, month, round((lai - m4) / s4, 6) AS lai FROM j, st WHERE year > y0""")
+SELECT scenario, loc_id, year, month, round((lai - m4) / s4, 5) AS lai FROM j, st WHERE year > y0""")
 def sample_labels(spark, sf):
     _, monthly, annual = _sample_tables(spark, sf)
     stats = ag.finish_moments(ag.moments(monthly.select("variable", "value").unionByName(annual.select("variable", "value"))))
     m, _ = sm.assemble_labels(monthly, annual, stats, ["lai"], ["cVeg"])
-    return rounded(m, "lai")
+    return rounded(m, "lai", n=5)
 
 
 @query("n06_location_blocks", """

@@ -32,7 +32,7 @@ _LOCAL_SCRATCH: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one is
     made only where none is named, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
     app = spark.sparkContext.applicationId

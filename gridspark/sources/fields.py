@@ -22,11 +22,12 @@ def read_field(spark: SparkSession, root: str, variables=None, scenarios=None, y
 
 
 def _layout(df: DataFrame, grid: GridSpec, parts) -> DataFrame:
-    """Spread a variable's rows over its tiles, so no writer task holds a whole variable,
-    and order them so that year and cell statistics prune."""
+    """Rows grouped by variable, scenario and tile, with oversized groups split and tiny
+    ones joined at run time, and ordered so that year and cell statistics prune."""
     d = df.withColumn("tile_id", grid.tile_id("lat_idx", "lon_idx"))
     order = [c for c in ("year", "lat_idx", "lon_idx", "t") if c in d.columns]
-    return d.repartition(*parts, "tile_id").sortWithinPartitions(*parts, *order)
+    by = [F.col(c) for c in (*parts, "tile_id")]
+    return d.hint("rebalance", *by).sortWithinPartitions(*parts, *order)
 
 
 def write_field(df: DataFrame, path: str, mode: str = "errorifexists", float32: bool = False,

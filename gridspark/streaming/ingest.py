@@ -21,7 +21,8 @@ def ingest_pieces(spark: SparkSession, stream: DataFrame, path: str, checkpoint:
         d = d.withColumn("batch_id", F.lit(batch_id))
 
         def put(df, where, parts):
-            (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            # One file per partition where it is small, several where it is hot.
+            (df.hint("rebalance", *[F.col(c) for c in parts]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy(*parts).parquet(f"{path}/{where}"))
 
         put(d, "field", ["batch_id", "variable", "year"])
