@@ -40,12 +40,13 @@ def overwrite_shared(prior: DataFrame, src: DataFrame, on, value: str = "value")
 
 
 def common_time_range(df: DataFrame, source: str = "source", t: str = "t", keys=()) -> DataFrame:
-    """Latest start and earliest end over sources; no overlap fails the job."""
+    """Latest start and earliest end over sources; it must hold more than one step, or the
+    job fails."""
     r = df.groupBy(*keys, source).agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"))
     aggs = [F.max("__lo").alias("t_from"), F.min("__hi").alias("t_to")]
     d = r.groupBy(*keys).agg(*aggs) if keys else r.agg(*aggs)
     bad = F.raise_error(F.lit("sources share no time range")).cast("int")
-    return d.withColumn("t_to", F.when(F.col("t_from") <= F.col("t_to"), F.col("t_to")).otherwise(bad))
+    return d.withColumn("t_to", F.when(F.col("t_from") < F.col("t_to"), F.col("t_to")).otherwise(bad))
 
 
 def crop_to_common(df: DataFrame, source: str = "source", t: str = "t") -> DataFrame:

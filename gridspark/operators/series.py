@@ -103,11 +103,29 @@ def mean_trend(df: DataFrame, keys, cell=("lat_idx", "lon_idx"), value: str = "v
     return t.groupBy(*keys).agg(F.avg("slope").alias("slope"), F.avg("intercept").alias("intercept"))
 
 
-def deseasonalised_trend(df: DataFrame, keys, t: str = "t", value: str = "value") -> DataFrame:
+def _yearly_slope(x: str, value: str, gaps: str):
+    """Slope over present pairs, or, with gaps='all_steps', with the spread of x taken over
+    all steps, missing values included."""
+    if gaps == "pairs":
+        return F.regr_slope(value, x)
+    if gaps != "all_steps":
+        raise ValueError(f"unknown treatment of gaps {gaps!r}")
+    spread = F.var_pop(x) * F.count(x)
+    return F.when(spread > 0, F.regr_count(value, x) * F.covar_pop(value, x) / spread)
+
+
+def deseasonalised_trend(df: DataFrame, keys, t: str = "t", value: str = "value", gaps: str = "pairs") -> DataFrame:
     """Slope per year on fractional years after taking out the monthly climatology."""
     together = df.repartition(*keys)  # serves the monthly window and the fit
     a = anomaly(together, keys, value).withColumn("__x", nl.fractional_year(t))
-    return a.groupBy(*keys).agg(F.regr_slope("anomaly", "__x").alias("slope_per_year"))
+    return a.groupBy(*keys).agg(_yearly_slope("__x", "anomaly", gaps).alias("slope_per_year"))
+
+
+def annual_mean_trend(df: DataFrame, keys, value: str = "value", gaps: str = "pairs") -> DataFrame:
+    """Slope per year of the annual means against the year itself."""
+    annual = df.groupBy(*keys, "year").agg(F.avg(value).alias(value))
+    annual = annual.withColumn("year", F.col("year").cast("double"))
+    return annual.groupBy(*keys).agg(_yearly_slope("year", value, gaps).alias("slope_per_year"))
 
 
 def detrend(df: DataFrame, keys, x: str = "t", value: str = "value", out: str = "detrended") -> DataFrame:

@@ -76,10 +76,11 @@ def trim(df: DataFrame, keys, start: int, end: int | None, order: str = "t") ->
 
 
 def infer_cadence(df: DataFrame, keys, t: str = "t") -> DataFrame:
-    """annual, daily or monthly from the median step; monthly below three points."""
+    """annual, daily or monthly from the whole part of the median step; monthly below
+    three points."""
     step = F.col(t) - F.lag(t).over(W.partitionBy(*keys).orderBy(t))
     d = df.withColumn("__step", step).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_steps"), F.median("__step").alias("median_step"))
+        F.count(F.lit(1)).alias("n_steps"), F.median("__step").cast("int").alias("median_step"))
     m = F.col("median_step")
     cadence = (F.when(F.col("n_steps") < 3, "monthly").when(m.between(360, 370), "annual")
                .when(m == 1, "daily").otherwise("monthly"))

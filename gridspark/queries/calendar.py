@@ -125,7 +125,7 @@ m AS (SELECT 'month_' || source AS series, t FROM field GROUP BY ALL),
 d AS (SELECT 'day_' || event_type AS series, CAST((year(ts) - 1901) * 365 + {ad.CUM_SQL}[month(ts)] + day(ts) - 1 AS INT) AS t FROM events GROUP BY ALL),
 a AS (SELECT * FROM y UNION ALL SELECT * FROM m UNION ALL SELECT * FROM d),
 s AS (SELECT series, t - lag(t) OVER (PARTITION BY series ORDER BY t) AS step FROM a),
-g AS (SELECT series, count(*) AS n_steps, median(CAST(step AS DOUBLE)) AS median_step FROM s GROUP BY series)
+g AS (SELECT series, count(*) AS n_steps, CAST(trunc(median(CAST(step AS DOUBLE))) AS INT) AS median_step FROM s GROUP BY series)
 SELECT series, n_steps, median_step, CASE WHEN n_steps < 3 THEN 'monthly' WHEN median_step BETWEEN 360 AND 370 THEN 'annual'
   WHEN median_step = 1 THEN 'daily' ELSE 'monthly' END AS cadence FROM g""")
 def infer_cadence(spark, sf):

@@ -136,6 +136,18 @@ def deseasonalised_trend(spark, sf):
     return rounded(se.deseasonalised_trend(ad.field_month(spark, sf), K), "slope_per_year", n=5)
 
 
+@query("w11_annual_mean_trend", f"""
+WITH {ad.field_gaps_sql()}, a AS (SELECT {KS}, year, avg(CASE WHEN year = 1998 AND lat_idx % 9 = 0 THEN NULL ELSE value END) AS value FROM field GROUP BY ALL)
+SELECT {KS}, round(regr_slope(value, year), 6) AS slope_per_year,
+  round(count(value) * covar_pop(value, CAST(year AS DOUBLE)) / (count(*) * var_pop(year)), 6) AS slope_all_steps FROM a GROUP BY ALL""")
+def annual_mean_trend(spark, sf):
+    gone = (F.col("year") == 1998) & (F.pmod("lat_idx", F.lit(9)) == 0)
+    f = ad.field_gaps(spark, sf).withColumn("value", F.when(~gone, F.col("value")))
+    a = se.annual_mean_trend(f, K)
+    b = se.annual_mean_trend(f, K, gaps="all_steps").withColumnRenamed("slope_per_year", "slope_all_steps")
+    return rounded(a.join(b, K), "slope_per_year", "slope_all_steps")
+
+
 _DETREND = f"""
 d AS (SELECT *, value - (regr_slope(value, t) OVER w * t + regr_intercept(value, t) OVER w) AS detrended FROM field WINDOW w AS (PARTITION BY {KS}))"""
 

@@ -146,19 +146,20 @@ _EXPORT_NAMES = "CASE variable WHEN 'gpp' THEN 'lai_modis' WHEN 'ra' THEN 'lai_a
 
 
 @query("s13_export_sets", f"""
-WITH {ad.field_vars_sql("source", "cell", "year")}, e AS (SELECT {_EXPORT_NAMES} AS v0, source, lat_idx, lon_idx, CAST(1901 + (year - 1995) * 20 AS INT) AS year, value FROM field),
-k AS (SELECT CASE v0 WHEN 'lai_avh15c1' THEN 'lai' WHEN 'cTotal_monthly' THEN 'cTotal' ELSE v0 END AS variable, year, value FROM e WHERE v0 <> 'lai_modis')
-SELECT variable, period, count(*) AS n, round(avg(value), 6) AS value FROM (
-  SELECT variable, 'full' AS period, value FROM k UNION ALL SELECT variable, 'early', value FROM k WHERE year BETWEEN 1901 AND 1918
-  UNION ALL SELECT variable, 'late', value FROM k WHERE year BETWEEN 2018 AND 2023) GROUP BY ALL""")
+WITH {ad.field_vars_sql("source", "cell", "year", "month")}, e AS (SELECT {_EXPORT_NAMES} AS v0, source, lat_idx, lon_idx, CAST(1901 + (year - 1995) * 20 AS INT) AS year, month, value FROM field),
+r AS (SELECT CASE v0 WHEN 'lai_avh15c1' THEN 'lai' WHEN 'cTotal_monthly' THEN 'cTotal' ELSE v0 END AS variable, * FROM e WHERE v0 <> 'lai_modis'),
+k AS (SELECT variable, year, month, CASE WHEN variable = 'cTotal' THEN avg(value) OVER (PARTITION BY variable, source, lat_idx, lon_idx, year) ELSE value END AS value FROM r)
+SELECT variable, period, month, count(*) AS n, round(avg(value), 6) AS value FROM (
+  SELECT variable, 'full' AS period, month, value FROM k UNION ALL SELECT variable, 'early', month, value FROM k WHERE year BETWEEN 1901 AND 1918
+  UNION ALL SELECT variable, 'late', month, value FROM k WHERE year BETWEEN 2018 AND 2023) GROUP BY ALL""")
 def export_sets(spark, sf):
-    f = cl.rename_variables(ad.field_vars(spark, sf, "source", "cell", "year"),
+    f = cl.rename_variables(ad.field_vars(spark, sf, "source", "cell", "year", "month"),
                             {"gpp": "lai_modis", "ra": "lai_avh15c1", "rh": "cTotal_monthly"})
     f = f.withColumn("year", (1901 + (F.col("year") - 1995) * 20).cast("int"))
     path = scratch_path(spark, "s13")
     fd.write_export(f, path)
     d = spark.read.parquet(path)
-    return rounded(d.groupBy("variable", "period").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value")), "value")
+    return rounded(d.groupBy("variable", "period", "month").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value")), "value")
 
 
 @query("s14_report_csv", f"""

@@ -63,6 +63,9 @@ NON_NEGATIVE_OFFSETS = ("pre", "mrro", "evapotrans", "mrso", "lai", "cVeg", "cSo
 EXPORT_ALIASES = {"lai": "lai", "lai_avh15c1": "lai", "lai_modis": "lai",
                   "cTotal_monthly": "cTotal"}
 
+# Export names written as a flat annual mean in monthly sets.
+ANNUAL_EXPORTS = ("cVeg", "cSoil", "cLitter", "cTotal")
+
 # Units and names of output variables.
 _CARBON_FLUX, _CARBON_STOCK = "kg m-2 s-1", "kg m-2"
 OUTPUT_ATTRIBUTES = {

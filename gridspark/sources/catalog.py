@@ -19,9 +19,9 @@ def resolve_catalog(catalog: DataFrame, keys, aliases: dict[str, tuple[str, int]
                     strict: bool = True, path: str = "path") -> DataFrame:
     """One path per (model, scenario, variable).
 
-    ``aliases`` maps a stored variable to (name, rank); the lowest rank present wins.
-    ``strict`` fails the job when the winner occurs more than once; otherwise the count
-    is reported in ``n_paths``.
+    ``aliases`` maps a stored variable to (name, rank). ``strict`` fails the job when a key
+    has more than one candidate, aliases included; otherwise the lowest rank wins and
+    ``n_paths`` says how many paths share it.
     """
     d = catalog
     if aliases:
@@ -33,12 +33,12 @@ def resolve_catalog(catalog: DataFrame, keys, aliases: dict[str, tuple[str, int]
     else:
         d = d.withColumn("__rank", F.lit(0))
     per = d.groupBy(*keys, "__rank").agg(F.min(path).alias(path), F.count(F.lit(1)).alias("n_paths"))
-    out = (per.groupBy(*keys).agg(F.min_by(F.struct(path, "n_paths"), "__rank").alias("__r"))
-           .select(*keys, "__r.*"))
+    out = per.groupBy(*keys).agg(F.min_by(F.struct(path, "n_paths"), "__rank").alias("__r"),
+                                 F.sum("n_paths").alias("__all")).select(*keys, "__r.*", "__all")
     if not strict:
-        return out
+        return out.drop("__all")
     bad = F.raise_error(F.concat_ws(" ", F.lit("several inputs for"), *keys))
-    return out.withColumn(path, F.when(F.col("n_paths") == 1, F.col(path)).otherwise(bad)).drop("n_paths")
+    return out.withColumn(path, F.when(F.col("__all") == 1, F.col(path)).otherwise(bad)).drop("n_paths", "__all")
 
 
 def year_from_name(name) -> "F.Column":
@@ -51,14 +51,20 @@ def scenario_from_name(name) -> "F.Column":
     return F.coalesce(F.nullif(F.regexp_extract(name, r"S[0-3]", 0), F.lit("")), F.lit("misc"))
 
 
-def prune_by_year(files: DataFrame, y0: int, y1: int, path: str = "path") -> DataFrame:
-    """Files whose year or year range (2001 or 2001-2010, before the suffix) overlaps
-    [y0, y1], by start year."""
-    pattern = r"(\d{4})(?:[-_](\d{4}))?(?:\.\w+)?$"
-    start = F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).cast("int")
-    end = F.nullif(F.regexp_extract(path, pattern, 2), F.lit("")).cast("int")
-    d = files.withColumns({"start_year": start, "end_year": F.coalesce(end, start)})
-    return d.filter((F.col("end_year") >= y0) & (F.col("start_year") <= y1)).orderBy("start_year", path)
+# Fixed value: a year of a file name, at its start or after an underscore or a dash.
+NAME_YEARS = r"(?:^|[_-])((?:19|20)\d{2})(?!\d)"
+
+
+def prune_by_year(files: DataFrame, y0: int, y1: int, path: str = "path", keep_undated: bool = False) -> DataFrame:
+    """Files whose year or span of years (2001 or 2001-2010) overlaps [y0, y1], by start.
+
+    A file without a year is left out unless ``keep_undated``.
+    """
+    name = F.element_at(F.split(path, "/"), -1)
+    years = F.transform(F.regexp_extract_all(name, F.lit(NAME_YEARS), F.lit(1)), lambda y: y.cast("int"))
+    d = files.withColumns({"start_year": F.array_min(years), "end_year": F.array_max(years)})
+    keep = (F.col("end_year") >= y0) & (F.col("start_year") <= y1)
+    return d.filter(F.coalesce(keep, F.lit(keep_undated))).orderBy("start_year", "end_year", path)
 
 
 def route_sources(df: DataFrame) -> DataFrame:

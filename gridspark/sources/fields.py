@@ -1,9 +1,9 @@
 """Reading and writing gridded fields as partitioned Parquet."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from gridspark.functions.geo import GridSpec, HALF_DEGREE
-from gridspark.schema import EXPORT_ALIASES, SERIES, TEST_WINDOWS
+from gridspark.schema import ANNUAL_EXPORTS, CELL, EXPORT_ALIASES, TEST_WINDOWS
 
 PARTITIONS = ["variable", "scenario"]
 
@@ -65,9 +65,14 @@ def with_aliases(df: DataFrame, aliases=EXPORT_ALIASES) -> DataFrame:
     return d.drop("__keep").withColumn("variable", F.col("target")).drop("target")
 
 
-def export_sets(df: DataFrame, windows=TEST_WINDOWS) -> DataFrame:
-    """Full, early and late sets of every export name, tagged ``period``."""
+def export_sets(df: DataFrame, windows=TEST_WINDOWS, annual_vars=ANNUAL_EXPORTS, keys=("source", "scenario", *CELL)) -> DataFrame:
+    """Full, early and late sets of every export name, tagged ``period``. In a monthly
+    field the variables of ``annual_vars`` take their year's mean in every month."""
     d = with_aliases(df)
+    if annual_vars and "month" in d.columns:
+        w = W.partitionBy("variable", *[k for k in keys if k in d.columns], "year")
+        flat = F.avg("value").over(w)
+        d = d.withColumn("value", F.when(F.col("variable").isin(*annual_vars), flat).otherwise(F.col("value")))
     (e0, e1), (l0, l1) = windows
     periods = F.array_compact(F.array(
         F.lit("full"), F.when(F.col("year").between(e0, e1), "early"),

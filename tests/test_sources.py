@@ -53,12 +53,16 @@ def test_catalog(spark):
                               "model string, scenario string, variable string, path string")
     keys = ["model", "scenario", "variable"]
     aliases = {"cTotal": ("cTotal", 0), "cTotal_monthly": ("cTotal", 1)}
-    got = ct.resolve_catalog(c.filter("scenario = 'S0'"), keys, aliases)
-    assert [r.path for r in got.collect()] == ["p0"]
+    s0 = c.filter("scenario = 'S0'")
+    assert [r.path for r in ct.resolve_catalog(s0, keys, aliases, strict=False).collect()] == ["p0"]
+    assert ct.resolve_catalog(s0, keys).count() == 2
+    with pytest.raises(Exception, match="several inputs for m S0 cTotal"):
+        ct.resolve_catalog(s0, keys, aliases).collect()
     with pytest.raises(Exception, match="several inputs for m S1 cTotal"):
-        ct.resolve_catalog(c, keys, aliases).collect()
+        ct.resolve_catalog(c.filter("scenario = 'S1'"), keys).collect()
     files = spark.createDataFrame([("x_2001.nc",), ("x_1990-1999.nc",), ("x_2005-2010.nc",), ("mask.nc",)], "path string")
     assert [r.path for r in ct.prune_by_year(files, 1999, 2001).collect()] == ["x_1990-1999.nc", "x_2001.nc"]
+    assert ct.prune_by_year(files, 1999, 2001, keep_undated=True).count() == 3
 
 
 def test_year_blocks(spark):
