@@ -8,7 +8,7 @@ measured, then broadcast, so the rows themselves are not shuffled to meet them.
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gridspark.functions.sizing import broadcast_counted, stored
+from gridspark.functions.sizing import broadcast_counted, one_row, stored
 
 SPLITS = 64
 
@@ -26,8 +26,9 @@ def hash_bucket(h, bits: int = 10) -> Column:
 
 def attach(df: DataFrame, summary: DataFrame, keys) -> DataFrame:
     """Join a stored summary on its keys, a NULL key being a group of its own."""
-    if not keys:
-        return df.crossJoin(F.broadcast(summary))  # the summary of no keys is one row
+    if not keys:  # then the summary is one row
+        d = df.withColumn("__row", one_row(summary))
+        return d.withColumns({c: F.col(f"__row.{c}") for c in summary.columns}).drop("__row")
     l, r = df.alias("l"), broadcast_counted(summary).alias("r")
     on = F.lit(True)
     for k in keys:
@@ -86,8 +87,9 @@ def hash_smallest(df: DataFrame, keys, id_cols, how_many, seed: int = 0, bits: i
             on = on & F.col(f"e.{k}").eqNullSafe(F.col(f"s.{k}"))
         bounds = s.join(e, on, "left").select(*[F.col(f"s.{k}") for k in keys], "__top", "__edge", "__need")
     else:
-        bounds = every.crossJoin(F.broadcast(edge)) if edge.limit(1).count() else every.withColumns(
-            {"__edge": F.lit(None).cast("bigint"), "__need": F.lit(None).cast("bigint")})
+        at_edge = (F.col("__before") < want) & (F.col("__before") + F.col("__n") >= want)
+        bounds = sizes.agg(F.max("__b").alias("__top"), F.max(F.when(at_edge, F.col("__b"))).alias("__edge"),
+                           F.max(F.when(at_edge, want - F.col("__before"))).alias("__need"))
     bounds = stored(bounds, "bounds")
     d = attach(d, bounds, keys)
     drop = ("__h", "__b", "__top", "__edge", "__need")

@@ -33,6 +33,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_row(df: DataFrame):
+    """The single row of a summary as a struct column (a scalar subquery), so that meeting
+    it needs no join."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def per_cell(df: DataFrame, grid) -> DataFrame:
     """One row per cell of ``grid``, so the result has at most ``grid.n_cells`` rows."""
     inside = F.col("lat_idx").between(0, grid.nlat - 1) & F.col("lon_idx").between(0, grid.nlon - 1)

@@ -10,7 +10,7 @@ from gridspark.functions import noleap as nl
 from gridspark.functions.geo import GridSpec, HALF_DEGREE, lat_band
 from gridspark.functions.nulls import strict_avg, sum0, weighted_avg
 from gridspark.functions.ranking import exact_quantiles
-from gridspark.functions.sizing import broadcast_bounded
+from gridspark.functions.sizing import broadcast_bounded, one_row
 
 # Seconds of a mean month, and kilograms per Gt, used for budgets.
 SECONDS_PER_MEAN_MONTH = 365.0 / 12.0 * 86400.0
@@ -200,7 +200,7 @@ def binned_means(df: DataFrame, x: str, ys, bins: int = 20) -> DataFrame:
     """
     df = df.dropna(subset=[x, *ys])
     top = df.agg(F.max(x).alias("__max"))
-    d = df.crossJoin(F.broadcast(top))  # one row
+    d = df.withColumn("__max", one_row(top)["__max"])
     d = d.withColumn("bin", F.floor(F.try_divide(F.col(x) * bins, F.col("__max"))).cast("int"))
     aggs = []
     for y in ys:
@@ -246,14 +246,11 @@ def robust_limits(df: DataFrame, keys, value: str = "value", low: float = 0.01,
     """Percentile range, starting at 0 when no value is negative; a flat range gives the
     data range. Quantiles are exact and groups may be of any size."""
     d = df.filter(F.col(value).isNotNull())
-    q = exact_quantiles(d, keys, value, [low, high], ["__lo", "__hi"])
-    m = d.groupBy(*keys).agg(F.min(value).alias("__min"), F.max(value).alias("__max")) if keys \
-        else d.agg(F.min(value).alias("__min"), F.max(value).alias("__max"))
-    j = q.join(m, list(keys)) if keys else q.crossJoin(F.broadcast(m))  # one row each
+    q = exact_quantiles(d, keys, value, [low, high, 0.0, 1.0], ["__lo", "__hi", "__min", "__max"])
     flat = F.col("__lo") == F.col("__hi")
     vmin = F.when(flat, F.col("__min")).when(F.col("__min") >= 0, 0.0).otherwise(F.col("__lo"))
     vmax = F.when(flat, F.col("__max")).otherwise(F.col("__hi"))
-    return j.select(*keys, vmin.alias("vmin"), vmax.alias("vmax"))
+    return q.select(*keys, vmin.alias("vmin"), vmax.alias("vmax"))
 
 
 def symmetric_limits(df: DataFrame, keys, value: str = "value", pct: float = 0.99,

@@ -1,11 +1,10 @@
 """Projection, renaming, value cleaning and row selection."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gridspark.functions.nulls import SENTINELS, clean_value, finite
-from gridspark.functions.sizing import broadcast_bounded, broadcast_counted
-from gridspark.schema import (INPUT_GROUPS, NITROGEN_FERTILISER, NON_NEGATIVE_OUTPUTS,
-                              variables_table)
+from gridspark.functions.sizing import one_row
+from gridspark.schema import NITROGEN_FERTILISER, NON_NEGATIVE_OUTPUTS, variables_table
 
 
 def rename_variables(df: DataFrame, names: dict[str, str], columns: dict[str, str] | None = None) -> DataFrame:
@@ -99,4 +98,5 @@ def absent_variables(df: DataFrame, names, name: str = "variable") -> DataFrame:
     present = df.select(F.col(name).alias("variable")).distinct()
     have = present.agg(F.array_sort(F.collect_set("variable")).alias("available"))
     wanted = spark.createDataFrame([(n,) for n in names], "variable string")
-    return wanted.join(present, "variable", "left_anti").crossJoin(F.broadcast(have))
+    absent = wanted.join(present, "variable", "left_anti")
+    return absent.withColumn("available", one_row(have)["available"])

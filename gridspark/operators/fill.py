@@ -82,8 +82,9 @@ def template_overwrite(df: DataFrame, template: DataFrame, keys, doy: str = "doy
     return d.withColumn(value, F.when(F.col("__bad"), F.col("__t")).otherwise(F.col(value))).drop("__bad", "__t")
 
 
-def nearest_template(df: DataFrame, cells: DataFrame, template: DataFrame, cell: str = "loc_id",
-                     doy: str = "doy", src: GridSpec = HALF_DEGREE) -> DataFrame:
-    """Template series of each location from the nearest cell of another grid."""
-    loc = cells.select(cell, src.lat_index("lat").alias("lat_idx"), src.lon_index("lon").alias("lon_idx"))
-    return loc.join(template, list(CELL))
+def nearest_template(locations: DataFrame, template: DataFrame, lat: str = "lat", lon: str = "lon",
+                     grid: GridSpec = HALF_DEGREE) -> DataFrame:
+    """Day-of-year template of each location, taken from the nearest cell of the template's
+    grid."""
+    where = locations.withColumns({"lat_idx": grid.lat_index(lat), "lon_idx": grid.lon_index(lon)})
+    return where.join(template, list(CELL))

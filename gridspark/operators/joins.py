@@ -2,8 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridspark.functions import noleap as nl
-from gridspark.functions.sizing import broadcast_bounded, broadcast_counted
+from gridspark.functions.sizing import broadcast_bounded, one_row, per_cell
 
 
 def align_inner(a: DataFrame, b: DataFrame, on) -> DataFrame:
@@ -50,9 +49,9 @@ def common_time_range(df: DataFrame, source: str = "source", t: str = "t", keys=
 
 
 def crop_to_common(df: DataFrame, source: str = "source", t: str = "t") -> DataFrame:
-    """Rows inside the time range common to all sources (a one-row range)."""
-    r = F.broadcast(common_time_range(df, source, t))
-    return df.join(r, F.col(t).between(F.col("t_from"), F.col("t_to"))).drop("t_from", "t_to")
+    """Rows inside the time range common to all sources."""
+    r = one_row(common_time_range(df, source, t))
+    return df.filter(F.col(t).between(r["t_from"], r["t_to"]))
 
 
 def complete_groups(df: DataFrame, keys, members, member: str = "variable") -> DataFrame:
@@ -90,7 +89,6 @@ def skip_tiles(df: DataFrame, done: DataFrame, grid, tile: str = "tile_id") -> D
 
 def nearest_mask(df: DataFrame, mask: DataFrame, lat: str, lon: str, grid, code: str = "mask") -> DataFrame:
     """Mask code of the nearest grid cell for rows with free coordinates."""
-    from gridspark.functions.sizing import per_cell
     m = broadcast_bounded(per_cell(mask.select("lat_idx", "lon_idx", code), grid), grid.n_cells)
     d = df.withColumns({"lat_idx": grid.lat_index(lat), "lon_idx": grid.lon_index(lon)})
     return d.join(m, ["lat_idx", "lon_idx"], "left")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridspark.functions.geo import GridSpec, HALF_DEGREE
 from gridspark.functions.ranking import hash_rank
-from gridspark.functions.sizing import broadcast_bounded, broadcast_counted, per_cell
+from gridspark.functions.sizing import broadcast_bounded, per_cell
 from gridspark.schema import CELL, split_rules_table
 
 

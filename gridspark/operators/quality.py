@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridspark.functions.nulls import finite
+from gridspark.functions.sizing import one_row
 from gridspark.schema import CELL
 
 # Allowed axis lengths, time units and calendars.
@@ -28,7 +29,10 @@ def missing_report(df: DataFrame, keys=(), cell=CELL, t: str = "t", land: str |
                F.count(F.when(F.col("ok") == 0, 1)).alias("empty_steps"))
     b = totals(by_cell, F.count(F.lit(1)).alias("n_cells"),
                F.count(F.when(F.col("ok") == 0, 1)).alias("empty_cells"))
-    out = a.join(b, list(keys)) if keys else a.crossJoin(F.broadcast(b))  # one row each
+    if keys:
+        out = a.join(b, list(keys))
+    else:
+        out = a.withColumn("__b", one_row(b)).select("*", "__b.*").drop("__b")
     return out.withColumn("missing_share", F.try_divide("n_missing", "n"))
 
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from gridspark.functions import noleap as nl
 from gridspark.functions.nulls import finite
 from gridspark.functions.sizing import broadcast_bounded
 from gridspark.operators.series import lag_state

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from gridspark.functions.geo import HALF_DEGREE
 from gridspark.operators import aggregates as ag, cleaning as cl, space as sp, time_axis as ta
 from gridspark.queries.registry import LAT, query, rounded
 from gridspark.schema import OUTPUT_ATTRIBUTES, TEST_WINDOWS

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from gridspark.functions import noleap as nl
-from gridspark.functions.geo import GridSpec
 from gridspark.operators import aggregates as ag, fill as fi
 from gridspark.queries.registry import query, rounded
 from gridspark.sources import adapters as ad
@@ -102,3 +101,18 @@ def template_overwrite(spark, sf):
     f = g.withColumn("value", F.when(F.col("value") >= 10, F.col("value")))
     d = fi.template_overwrite(f, template, ad.MONTHLY_KEYS)
     return rounded(d.select(*ad.MONTHLY_KEYS, "t", "value"), "value")
+
+
+@query("h06_nearest_template", f"""
+WITH {ad.field_month_sql()}, tp AS (SELECT lat_idx, lon_idx, {ad.CUM_SQL}[month] + 1 AS doy, avg(value) AS value FROM field GROUP BY ALL),
+p AS (SELECT c_custkey, (c_custkey * 37 % 3600) / 20.0 - 90.0 + 0.013 AS lat, (c_custkey * 11 % 8) / 10.0 - 0.4 + 0.017 AS lon FROM customer),
+i AS (SELECT c_custkey, least(359, greatest(0, CAST(floor((lat + 89.75) / 0.5 + 0.5) AS INT))) AS lat_idx,
+  CAST(((CAST(floor(lon / 0.5 + 0.5) AS BIGINT) % 720) + 720) % 720 AS INT) AS lon_idx FROM p)
+SELECT c_custkey, lat_idx, lon_idx, doy, round(value, 6) AS value FROM i JOIN tp USING (lat_idx, lon_idx)""")
+def nearest_template(spark, sf):
+    f = ad.field_month(spark, sf).withColumn("doy", nl.doy_of("t"))
+    template = f.groupBy(*CELL, "doy").agg(F.avg("value").alias("value"))
+    k = F.col("c_custkey")
+    pts = ad.table(spark, sf, "customer").select(
+        k, (F.pmod(k * 37, F.lit(3600)) / 20.0 - 90.0 + 0.013).alias("lat"), (F.pmod(k * 11, F.lit(8)) / 10.0 - 0.4 + 0.017).alias("lon"))
+    return rounded(fi.nearest_template(pts, template).drop("lat", "lon"), "value")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridspark.functions.geo import HALF_DEGREE
+from gridspark.functions.sizing import one_row
 from gridspark.operators import aggregates as ag, joins as jn
 from gridspark.queries.registry import TILE, query, rounded
 from gridspark.sources import adapters as ad
@@ -49,12 +50,10 @@ s AS (SELECT DISTINCT {KS} FROM field), f AS (SELECT {KS}, CAST(year * 100 + mon
 SELECT {KS}, ym, round(value, 6) AS value FROM s CROSS JOIN ax LEFT JOIN f USING ({KS}, ym)""")
 def reindex(spark, sf):
     f = ad.field_month(spark, sf).withColumn("ym", (F.col("year") * 100 + F.col("month")).cast("int"))
-    span = f.agg(F.min("year").alias("a"), F.max("year").alias("b"))
-    years = span.select(F.explode(F.sequence("a", "b")).alias("year"))
-    axis = years.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12)))).select(
-        (F.col("year") * 100 + F.col("month")).cast("int").alias("ym"))
-    months = axis.agg(F.collect_list("ym").alias("yms"))  # one row: the axis itself
-    target = f.select(*K).distinct().crossJoin(F.broadcast(months)).select(*K, F.explode("yms").alias("ym"))
+    span = one_row(f.agg(F.min("year").alias("a"), F.max("year").alias("b")))
+    years = F.explode(F.sequence(span["a"], span["b"]))
+    target = f.select(*K).distinct().withColumn("year", years).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    target = target.select(*K, (F.col("year") * 100 + F.col("month")).cast("int").alias("ym"))
     return rounded(jn.reindex(target, f.select(*K, "ym", "value"), [*K, "ym"]), "value")
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from gridspark.functions.geo import GridSpec, HALF_DEGREE
+from gridspark.functions.sizing import one_row
 from gridspark.schema import ANNUAL_EXPORTS, CELL, EXPORT_ALIASES, TEST_WINDOWS
 
 PARTITIONS = ["variable", "scenario"]
@@ -61,8 +62,8 @@ def with_aliases(df: DataFrame, aliases=EXPORT_ALIASES) -> DataFrame:
     d = df.withColumn("target", F.coalesce(F.try_element_at(lookup, F.col("variable")), F.col("variable")))
     first = d.groupBy("target").agg(F.min("variable").alias("variable"))
     keep = first.groupBy().agg(F.collect_list("variable").alias("__keep"))  # one name per target
-    d = d.crossJoin(F.broadcast(keep)).filter(F.array_contains("__keep", F.col("variable")))
-    return d.drop("__keep").withColumn("variable", F.col("target")).drop("target")
+    d = d.filter(F.array_contains(one_row(keep)["__keep"], F.col("variable")))
+    return d.withColumn("variable", F.col("target")).drop("target")
 
 
 def export_sets(df: DataFrame, windows=TEST_WINDOWS, annual_vars=ANNUAL_EXPORTS, keys=("source", "scenario", *CELL)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from gridspark.functions.sizing import broadcast_bounded
+from gridspark.functions.sizing import one_row
 
 
 def parse_annual_series(lines: DataFrame, text: str = "value", keep: int = 123) -> DataFrame:
@@ -23,9 +23,11 @@ def read_annual_series(spark: SparkSession, path: str, keep: int = 123) -> DataF
     return parse_annual_series(spark.read.text(path), keep=keep)
 
 
-def series_to_cells(series: DataFrame, cells: DataFrame, rows: int = 123) -> DataFrame:
-    """The same annual value on every cell; the series has at most ``rows`` rows."""
-    return cells.crossJoin(broadcast_bounded(series, rows))
+def series_to_cells(series: DataFrame, cells: DataFrame) -> DataFrame:
+    """The same annual values on every cell; the series, a value per year, travels as one
+    row and each cell opens it."""
+    whole = series.agg(F.collect_list(F.struct("year", "value")).alias("s"))
+    return cells.withColumn("__s", F.explode(one_row(whole)["s"])).select(*cells.columns, "__s.year", "__s.value")
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -11,22 +11,27 @@ from gridspark.operators.aggregates import merge_moments, moments
 
 
 def ingest_pieces(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str,
-                  to_field=None, keys=("variable",)) -> None:
+                  to_field=None, keys=("variable",), whole_years: bool = False) -> None:
     """Run all waiting pieces of ``stream`` (a readStream frame) into ``path``.
 
     ``to_field`` turns raw rows of a batch into field rows (variable, year, ..., value).
+    With ``whole_years`` every piece holds its (variable, year) completely, and a piece
+    that comes again replaces the earlier one; otherwise pieces add up.
     """
+    unit = ["variable", "year"] if whole_years else ["batch_id"]
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         d = to_field(batch) if to_field else batch
-        d = d.withColumn("batch_id", F.lit(batch_id))
+        if not whole_years:
+            d = d.withColumn("batch_id", F.lit(batch_id))
 
         def put(df, where, parts):
             # One file per partition where it is small, several where it is hot.
-            (df.hint("rebalance", *[F.col(c) for c in parts]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy(*parts).parquet(f"{path}/{where}"))
+            (df.hint("rebalance", *[F.col(c) for c in parts]).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{path}/{where}"))
 
-        put(d, "field", ["batch_id", "variable", "year"])
-        put(moments(d, [*keys, "batch_id"]), "moments", ["batch_id"])
+        put(d, "field", unit if whole_years else [*unit, "variable", "year"])
+        put(moments(d, list(dict.fromkeys([*keys, *unit]))), "moments", unit)
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -1,7 +1,6 @@
 """Stores, text, logs, JSON, streaming and quality reports."""
 
 import gzip
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +139,19 @@ def test_stream_picks_up_new_pieces_and_is_idempotent(spark, tmp_path):
     assert r["n"] == 35 and abs(r["mean"] - sum(vals) / 35) < 1e-9 and r["max"] == max(vals)
 
 
+def test_stream_replaces_a_year_that_comes_again(spark, tmp_path):
+    src, out, chk = (str(tmp_path / n) for n in ("src", "out", "chk"))
+    for value, year in ((1.0, 1901), (2.0, 1902), (5.0, 1901)):
+        d = spark.createDataFrame([("gpp", year, value)] * 3, "variable string, year int, value double")
+        d.coalesce(1).write.mode("append").parquet(src)
+        s = spark.readStream.schema("variable string, year int, value double").parquet(src)
+        ingest.ingest_pieces(spark, s, out, chk, whole_years=True)
+    got = sorted((r.year, r.value) for r in ingest.read_ingested(spark, out).collect())
+    assert got == [(1901, 5.0)] * 3 + [(1902, 2.0)] * 3
+    r = ingest.running_moments(spark, out).first()
+    assert (r["n"], r["mean"]) == (6, 3.5)
+
+
 def test_metrics_skip_unpaired_rows(spark):
     df = spark.createDataFrame([("a", 1.0, 1.5), ("a", 2.0, 2.0), ("a", 3.0, 2.0), ("a", None, 9.0), ("a", 4.0, float("nan")), ("b", 1.0, 2.0)], "variable string, y double, yhat double")
     t = {r.variable: r for r in sk.metric_table(df).collect()}
