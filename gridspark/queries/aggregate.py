@@ -96,7 +96,7 @@ def latitude_rows(spark, sf):
     return rounded(ag.latitude_row_means(ad.field_month(spark, sf), ["source"]), "value")
 
 
-@query("a10_latitude_bands", f"WITH {FM} SELECT source, floor({LAT}) + 0.5 AS lat_band, round(avg(value), 6) AS value FROM field GROUP BY ALL")
+@query("a10_latitude_bands", f"WITH {FM} SELECT source, CAST(floor({LAT}) + 0.5 AS DOUBLE) AS lat_band, round(avg(value), 6) AS value FROM field GROUP BY ALL")
 def latitude_bands(spark, sf):
     return rounded(ag.latitude_band_means(ad.field_month(spark, sf), ["source"]), "value")
 

@@ -129,7 +129,7 @@ def partition_residual(spark, sf):
 WITH {_PART}, r AS (SELECT 'water_balance' AS balance, r FROM (SELECT month, {_WATER} AS r FROM b) WHERE month > 1
   UNION ALL SELECT 'npp_balance', npp - (gpp - ra) FROM b UNION ALL SELECT 'nbp_balance', nbp - (npp - rh - "fFire" - "fLuc") FROM b
   UNION ALL SELECT 'carbon_partition_december', r FROM p),
-s AS (SELECT balance, avg(abs(r)) AS loss, count(r) AS n, CASE balance WHEN 'water_balance' THEN 0.5 WHEN 'npp_balance' THEN 2.0 WHEN 'nbp_balance' THEN 1.0 ELSE 0.25 END AS weight FROM r GROUP BY balance)
+s AS (SELECT balance, avg(abs(r)) AS loss, count(r) AS n, CASE balance WHEN 'water_balance' THEN 0.5 WHEN 'npp_balance' THEN 2.0 WHEN 'nbp_balance' THEN 1.0 ELSE 0.25 END::DOUBLE AS weight FROM r GROUP BY balance)
 SELECT balance, round(loss, 5) AS loss, n, weight, round(weight * loss, 5) AS weighted FROM s
 UNION ALL SELECT 'TOTAL', NULL, CAST(sum(n) AS BIGINT), NULL, round(sum(weight * loss), 5) FROM s""")
 def balance_scores(spark, sf):

@@ -16,7 +16,7 @@ WITH years AS (SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS year FROM lineit
 days AS (SELECT year, unnest(range(1, 366)) AS doy FROM years),
 m AS (SELECT year, doy, {ad.month_of_doy_sql("doy")} AS month FROM days)
 SELECT CAST((year - 1901) * 365 + doy - 1 AS INT) AS t, year, CAST(month AS INT) AS month, CAST(doy AS INT) AS doy,
-  {ad.LEN_SQL}[CAST(month AS INT)] AS days_in_month, {ad.LEN_SQL}[CAST(month AS INT)] * 86400.0 AS seconds_in_month FROM m""")
+  {ad.LEN_SQL}[CAST(month AS INT)] AS days_in_month, CAST({ad.LEN_SQL}[CAST(month AS INT)] * 86400.0 AS DOUBLE) AS seconds_in_month FROM m""")
 def noleap_axis(spark, sf):
     years = ad.table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year")).distinct()
     return ta.axis_for_years(years, "day")

@@ -70,7 +70,7 @@ def clip_negative(spark, sf):
 
 
 @query("f07_zero_like", f"""
-WITH {ad.field_gaps_sql()} SELECT 'fLuc' AS variable, {KS}, t, CASE WHEN value IS NOT NULL THEN 0.0 END AS value FROM field""")
+WITH {ad.field_gaps_sql()} SELECT 'fLuc' AS variable, {KS}, t, CAST(CASE WHEN value IS NOT NULL THEN 0 END AS DOUBLE) AS value FROM field""")
 def zero_like(spark, sf):
     return cl.zero_like(ad.field_gaps(spark, sf), "fLuc").select("variable", *K, "t", "value")
 

@@ -26,7 +26,7 @@ def rounded(df: DataFrame, *cols: str, n: int = 6) -> DataFrame:
 
 
 # SQL snippets over lat_idx, mirroring functions/geo.py.
-LAT = "(-89.75 + lat_idx * 0.5)"
+LAT = "CAST(-89.75 + lat_idx * 0.5 AS DOUBLE)"
 AREA = ("(6371000.0 * 6371000.0 * radians(0.5) * "
         f"(sin(radians({LAT} + 0.25)) - sin(radians({LAT} - 0.25))))")
 AREA_COS = f"(6371000.0 * 6371000.0 * radians(0.5) * radians(0.5) * cos(radians({LAT})))"

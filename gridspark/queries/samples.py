@@ -36,8 +36,8 @@ def destandardise(spark, sf):
 
 
 @query("n03_stats_vectors", f"""
-WITH {FV}, {_STATS} SELECT round(max(CASE WHEN variable = 'npp' THEN mean END), 6) AS m0, 0.0 AS m1, round(max(CASE WHEN variable = 'gpp' THEN mean END), 6) AS m2,
-  round(max(CASE WHEN variable = 'npp' THEN std END), 4) AS s0, 1.0 AS s1, 1.0 AS s2 FROM st""")
+WITH {FV}, {_STATS} SELECT round(max(CASE WHEN variable = 'npp' THEN mean END), 6) AS m0, CAST(0 AS DOUBLE) AS m1, round(max(CASE WHEN variable = 'gpp' THEN mean END), 6) AS m2,
+  round(max(CASE WHEN variable = 'npp' THEN std END), 4) AS s0, CAST(1 AS DOUBLE) AS s1, CAST(1 AS DOUBLE) AS s2 FROM st""")
 def stats_vectors(spark, sf):
     _, st = _field_and_stats(spark, sf)
     st = st.withColumn("std", F.when(F.col("variable") != "gpp", F.col("std")).otherwise(0.0))
@@ -168,7 +168,7 @@ def window_counts(spark, sf):
 @query("n09_carry_windows", """
 WITH l AS (SELECT l_suppkey AS loc_id, count(DISTINCT year(l_shipdate)) AS n_years FROM lineitem GROUP BY 1),
 t AS (SELECT loc_id, n_years, unnest(range(2, n_years)) AS target_year FROM l WHERE n_years > 2)
-SELECT loc_id, target_year, unnest(range(target_year - 2, target_year + 1)) AS year_pos FROM t""")
+SELECT loc_id, CAST(target_year AS INT) AS target_year, CAST(unnest(range(target_year - 2, target_year + 1)) AS INT) AS year_pos FROM t""")
 def carry_windows(spark, sf):
     l = ad.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("loc_id"), F.year("l_shipdate").alias("y")).distinct()
     l = l.groupBy("loc_id").agg(F.count("y").alias("n_years"))

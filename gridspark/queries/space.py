@@ -29,7 +29,7 @@ _IDX = ("least(359, greatest(0, CAST(floor((lat + 89.75) / 0.5 + 0.5) AS INT)))"
 
 @query("g01_normalise_coordinates", f"""
 WITH {_POINTS}, i AS (SELECT c_custkey, {_IDX[0]} AS lat_idx, {_IDX[1]} AS lon_idx FROM points)
-SELECT c_custkey, lat_idx, lon_idx, -89.75 + lat_idx * 0.5 AS lat, lon_idx * 0.5 AS lon FROM i""")
+SELECT c_custkey, lat_idx, lon_idx, {LAT} AS lat, CAST(lon_idx * 0.5 AS DOUBLE) AS lon FROM i""")
 def normalise_coordinates(spark, sf):
     return sp.normalise_coordinates(_points(spark, sf), "lat", "lon").select("c_custkey", "lat_idx", "lon_idx", "lat", "lon")
 

@@ -1,6 +1,6 @@
 """Table schemas, variable registry and split rules."""
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 CELL = ["lat_idx", "lon_idx"]
 SERIES = ["variable", "source", "scenario", *CELL]
@@ -12,14 +12,7 @@ FIELD = T.StructType([
     T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType()),
     T.StructField("value", T.DoubleType()),
 ])
-STATS_VALUE = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("sum", T.DoubleType()),
-    T.StructField("sumsq", T.DoubleType()), T.StructField("mean", T.DoubleType()),
-    T.StructField("std", T.DoubleType()), T.StructField("min", T.DoubleType()),
-    T.StructField("max", T.DoubleType()),
-])
-CATALOG = T.StructType([T.StructField(n, T.StringType())
-                        for n in ("model", "scenario", "variable", "time_res", "path")])
+CATALOG_COLUMNS = ("model", "scenario", "variable", "time_res", "path")
 
 # Years covered, scenarios, land models.
 FIRST_YEAR, LAST_YEAR = 1901, 2023
@@ -116,6 +109,16 @@ MASK_CODES = {0: "train", 1: "val", 2: "test"}
 TEST_WINDOWS = ((1901, 1918), (2018, 2023))
 
 
+def as_field(df: DataFrame, **constants) -> DataFrame:
+    """Columns and types of a field; a key the input lacks takes its value from
+    ``constants`` or is missing."""
+    cols = []
+    for f in FIELD:
+        c = F.col(f.name) if f.name in df.columns else F.lit(constants.get(f.name))
+        cols.append(c.cast(f.dataType).alias(f.name))
+    return df.select(*cols)
+
+
 def variable_group(name: str) -> str:
     """Source-routing group of a variable."""
     if name in CLIMATE:

@@ -1,9 +1,14 @@
 """Path catalogs, file names and source routing."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from gridspark.functions.sizing import broadcast_bounded
-from gridspark.schema import FIRST_YEAR, LAST_YEAR, source_rules_table
+from gridspark.schema import CATALOG_COLUMNS, FIRST_YEAR, LAST_YEAR, source_rules_table
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Path catalog from CSV with a header, all text."""
+    return spark.read.csv(path, header=True).select(*CATALOG_COLUMNS)
 
 
 def filter_catalog(df: DataFrame, **wanted) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.operators import quality as qu, scores as sc, skill as sk
+from gridspark.schema import FIELD, as_field
 from gridspark.sources import catalog as ct, fields as fd, text as tx
 from gridspark.streaming import ingest
 
@@ -64,6 +65,14 @@ def test_catalog(spark):
     assert ct.prune_by_year(files, 1999, 2001, keep_undated=True).count() == 3
 
 
+def test_catalog_from_csv(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("variable,model,scenario,path,time_res\ngpp,m,S0,/x/gpp.nc,monthly\n")
+    c = ct.read_catalog(spark, str(tmp_path / "c.csv"))
+    assert c.first().asDict() == {"model": "m", "scenario": "S0", "variable": "gpp", "time_res": "monthly", "path": "/x/gpp.nc"}
+    f = as_field(spark.createDataFrame([(1, 2, 3, "4.5")], "lat_idx long, lon_idx long, t long, value string"), variable="gpp")
+    assert f.dtypes == [(x.name, x.dataType.simpleString()) for x in FIELD] and f.first().value == 4.5 and f.first().variable == "gpp"
+
+
 def test_year_blocks(spark):
     df = spark.createDataFrame([("a", y) for y in (1, 2, 3, 4, 5, 9, 10)], "k string, year int")
     d = ct.year_blocks(df, ["k"], 2).select("block_start", "block_end").distinct().orderBy("block_start")
