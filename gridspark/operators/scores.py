@@ -109,6 +109,11 @@ LOG_PATTERNS = {
 }
 
 
+# A literal every matching line holds, in lower case.
+LOG_MARKS = {"batches": "batches per gpu", "epoch_start": "[epoch", "progress": "progress", "batch_loss": "avg_batch_loss=",
+             "mid_validation": "[validation", "preflight": "[pre-flight", "summary": "epoch average train loss="}
+
+
 def carry_forward(df: DataFrame, keys, order: str, columns, block: int = 100_000) -> DataFrame:
     """Last present value at or before each row, for groups of any size.
 
@@ -134,7 +139,9 @@ def parse_log(lines: DataFrame, file: str = "file", line_no: str = "line_no", te
     line = F.trim(text)
 
     def part(name, i):
-        return F.nullif(F.regexp_extract(line, LOG_PATTERNS[name], i), F.lit(""))
+        # The expression runs only where its literal occurs.
+        found = F.nullif(F.regexp_extract(line, LOG_PATTERNS[name], i), F.lit(""))
+        return F.when(F.lower(line).contains(LOG_MARKS[name]), found)
 
     d = lines.select(
         file, line_no,
