@@ -1,5 +1,7 @@
 """Score tables, log text and JSON statistics."""
 
+import re
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridspark.functions.sizing import broadcast_counted, stored
@@ -143,7 +145,8 @@ def parse_log(lines: DataFrame, file: str = "file", line_no: str = "line_no", te
         found = F.nullif(F.regexp_extract(line, LOG_PATTERNS[name], i), F.lit(""))
         return F.when(F.lower(line).contains(LOG_MARKS[name]), found)
 
-    d = lines.select(
+    marked = F.lower(text).rlike("|".join(re.escape(m) for m in LOG_MARKS.values()))
+    d = lines.filter(marked).select(
         file, line_no,
         part("batches", 1).cast("int").alias("steps_seen"),
         part("epoch_start", 1).cast("int").alias("epoch_now"),
@@ -159,8 +162,8 @@ def parse_log(lines: DataFrame, file: str = "file", line_no: str = "line_no", te
     hit = F.lit(False)
     for c in ("p_loss", "b_loss", "v_loss", "f_loss", "s_ts"):
         hit = hit | F.col(c).isNotNull()
-    # Few lines match, and every later step needs only those: the text is read once.
-    d = stored(d.filter(hit | F.col("steps_seen").isNotNull() | F.col("epoch_now").isNotNull()), "log")
+    # Few lines hold a marker, and every later step needs only those: the text is read once.
+    d = stored(d, "log")
     # First steps-per-epoch line and first epoch line per file, from one aggregate.
     heads = d.groupBy(file).agg(
         F.min_by("steps_seen", F.when(F.col("steps_seen").isNotNull(), F.col(line_no))).alias("__steps"),
