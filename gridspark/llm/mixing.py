@@ -9,7 +9,7 @@ from gridspark.functions.sizing import broadcast_counted, stored
 WEIGHTS = (5, 2, 1)
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: A bucket of the seeded order holds about so many rows; more rows of a source give more buckets.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 
 
 def seeded_key(seed: str, *cols):
@@ -58,7 +58,7 @@ def plan_mix(docs: DataFrame, max_epochs: int = 3, weights=WEIGHTS, seed: str =
     rows = stored(docs.select("doc_id", "source", size.alias("size"), seeded_key(seed, "doc_id").alias("key")), "mix-sizes")
     per = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sources")
     most = per.agg(F.max("n")).first()[0] or 1
-    bits = max(0, math.ceil(math.log2(most / BUCKET_ROWS))) if most > BUCKET_ROWS else 0
+    bits = min(20, math.ceil(math.log2(most / BUCKET_ROWS))) if most > BUCKET_ROWS else 0
     rows = rows.withColumn("bucket", F.shiftright("key", 60 - bits))
     goals = water_fill(per.drop("n"), max_epochs, weights)
     goals = goals.withColumn("goal", F.floor(F.col("target") + 0.5))
