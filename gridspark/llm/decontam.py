@@ -29,7 +29,8 @@ def _hash(shingle):
 
 def item_shingles(items: DataFrame, n: int) -> DataFrame:
     """(item_id, shingle, q): distinct shingles of every item and their number."""
-    each = items.filter("item_id is not null and text is not null").select("item_id", F.array_distinct(shingle_words(word_list(F.col("text")), n)).alias("s"))
+    each = items.filter("item_id is not null and text is not null").select("item_id", word_list(F.col("text")).alias("w"))
+    each = each.select("item_id", F.array_distinct(shingle_words(F.col("w"), n)).alias("s"))
     each = each.select("item_id", F.explode("s").alias("shingle")).distinct()
     q = each.groupBy("item_id").agg(F.count("*").alias("q"))
     return each.join(q, "item_id")
@@ -75,7 +76,9 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = WORDS, containment: float
     n_pairs = pairs.count()
     suspects = pairs.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(_small(suspects, n_pairs), "doc_id")
-    found = texts.select("doc_id", F.explode(F.array_distinct(shingle_words(word_list(F.col("text")), n))).alias("shingle"))
+    # The word list is a column of its own: inside the function over positions it would be made anew for each.
+    found = texts.select("doc_id", word_list(F.col("text")).alias("w"))
+    found = found.select("doc_id", F.explode(F.array_distinct(shingle_words(F.col("w"), n))).alias("shingle"))
     found = found.join(_small(words, item_rows), "shingle").select("doc_id", "item_id", "shingle", "q").distinct()
     found = found.groupBy("doc_id", "item_id", "q").agg(F.count("*").alias("shared"))
     found = found.join(pairs, ["doc_id", "item_id"], "left_semi").filter(F.col("shared") >= needed)
