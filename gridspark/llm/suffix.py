@@ -22,8 +22,6 @@ PIECE = 32
 MAX_GROUP = 20_000
 #: Contexts sorted at once.
 CHUNK = 1 << 15
-#: Bytes of a table that may be broadcast.
-BROADCAST_BYTES = 32 << 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _OTHER = mix(np.arange(1001, 1257, dtype=np.uint64)) | np.uint64(1)
 
@@ -390,11 +388,6 @@ def _judge(length: int, piece: int, chunk: int):
     return run
 
 
-def _sized(df: DataFrame, per_row: int, items) -> DataFrame:
-    n, more = df.agg(F.count("*"), F.coalesce(F.sum(items), F.lit(0))).first()
-    return F.broadcast(df) if n * per_row + more <= BROADCAST_BYTES else df
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, max_group: int = MAX_GROUP, chunk: int = CHUNK, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs`` (doc_id, text).
 
@@ -416,14 +409,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, ma
     found = texts.mapInArrow(_find_anchors(length, piece, parts), _PACKED).repartition(parts // 4, "part")
     found = found.mapInArrow(_repeated(max_group), "k1 long, k2 long, places binary, hot binary")
     cand = stored(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("places", "hot")).alias("cand")), "suffix-anchors")  # of one text
-    near = _sized(cand, 48, F.aggregate("cand", F.lit(0), lambda s, c: s + F.octet_length(c["places"]) * 2))
-    rows = texts.join(near, ["k1", "k2"]).mapInArrow(_contexts(length, piece, parts), _PACKED).repartition(parts // 4, "part")
+    rows = texts.join(cand, ["k1", "k2"]).mapInArrow(_contexts(length, piece, parts), _PACKED).repartition(parts // 4, "part")
     rows = stored(rows.mapInArrow(_judge(length, piece, chunk), _VERDICTS), "suffix-verdicts")
     verdicts = rows.filter("kind = 0").select("fp", "h", "lo", "hi")
     members = rows.filter("kind = 1").select("fp", "h", "k1", "k2", F.col("lo").alias("at"))
     spans = members.join(verdicts, ["fp", "h"]).select("k1", "k2", F.struct((F.col("at") + F.col("lo")).cast("int").alias("lo"), (F.col("at") + F.col("hi")).cast("int").alias("hi")).alias("s"))
     spans = stored(spans.groupBy("k1", "k2").agg(F.collect_list("s").alias("spans")), "suffix-spans")  # of one text
-    spans = _sized(spans, 48, F.size("spans") * 8)
     rows = docs.select("doc_id", "text", k1, k2).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
 
     def cut(batches):
