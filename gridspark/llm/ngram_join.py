@@ -251,8 +251,7 @@ def _sign_documents(n: int, percent: int, parts: int):
                     if len(rows_of):
                         packed = [_blob(c[rows_of]) for c in columns]
                         rows.append((int(part[rows_of[0]]), kind, *packed, *[b""] * (3 - len(packed))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 3))] if rows else
-                                             [pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.binary()] * 3)], ["part", "kind", "a", "b", "c"])
+            yield _packed(rows)
     return run
 
 
@@ -287,6 +286,48 @@ def _gather(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "doc_id", "other", "n"])
 
 
+def _grams_of_groups(n: int, parts: int):
+    """(grp, doc_id, text) to packed rows (part, kind, a, b, c): n-grams within their group, with their document."""
+    def run(batches):
+        for b in batches:
+            grp, ids = b.column("grp").to_numpy().view(np.uint64), b.column("doc_id").to_numpy()
+            held, own = [], []
+            for lo, hi, buf, offs in text_slices(b.column("text")):
+                for d, grams in zip(range(lo, hi), shingle_sets(buf, offs, n)):
+                    held.append(mix(grams ^ mix(grp[d:d + 1] + _K1)))
+                    own.append(np.full(len(grams), ids[d], np.int64))
+            key, own = np.concatenate([np.zeros(0, np.uint64), *held]), np.concatenate([np.zeros(0, np.int64), *own])
+            part = (key % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            rows = []
+            for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                if len(at):
+                    table, index = np.unique(own[at], return_inverse=True)
+                    rows.append((int(part[at[0]]), 0, _blob(key[at]), _blob(index.astype(np.uint32)), _blob(table)))
+            yield _packed(rows)
+    return run
+
+
+def _count_shared(batches):
+    """Packed n-grams to (doc_id, kept): how many of a document's n-grams another row has too."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            table = np.frombuffer(r["c"], np.int64)
+            held.setdefault(r["part"], []).append((np.frombuffer(r["a"], np.uint64), table[np.frombuffer(r["b"], np.uint32)]))
+    for part in sorted(held):
+        rows = held.pop(part)
+        key, doc = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+        _, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        ids, kept = np.unique(doc[count[at] > 1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(kept.astype(np.int64))], ["doc_id", "kept"])
+
+
+def _packed(rows):
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 3)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["part", "kind", "a", "b", "c"])
+
+
 def _join_blocks(n: int, percent: int):
     """Arrow batches of (grp, block, doc_id, text), sorted by group and block, to links (u, v)."""
     def links(ids, sets):
@@ -325,6 +366,24 @@ def _run_blocks(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return stored(rows.mapInArrow(_join_blocks(n, percent), "u long, v long"), "ngram-links")
 
 
+_PACKED = "part int, kind int, a binary, b binary, c binary"
+
+
+def _groups(known: DataFrame, n: int, percent: int):
+    """The documents (doc_id, other: smallest of the same set, n), and one document of each set in
+    groups of two sets or more: (grp, doc_id, least: its smallest set, grams: of the group)."""
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = known.select("doc_id", "text").mapInArrow(_sign_documents(n, percent, 4 * parts), _PACKED)
+    found = stored(packed.repartition(parts, "part").mapInArrow(_gather, "kind int, doc_id long, other long, n long"), "ngram-agree")
+    sizes = found.filter("kind = 1").select("doc_id", "other", "n")
+    same = sizes.filter("doc_id <> other").select("doc_id", "other")
+    agree = components(found.filter("kind = 0").select("doc_id", "other").unionByName(same), "ngram-groups")
+    heads = sizes.filter("doc_id = other and n > 0").groupBy("doc_id").agg(F.min("n").alias("least"), F.max("n").alias("n")).join(
+        agree.withColumnsRenamed({"node": "doc_id", "root": "grp"}), "doc_id")
+    totals = heads.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).filter("m > 1")
+    return sizes, heads.join(totals.select("grp", "grams"), "grp").select("grp", "doc_id", "least", "grams")
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
@@ -342,19 +401,20 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block_gra
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = known.mapInArrow(_sign_documents(n, percent, 4 * parts), "part int, kind int, a binary, b binary, c binary")
-    found = stored(packed.repartition(parts, "part").mapInArrow(_gather, "kind int, doc_id long, other long, n long"), "ngram-agree")
-    sizes = found.filter("kind = 1").select("doc_id", "other", "n")
+    sizes, heads = _groups(known, n, percent)
     same = sizes.filter("doc_id <> other").select("doc_id", "other")
-    agree = components(found.filter("kind = 0").select("doc_id", "other").unionByName(same), "ngram-groups")
-
-    # One document of each set, in groups of two sets or more.
-    heads = sizes.filter("doc_id = other and n > 0").groupBy("doc_id").agg(F.max("n").alias("n")).join(
-        agree.withColumnsRenamed({"node": "doc_id", "root": "grp"}), "doc_id")
-    totals = heads.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).filter("m > 1")
-    heads = heads.join(totals.select("grp", F.ceil(F.col("grams") / block_grams).cast("int").alias("blocks")), "grp")
-    heads = stored(heads.select("grp", "doc_id", "blocks"), "ngram-heads")
+    heads = stored(heads.withColumn("blocks", F.ceil(F.col("grams") / block_grams).cast("int")), "ngram-heads")
+    large = heads.filter("blocks > 1")
+    if not large.isEmpty():
+        # Members without enough n-grams that another member has are linked with none of them; the
+        # others sign once more among themselves.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        packed = _with_texts(known, large.select("grp", "doc_id")).select("grp", "doc_id", "text").mapInArrow(_grams_of_groups(n, 4 * parts), _PACKED)
+        kept = packed.repartition(parts, "part").mapInArrow(_count_shared, "doc_id long, kept long").groupBy("doc_id").agg(F.sum("kept").alias("kept"))
+        left = stored(kept.join(large, "doc_id").filter(F.col("kept") * 100 >= F.col("least") * percent).select("doc_id"), "ngram-left")
+        _, again = _groups(_with_texts(known, left), n, percent)
+        again = again.withColumn("blocks", F.ceil(F.col("grams") / block_grams).cast("int"))
+        heads = stored(heads.filter("blocks = 1").unionByName(again), "ngram-heads")
     turn = F.xxhash64(F.lit("block"), "doc_id")
     block = F.pmod(turn, F.col("blocks")).cast("int")
     large = heads.filter("blocks > 1")
