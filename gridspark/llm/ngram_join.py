@@ -308,19 +308,36 @@ def _grams_of_groups(n: int, parts: int):
     return run
 
 
-def _count_shared(batches):
-    """Packed n-grams to (doc_id, kept): how many of a document's n-grams another row has too."""
+def _count_shared(parts: int):
+    """Packed n-grams to packed rows (a: documents, b: counts): how many of a document's n-grams another row has too."""
+    def run(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                held.setdefault(r["part"], []).append((r["a"], r["b"], r["c"]))
+        for key in sorted(held):
+            rows = held.pop(key)
+            grams = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
+            doc = np.concatenate([np.frombuffer(r[2], np.int64)[np.frombuffer(r[1], np.uint32)] for r in rows])
+            _, at, count = np.unique(grams, return_inverse=True, return_counts=True)
+            ids, kept = np.unique(doc[count[at] > 1], return_counts=True)
+            part = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            yield _packed([(int(part[x[0]]), 0, _blob(ids[x]), _blob(kept[x].astype(np.int64)), b"")
+                           for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(x)])
+    return run
+
+
+def _sum_counts(batches):
+    """Packed documents and counts to one row (doc_id, kept) for each document."""
     held: dict[int, list] = {}
     for b in batches:
         for r in b.to_pylist():
-            table = np.frombuffer(r["c"], np.int64)
-            held.setdefault(r["part"], []).append((np.frombuffer(r["a"], np.uint64), table[np.frombuffer(r["b"], np.uint32)]))
-    for part in sorted(held):
-        rows = held.pop(part)
-        key, doc = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-        _, at, count = np.unique(key, return_inverse=True, return_counts=True)
-        ids, kept = np.unique(doc[count[at] > 1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(kept.astype(np.int64))], ["doc_id", "kept"])
+            held.setdefault(r["part"], []).append((np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64)))
+    for key in sorted(held):
+        ids, at = np.unique(np.concatenate([r[0] for r in held[key]]), return_inverse=True)
+        kept = np.bincount(at, np.concatenate([r[1] for r in held[key]]), len(ids)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(kept)], ["doc_id", "kept"])
 
 
 def _packed(rows):
@@ -410,7 +427,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block_gra
         # others sign once more among themselves.
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         packed = _with_texts(known, large.select("grp", "doc_id")).select("grp", "doc_id", "text").mapInArrow(_grams_of_groups(n, 4 * parts), _PACKED)
-        kept = packed.repartition(parts, "part").mapInArrow(_count_shared, "doc_id long, kept long").groupBy("doc_id").agg(F.sum("kept").alias("kept"))
+        few = parts // 4 + 1
+        kept = packed.repartition(parts, "part").mapInArrow(_count_shared(few), _PACKED).repartition(few, "part").mapInArrow(_sum_counts, "doc_id long, kept long")
         left = stored(kept.join(large, "doc_id").filter(F.col("kept") * 100 >= F.col("least") * percent).select("doc_id"), "ngram-left")
         _, again = _groups(_with_texts(known, left), n, percent)
         again = again.withColumn("blocks", F.ceil(F.col("grams") / block_grams).cast("int"))
