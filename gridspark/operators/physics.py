@@ -60,7 +60,9 @@ def convert_units(df: DataFrame, unit: str, to_unit: str, value: str = "value")
 
 
 def _change_in_year(col, keys):
-    return F.col(col) - F.lag(col).over(W.partitionBy(*keys, "year").orderBy("month"))
+    """Change since the month before, missing where that month has no row."""
+    w = W.partitionBy(*keys, "year").orderBy("month")
+    return F.when(F.lag("month").over(w) == F.col("month") - 1, F.col(col) - F.lag(col).over(w))
 
 
 def _water(keys):

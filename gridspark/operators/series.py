@@ -1,7 +1,8 @@
 """Per-series windows: rolling means, lags, stocks, trends, anomalies.
 
 A series is one cell of one variable, source and scenario. It has at most one row per
-calendar step, so a window over a series sorts at most 44,895 rows.
+calendar step, so a window over a series sorts at most 44,895 rows. Steps are counted, not
+rows: a step without a row is a step whose value is missing.
 """
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -9,42 +10,59 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from gridspark.functions import noleap as nl
 
 
-def rolling_mean(df: DataFrame, keys, window: int = 30, order: str = "year", value: str = "value",
-                 out: str | None = None) -> DataFrame:
-    """Trailing mean of ``window`` present values; the first window-1 rows take the first
-    full result."""
-    series = W.partitionBy(*keys)
-    trail = series.orderBy(order).rowsBetween(-(window - 1), 0)
-    full = F.when(F.count(value).over(trail) == window, F.avg(value).over(trail))
-    d = df.withColumns({"__rn": F.row_number().over(series.orderBy(order)), "__r": full})
-    head = F.max(F.when(F.col("__rn") == window, F.col("__r"))).over(series)
-    res = F.when(F.col("__rn") < window, head).otherwise(F.col("__r"))
-    return d.withColumn(out or value, res).drop("__rn", "__r")
+def _step(order):
+    """Number of a step: a column that counts steps, or (year, month) counted in months."""
+    step = F.col(order) if isinstance(order, str) else F.col(order[0]) * 12 + F.col(order[1])
+    return step.cast("long")
+
 
+def _before(value: str, step, w):
+    """Value of the step before, missing where that step has no row."""
+    return F.when(F.lag(step).over(w) == step - 1, F.lag(value).over(w))
 
-def first_years_mean(df: DataFrame, keys, n: int = 19, order: str = "year", value: str = "value") -> DataFrame:
-    """Mean of the first n steps on every step."""
+
+def rolling_mean(df: DataFrame, keys, window: int = 30, order="year", value: str = "value",
+                 out: str | None = None, first: int | None = None) -> DataFrame:
+    """Trailing mean of ``window`` steps, missing when one of them is; the window-1 steps from
+    ``first`` (the series' own first step by default) take the first full result."""
+    series = W.partitionBy(*keys)
+    trail = series.orderBy("__step").rangeBetween(-(window - 1), 0)
+    d = df.withColumn("__step", _step(order))
+    full = (F.min("__step").over(series) if first is None else F.lit(first)) + (window - 1)
+    d = d.withColumns({"__full": full, "__r": F.when(F.count(value).over(trail) == window, F.avg(value).over(trail))})
+    head = F.max(F.when(F.col("__step") == F.col("__full"), F.col("__r"))).over(series)
+    res = F.when(F.col("__step") < F.col("__full"), head).otherwise(F.col("__r"))
+    return d.withColumn(out or value, res).drop("__step", "__full", "__r")
+
+
+def first_years_mean(df: DataFrame, keys, n: int = 19, order="year", value: str = "value",
+                     first: int | None = None) -> DataFrame:
+    """Mean of the present values of n steps from ``first`` (the series' own first step by
+    default) on every step."""
     series = W.partitionBy(*keys)
-    d = df.withColumn("__rn", F.row_number().over(series.orderBy(order)))
-    return d.withColumn(value, F.avg(F.when(F.col("__rn") <= n, F.col(value))).over(series)).drop("__rn")
+    d = df.withColumn("__step", _step(order))
+    d = d.withColumn("__first", F.min("__step").over(series) if first is None else F.lit(first))
+    early = F.when(F.col("__step") < F.col("__first") + n, F.col(value))
+    return d.withColumn(value, F.avg(early).over(series)).drop("__step", "__first")
 
 
-def step_difference(df: DataFrame, keys, order: str = "year", value: str = "value",
+def step_difference(df: DataFrame, keys, order="year", value: str = "value",
                     first_is_zero: bool = False) -> DataFrame:
-    """Difference to the step before. The first step keeps its own value, as if 0 came
-    before it; ``first_is_zero=True`` sets it to 0 instead."""
-    w = W.partitionBy(*keys).orderBy(order)
-    before = F.lag(value, 1).over(w)
+    """Difference to the step before, missing where that has no row. The first step keeps its
+    own value, as if 0 came before it; ``first_is_zero=True`` sets it to 0 instead."""
+    step = _step(order)
+    w = W.partitionBy(*keys).orderBy(step)
     first = F.row_number().over(w) == 1
     head = F.lit(0.0) if first_is_zero else F.col(value)
-    return df.withColumn("delta", F.when(first, head).otherwise(F.col(value) - before))
+    return df.withColumn("delta", F.when(first, head).otherwise(F.col(value) - _before(value, step, w)))
 
 
 def lag_state(df: DataFrame, keys, order, value: str = "value", out: str = "prev") -> DataFrame:
-    """State of the step before in the given order, 0 on the first step. With (year,
-    month) January takes last December; with year it is the last year's state."""
-    w = W.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
-    return df.withColumn(out, F.lag(value, 1, 0.0).over(w))
+    """State of the step before, 0 on the first step and missing where the step before has no
+    row. With (year, month) January takes last December; with year it is the last year's state."""
+    step = _step(order)
+    w = W.partitionBy(*keys).orderBy(step)
+    return df.withColumn(out, F.when(F.row_number().over(w) == 1, 0.0).otherwise(_before(value, step, w)))
 
 
 def running_total(df: DataFrame, keys, columns, order: str = "year") -> DataFrame:
@@ -55,25 +73,25 @@ def running_total(df: DataFrame, keys, columns, order: str = "year") -> DataFram
 def monthly_stock_from_december(flux: DataFrame, stock: DataFrame, keys, value: str = "value",
                                 stock_value: str = "stock") -> DataFrame:
     """Monthly stock that meets the annual stock in December and steps back by the flux
-    of each month times its seconds; a missing flux makes the earlier months missing."""
-    amount = F.when(F.col("month") < 12, F.col(value) * nl.seconds_in_month("month")).otherwise(0.0)
+    of each month times its seconds; a missing or absent flux makes the months up to it missing."""
+    amount = F.when(F.col("month") < 12, F.col(value) * nl.seconds_in_month("month"))
     return _stock(flux, stock, keys, amount, stock_value, sign=-1,
-                  frame=(0, W.unboundedFollowing))
+                  frame=(0, W.unboundedFollowing), months=12 - F.col("month"))
 
 
 def monthly_stock_from_january(flux: DataFrame, stock: DataFrame, keys, value: str = "value",
                                stock_value: str = "stock") -> DataFrame:
     """Monthly stock that starts at the annual stock in January and adds each month's
-    flux times its seconds to the next."""
+    flux times its seconds to the next; a missing or absent flux makes the later months missing."""
     amount = F.col(value) * nl.seconds_in_month("month")
     return _stock(flux, stock, keys, amount, stock_value, sign=1,
-                  frame=(W.unboundedPreceding, -1))
+                  frame=(W.unboundedPreceding, -1), months=F.col("month") - 1)
 
 
-def _stock(flux, stock, keys, amount, stock_value, sign, frame):
+def _stock(flux, stock, keys, amount, stock_value, sign, frame, months):
+    """``months``: how many months the frame must hold with a flux."""
     w = W.partitionBy(*keys, "year").orderBy("month").rowsBetween(*frame)
-    gaps = F.count(F.when(F.col("__a").isNull(), 1)).over(w)
-    moved = F.when(gaps == 0, F.coalesce(F.sum("__a").over(w), F.lit(0.0)))
+    moved = F.when(F.count("__a").over(w) == months, F.coalesce(F.sum("__a").over(w), F.lit(0.0)))
     d = flux.withColumn("__a", amount).withColumn("__m", moved)
     d = d.join(stock.select(*keys, "year", F.col(stock_value).alias("__s")), [*keys, "year"])
     return d.withColumn("stock_monthly", F.col("__s") + sign * F.col("__m")).drop("__a", "__m", "__s")

@@ -86,8 +86,9 @@ def _annual(spark, sf):
 
 
 _SEC = f"{ad.LEN_SQL}[month] * 86400.0"
-_WATER = f"mrso - lag(mrso) OVER (PARTITION BY {KS}, year ORDER BY month) - (pre - mrro - evapotrans) * {_SEC}"
-_STOCK = f'"cTotal_monthly" - lag("cTotal_monthly") OVER (PARTITION BY {KS}, year ORDER BY month)'
+_LAST_MONTH = f"OVER (PARTITION BY {KS}, year ORDER BY month RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+_WATER = f"mrso - max(mrso) {_LAST_MONTH} - (pre - mrro - evapotrans) * {_SEC}"
+_STOCK = f'"cTotal_monthly" - max("cTotal_monthly") {_LAST_MONTH}'
 OUT = [*K, "year", "month", "residual"]
 
 

@@ -17,42 +17,61 @@ def _yearly(spark, sf):
     return ad.field(spark, sf, *_Y)
 
 
+def _dense(step):
+    """The field with a row on every step from the first to the last of each series; kept marks its own rows."""
+    return f"""e AS (SELECT {KS}, min({step}) AS s0, max({step}) AS s1 FROM field GROUP BY ALL),
+ax AS (SELECT {KS}, unnest(range(s0, s1 + 1)) AS step FROM e),
+dense AS (SELECT ax.step, f.*, row_number() OVER (PARTITION BY {", ".join("ax." + k for k in K)} ORDER BY ax.step) AS rn, {", ".join(f"ax.{k} AS s_{k}" for k in K)}
+  FROM ax LEFT JOIN (SELECT *, {step} AS at_step FROM field) f ON {" AND ".join(f"ax.{k} = f.{k}" for k in K)} AND ax.step = f.at_step)"""
+
+
+_MONTHS = "year * 12 + month"
+_SERIES = "PARTITION BY " + ", ".join(f"s_{k}" for k in K)
+_KEPT = "at_step IS NOT NULL"
+
+
 @query("w01_rolling_mean", f"""
-WITH {FY}, r AS (SELECT *, row_number() OVER w AS rn, CASE WHEN count(value) OVER f = 3 THEN avg(value) OVER f END AS r FROM field
-  WINDOW w AS (PARTITION BY {KS} ORDER BY year), f AS (PARTITION BY {KS} ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-SELECT {KS}, year, round(CASE WHEN rn < 3 THEN max(CASE WHEN rn = 3 THEN r END) OVER (PARTITION BY {KS}) ELSE r END, 6) AS value FROM r""")
+WITH {FY}, {_dense("year")}, r AS (SELECT *, CASE WHEN count(value) OVER f = 3 THEN avg(value) OVER f END AS r FROM dense
+  WINDOW f AS ({_SERIES} ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+h AS (SELECT *, CASE WHEN rn < 3 THEN max(CASE WHEN rn = 3 THEN r END) OVER ({_SERIES}) ELSE r END AS v FROM r)
+SELECT {KS}, year, round(v, 6) AS value FROM h WHERE {_KEPT}""")
 def rolling_mean(spark, sf):
     return rounded(se.rolling_mean(_yearly(spark, sf), K, window=3), "value")
 
 
 @query("w01_rolling_mean_30_months", f"""
-WITH {FM}, r AS (SELECT *, row_number() OVER w AS rn, CASE WHEN count(value) OVER f = 30 THEN avg(value) OVER f END AS r FROM field
-  WINDOW w AS (PARTITION BY {KS} ORDER BY t), f AS (PARTITION BY {KS} ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
-SELECT {KS}, t, round(CASE WHEN rn < 30 THEN max(CASE WHEN rn = 30 THEN r END) OVER (PARTITION BY {KS}) ELSE r END, 6) AS value FROM r""")
+WITH {FM}, {_dense(_MONTHS)}, r AS (SELECT *, CASE WHEN count(value) OVER f = 30 THEN avg(value) OVER f END AS r FROM dense
+  WINDOW f AS ({_SERIES} ORDER BY step ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+h AS (SELECT *, CASE WHEN rn < 30 THEN max(CASE WHEN rn = 30 THEN r END) OVER ({_SERIES}) ELSE r END AS v FROM r)
+SELECT {KS}, t, round(v, 6) AS value FROM h WHERE {_KEPT}""")
 def rolling_mean_30_months(spark, sf):
-    return rounded(se.rolling_mean(ad.field_month(spark, sf).select(*K, "t", "value"), K, window=30, order="t"), "value")
+    return rounded(se.rolling_mean(ad.field_month(spark, sf), K, window=30, order=("year", "month")).select(*K, "t", "value"), "value")
 
 
 @query("w02_first_years_mean", f"""
-WITH {FM}, r AS (SELECT *, row_number() OVER (PARTITION BY {KS} ORDER BY t) AS rn FROM field)
-SELECT {KS}, t, round(avg(CASE WHEN rn <= 19 THEN value END) OVER (PARTITION BY {KS}), 6) AS value FROM r""")
+WITH {FM}, {_dense(_MONTHS)}, h AS (SELECT *, avg(CASE WHEN rn <= 19 THEN value END) OVER ({_SERIES}) AS v FROM dense)
+SELECT {KS}, t, round(v, 6) AS value FROM h WHERE {_KEPT}""")
 def first_years_mean(spark, sf):
-    return rounded(se.first_years_mean(ad.field_month(spark, sf).select(*K, "t", "value"), K, 19, order="t"), "value")
+    return rounded(se.first_years_mean(ad.field_month(spark, sf), K, 19, order=("year", "month")).select(*K, "t", "value"), "value")
 
 
 @query("w03_step_difference", f"""
-WITH {FY} SELECT {KS}, year, round(value - coalesce(lag(value) OVER (PARTITION BY {KS} ORDER BY year), 0), 6) AS delta FROM field""")
+WITH {FY}, {_dense("year")}, h AS (SELECT *, CASE WHEN rn = 1 THEN value ELSE value - lag(value) OVER ({_SERIES} ORDER BY step) END AS d FROM dense)
+SELECT {KS}, year, round(d, 6) AS delta FROM h WHERE {_KEPT}""")
 def step_difference(spark, sf):
     return rounded(se.step_difference(_yearly(spark, sf), K).drop("value"), "delta")
 
 
 @query("w04_previous_month_state", f"""
-WITH {FM} SELECT {KS}, year, month, round(lag(value, 1, 0.0) OVER (PARTITION BY {KS} ORDER BY year, month), 6) AS prev FROM field""")
+WITH {FM}, {_dense(_MONTHS)}, h AS (SELECT *, lag(value, 1, 0.0) OVER ({_SERIES} ORDER BY step) AS p FROM dense)
+SELECT {KS}, year, month, round(p, 6) AS prev FROM h WHERE {_KEPT}""")
 def previous_month_state(spark, sf):
-    return rounded(se.lag_state(ad.field_month(spark, sf), K, ["year", "month"]).drop("t", "value"), "prev")
+    return rounded(se.lag_state(ad.field_month(spark, sf), K, ("year", "month")).drop("t", "value"), "prev")
 
 
-@query("w05_previous_year_state", f"WITH {FY} SELECT {KS}, year, round(lag(value, 1, 0.0) OVER (PARTITION BY {KS} ORDER BY year), 6) AS prev FROM field")
+@query("w05_previous_year_state", f"""
+WITH {FY}, {_dense("year")}, h AS (SELECT *, lag(value, 1, 0.0) OVER ({_SERIES} ORDER BY step) AS p FROM dense)
+SELECT {KS}, year, round(p, 6) AS prev FROM h WHERE {_KEPT}""")
 def previous_year_state(spark, sf):
     return rounded(se.lag_state(_yearly(spark, sf), K, "year").drop("value"), "prev")
 
@@ -77,7 +96,8 @@ def running_total_of_bands(spark, sf):
 
 
 _STOCK = f"""
-f AS (SELECT {KS}, year, month, value / 1e9 AS v, value / 1e9 * {ad.LEN_SQL}[month] * 86400.0 AS a FROM field),
+ym AS (SELECT * FROM (SELECT DISTINCT {KS}, year FROM field) CROSS JOIN (SELECT unnest(range(1, 13)) AS month)),
+f AS (SELECT {KS}, year, month, kept, value / 1e9 * {ad.LEN_SQL}[month] * 86400.0 AS a FROM ym LEFT JOIN (SELECT *, TRUE AS kept FROM field) USING ({KS}, year, month)),
 s AS (SELECT {KS}, year, avg(value) AS stock FROM field GROUP BY ALL)"""
 
 
@@ -91,7 +111,7 @@ def _flux_and_stock(spark, sf):
 WITH {ad.field_gaps_sql()}, {_STOCK}, g AS (SELECT *, CASE WHEN month < 12 THEN a ELSE 0 END AS b FROM f),
 r AS (SELECT *, CASE WHEN count(CASE WHEN b IS NULL THEN 1 END) OVER w = 0 THEN coalesce(sum(b) OVER w, 0) END AS m FROM g
   WINDOW w AS (PARTITION BY {KS}, year ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT {KS}, year, month, round(stock - m, 6) AS stock_monthly FROM r JOIN s USING ({KS}, year)""")
+SELECT {KS}, year, CAST(month AS INT) AS month, round(stock - m, 6) AS stock_monthly FROM r JOIN s USING ({KS}, year) WHERE kept""")
 def stock_from_december(spark, sf):
     d = se.monthly_stock_from_december(*_flux_and_stock(spark, sf), K)
     return rounded(d.drop("value"), "stock_monthly")
@@ -101,7 +121,7 @@ def stock_from_december(spark, sf):
 WITH {ad.field_gaps_sql()}, {_STOCK},
 r AS (SELECT *, CASE WHEN count(CASE WHEN a IS NULL THEN 1 END) OVER w = (0) THEN coalesce(sum(a) OVER w, 0) END AS m FROM f
   WINDOW w AS (PARTITION BY {KS}, year ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT {KS}, year, month, round(stock + m, 6) AS stock_monthly FROM r JOIN s USING ({KS}, year)""")
+SELECT {KS}, year, CAST(month AS INT) AS month, round(stock + m, 6) AS stock_monthly FROM r JOIN s USING ({KS}, year) WHERE kept""")
 def stock_from_january(spark, sf):
     d = se.monthly_stock_from_january(*_flux_and_stock(spark, sf), K)
     return rounded(d.drop("value"), "stock_monthly")
