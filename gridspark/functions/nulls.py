@@ -4,6 +4,7 @@ Fields store missing as NULL, never NaN: ``avg``/``sum`` skip NULL while one NaN
 poisons the whole aggregate, and NaN sorts above every number.
 """
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # Fill markers that mean "missing" in incoming fields.
@@ -19,9 +20,10 @@ def finite(c) -> Column:
 
 
 def clean_value(c, sentinels=SENTINELS) -> Column:
-    """NaN, infinities and sentinels become NULL."""
+    """NaN, infinities and sentinels become NULL, sentinels rounded to single precision too."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(finite(c) & ~c.isin(*[float(s) for s in sentinels]), c)
+    marks = sorted({float(s) for s in sentinels} | {float(np.float32(s)) for s in sentinels})
+    return F.when(finite(c) & ~c.isin(*marks), c)
 
 
 def strict_avg(c) -> Column:

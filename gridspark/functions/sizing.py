@@ -40,6 +40,16 @@ def one_row(df: DataFrame):
 
 
 def per_cell(df: DataFrame, grid) -> DataFrame:
-    """One row per cell of ``grid``, so the result has at most ``grid.n_cells`` rows."""
+    """One row per cell of ``grid``, so the result has at most ``grid.n_cells`` rows. A row outside
+    the grid, or rows of one cell that differ, fail the job."""
     inside = F.col("lat_idx").between(0, grid.nlat - 1) & F.col("lon_idx").between(0, grid.nlon - 1)
-    return df.filter(inside).dropDuplicates(["lat_idx", "lon_idx"])
+    outside = F.raise_error(F.lit("a cell lies outside the grid")).cast(df.schema["lat_idx"].dataType)
+    d = df.withColumn("lat_idx", F.when(inside, F.col("lat_idx")).otherwise(outside))
+    rest = [c for c in df.columns if c not in ("lat_idx", "lon_idx")]
+    if not rest:
+        return d.distinct()
+    row = F.struct(*rest)
+    d = d.groupBy("lat_idx", "lon_idx").agg(F.min(row).alias("__a"), F.max(row).alias("__b"))
+    differ = F.raise_error(F.lit("rows of one cell differ")).cast(d.schema["__a"].dataType)
+    d = d.withColumn("__a", F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(differ))
+    return d.select("lat_idx", "lon_idx", "__a.*").select(*df.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridspark.functions import noleap as nl
 from gridspark.functions.geo import GridSpec, HALF_DEGREE, lat_band
-from gridspark.functions.nulls import strict_avg, sum0, weighted_avg
+from gridspark.functions.nulls import sum0, weighted_avg
 from gridspark.functions.ranking import exact_quantiles
 from gridspark.functions.sizing import broadcast_bounded, one_row
 
@@ -103,9 +103,9 @@ def global_mean_from_rows(rows: DataFrame, weights: DataFrame, keys, value: str
     return d.groupBy(*keys).agg(weighted_avg(F.col(value), F.col("weight")).alias(value))
 
 
-def ensemble_mean(df: DataFrame, keys, value: str = "value") -> DataFrame:
-    """Mean over members, missing as soon as one member is missing."""
-    return df.groupBy(*keys).agg(strict_avg(value).alias(value))
+def ensemble_mean(df: DataFrame, keys, n_members: int, value: str = "value") -> DataFrame:
+    """Mean over members, missing as soon as one of ``n_members`` is missing or has no row."""
+    return df.groupBy(*keys).agg(F.when(F.count(value) == n_members, F.avg(value)).alias(value))
 
 
 def scenario_mean(df: DataFrame, keys, value: str = "value") -> DataFrame:
@@ -226,27 +226,39 @@ def histogram(df: DataFrame, keys, value: str, lo: float, hi: float, bins: int,
 
 
 def point_density(df: DataFrame, x: str, y: str, x_range, y_range, bins: int = 50,
-                  key: str | None = None, key_values=()) -> DataFrame:
-    """Number of points sharing the 2-D bin of each point, optionally per listed key value.
-
-    The count table has at most bins*bins rows per key value, so the points stay put.
-    """
+                  key: str | None = None) -> DataFrame:
+    """Number of points sharing the 2-D bin of each point, optionally per key value."""
     def bucket(c, lo, hi):
         return F.greatest(F.lit(0), F.least(
             F.lit(bins - 1), F.floor((F.col(c) - lo) / ((hi - lo) / bins)))).cast("int")
     keys = [key] if key else []
-    d = df.filter(F.col(key).isin(*key_values)) if key else df
-    d = d.withColumns({"__bx": bucket(x, *x_range), "__by": bucket(y, *y_range)})
+    d = df.withColumns({"__bx": bucket(x, *x_range), "__by": bucket(y, *y_range)})
     counts = d.groupBy(*keys, "__bx", "__by").agg(F.count(F.lit(1)).alias("density"))
-    bound = bins * bins * max(1, len(key_values))
-    return d.join(broadcast_bounded(counts, bound), [*keys, "__bx", "__by"]).drop("__bx", "__by")
+    if not key:
+        return d.join(broadcast_bounded(counts, bins * bins), ["__bx", "__by"]).drop("__bx", "__by")
+    c = counts.withColumnsRenamed({key: "__k", "__bx": "__cx", "__by": "__cy"})
+    on = F.col(key).eqNullSafe(F.col("__k")) & (F.col("__bx") == F.col("__cx")) & (F.col("__by") == F.col("__cy"))
+    return d.join(c, on).drop("__bx", "__by", "__k", "__cx", "__cy")
+
+
+def _beside(groups: DataFrame, found: DataFrame, keys, names) -> DataFrame:
+    """Every group with its row of ``found``, missing where it has none; missing keys meet."""
+    right = found.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], *names)
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    if not keys:  # one row on either side
+        row = one_row(right)
+        return groups.withColumns({n: row[n] for n in names})
+    return groups.join(right, on, "left").drop(*[f"__{i}" for i in range(len(keys))])
 
 
 def robust_limits(df: DataFrame, keys, value: str = "value", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Percentile range, starting at 0 when no value is negative; a flat range gives the
-    data range. Quantiles are exact and groups may be of any size."""
-    d = df.filter(F.col(value).isNotNull())
-    q = exact_quantiles(d, keys, value, [low, high, 0.0, 1.0], ["__lo", "__hi", "__min", "__max"])
+    data range and a group without values none. Quantiles are exact and groups may be of any size."""
+    ends = df.groupBy(*keys).agg(F.min(value).alias("__min"), F.max(value).alias("__max"))
+    q = exact_quantiles(df.filter(F.col(value).isNotNull()), keys, value, [low, high], ["__lo", "__hi"])
+    q = _beside(ends, q, keys, ["__lo", "__hi"])
     flat = F.col("__lo") == F.col("__hi")
     vmin = F.when(flat, F.col("__min")).when(F.col("__min") >= 0, 0.0).otherwise(F.col("__lo"))
     vmax = F.when(flat, F.col("__max")).otherwise(F.col("__hi"))
@@ -255,9 +267,10 @@ def robust_limits(df: DataFrame, keys, value: str = "value", low: float = 0.01,
 
 def symmetric_limits(df: DataFrame, keys, value: str = "value", pct: float = 0.99,
                      default: float = 1.0) -> DataFrame:
-    """Plus and minus a percentile of the absolute values; ``default`` when it is 0."""
-    d = df.withColumn("__abs", F.abs(value))
-    q = exact_quantiles(d, keys, "__abs", [pct], ["__a"])
+    """Plus and minus a percentile of the absolute values; ``default`` when it is 0 or the
+    group has no value."""
+    d = df.filter(F.col(value).isNotNull()).withColumn("__abs", F.abs(value))
+    q = _beside(df.groupBy(*keys).agg(F.count(value).alias("__n")), exact_quantiles(d, keys, "__abs", [pct], ["__a"]), keys, ["__a"])
     a = F.when(F.col("__a") > 0, F.col("__a")).otherwise(F.lit(default))
     return q.select(*keys, (-a).alias("vmin"), a.alias("vmax"))
 

@@ -81,10 +81,9 @@ def insert_external(df: DataFrame, external: DataFrame, on, column: str) -> Data
     return df.join(external.select(*on, column), list(on), "left")
 
 
-def skip_tiles(df: DataFrame, done: DataFrame, grid, tile: str = "tile_id") -> DataFrame:
-    """Rows of tiles not listed; the list has at most one row per tile."""
-    d = done.select(tile).filter(F.col(tile).between(0, grid.n_tiles - 1)).distinct()
-    return df.join(broadcast_bounded(d, grid.n_tiles), tile, "left_anti")
+def skip_tiles(df: DataFrame, done: DataFrame, tile: str = "tile_id") -> DataFrame:
+    """Rows of tiles not listed."""
+    return df.join(done.select(tile).distinct(), tile, "left_anti")
 
 
 def nearest_mask(df: DataFrame, mask: DataFrame, lat: str, lon: str, grid, code: str = "mask") -> DataFrame:

@@ -4,19 +4,22 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridspark.functions.geo import GridSpec, HALF_DEGREE
 from gridspark.functions.ranking import hash_rank
-from gridspark.functions.sizing import broadcast_bounded, per_cell
+from gridspark.functions.sizing import broadcast_bounded, one_row, per_cell
 from gridspark.schema import CELL, split_rules_table
 
 
-def finite_mask(df: DataFrame, cell=CELL, value: str = "value", first_n: int | None = None,
+def finite_mask(df: DataFrame, axis: DataFrame, cell=CELL, value: str = "value", first_n: int | None = None,
                 order: str = "t") -> DataFrame:
-    """1 where the cell is present at every step, optionally only its first n steps."""
-    d = df
+    """1 where the cell is present at every step of ``axis``, optionally only at the first n.
+
+    ``axis`` has the steps in column ``order``; a step without a row is missing."""
+    steps = axis.select(order).distinct()
     if first_n is not None:
-        rn = F.row_number().over(W.partitionBy(*cell).orderBy(order))
-        d = d.withColumn("__rn", rn).filter(F.col("__rn") <= first_n)
-    return d.groupBy(*cell).agg(
-        (F.count(value) == F.count(F.lit(1))).cast("int").alias("finite_mask"))
+        steps = steps.orderBy(order).limit(first_n)
+    span = one_row(steps.agg(F.count(order).alias("n"), F.max(order).alias("last")))
+    d = df.withColumn("__v", F.when(F.col(order) <= span["last"], F.col(value)))
+    d = d.groupBy(*cell).agg(F.count("__v").alias("__n"))
+    return d.withColumn("finite_mask", (F.col("__n") == span["n"]).cast("int")).drop("__n")
 
 
 def threshold_mask(df: DataFrame, threshold: float, value: str = "value") -> DataFrame:

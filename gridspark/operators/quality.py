@@ -1,6 +1,6 @@
 """Data-quality reports as aggregates."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridspark.functions.nulls import finite
 from gridspark.functions.sizing import one_row
@@ -13,33 +13,39 @@ CALENDARS = ("noleap", "365_day")
 
 
 def missing_report(df: DataFrame, keys=(), cell=CELL, t: str = "t", land: str | None = "land",
-                   value: str = "value") -> DataFrame:
-    """Overall missing share, steps without any value and cells without any value, over
-    land cells."""
+                   value: str = "value", n_cells: int | None = None, n_steps: int | None = None) -> DataFrame:
+    """Missing share over land cells x steps, steps without any value and cells without any
+    value. A cell and step without a row is missing; ``n_cells`` and ``n_steps`` are the sizes of
+    the grid and axis where some cell or step has no row at all."""
     d = df.filter(F.col(land) == 1) if land else df
     d = d.select(*keys, *cell, t, F.col(value).isNotNull().cast("int").alias("__ok"))
-    by_t = d.groupBy(*keys, t).agg(F.count(F.lit(1)).alias("n"), F.sum("__ok").alias("ok"))
+    by_t = d.groupBy(*keys, t).agg(F.sum("__ok").alias("ok"))
     by_cell = d.groupBy(*keys, *cell).agg(F.sum("__ok").alias("ok"))
 
     def totals(x, *aggs):
         return x.groupBy(*keys).agg(*aggs) if keys else x.agg(*aggs)
 
-    a = totals(by_t, F.sum("n").alias("n"), (F.sum("n") - F.sum("ok")).alias("n_missing"),
-               F.count(F.lit(1)).alias("n_steps"),
-               F.count(F.when(F.col("ok") == 0, 1)).alias("empty_steps"))
-    b = totals(by_cell, F.count(F.lit(1)).alias("n_cells"),
-               F.count(F.when(F.col("ok") == 0, 1)).alias("empty_cells"))
+    def size(n):
+        return F.count(F.lit(1)) if n is None else F.lit(n).cast("long")
+
+    some = F.count(F.when(F.col("ok") > 0, 1))
+    a = totals(by_t, F.sum("ok").alias("__ok"), size(n_steps).alias("n_steps"), (size(n_steps) - some).alias("empty_steps"))
+    b = totals(by_cell, size(n_cells).alias("n_cells"), (size(n_cells) - some).alias("empty_cells"))
     if keys:
         out = a.join(b, list(keys))
     else:
         out = a.withColumn("__b", one_row(b)).select("*", "__b.*").drop("__b")
+    out = out.withColumn("n", F.col("n_cells") * F.col("n_steps"))
+    out = out.withColumn("n_missing", F.col("n") - F.coalesce("__ok", F.lit(0))).drop("__ok")
     return out.withColumn("missing_share", F.try_divide("n_missing", "n"))
 
 
-def partial_cells(df: DataFrame, keys=(), cell=CELL, value: str = "value") -> DataFrame:
-    """Cells with some but not all values missing, and their mean missing share."""
-    share = 1 - F.count(value) / F.count(F.lit(1))
-    d = df.groupBy(*keys, *cell).agg(share.alias("__s")).filter((F.col("__s") > 0) & (F.col("__s") < 1))
+def partial_cells(df: DataFrame, n_steps, keys=(), cell=CELL, value: str = "value") -> DataFrame:
+    """Cells with some but not all of ``n_steps`` (a number or column) missing, and their mean
+    missing share; a step without a row is missing."""
+    n = n_steps if isinstance(n_steps, Column) else F.lit(n_steps)
+    d = df.groupBy(*keys, *cell).agg(F.count(value).alias("__ok")).withColumn("__s", 1 - F.col("__ok") / n)
+    d = d.filter((F.col("__s") > 0) & (F.col("__s") < 1))
     aggs = [F.count(F.lit(1)).alias("partial_cells"), F.avg("__s").alias("mean_missing_share")]
     return d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
 

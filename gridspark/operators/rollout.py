@@ -112,6 +112,7 @@ def rollout(df: DataFrame, keys, predict, states: dict[str, str], outputs, carry
         held, now, carried = [], None, None
         for pdf in batches:
             for key, piece in pdf.groupby([*unit, year], sort=False, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in key)  # NaN of two batches differ
                 if now is not None and key != now:
                     out, carried = _score_year(pd.concat(held), names, cell, predict, states, outputs, carry, initial, carried)
                     yield out

@@ -9,9 +9,11 @@ from gridspark.schema import INPUT_GROUPS, OUTPUT_GROUPS
 
 
 def stats_of(stats: DataFrame, variables) -> DataFrame:
-    """mean and std of the listed variables, at most one row each."""
-    return (stats.filter(F.col("variable").isin(*variables)).groupBy("variable")
-            .agg(F.first("mean").alias("mean"), F.first("std").alias("std")))
+    """mean and std of the listed variables; two rows of one variable fail the job."""
+    twice = F.raise_error(F.concat(F.lit("two statistics rows of "), F.col("variable"))).cast("double")
+    d = (stats.filter(F.col("variable").isin(*variables)).groupBy("variable")
+         .agg(F.first("mean").alias("mean"), F.first("std").alias("std"), F.count(F.lit(1)).alias("__n")))
+    return d.select("variable", *[F.when(F.col("__n") == 1, F.col(c)).otherwise(twice).alias(c) for c in ("mean", "std")])
 
 
 def standardise(df: DataFrame, stats: DataFrame, variables, value: str = "value") -> DataFrame:

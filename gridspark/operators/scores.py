@@ -37,27 +37,31 @@ KEPT_SCALARS = {"Benchmark Period Mean (intersection)": "Benchmark",
                 "Model Period Mean (intersection)": "Model"}
 CO2_BASELINE_PPM = 300.0
 KELVIN = 273.15
+EXPERIMENT_ORDER = ("tmp", "co2", "pre")
 
 
-def counterfactual_table(df: DataFrame, mean_temperature_k: float, order_col: str | None = None) -> DataFrame:
+def counterfactual_table(df: DataFrame, mean_temperature_k: float | None, order_col: str | None = None) -> DataFrame:
     """Score rows of offset experiments on an absolute axis ``x``.
 
     Input columns: experiment, model, scalar_name, variable, region, data. CO2 offsets
     become ppm, precipitation offsets drier percentages, temperature offsets degrees C
-    around the mean; benchmarks sit at 0, once per (variable, region); rows that do not
-    parse go away.
+    around the mean, or stay bare without one; benchmarks sit at 0, once per (variable,
+    region), the first experiment of EXPERIMENT_ORDER before others; rows that do not parse go away.
     """
     kinds = F.create_map(*[F.lit(x) for kv in KEPT_SCALARS.items() for x in kv])
     d = df.filter(F.col("scalar_name").isin(*KEPT_SCALARS))
     d = d.withColumn("type", F.try_element_at(kinds, F.col("scalar_name")))
+    rank = F.lit(len(EXPERIMENT_ORDER))
+    for i, name in enumerate(EXPERIMENT_ORDER):
+        rank = F.when(F.col("experiment") == name, i).otherwise(rank)
     d = first_of_flagged(d, ["variable", "region"], F.col("type") == "Benchmark",
-                         [order_col] if order_col else ["experiment", "model", "data"])
+                         [order_col] if order_col else [rank, "experiment", "model", "data"])
     pct = F.nullif(F.regexp_extract("model", r"([-+]?\d+)pct$", 1), F.lit("")).cast("int")
     tmp = F.nullif(F.regexp_extract("model", r"tmp_([-+]?\d+)$", 1), F.lit("")).cast("double")
     x = (F.when(F.col("type") == "Benchmark", 0.0)
          .when((F.col("experiment") == "co2") & pct.isNotNull(), CO2_BASELINE_PPM * (1 + pct / 100))
          .when((F.col("experiment") == "pre") & pct.isNotNull(), -F.abs(pct).cast("double"))
-         .when((F.col("experiment") == "tmp") & tmp.isNotNull(), mean_temperature_k - KELVIN + tmp)
+         .when((F.col("experiment") == "tmp") & tmp.isNotNull(), (0.0 if mean_temperature_k is None else mean_temperature_k - KELVIN) + tmp)
          .otherwise(F.col("model").try_cast("double")))
     return d.withColumn("x", x).filter(F.col("x").isNotNull())
 

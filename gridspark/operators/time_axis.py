@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from gridspark.functions import noleap as nl
-from gridspark.functions.sizing import broadcast_bounded
+from gridspark.functions.sizing import broadcast_bounded, one_row
 
 
 def axis_for_years(years: DataFrame, res: str = "day", anchor: str = "start") -> DataFrame:
@@ -51,15 +51,14 @@ def replace_axis(df: DataFrame, keys, axis: DataFrame, order: str = "t", axis_le
     """Put the rows of each series, by position, on the time steps of ``axis``.
 
     ``axis`` has the columns pos (from 1) and t, at most ``axis_bound`` rows. A series
-    whose length differs from ``axis_len`` fails the job.
+    whose length differs from ``axis_len``, by default that of the axis, fails the job.
     """
     series = W.partitionBy(*keys)
     d = (df.withColumn("pos", F.row_number().over(series.orderBy(order)))
          .withColumn("__n", F.count(F.lit(1)).over(series)))
-    if axis_len is not None:
-        wrong = F.raise_error(F.format_string(
-            f"series has %d steps, the axis {axis_len}", F.col("__n")))
-        d = d.withColumn("pos", F.when(F.col("__n") == axis_len, F.col("pos")).otherwise(wrong))
+    n = F.lit(axis_len) if axis_len is not None else one_row(axis.agg(F.count(F.lit(1)).alias("n")))["n"]
+    wrong = F.raise_error(F.format_string("series has %d steps, the axis %d", F.col("__n"), n))
+    d = d.withColumn("pos", F.when(F.col("__n") == n, F.col("pos")).otherwise(wrong.cast("int")))
     d = d.drop("__n", "t")
     return d.join(broadcast_bounded(axis.select("pos", "t"), axis_bound), "pos").drop("pos")
 

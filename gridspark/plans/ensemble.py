@@ -21,10 +21,10 @@ def clean_model_output(df: DataFrame, src: GridSpec | None = None, dst: GridSpec
     return cl.clip_negative(d)
 
 
-def ensemble_mean_field(df: DataFrame) -> DataFrame:
-    """Strict mean over sources per variable, scenario, cell and step."""
+def ensemble_mean_field(df: DataFrame, n_sources: int) -> DataFrame:
+    """Strict mean over ``n_sources`` sources per variable, scenario, cell and step."""
     keys = ["variable", "scenario", *CELL, "t", "year", "month"]
-    return ag.ensemble_mean(df, keys).withColumn("source", F.lit("ENSMEAN"))
+    return ag.ensemble_mean(df, keys, n_sources).withColumn("source", F.lit("ENSMEAN"))
 
 
 def missing_inputs(catalog: DataFrame, models, scenarios, variables) -> DataFrame:

@@ -120,9 +120,9 @@ def global_mean_from_rows(spark, sf):
 
 
 @query("a13_ensemble_mean", f"""
-WITH {ad.field_gaps_sql()} SELECT lat_idx, lon_idx, t, round(CASE WHEN count(value) = count(*) THEN avg(value) END, 6) AS value FROM field GROUP BY ALL""")
+WITH {ad.field_gaps_sql()} SELECT lat_idx, lon_idx, t, round(CASE WHEN count(value) = 4 THEN avg(value) END, 6) AS value FROM field GROUP BY ALL""")
 def ensemble_mean(spark, sf):
-    return rounded(ag.ensemble_mean(ad.field_gaps(spark, sf), ["lat_idx", "lon_idx", "t"]), "value")
+    return rounded(ag.ensemble_mean(ad.field_gaps(spark, sf), ["lat_idx", "lon_idx", "t"], 4), "value")
 
 
 @query("a14_scenario_mean", f"""
@@ -228,7 +228,7 @@ def histogram(spark, sf):
 WITH {ad.PAIRS_SQL}, b AS (SELECT *, greatest(0, least(49, CAST(floor(y / 2000) AS INT))) AS bx, greatest(0, least(49, CAST(floor(yhat / 2000) AS INT))) AS by2 FROM pairs)
 SELECT l_orderkey, l_linenumber, y, count(*) OVER (PARTITION BY variable, bx, by2) AS density FROM b""")
 def point_density(spark, sf):
-    d = ag.point_density(ad.pairs(spark, sf), "y", "yhat", (0.0, 100000.0), (0.0, 100000.0), 50, key="variable", key_values=("A", "N", "R"))
+    d = ag.point_density(ad.pairs(spark, sf), "y", "yhat", (0.0, 100000.0), (0.0, 100000.0), 50, key="variable")
     return d.select("l_orderkey", "l_linenumber", "y", "density")
 
 

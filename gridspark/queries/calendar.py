@@ -91,13 +91,13 @@ def replace_axis(spark, sf):
 
 
 @query("t06_year_file_days", f"""
-WITH d AS (SELECT CAST(year(l_shipdate) AS INT) AS year, CAST(dayofyear(l_shipdate) - 1 AS INT) AS i, count(*) AS n
-  FROM lineitem WHERE dayofyear(l_shipdate) <= 365 GROUP BY ALL)
+WITH d AS (SELECT CAST(year(l_shipdate) AS INT) AS year, CAST({ad.CUM_SQL}[month(l_shipdate)]
+  + CASE WHEN month(l_shipdate) = 2 AND day(l_shipdate) = 29 THEN 28 ELSE day(l_shipdate) END - 1 AS INT) AS i, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT year, i, CAST((year - 1901) * 365 + i AS INT) AS t, n FROM d""")
 def year_file_days(spark, sf):
     d = ad.table(spark, sf, "lineitem").groupBy(
-        F.year("l_shipdate").alias("year"), (F.dayofyear("l_shipdate") - 1).alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    return d.filter("i < 365").withColumn("t", nl.year_file_day("year", F.col("i")))
+        F.year("l_shipdate").alias("year"), F.pmod(nl.date_to_day("l_shipdate"), F.lit(365)).cast("int").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    return d.withColumn("t", nl.year_file_day("year", F.col("i")))
 
 
 @query("t07_floor_times", """

@@ -14,12 +14,12 @@ _M = ("source", "cell", "year", "month")
 @query("e01_ensemble_mean_of_cleaned_models", f"""
 WITH {ad.field_vars_sql("source", "scenario", "cell", "year", "month", variables=("gpp", "ra"))},
 c AS (SELECT variable, scenario, lat_idx, lon_idx, year, month, CASE WHEN value > 250 THEN NULL ELSE greatest(value - 20, 0) END AS v FROM field)
-SELECT variable, scenario, lat_idx, lon_idx, CAST((year - 1901) * 365 + {ad.CUM_SQL}[month] AS INT) AS t, round(CASE WHEN count(v) = count(*) THEN avg(v) END, 6) AS value FROM c GROUP BY ALL""")
+SELECT variable, scenario, lat_idx, lon_idx, CAST((year - 1901) * 365 + {ad.CUM_SQL}[month] AS INT) AS t, round(CASE WHEN count(v) = 4 THEN avg(v) END, 6) AS value FROM c GROUP BY ALL""")
 def ensemble_mean_of_cleaned_models(spark, sf):
     f = ad.field_vars(spark, sf, "source", "scenario", "cell", "year", "month", variables=("gpp", "ra"))
     f = f.withColumns({"t": ad.nl.day_number("year", F.col("month")),
                        "value": F.when(F.col("value") > 250, 1e20).otherwise(F.col("value") - 20)})
-    d = ensemble.ensemble_mean_field(ensemble.clean_model_output(f))
+    d = ensemble.ensemble_mean_field(ensemble.clean_model_output(f), 4)
     return rounded(d.select("variable", "scenario", "lat_idx", "lon_idx", "t", "value"), "value")
 
 

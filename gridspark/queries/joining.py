@@ -30,11 +30,11 @@ def align_exact(spark, sf):
 
 
 @query("j02_align_inner", f"""
-WITH {_TWO}, p AS (SELECT * FROM b WHERE year >= 1997)
+WITH {_TWO}, p AS (SELECT * REPLACE (CAST(year + 1 AS INT) AS year) FROM b)
 SELECT {KS}, year, round(a.value, 6) AS label, round(p.value, 6) AS predicted FROM a JOIN p USING ({KS}, year)""")
 def align_inner(spark, sf):
     a, b = _two(spark, sf)
-    return rounded(jn.align_inner(a, b.filter("year >= 1997"), ON), "label", "predicted")
+    return rounded(jn.align_inner(a, b.withColumn("year", F.col("year") + 1), ON), "label", "predicted")
 
 
 @query("j03_merge_variables", f"""
@@ -116,10 +116,10 @@ def union_of_keys(spark, sf):
 
 
 @query("j11_insert_external", f"""
-WITH {ad.field_sql("source", "year")}, x AS (SELECT CAST(year(o_orderdate) AS INT) AS year, avg(o_totalprice / 365.2425) AS external FROM orders WHERE year(o_orderdate) > 1997 GROUP BY 1)
+WITH {ad.field_sql("source", "year")}, x AS (SELECT CAST(year(o_orderdate) + 2 AS INT) AS year, avg(o_totalprice / 365.2425) AS external FROM orders GROUP BY 1)
 SELECT source, year, round(value, 6) AS value, round(external, 6) AS external FROM field LEFT JOIN x USING (year)""")
 def insert_external(spark, sf):
-    x = ad.table(spark, sf, "orders").filter(F.year("o_orderdate") > 1997).groupBy(F.year("o_orderdate").alias("year")).agg(
+    x = ad.table(spark, sf, "orders").groupBy((F.year("o_orderdate") + 2).alias("year")).agg(
         F.avg(F.col("o_totalprice") / 365.2425).alias("external"))
     return rounded(jn.insert_external(ad.field(spark, sf, "source", "year"), x, ["year"], "external"), "value", "external")
 
@@ -131,5 +131,5 @@ SELECT CAST(tile_id AS INT) AS tile_id, count(*) AS n, round(avg(value), 6) AS v
 def skip_tiles(spark, sf):
     tile = HALF_DEGREE.tile_id("lat_idx", "lon_idx")
     done = ad.cells(spark, sf).groupBy(tile.alias("tile_id")).agg(F.avg("value").alias("v")).filter("v > 3.5")
-    d = jn.skip_tiles(ad.field_month(spark, sf).withColumn("tile_id", tile), done, HALF_DEGREE)
+    d = jn.skip_tiles(ad.field_month(spark, sf).withColumn("tile_id", tile), done)
     return rounded(d.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value")), "value")

@@ -12,14 +12,14 @@ KS = ", ".join(K)
 
 @query("m01_finite_mask", f"""
 WITH {ad.field_gaps_sql()}, s AS (SELECT lat_idx, lon_idx, year, month, avg(value) AS value FROM field GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (PARTITION BY lat_idx, lon_idx ORDER BY year, month) AS rn FROM s),
-a AS (SELECT lat_idx, lon_idx, CAST(count(value) = count(*) AS INT) AS all_steps FROM s GROUP BY ALL),
-b AS (SELECT lat_idx, lon_idx, CAST(count(value) = count(*) AS INT) AS first_steps FROM p WHERE rn <= 3 GROUP BY ALL)
-SELECT * FROM a JOIN b USING (lat_idx, lon_idx)""")
+x AS (SELECT year, month, row_number() OVER (ORDER BY year, month) AS rn FROM (SELECT DISTINCT year, month FROM s)),
+c AS (SELECT DISTINCT lat_idx, lon_idx FROM s),
+dense AS (SELECT c.lat_idx, c.lon_idx, x.rn, s.value FROM c CROSS JOIN x LEFT JOIN s USING (lat_idx, lon_idx, year, month))
+SELECT lat_idx, lon_idx, CAST(bool_and(value IS NOT NULL) AS INT) AS all_steps, CAST(bool_and(value IS NOT NULL) FILTER (rn <= 3) AS INT) AS first_steps FROM dense GROUP BY ALL""")
 def finite_mask(spark, sf):
     s = ad.field_gaps(spark, sf).groupBy("lat_idx", "lon_idx", "t").agg(F.avg("value").alias("value"))
-    a = mk.finite_mask(s).withColumnRenamed("finite_mask", "all_steps")
-    b = mk.finite_mask(s, first_n=3).withColumnRenamed("finite_mask", "first_steps")
+    a = mk.finite_mask(s, s).withColumnRenamed("finite_mask", "all_steps")
+    b = mk.finite_mask(s, s, first_n=3).withColumnRenamed("finite_mask", "first_steps")
     return a.join(b, ["lat_idx", "lon_idx"])
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridspark.functions.geo import HALF_DEGREE
+from gridspark.functions.sizing import one_row
 from gridspark.operators import quality as qu
 from gridspark.queries.registry import LAT, query, rounded
 from gridspark.sources import adapters as ad
@@ -19,10 +20,12 @@ def _land(d):
 
 @query("c01_missing_report", f"""
 WITH {FG}, l AS (SELECT source, lat_idx, lon_idx, t, CASE WHEN lat_idx % 36 = 2 OR month = 5 THEN NULL ELSE value END AS v FROM field WHERE {_LAND}),
-bt AS (SELECT source, t, count(*) AS n, count(v) AS ok FROM l GROUP BY ALL), bc AS (SELECT source, lat_idx, lon_idx, count(v) AS ok FROM l GROUP BY ALL),
-a AS (SELECT source, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) - sum(ok) AS BIGINT) AS n_missing, count(*) AS n_steps, count(CASE WHEN ok = 0 THEN 1 END) AS empty_steps FROM bt GROUP BY source),
+bt AS (SELECT source, t, count(v) AS ok FROM l GROUP BY ALL), bc AS (SELECT source, lat_idx, lon_idx, count(v) AS ok FROM l GROUP BY ALL),
+dn AS (SELECT c.source, l.v FROM bc c JOIN bt t ON c.source = t.source LEFT JOIN l ON l.source = c.source AND l.lat_idx = c.lat_idx AND l.lon_idx = c.lon_idx AND l.t = t.t),
+m AS (SELECT source, count(*) AS n, count(*) - count(v) AS n_missing FROM dn GROUP BY source),
+a AS (SELECT source, count(*) AS n_steps, count(CASE WHEN ok = 0 THEN 1 END) AS empty_steps FROM bt GROUP BY source),
 b AS (SELECT source, count(*) AS n_cells, count(CASE WHEN ok = 0 THEN 1 END) AS empty_cells FROM bc GROUP BY source)
-SELECT a.*, n_cells, empty_cells, round(n_missing / n, 8) AS missing_share FROM a JOIN b USING (source)""")
+SELECT a.*, n, n_missing, n_cells, empty_cells, round(n_missing / n, 8) AS missing_share FROM a JOIN b USING (source) JOIN m USING (source)""")
 def missing_report(spark, sf):
     gone = (F.pmod("lat_idx", F.lit(36)) == 2) | (F.col("month") == 5)
     f = _land(ad.field_gaps(spark, sf)).withColumn("value", F.when(~gone, F.col("value")))
@@ -30,10 +33,12 @@ def missing_report(spark, sf):
 
 
 @query("c02_partial_cells", f"""
-WITH {FG}, s AS (SELECT source, 1 - count(value) / count(*) AS s FROM field GROUP BY source, lat_idx, lon_idx)
+WITH {FG}, s AS (SELECT source, 1 - count(value) / (SELECT count(DISTINCT t) FROM field) AS s FROM field GROUP BY source, lat_idx, lon_idx)
 SELECT source, count(*) AS partial_cells, round(avg(s), 8) AS mean_missing_share FROM s WHERE s > 0 AND s < 1 GROUP BY source""")
 def partial_cells(spark, sf):
-    return rounded(qu.partial_cells(ad.field_gaps(spark, sf), ["source"]), "mean_missing_share", n=8)
+    f = ad.field_gaps(spark, sf)
+    n = one_row(f.select("t").distinct().agg(F.count("t").alias("n")))["n"]
+    return rounded(qu.partial_cells(f, n, ["source"]), "mean_missing_share", n=8)
 
 
 _VARS = f"{ad.field_vars_sql('source', 'cell', 'year')}, g AS (SELECT variable, source, lat_idx, lon_idx, year, CASE WHEN value BETWEEN 15 AND 40 OR value > 200 THEN NULL ELSE value END AS value FROM field)"

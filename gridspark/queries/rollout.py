@@ -163,9 +163,9 @@ def _cumulative(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 @query("ud01_apply_series", f"""
-WITH {FM}, k AS (SELECT *, value * 2 AS v2 FROM field WHERE year <= 1999)
+WITH {FM}, k AS (SELECT *, value * 2 AS v2 FROM field)
 SELECT {KS}, t, round(sum(v2) OVER (PARTITION BY {KS} ORDER BY t), 5) AS value FROM k""")
 def apply_series_query(spark, sf):
-    steps = [lambda d: d.filter("year <= 1999"), lambda d: d.withColumn("value", F.col("value") * 2),
+    steps = [lambda d: d.withColumn("value", F.col("value") * 2),
              lambda d: apply_series(d, K, _cumulative, "source string, lat_idx int, lon_idx int, t int, value double")]
     return rounded(apply_steps(ad.field_month(spark, sf), steps), "value", n=5)

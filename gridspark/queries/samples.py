@@ -97,8 +97,10 @@ st AS (SELECT (SELECT avg(pre) FROM d) AS m1, (SELECT stddev_pop(pre) FROM d) AS
 
 @query("n05_assemble_samples", f"""
 WITH {_SAMPLES},
-m AS (SELECT scenario, loc_id, year, month, drynhx, lag(lai, 1, 0.0) OVER (PARTITION BY scenario, loc_id ORDER BY year, month) AS lai FROM m0),
-a AS (SELECT scenario, loc_id, year, co2, lag(cveg, 1, 0.0) OVER (PARTITION BY scenario, loc_id ORDER BY year) AS cveg FROM a0),
+m AS (SELECT scenario, loc_id, year, month, drynhx, CASE WHEN row_number() OVER (PARTITION BY scenario, loc_id ORDER BY year, month) = 1 THEN 0.0
+  ELSE max(lai) OVER (PARTITION BY scenario, loc_id ORDER BY year * 12 + month RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) END AS lai FROM m0),
+a AS (SELECT scenario, loc_id, year, co2, CASE WHEN row_number() OVER (PARTITION BY scenario, loc_id ORDER BY year) = 1 THEN 0.0
+  ELSE max(cveg) OVER (PARTITION BY scenario, loc_id ORDER BY year RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) END AS cveg FROM a0),
 j AS (SELECT d.*, m.drynhx, m.lai, a.co2, a.cveg, min(d.year) OVER (PARTITION BY scenario, loc_id) AS y0 FROM d JOIN m USING (scenario, loc_id, year, month) JOIN a USING (scenario, loc_id, year))
 SELECT scenario, loc_id, year, month, t, round((pre - m1) / s1, 5) AS pre, round((tmp - m2) / s2, 5) AS tmp, round((drynhx - m3) / s3, 5) AS drynhx,
   round((lai - m4) / s4, 5) AS lai, round((co2 - m5) / s5, 5) AS co2, round((cveg - m6) / s6, 5) AS "cVeg" FROM j, st WHERE year > y0""")

@@ -105,12 +105,12 @@ def common_values(spark, sf):
 
 
 @query("u04_wanted_minus_present", """
-SELECT p_partkey AS partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01')""")
+SELECT c_custkey AS custkey, status FROM customer, (SELECT unnest(['F', 'O', 'P']) AS status) EXCEPT SELECT o_custkey, o_orderstatus FROM orders""")
 def wanted_minus_present(spark, sf):
-    w = ad.table(spark, sf, "part").select(F.col("p_partkey").alias("partkey"))
-    recent = F.col("l_shipdate") >= F.lit("2001-01-01").cast("timestamp_ntz")
-    p = ad.table(spark, sf, "lineitem").filter(recent).select(F.col("l_partkey").alias("partkey"))
-    return sa.wanted_minus_present(w, p, ["partkey"])
+    every = F.explode(F.array(*[F.lit(s) for s in "FOP"])).alias("status")
+    w = ad.table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), every)
+    p = ad.table(spark, sf, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status"))
+    return sa.wanted_minus_present(w, p, ["custkey", "status"])
 
 
 @query("u05_first_of_flagged", """
@@ -124,10 +124,10 @@ def first_of_flagged(spark, sf):
 
 
 @query("u06_stitch_runs", """
-WITH r AS (SELECT o_custkey AS epoch, o_orderkey AS ts, o_totalprice AS loss, o_orderstatus AS run FROM orders WHERE o_orderstatus IN ('F', 'O'))
+WITH r AS (SELECT o_custkey AS epoch, o_orderkey AS ts, o_totalprice AS loss, o_orderstatus AS run FROM orders)
 SELECT epoch, ts, loss, run FROM r QUALIFY row_number() OVER (PARTITION BY epoch ORDER BY ts DESC) = 1""")
 def stitch_runs(spark, sf):
     o = ad.table(spark, sf, "orders").select(F.col("o_custkey").alias("epoch"), F.col("o_orderkey").alias("ts"),
                                              F.col("o_totalprice").alias("loss"), F.col("o_orderstatus").alias("run"))
-    runs = sa.concatenate([o.filter("run = 'F'"), o.filter("run = 'O'")])
+    runs = sa.concatenate([o.filter(F.col("run") == s) for s in "FOP"])
     return sc.stitch_runs(runs)

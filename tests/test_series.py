@@ -125,7 +125,8 @@ def test_standardise_round_trip_and_failure(spark):
 
 def test_strict_and_skipping_means(spark):
     df = spark.createDataFrame([("x", 1.0), ("x", None), ("y", 2.0), ("y", 4.0)], "k string, value double")
-    assert {r.k: r.value for r in ag.ensemble_mean(df, ["k"]).collect()} == {"x": None, "y": 3.0}
+    assert {r.k: r.value for r in ag.ensemble_mean(df, ["k"], 2).collect()} == {"x": None, "y": 3.0}
+    assert {r.value for r in ag.ensemble_mean(df, ["k"], 3).collect()} == {None}  # a member without a row
     assert {r.k: r.value for r in ag.time_mean(df, ["k"]).collect()} == {"x": 1.0, "y": 3.0}
 
 
