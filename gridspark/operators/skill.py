@@ -75,10 +75,13 @@ def taylor_statistics(df: DataFrame, keys, y: str = "y", p: str = "yhat") -> Dat
                           "theta": F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("corr"))))})
 
 
+TOTAL_ROW = "TOTAL"
+
+
 def supervised_score(daily: DataFrame, labels_monthly: DataFrame, labels_annual: DataFrame, keys,
                      weights: dict[str, float] | None = None, loss: str = "mse") -> DataFrame:
     """Loss per variable of daily predictions pooled to the resolution of the labels, with
-    its weight; the sum of weight * loss is the score."""
+    its weight, and the row TOTAL whose ``weighted`` is the sum of weight * loss."""
     def score(pooled, labels, on):
         d = pooled.join(labels.select(*on, F.col("value").alias("label")), on)
         e = F.col("value") - F.col("label")
@@ -92,7 +95,11 @@ def supervised_score(daily: DataFrame, labels_monthly: DataFrame, labels_annual:
         w = F.coalesce(F.try_element_at(m, F.col("variable")), F.lit(1.0))
     else:
         w = F.lit(1.0)
-    return d.withColumn("weight", w).withColumn("weighted", F.col("weight") * F.col("loss"))
+    d = d.withColumn("weight", w).withColumn("weighted", F.col("weight") * F.col("loss"))
+    whole = F.grouping("variable") == 1  # one pass gives the variables and their sum
+    d = d.rollup("variable").agg(F.first("loss").alias("__l"), F.first("weight").alias("__w"), F.sum("weighted").alias("weighted"), whole.alias("__all"))
+    return d.select(F.when(F.col("__all"), TOTAL_ROW).otherwise(F.col("variable")).alias("variable"),
+                    F.when(~F.col("__all"), F.col("__l")).alias("loss"), F.when(~F.col("__all"), F.col("__w")).alias("weight"), "weighted")
 
 
 def loss_rollup(df: DataFrame, keys, loss: str = "loss", n: str = "n") -> DataFrame:

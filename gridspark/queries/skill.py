@@ -70,7 +70,8 @@ m AS (SELECT variable, lat_idx, lon_idx, year, month, avg(value) AS p FROM d GRO
 l AS (SELECT variable, lat_idx, lon_idx, year, month, max(value) AS label FROM d GROUP BY ALL),
 s AS (SELECT variable, avg((p - label) * (p - label)) AS loss FROM m JOIN l USING (variable, lat_idx, lon_idx, year, month) WHERE variable <> 'error' GROUP BY variable
   UNION ALL SELECT variable, avg((p - label) * (p - label)) FROM y JOIN l USING (variable, lat_idx, lon_idx, year) WHERE variable = 'error' GROUP BY variable)
-SELECT variable, round(loss, 5) AS loss, CAST(CASE WHEN variable = 'click' THEN 2 ELSE 1 END AS DOUBLE) AS weight, round(CASE WHEN variable = 'click' THEN 2.0 ELSE 1.0 END * loss, 5) AS weighted FROM s""")
+SELECT variable, round(loss, 5) AS loss, CAST(CASE WHEN variable = 'click' THEN 2 ELSE 1 END AS DOUBLE) AS weight, round(CASE WHEN variable = 'click' THEN 2.0 ELSE 1.0 END * loss, 5) AS weighted FROM s
+UNION ALL SELECT 'TOTAL', NULL, NULL, round(sum(CASE WHEN variable = 'click' THEN 2.0 ELSE 1.0 END * loss), 5) FROM s""")
 def supervised_score(spark, sf):
     from gridspark.functions import noleap as nl
     d = ad.field_day(spark, sf).withColumns({"year": nl.year_of("t"), "month": nl.month_of("t")})
