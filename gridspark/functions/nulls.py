@@ -26,6 +26,12 @@ def clean_value(c, sentinels=SENTINELS) -> Column:
     return F.when(finite(c) & ~c.isin(*marks), c)
 
 
+def only_value(c) -> Column:
+    """The one present value of a group, missing without any; two fail the job."""
+    two = F.raise_error(F.lit("two values where one is expected")).cast("double")
+    return F.when(F.count(c) <= 1, F.first(c, ignorenulls=True)).otherwise(two)
+
+
 def strict_avg(c) -> Column:
     """Mean that is missing as soon as one input is missing."""
     c = F.col(c) if isinstance(c, str) else c

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridspark.functions import noleap as nl
 from gridspark.functions.geo import GridSpec, HALF_DEGREE, lat_band
-from gridspark.functions.nulls import sum0, weighted_avg
+from gridspark.functions.nulls import only_value, sum0, weighted_avg
 from gridspark.functions.ranking import exact_quantiles
 from gridspark.functions.sizing import broadcast_bounded, one_row
 
@@ -283,7 +283,7 @@ def quantile_clip(df: DataFrame, keys, value: str = "value", low: float = 0.02,
 def report_table(df: DataFrame, key, column: str, values, value: str = "value") -> DataFrame:
     """Wide report: rows are keys, one column per listed model; keys of any model appear."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).pivot(column, list(values)).agg(F.first(value, ignorenulls=True))
+    return df.groupBy(*keys).pivot(column, list(values)).agg(only_value(value))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

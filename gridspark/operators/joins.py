@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridspark.functions.nulls import only_value
 from gridspark.functions.sizing import broadcast_bounded, one_row, per_cell
 
 
@@ -20,8 +21,9 @@ def align_exact(a: DataFrame, b: DataFrame, on) -> DataFrame:
 
 
 def merge_variables(df: DataFrame, keys, names, name: str = "variable", value: str = "value") -> DataFrame:
-    """Outer merge of variables into columns: one shuffle, however many variables."""
-    return df.groupBy(*keys).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
+    """Outer merge of variables into columns: one shuffle, however many variables. Two values of a
+    variable at one key fail the job."""
+    return df.groupBy(*keys).pivot(name, list(names)).agg(only_value(value))
 
 
 def reindex(target: DataFrame, src: DataFrame, on) -> DataFrame:

@@ -114,3 +114,11 @@ def test_rollout_with_a_missing_key(spark):
         assert by(out, "s") == [1.0, 2.0, 3.0]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_two_values_in_one_cell_of_a_wide_table_fail(spark):
+    d = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (1, "b", 3.0)], "k int, variable string, value double")
+    assert jn.merge_variables(d.filter("value <> 2"), ["k"], ["a", "b"]).first().asDict() == {"k": 1, "a": 1.0, "b": 3.0}
+    for wide in (jn.merge_variables(d, ["k"], ["a", "b"]), ag.report_table(d, "k", "variable", ["a", "b"])):
+        with pytest.raises(Exception, match="two values where one is expected"):
+            wide.collect()
