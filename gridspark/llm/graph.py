@@ -4,11 +4,29 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridspark.functions.sizing import stored
 
+#: Neighbours from which a node counts as a hub, and how many hubs a table has at most (a larger one has a higher limit).
+HUB_ROWS = 1_000
+MAX_HUBS = 100_000
+
 
 def _stamp(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _with_least(both: DataFrame, ends: int) -> DataFrame:
+    """Each row (u, v) with ``m``, the smallest of u and its neighbours. Rows of a node with more
+    than ``limit`` neighbours are not brought together: such nodes are at most MAX_HUBS by
+    counting, and their table is broadcast to the rows."""
+    limit = max(HUB_ROWS, -(-ends // MAX_HUBS))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+    hubs = stored(least.filter(F.col("c") > limit).select("u", "m"), "hubs")
+    if hubs.isEmpty():
+        return both.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(hubs)
+    rest = both.join(hubs, "u", "left_anti").join(least.filter(F.col("c") <= limit).select("u", "m"), "u")
+    return both.join(hubs, "u").unionByName(rest)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): for every node of an edge its smallest reachable node, itself included.
 
@@ -23,8 +41,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     stamp = _stamp(e)
     while stamp[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, 2 * stamp[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.filter("u <> v").distinct(), name)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(

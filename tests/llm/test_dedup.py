@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gridspark.llm import ngram_join, suffix
+from gridspark.llm import graph, ngram_join, suffix
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, block int, grp string"
@@ -38,6 +38,16 @@ def test_components(spark, n, percent, block):
     assert got == brute.components(rows, n, percent)
 
 
+@pytest.mark.parametrize("hub_rows", [2, 1000])
+def test_components_of_hubs(spark, monkeypatch, hub_rows):
+    """Stars, a path of hubs, repeated, null and looped edges, with and without nodes that count as hubs."""
+    monkeypatch.setattr(graph, "HUB_ROWS", hub_rows)
+    edges = [(100 + i, 100) for i in range(40)] + [(300 + i, 300) for i in range(9)] + [(105, 304), (7, 139), (500, 501), (501, 502), (100, 101), (900, 900), (None, 3)]
+    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    large = {*range(100, 140), *range(300, 309), 7}
+    assert got == {**{x: 7 for x in large}, 500: 500, 501: 500, 502: 500}
+
+
 def test_components_edges(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).collect() == []
     rows = [(None, "a b c d"), (None, None), (5, "a b c d"), (4, "a b c d"), (4, "a b c d"), (4, "q r s t u"), (9, "q r s t u"), (7, None), (7, "")]
