@@ -1,5 +1,7 @@
 """Carried-state scoring, state templates, nudging and counterfactual offsets."""
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -82,10 +84,36 @@ def rollout_affine(df: DataFrame, keys, gain: float, weight: float, initial: flo
     return _fold(g, list(keys), order, F.lit(gain), F.lit(weight), F.lit(initial))
 
 
+class Nudging(NamedTuple):
+    """How a rollout pulls its states: (mean, std) per state, strength and mode of ``nudge``."""
+    stats: dict[str, tuple[float, float]]
+    lam: float
+    mode: str = "z_shrink"
+
+    def of(self, name: str, value: np.ndarray) -> np.ndarray:
+        mu, sd = self.stats.get(name, (0.0, 1.0))
+        sd = sd if sd is not None and np.isfinite(sd) and sd > 0 else 1.0
+        z, lam = (value - mu) / sd, self.lam
+        if self.mode == "none" or lam == 0:
+            return value
+        if self.mode == "original":
+            return mu + (lam * sd - z) * sd
+        if self.mode == "z_shrink":
+            return mu + (1 - lam) * z * sd
+        if self.mode == "z_mirror":
+            return mu + np.clip(z, -3.0, 3.0) * sd
+        if self.mode == "z_adaptive":
+            k = 1 - max(0.0, min(1.0, lam))
+            return mu + np.where(np.abs(z) <= 3.0, k * z, np.sign(z) * (3.0 - (3.0 - np.abs(z)) * k)) * sd
+        raise ValueError(f"unknown nudge mode {self.mode!r}")
+
+
 # --- rollout with a caller's predictor -----------------------------------------------
 
 def rollout(df: DataFrame, keys, predict, states: dict[str, str], outputs, carry: str = "annual",
-            cell=CELL, steps=("year", "month"), initial: float = 0.0, grid: GridSpec = HALF_DEGREE) -> DataFrame:
+            cell=CELL, steps=("year", "month"), initial: float = 0.0, grid: GridSpec = HALF_DEGREE,
+            start: dict[str, str] | None = None, complete=(), nudging: Nudging | None = None,
+            split: int = 1) -> DataFrame:
     """Yearly rollout with any predictor, a tile of cells at a time.
 
     ``predict(frame)`` gets one year of all cells of a tile as a pandas frame, ordered by
@@ -93,10 +121,18 @@ def rollout(df: DataFrame, keys, predict, states: dict[str, str], outputs, carry
     'monthly' or 'annual'), and returns the ``outputs`` (a superset of the states) as
     columns in the same row order. ``keys`` are what a tile is repeated over (source,
     scenario). Carry rules: 'annual' (last year's mean) and 'december' (monthly states
-    take last December in January, 0 in other months).
+    take last December in January, 0 in other months); missing steps do not enter a mean.
+
+    In the first year of a cell a state is ``initial``, or the column that ``start`` names
+    for it (``seed_states`` may have changed that column); then the state's output of that
+    year is this start value too, and is what is carried on. In later years ``nudging``
+    pulls the state outputs before they are carried. With ``complete`` columns a cell-year
+    with a missing value in one of them or in a state is not predicted: its outputs are
+    missing, and so is the state it hands on.
 
     Partitions are sorted by tile and year and read as a stream, so a task holds one year
-    of one tile (at most tile*tile cells) and its carried states, not the whole series.
+    of one tile (at most tile*tile cells, or about that over ``split``) and its carried
+    states, not the whole series.
     """
     keys, cell, steps = list(keys), list(cell), list(steps)
     year = steps[0]
@@ -104,56 +140,88 @@ def rollout(df: DataFrame, keys, predict, states: dict[str, str], outputs, carry
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in names)
     schema += "".join(f", `{o}` double" for o in outputs)
     unit = [*keys, "__tile"]
-    d = df.withColumn("__tile", grid.tile_id(*cell)) if cell == list(CELL) else df.withColumn(
-        "__tile", F.pmod(F.xxhash64(*cell), F.lit(grid.n_tiles)))
-    d = d.repartition(*unit).sortWithinPartitions(*unit, year, *cell, *steps[1:])
+    tile = grid.tile_id(*cell) if cell == list(CELL) else F.pmod(F.xxhash64(*cell), F.lit(grid.n_tiles))
+    if split > 1:
+        tile = tile * split + F.pmod(F.xxhash64(*cell, F.lit("part")), F.lit(split))
+    d = df.withColumn("__tile", tile).repartition(*unit).sortWithinPartitions(*unit, year, *cell, *steps[1:])
+    rule = (names, cell, steps, predict, dict(states), list(outputs), carry, initial, dict(start or {}), list(complete), nudging)
 
     def run(batches):
-        held, now, carried = [], None, None
+        held, now, carried = [], None, {}
         for pdf in batches:
-            for key, piece in pdf.groupby([*unit, year], sort=False, dropna=False):
-                key = tuple(None if pd.isna(k) else k for k in key)  # NaN of two batches differ
+            first = _starts(pdf, [*unit, year])
+            for a, b in zip(first, [*first[1:], len(pdf)]):
+                key = tuple(None if pd.isna(pdf[c].iat[a]) else pdf[c].iat[a] for c in (*unit, year))
                 if now is not None and key != now:
-                    out, carried = _score_year(pd.concat(held), names, cell, predict, states, outputs, carry, initial, carried)
-                    yield out
+                    yield _score_year(pd.concat(held), rule, carried)
                     if key[:-1] != now[:-1]:
-                        carried = None
+                        carried = {}
                     held = []
                 now = key
-                held.append(piece)
+                held.append(pdf.iloc[a:b])
         if held:
-            yield _score_year(pd.concat(held), names, cell, predict, states, outputs, carry, initial, carried)[0]
+            yield _score_year(pd.concat(held), rule, carried)
 
     return d.mapInPandas(run, schema)
 
 
-def _score_year(frame, names, cell, predict, states, outputs, carry, initial, carried):
-    """Score one year of a tile; returns its rows and the states to carry on, per cell."""
+def _starts(frame, columns) -> list[int]:
+    """First rows of the runs of equal values; missing values are equal."""
+    change = np.zeros(max(len(frame) - 1, 0), bool)
+    for c in columns:
+        code = pd.factorize(frame[c])[0]
+        change |= code[1:] != code[:-1]
+    return [0, *(np.flatnonzero(change) + 1).tolist()] if len(frame) else []
+
+
+def _means(values, first, use):
+    """Mean per run of rows over those in ``use``, missing where there are none."""
+    n = np.add.reduceat(use.astype(float), first)
+    total = np.add.reduceat(np.where(use, values, 0.0), first)
+    return np.divide(total, n, out=np.full(len(first), np.nan), where=n > 0)
+
+
+def _score_year(frame, rule, carried):
+    """Score one year of a tile; returns its rows and leaves in ``carried`` what each cell hands
+    on: (cell) -> (year means, December means) of the states. A cell without rows keeps its own."""
+    names, cell, steps, predict, states, outputs, carry, initial, start, complete, nudging = rule
     frame = frame.reset_index(drop=True)
-    where = pd.MultiIndex.from_frame(frame[cell])
-    for name, kind in states.items():
-        if carried is None:
-            frame[name] = initial
-            continue
-        mean = carried[f"{name}:year"].reindex(where).to_numpy()
-        if carry == "annual" or kind == "annual":
-            frame[name] = mean
-        else:
-            december = carried[f"{name}:december"].reindex(where).to_numpy()
-            frame[name] = np.where(frame["month"].to_numpy() == 1, december, 0.0)
-        fresh = ~where.isin(carried.index)
-        frame.loc[fresh, name] = initial
-    got = predict(frame)
+    first = np.array(_starts(frame, cell))
+    ids = [tuple(None if pd.isna(x) else x for x in t) for t in frame[cell].iloc[first].itertuples(index=False, name=None)]
+    owner = np.repeat(np.arange(len(first)), np.diff([*first, len(frame)]))
+    blank = np.full(len(states), np.nan)
+    last = [carried.get(i, (blank, blank)) for i in ids]
+    year_mean, december = (np.array([x[k] for x in last]) for k in (0, 1))
+    later = np.array([i in carried for i in ids])[owner]
+    month = frame["month"].to_numpy() if "month" in steps else None
+    for k, (name, kind) in enumerate(states.items()):
+        state = year_mean[owner, k]
+        if carry != "annual" and kind != "annual":
+            state = np.where(month == 1, december[owner, k], 0.0)
+        begin = frame[start[name]].to_numpy(dtype=float) if name in start else initial
+        frame[name] = np.where(later, state, begin)
+    ok = np.ones(len(frame), bool)
+    if complete:
+        whole = np.isfinite(frame[[*complete, *states]].to_numpy(dtype=float)).all(1)
+        ok = np.logical_and.reduceat(whole, first)[owner]
+    got = predict(frame[ok].reset_index(drop=True)) if ok.any() else None
     res = frame[names].copy()
     for o in outputs:
-        res[o] = np.asarray(got[o], dtype=float)
-    names_of = list(states)
-    years = res.groupby(cell)[names_of].mean().add_suffix(":year")
-    if "month" in res:
-        december = res[res["month"] == 12].groupby(cell)[names_of].mean().add_suffix(":december")
-        years = years.join(december)
-    # A cell without rows this year keeps what it carried.
-    return res, years if carried is None else years.combine_first(carried)
+        out = np.full(len(frame), np.nan)
+        if got is not None:
+            out[ok] = np.asarray(got[o], dtype=float)
+        if o in states and nudging:
+            out = np.where(later, nudging.of(o, out), out)
+        if o in start:
+            out = np.where(later, out, frame[o])
+        res[o] = out
+    values = [res[name].to_numpy() for name in states]
+    present = [~np.isnan(v) for v in values]
+    year_mean = np.stack([_means(v, first, p) for v, p in zip(values, present)], 1)
+    if month is not None:
+        december = np.stack([_means(v, first, p & (month == 12)) for v, p in zip(values, present)], 1)
+    carried.update(zip(ids, zip(year_mean, december)))
+    return res
 
 
 # --- nudging -------------------------------------------------------------------------
