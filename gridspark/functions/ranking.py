@@ -14,14 +14,16 @@ SPLITS = 64
 
 
 def hash_key(*cols, seed: int = 0) -> Column:
-    """Reproducible pseudo-random 64-bit sort key."""
-    return F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols], F.lit(seed))
+    """Reproducible pseudo-random sort key of 60 bits: the head of an MD5 over the columns as
+    text, which any engine can repeat. A missing value counts as an empty text."""
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts, F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
 
 
 def hash_bucket(h, bits: int = 10) -> Column:
-    """Bucket from the leading bits of a 64-bit hash; keeps the order of the hash."""
+    """Bucket from the leading bits of a hash key; keeps the order of the hash."""
     h = F.col(h) if isinstance(h, str) else h
-    return F.shiftright(h, 64 - bits)
+    return F.shiftright(h, 60 - bits)
 
 
 def attach(df: DataFrame, summary: DataFrame, keys) -> DataFrame:

@@ -28,7 +28,7 @@ def sample_per_region(df: DataFrame, region: str, id_cols, n: int, seed: int = 0
     small = ranked.filter(F.col("__n") < n)
     draws = (small.groupBy(region).agg(F.max("__n").alias("__m"))
              .withColumn("__d", F.explode(F.sequence(F.lit(1), F.lit(n))))
-             .withColumn("draw", (F.pmod(F.xxhash64(region, "__d", F.lit(seed)), F.col("__m")) + 1).cast("int")))
+             .withColumn("draw", (F.pmod(hash_key(region, "__d", seed=seed), F.col("__m")) + 1).cast("int")))
     again = small.join(draws, [region, "draw"]).withColumn("draw", F.col("__d"))
     cols = [*df.columns, "draw"]
     return large.select(*cols).unionByName(again.select(*cols))

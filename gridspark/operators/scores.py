@@ -200,16 +200,18 @@ def parse_log(lines: DataFrame, file: str = "file", line_no: str = "line_no", te
         F.when(F.col("kind") == "probe", F.col("v_loss")).when(F.col("kind") == "preflight", F.col("f_loss"))
         .when(F.col("kind") == "summary", F.col("s_val")).alias("val_loss"),
         F.when(F.col("kind") == "summary", F.col("s_ts")).alias("ts"),
-        F.when(F.col("kind") == "summary", F.col("s_cnt")).alias("val_cnt"), F.col("__b0").alias("base_epoch"))
+        F.when(F.col("kind") == "summary", F.col("s_cnt")).alias("val_cnt"), F.col("__b0").alias("base_epoch"),
+        F.col("__spe").cast("int").alias("steps_per_epoch"))
 
 
 def epoch_table(events: DataFrame, file: str = "file", line_no: str = "line_no") -> DataFrame:
-    """One row per epoch summary, numbered from the first epoch seen. Only summaries, one
-    per epoch, meet in the window."""
+    """One row per epoch summary, numbered from the first epoch seen, with the global step at
+    its end, where its validation loss belongs. Only summaries, one per epoch, meet in the window."""
     s = events.filter(F.col("kind") == "summary")
     n = F.row_number().over(W.partitionBy(file).orderBy(line_no)) - 1
     return s.select(file, (F.col("base_epoch") + n).cast("int").alias("epoch"), "ts",
-                    F.col("loss").alias("train_loss"), "val_loss", "val_cnt")
+                    F.col("loss").alias("train_loss"), "val_loss", "val_cnt",
+                    ((n + 1) * F.col("steps_per_epoch")).cast("int").alias("val_step"))
 
 
 def parse_stats_json(df: DataFrame, text: str = "json", keys=()) -> DataFrame:

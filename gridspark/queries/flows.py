@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from gridspark.plans import budgets, ensemble, training
-from gridspark.queries.masking import SPLIT_SQL
+from gridspark.queries.masking import SPLIT_RULES_SQL, SPLIT_SQL
 from gridspark.queries.aggregate import BANDS, bands_sql
-from gridspark.queries.registry import AREA, SECONDS_MEAN_MONTH, query, rounded
+from gridspark.queries.registry import AREA, SECONDS_MEAN_MONTH, hash_sql, query, rounded
 from gridspark.sources import adapters as ad
 
 _M = ("source", "cell", "year", "month")
@@ -23,25 +23,34 @@ def ensemble_mean_of_cleaned_models(spark, sf):
     return rounded(d.select("variable", "scenario", "lat_idx", "lon_idx", "t", "value"), "value")
 
 
-@query("e02_training_locations", f"""
-WITH {ad.CELLS_SQL}, {SPLIT_SQL},
-n AS (SELECT tvt, count(*) // 10 * 10 AS keep FROM split WHERE tvt >= 0 GROUP BY tvt)
-SELECT tvt, CAST(keep AS BIGINT) AS n_locations, keep // 10 AS n_blocks FROM n WHERE keep > 0""")
+_LOCATIONS_SQL = f"""{ad.CELLS_SQL}, {SPLIT_SQL},
+ranked AS (SELECT lat_idx, lon_idx, tvt, count(*) OVER (PARTITION BY tvt) AS n,
+  row_number() OVER (PARTITION BY tvt ORDER BY {hash_sql("lat_idx", "lon_idx", seed=42)}, lat_idx, lon_idx) AS loc_id FROM split WHERE tvt >= 0),
+loc AS (SELECT lat_idx, lon_idx, tvt, loc_id, CAST((loc_id - 1) // 10 AS INT) AS block_id FROM ranked WHERE loc_id <= n // 10 * 10)"""
+
+
+@query("e02_training_locations", f"WITH {_LOCATIONS_SQL} SELECT * FROM loc")
 def training_locations(spark, sf):
-    """Locations and blocks of each split; which cells they are depends on Spark's hash."""
+    """Locations of each split with their number and block."""
     loc = training.location_table(ad.cells(spark, sf).select("lat_idx", "lon_idx", "land"), block=10)
-    return loc.groupBy("tvt").agg(F.count(F.lit(1)).alias("n_locations"), F.countDistinct("block_id").alias("n_blocks"))
+    return loc.select("lat_idx", "lon_idx", "tvt", "loc_id", "block_id")
 
 
-@query("e02_training_field_statistics")
+@query("e02_training_field_statistics", f"""
+WITH {_LOCATIONS_SQL}, {SPLIT_RULES_SQL},
+f AS (SELECT l_returnflag AS variable, {ad._cell_sql("l_partkey")}, 1901 + (year(l_shipdate) - 1995) * 20 AS year, l_extendedprice / 365.2425 AS v FROM lineitem),
+a AS (SELECT variable, lat_idx, lon_idx, year, avg(v) AS value FROM f GROUP BY ALL),
+t AS (SELECT variable, value FROM a JOIN loc USING (lat_idx, lon_idx) JOIN rules ON code = tvt AND year BETWEEN y0 AND y1 WHERE split IN ('train', 'val'))
+SELECT variable, count(*) AS n, round(sum(value), 3) AS sum, round(sum(value * value), 2) AS sumsq, round(min(value), 6) AS min, round(max(value), 6) AS max,
+  round(avg(value), 6) AS mean, round(stddev_pop(value), 5) AS std FROM t GROUP BY variable""")
 def training_field_statistics(spark, sf):
-    """Statistics per variable over the training and validation rows of the chosen
-    locations; the choice of cells follows Spark's hash, so there is no SQL twin."""
+    """Statistics per variable over the training and validation rows of the chosen locations."""
     loc = training.location_table(ad.cells(spark, sf).select("lat_idx", "lon_idx", "land"), block=10)
     f = ad.table(spark, sf, "lineitem").groupBy(
         F.col("l_returnflag").alias("variable"), *[c.alias(n) for n, c in ad.cell_of("l_partkey").items()],
         (1901 + (F.year("l_shipdate") - 1995) * 20).alias("year")).agg(F.avg(F.col("l_extendedprice") / 365.2425).alias("value"))
-    return training.training_statistics(training.training_field(f, loc))
+    d = training.training_statistics(training.training_field(f, loc)).select("variable", "n", "sum", "sumsq", "min", "max", "mean", "std")
+    return rounded(rounded(rounded(rounded(d, "min", "max", "mean"), "sum", n=3), "sumsq", n=2), "std", n=5)
 
 
 @query("e03_exchange_budget_with_bands", f"""

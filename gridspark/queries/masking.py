@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridspark.operators import masks as mk
-from gridspark.queries.registry import query, rounded
+from gridspark.queries.registry import hash_sql, query, rounded
 from gridspark.sources import adapters as ad
 
 K = ad.MONTHLY_KEYS
@@ -97,9 +97,12 @@ def split_longitude_bands(spark, sf):
     return mk.split_longitude_bands(c)
 
 
-@query("m08_split_locations")
+@query("m08_split_locations", f"""
+WITH {ad.CELLS_SQL}, r AS (SELECT lat_idx, lon_idx, tvt, count(*) OVER (PARTITION BY tvt) AS n,
+  row_number() OVER (PARTITION BY tvt ORDER BY {hash_sql("lat_idx", "lon_idx", seed=42)}, lat_idx, lon_idx) AS loc_id FROM cells WHERE tvt >= 0)
+SELECT lat_idx, lon_idx, tvt, loc_id FROM r WHERE loc_id <= n // 70 * 70""")
 def split_locations(spark, sf):
-    """Seeded order, whole blocks of 70; the hash is Spark's, so there is no SQL twin."""
+    """Seeded order, whole blocks of 70."""
     return mk.split_locations(ad.cells(spark, sf).select("lat_idx", "lon_idx", "tvt"))
 
 
@@ -111,12 +114,15 @@ def locations_per_split(spark, sf):
     return d.groupBy("tvt").agg(F.count(F.lit(1)).alias("n_locations"), F.max("loc_id").alias("last_loc_id"))
 
 
+SPLIT_RULES_SQL = """rules AS (SELECT * FROM (VALUES (0,'train_period',1928,2013,'train'),(0,'val_period_early',1919,1927,'val'),(0,'val_period_late',2014,2017,'val'),
+  (0,'test_period_early',1901,1918,'test'),(0,'test_period_late',2018,2023,'test'),(1,'whole_period',1901,2023,'val'),(2,'whole_period',1901,2023,'test')) v(code, period, y0, y1, split))"""
+
+
 # Ship years are moved to the start of the covered period, so that several periods occur.
 @query("m09_assign_splits", f"""
 WITH {ad.field_sql("source", "cell", "year")}, {ad.CELLS_SQL},
 y AS (SELECT f.source, c.tvt, 1901 + (f.year - 1995) * 20 AS year, f.value FROM field f JOIN cells c USING (lat_idx, lon_idx)),
-rules AS (SELECT * FROM (VALUES (0,'train_period',1928,2013,'train'),(0,'val_period_early',1919,1927,'val'),(0,'val_period_late',2014,2017,'val'),
-  (0,'test_period_early',1901,1918,'test'),(0,'test_period_late',2018,2023,'test'),(1,'whole_period',1901,2023,'val'),(2,'whole_period',1901,2023,'test')) v(code, period, y0, y1, split))
+{SPLIT_RULES_SQL}
 SELECT split, period, y.tvt, count(*) AS n, round(avg(value), 6) AS value FROM y JOIN rules ON code = y.tvt AND year BETWEEN y0 AND y1 GROUP BY ALL""")
 def assign_splits(spark, sf):
     f = ad.field(spark, sf, "source", "cell", "year").withColumn("year", 1901 + (F.col("year") - 1995) * 20)

@@ -25,6 +25,12 @@ def rounded(df: DataFrame, *cols: str, n: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c in cols})
 
 
+def hash_sql(*cols: str, seed: int = 0) -> str:
+    """The sort key of ``functions.ranking.hash_key`` in SQL."""
+    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols)
+    return f"CAST(('0x' || md5(concat_ws('|', {parts}, '{seed}'))[1:15]) AS BIGINT)"
+
+
 # SQL snippets over lat_idx, mirroring functions/geo.py.
 LAT = "CAST(-89.75 + lat_idx * 0.5 AS DOUBLE)"
 AREA = ("(6371000.0 * 6371000.0 * radians(0.5) * "

@@ -3,16 +3,23 @@
 from pyspark.sql import functions as F
 
 from gridspark.operators import sampling as sa, scores as sc
-from gridspark.queries.registry import query, rounded
+from gridspark.queries.registry import hash_sql, query, rounded
 from gridspark.sources import adapters as ad
 
 _ID = ["l_orderkey", "l_linenumber", "l_suppkey", "y"]
 
 
-@query("q01_uniform_sample")
+_DRAW_ID = ("l_orderkey", "l_linenumber", "l_suppkey", "cents")
+
+
+@query("q01_uniform_sample", f"""
+WITH {ad.PAIRS_SQL}, c AS (SELECT *, CAST(round(y * 100) AS BIGINT) AS cents FROM pairs)
+SELECT variable, l_orderkey, l_linenumber, l_suppkey, y, yhat FROM c
+QUALIFY row_number() OVER (PARTITION BY variable ORDER BY {hash_sql(*_DRAW_ID, seed=123)}, {", ".join(_DRAW_ID)}) <= 1000""")
 def uniform_sample(spark, sf):
-    """1000 pairs per variable by seeded hash; the hash is Spark's, so there is no SQL twin."""
-    return sa.uniform_sample(ad.pairs(spark, sf), ["variable"], _ID, 1000, seed=123).select("variable", *_ID, "yhat")
+    """1000 pairs per variable by seeded hash."""
+    d = ad.pairs(spark, sf).withColumn("cents", F.round(F.col("y") * 100).cast("long"))
+    return sa.uniform_sample(d, ["variable"], _DRAW_ID, 1000, seed=123).select("variable", *_ID, "yhat")
 
 
 @query("q01_keyed_sample", f"""
@@ -25,26 +32,31 @@ def keyed_sample(spark, sf):
     return d.select("variable", "k", *_ID, "yhat")
 
 
+def _regions_sql(region: str) -> str:
+    """The first 1000 of a large region; of a small one 1000 draws, each hashed to a position."""
+    return f"""
+SELECT '{region}' AS regions, region, lat_idx, lon_idx, CAST(pos AS INT) AS draw FROM {region}_r WHERE m >= 1000 AND pos <= 1000
+UNION ALL SELECT '{region}', region, lat_idx, lon_idx, CAST(d AS INT) FROM {region}_r, (SELECT unnest(range(1, 1001)) AS d) WHERE m < 1000 AND pos = {hash_sql("region", "d", seed=7)} % m + 1"""
+
+
+def _ranked_sql(region: str) -> str:
+    return (f"{region}_r AS (SELECT {region} AS region, lat_idx, lon_idx, count(*) OVER (PARTITION BY {region}) AS m, "
+            f"row_number() OVER (PARTITION BY {region} ORDER BY {hash_sql('lat_idx', 'lon_idx', seed=7)}, lat_idx, lon_idx) AS pos FROM cells)")
+
+
 @query("q02_sample_per_region", f"""
-WITH {ad.CELLS_SQL}, z AS (SELECT tvt, count(*) AS n FROM cells GROUP BY tvt), e AS (SELECT land, count(*) AS n FROM cells GROUP BY land)
-SELECT 'tvt' AS regions, tvt AS region, 1000 AS n, CASE WHEN n >= 1000 THEN 1000 END AS n_distinct FROM z UNION ALL SELECT 'land', land, 1000, CASE WHEN n >= 1000 THEN 1000 END FROM e""")
+WITH {ad.CELLS_SQL}, {_ranked_sql("tvt")}, {_ranked_sql("land")} {_regions_sql("tvt")} UNION ALL {_regions_sql("land")}""")
 def sample_per_region(spark, sf):
     c = ad.cells(spark, sf)
-    out = None
-    for region in ("tvt", "land"):
-        size = c.groupBy(region).agg(F.count(F.lit(1)).alias("size"))
-        d = sa.sample_per_region(c, region, ["lat_idx", "lon_idx"], 1000, seed=7)
-        d = d.groupBy(region).agg(F.count(F.lit(1)).cast("int").alias("n"), F.countDistinct("lat_idx", "lon_idx").cast("int").alias("nd"))
-        d = d.join(size, region).select(F.lit(region).alias("regions"), F.col(region).alias("region"), "n",
-                                        F.when(F.col("size") >= 1000, F.col("nd")).alias("n_distinct"))
-        out = d if out is None else out.unionByName(d)
-    return out
-
-
-@query("q03_sample_fraction", "SELECT CAST(greatest(1, round(count(*) * 0.1)) AS BIGINT) AS n, CAST(greatest(1, round(count(*) * 0.1)) AS BIGINT) AS n_distinct FROM orders")
+    parts = [sa.sample_per_region(c, r, ["lat_idx", "lon_idx"], 1000, seed=7).select(
+        F.lit(r).alias("regions"), F.col(r).alias("region"), "lat_idx", "lon_idx", "draw") for r in ("tvt", "land")]
+    return sa.concatenate(parts)
+
+
+@query("q03_sample_fraction", f"""
+SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY {hash_sql("o_orderkey", seed=3)}, o_orderkey) <= greatest(1, round(count(*) OVER () * 0.1))""")
 def sample_fraction(spark, sf):
-    d = sa.sample_fraction(ad.table(spark, sf, "orders"), ["o_orderkey"], 0.1, seed=3)
-    return d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("n_distinct"))
+    return sa.sample_fraction(ad.table(spark, sf, "orders"), ["o_orderkey"], 0.1, seed=3).select("o_orderkey")
 
 
 @query("q04_top_k_latest", """

@@ -114,8 +114,8 @@ def training_log_batches(spark, sf):
 
 
 @query("x05_training_log_epochs", f"""
-WITH {_LOG}, s AS (SELECT file, line_no, base, regexp_extract(line, '^(.*),123', 1) || ',123' AS ts, CAST(regexp_extract(line, 'train loss=({_N})', 1) AS DOUBLE) AS train_loss, CAST(regexp_extract(line, 'val loss=({_N})', 1) AS DOUBLE) AS val_loss FROM f WHERE summ)
-SELECT file, CAST(base + row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS INT) AS epoch, ts, train_loss, val_loss, 7 AS val_cnt FROM s""")
+WITH {_LOG}, s AS (SELECT file, line_no, base, spe1, regexp_extract(line, '^(.*),123', 1) || ',123' AS ts, CAST(regexp_extract(line, 'train loss=({_N})', 1) AS DOUBLE) AS train_loss, CAST(regexp_extract(line, 'val loss=({_N})', 1) AS DOUBLE) AS val_loss FROM f WHERE summ)
+SELECT file, CAST(base + row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS INT) AS epoch, ts, train_loss, val_loss, 7 AS val_cnt, CAST(row_number() OVER (PARTITION BY file ORDER BY line_no) * spe1 AS INT) AS val_step FROM s""")
 def training_log_epochs(spark, sf):
     return sc.epoch_table(sc.parse_log(ad.log_lines(spark, sf)))
 
