@@ -1,5 +1,6 @@
 import itertools
 import math
+import textwrap
 
 import numpy as np
 import pytest
@@ -139,6 +140,19 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.filter("false")).collect() == []
 
 
+def test_licenses_wrapped(spark):
+    want, rows = {}, []
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            for width in (60, 70, 80):
+                lines = textwrap.wrap(t, width)
+                want[len(rows)] = (name, t, 3, 1.0)
+                rows.append((len(rows), "first words\nand more\n\n" + "\n".join(("# " if width == 70 else "") + x for x in lines) + "\n\nthe text goes on"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.template, r.line, r.wording) for r in licenses.scan_licenses(df).filter("reduction > 0").collect())
+    assert got == sorted((d, *w) for d, w in want.items())
+
+
 def test_leaks(spark):
     item = " ".join(f"q{i}" for i in range(20))
     part = " ".join(f"q{i}" for i in range(17))
