@@ -153,6 +153,20 @@ def test_licenses_wrapped(spark):
     assert got == sorted((d, *w) for d, w in want.items())
 
 
+def test_licenses_each(spark):
+    mit, apache, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"], licenses.TEMPLATES["GPL-3.0"]
+    four = "\n".join((apache[1], mit[2], gpl[1], "Licensed under CC BY-SA 4.0."))
+    rows = [(1, "Released under the MIT License.\nAll rights reserved."), (2, f"{mit[2]}\n{apache[1]}"), (3, four), (4, f"{mit[0]} {mit[0]} {mit[0]}"), (5, gpl[1] * 2)]
+    # In one line without breaks, a notice at every place around a multiple of 4,000 characters.
+    rows += [(10 + k, "licence " * ((4_000 - 50 * k) // 8) + mit[2] + " of words" * 900) for k in range(0, 16)]
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.line, r.license))
+    want = {1: [(0, "MIT"), (1, "Proprietary")], 2: [(0, "MIT"), (1, "Apache-2.0")], 3: [(0, "Apache-2.0"), (1, "MIT"), (2, "GPL-3.0"), (3, "CC-BY-SA-4.0")],
+            4: [(0, "MIT")] * 3, 5: [(0, "GPL-3.0")] * 2} | {10 + k: [(0, "MIT")] for k in range(0, 16)}
+    assert {d: sorted(g) for d, g in got.items()} == want
+
+
 def test_leaks(spark):
     item = " ".join(f"q{i}" for i in range(20))
     part = " ".join(f"q{i}" for i in range(17))
