@@ -1,4 +1,5 @@
-"""Approximate nearest neighbours: p-stable hashing with several probes for each table."""
+"""Approximate nearest neighbours: p-stable hashing with several probes for each table, and an exact pass
+for queries whose neighbours lie beyond its reach."""
 
 import itertools
 import math
@@ -51,12 +52,12 @@ class Hashes:
 
 
 class Chunk:
-    """Rows of the index with the inverted lists of their buckets."""
+    """Rows of the index with the inverted lists of their buckets; without ``hashes`` for exact search alone."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, hashes: Hashes):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, hashes: Hashes | None = None):
         self.ids, self.x, self.hashes = ids, x, hashes
         self.tables = []
-        for row in hashes.buckets(x):
+        for row in hashes.buckets(x) if hashes else ():
             code, inverse = np.unique(row, return_inverse=True)
             self.tables.append((code, np.argsort(inverse, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(inverse))))))
 
@@ -70,14 +71,29 @@ class Chunk:
                 for h in hit[code[hit] == row]:
                     here[rows[at[h]:at[h + 1]]] = True
             here &= self.ids != q_ids[j]
-            cand = np.flatnonzero(here)
-            dist = np.sqrt(((self.x[cand] - q[j]) ** 2).sum(1))
-            if len(cand) > top:
-                edge = np.partition(dist, top - 1)[top - 1]
-                near = dist <= edge
-                cand, dist = cand[near], dist[near]
-            order = np.lexsort((self.ids[cand], dist))[:top]
-            yield self.ids[cand[order]], dist[order]
+            yield self._best(np.flatnonzero(here), q[j], top)
+
+    def exact(self, q_ids: np.ndarray, q: np.ndarray, top: int):
+        """For each query (ids, distances) of its nearest rows, ties to the smaller id."""
+        with np.errstate(all="ignore"):
+            norm, own = (self.x ** 2).sum(1), (q ** 2).sum(1)
+            # Rounded squares of distances, with a bound of their error; what may be among the nearest is computed anew.
+            rough = norm + own[:, None] - 2 * (q @ self.x.T)
+            slack = 16 * np.finfo(float).eps * q.shape[1] * (norm.max() + own)
+            for j in range(len(q)):
+                cand = np.flatnonzero(self.ids != q_ids[j])
+                d = rough[j, cand]
+                if len(cand) > top:
+                    cand = cand[~(d > np.partition(d, top - 1)[top - 1] + slack[j])]
+                yield self._best(cand, q[j], top)
+
+    def _best(self, cand: np.ndarray, q: np.ndarray, top: int):
+        dist = np.sqrt(((self.x[cand] - q) ** 2).sum(1))
+        if len(cand) > top:
+            near = dist <= np.partition(dist, top - 1)[top - 1]
+            cand, dist = cand[near], dist[near]
+        order = np.lexsort((self.ids[cand], dist))[:top]
+        return self.ids[cand[order]], dist[order]
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -94,19 +110,38 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _reach(hashes: Hashes, probes: int, x: np.ndarray, far: float, target: float, seed: int) -> float:
+    """The largest distance, on a grid around ``far``, at which ``target`` of rows are found: 500
+    rows of ``x`` moved so far, in directions between other rows. 0 where there is none."""
+    rng = np.random.default_rng(seed)
+    a, b, c = rng.integers(0, len(x), (3, 500))
+    way = x[b] - x[c]
+    size = np.sqrt((way ** 2).sum(1))
+    from_, way = x[a[size > 0]], way[size > 0] / size[size > 0, None]
+    if not len(way):
+        return 0.0
+    visits = hashes.probes(from_, probes)
+    for r in far * 0.95 ** np.arange(-30, 100):
+        hit = (visits == hashes.buckets(from_ + r * way)[:, :, None]).any(2).any(0)
+        if hit.mean() >= target:
+            return float(r)
+    return 0.0
+
+
 def fit(rows: DataFrame, dim: int, tables: int = 4, k: int = 8, top: int = 10, target: float = 0.97, sample: int = 4_000,
         seed: int = 7):
-    """(hashes, probes) fitted on about ``sample`` rows, those whose id hashes lowest.
+    """(hashes, probes, reach) fitted on about ``sample`` rows, those whose id hashes lowest.
 
-    The cell width is the sample's median distance to its ``top``-th neighbour times 1.25; the
-    probes are the fewest of a doubling series that find ``target`` of the sample's neighbours.
-    Neighbours in the full table are nearer than in the sample, so its recall is higher.
+    The cell width is the sample's median distance to its ``top``-th neighbour, of the distances
+    above 0, times 1.25; the probes are the fewest of a doubling series that find ``target`` of the
+    sample's neighbours. Up to the distance ``reach`` the probes find ``target`` of the rows or more,
+    whatever the sample's neighbours are; it is below 0 where nothing can be fitted.
     """
     n = rows.count()
     turn = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 20))
     got = rows.filter(turn < int(min(1.0, sample / max(1, n)) * (1 << 20))).orderBy("vec_id").limit(2 * sample).toPandas()
     if len(got) < 3:
-        return Hashes(dim, tables, k, 1.0, seed), 3 ** k
+        return Hashes(dim, tables, k, 1.0, seed), 3 ** k, -1.0
     x = np.stack(got["vector"].to_numpy()).astype(float)
     ids = got["vec_id"].to_numpy()
     pick = np.random.default_rng(seed).permutation(len(x))[:100]
@@ -115,8 +150,14 @@ def fit(rows: DataFrame, dim: int, tables: int = 4, k: int = 8, top: int = 10, t
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         d[ids == ids[i]] = np.inf
         true[i] = np.sort(d)[:top]
-    far = np.median([t[np.isfinite(t)].max() for t in true.values() if np.isfinite(t).any()] or [1.0])
-    hashes = Hashes(dim, tables, k, 1.25 * float(far) * math.sqrt(2) if far > 0 else 1.0, seed)
+    last = np.array([t[np.isfinite(t)].max() for t in true.values() if np.isfinite(t).any()])
+    if not (last > 0).any():  # each has copies enough: any other row
+        last = np.sqrt(((x[pick] - x[pick[::-1]]) ** 2).sum(1))
+    last = last[(last > 0) & np.isfinite(last)]
+    if not len(last):
+        return Hashes(dim, tables, k, 1.0, seed), 3 ** k, -1.0
+    far = float(np.median(last))
+    hashes = Hashes(dim, tables, k, 1.25 * far * math.sqrt(2), seed)
     chunk, probes = Chunk(ids, x, hashes), 25
     while probes < 3 ** k:
         hit = [np.sum(d <= true[i].max() if len(d) else 0) / max(1, np.isfinite(true[i]).sum())
@@ -124,7 +165,8 @@ def fit(rows: DataFrame, dim: int, tables: int = 4, k: int = 8, top: int = 10, t
         if np.mean(hit) >= target:
             break
         probes *= 2
-    return hashes, min(probes, 3 ** k)
+    probes = min(probes, 3 ** k)
+    return hashes, probes, _reach(hashes, probes, x, far, target, seed)
 
 
 def nearest(df: DataFrame, queries: DataFrame, top: int = 10, tables: int = 4, k: int = 8, target: float = 0.97,
@@ -135,25 +177,41 @@ def nearest(df: DataFrame, queries: DataFrame, top: int = 10, tables: int = 4, k
     hash of their id, so a bucket that holds a third of all rows is spread over all chunks; each
     chunk keeps inverted lists of its buckets, and every query visits its probes in each. Found
     rows meet their exact distance, and the best of each chunk are ranked once more; ties go to
-    the smaller vec_id. Rows without a usable vector take no part; so do vectors of another
-    length than most. A query's own id is never found; repeated ids are separate rows. An empty
-    table gives none.
+    the smaller vec_id. A query that found fewer than ``top`` rows, or whose last is farther than
+    the probes reach, is compared with every row of every chunk instead. Rows without a usable
+    vector take no part; so do vectors of another length than most. A query's own id is never
+    found; repeated ids are separate rows, of the queries as well. An empty table gives none.
     """
     rows = stored(usable(df), "ann-rows")
     asked = usable(queries)
     sizes = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    out = "query_id long, vec_id long, score double"
     if sizes is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = sizes
     rows, asked = rows.filter(F.size("vector") == dim), asked.filter(F.size("vector") == dim)
-    hashes, probes = fit(rows, dim, tables, k, top, target, sample, seed)
-    box = df.sparkSession.sparkContext.broadcast((hashes, probes))
+    asked = stored(asked.select(F.monotonically_increasing_id().alias("no"), "vec_id", "vector"), "ann-queries")
+    hashes, probes, reach = fit(rows, dim, tables, k, top, target, sample, seed)
     chunks = math.ceil(n / chunk_rows)
+    names = ["query_id", "rank", "vec_id", "score"]
+    if reach < 0:
+        return _search(rows, asked, None, 0, top, chunks, seed).select(*names)
+    found = stored(_search(rows, asked, hashes, probes, top, chunks, seed), "ann-found")
+    sure = found.groupBy("no").agg(F.count("*").alias("finds"), F.max("score").alias("last")).filter(
+        (F.col("finds") >= min(top, n)) & (F.col("last") <= reach)).select("no")
+    weak = stored(asked.join(sure, "no", "left_anti"), "ann-weak")
+    if weak.isEmpty():
+        return found.select(*names)
+    again = _search(rows, weak, None, 0, top, chunks, seed)
+    return found.join(sure, "no", "left_semi").select(*names).unionByName(again.select(*names))
+
+
+def _search(rows: DataFrame, asked: DataFrame, hashes: Hashes | None, probes: int, top: int, chunks: int, seed: int) -> DataFrame:
+    """(no, query_id, rank, vec_id, score) of the queries (no, vec_id, vector), by ``hashes`` or, without them, exact."""
+    box = rows.sparkSession.sparkContext.broadcast((hashes, probes))
     turn = F.pmod(F.xxhash64(F.lit(seed + 1), "vec_id"), F.lit(chunks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    both = rows.select(turn.alias("chunk"), F.lit(0).alias("kind"), "vec_id", "vector").unionByName(
-        asked.select(every.alias("chunk"), F.lit(1).alias("kind"), "vec_id", "vector"))
+    both = rows.select(turn.alias("chunk"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("no"), "vec_id", "vector").unionByName(
+        asked.select(every.alias("chunk"), F.lit(1).alias("kind"), "no", "vec_id", "vector"))
     both = both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind")
 
     def run(batches):
@@ -168,7 +226,7 @@ def nearest(df: DataFrame, queries: DataFrame, top: int = 10, tables: int = 4, k
                 if now != chunk[a]:
                     now, ids, xs, index = chunk[a], [], [], None
                 part = b.slice(a, z - a)
-                part_ids, x = part.column("vec_id").to_numpy(), _matrix(part.column("vector"))
+                part_no, part_ids, x = part.column("no").to_numpy(), part.column("vec_id").to_numpy(), _matrix(part.column("vector"))
                 if kind[a] == 0:
                     ids.append(part_ids)
                     xs.append(x)
@@ -178,12 +236,14 @@ def nearest(df: DataFrame, queries: DataFrame, top: int = 10, tables: int = 4, k
                 if index is None:
                     continue
                 for s in range(0, len(x), 200):
-                    found = list(index.search(part_ids[s:s + 200], x[s:s + 200], probes, top))
+                    q_no, q_ids, q = part_no[s:s + 200], part_ids[s:s + 200], x[s:s + 200]
+                    found = list(index.search(q_ids, q, probes, top) if hashes else index.exact(q_ids, q, top))
+                    size = [len(i) for i, _ in found]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(part_ids[s:s + 200], [len(i) for i, _ in found])),
+                        pa.array(np.repeat(q_no, size)), pa.array(np.repeat(q_ids, size)),
                         pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([d for _, d in found]))],
-                        ["query_id", "vec_id", "score"])
+                        ["no", "query_id", "vec_id", "score"])
 
-    best = W.partitionBy("query_id").orderBy("score", "vec_id")
-    found = both.mapInArrow(run, out).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    return found.select("query_id", "rank", "vec_id", "score")
+    best = W.partitionBy("no").orderBy("score", "vec_id")
+    found = both.mapInArrow(run, "no long, query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(best))
+    return found.filter(F.col("rank") <= top)

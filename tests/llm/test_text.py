@@ -206,3 +206,28 @@ def test_nearest_edges(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, df.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()]
     assert got[:2] == [(0, 1, 1), (0, 2, 2)] and {g[0] for g in got} == {0} and len(got) <= 3
     assert ann.nearest(df.filter("false"), df).collect() == []
+
+
+def test_nearest_all_queries_full(spark):
+    rng = np.random.default_rng(3)
+    copies = np.repeat(rng.normal(size=(40, 8)), 15, 0)  # 600 rows in groups of copies
+    spread = np.concatenate([rng.normal(size=(300, 8)) * 1_000, rng.normal(size=(100, 8)) * 8_000])
+    x = np.concatenate([copies, spread])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 3 = 0"), chunk_rows=300).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    hit = total = 0
+    for q in range(0, len(x), 3):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        found = sorted(got[q])
+        assert [k for k, _ in found] == list(range(1, 11))
+        if q >= 600:
+            hit, total = hit + len(set(np.lexsort((np.arange(len(x)), d))[:10]) & {v for _, v in found}), total + 10
+    assert hit / total >= 0.97
+    two = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 11.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id, r.score) for r in ann.nearest(two, two).collect()) == [(1, 2, 10.0), (2, 1, 10.0)]
+    # Two rows of one query id are two queries.
+    twice = ann.nearest(df, df.filter("vec_id = 700").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n"))
+    assert twice.count() == 20 and twice.select("vec_id").distinct().count() == 10
