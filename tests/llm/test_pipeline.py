@@ -39,3 +39,17 @@ def test_stages_on_odd_rows(spark, empty):
     assert stage(spark, spark.createDataFrame([], schema), SF).collect() == []
     rows = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (2, "a b c", None, None, 5), (2, "a b c", None, None, 5)], schema)
     assert stage(spark, rows, SF).count() >= 1
+
+
+def test_stages_on_null_and_repeated_ids(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("text is not null").orderBy("item_id").first().text
+    text = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(4)]
+    frame = lambda rows: spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], schema)
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    rows = [(3, text[0]), (3, text[1]), (4, text[1]), (None, text[0]), (None, text[2]), (None, text[2]), (None, text[2]), (5, text[3]), (5, text[3]), (6, ""), (6, "")]
+    stages = dict(corpus_pipeline.STAGES)
+    for order in (rows, rows[::-1]):
+        assert pairs(stages["ngram_join"](spark, frame(order), SF)) == sorted([(3, text[0]), (3, text[1]), (None, text[2]), (5, text[3]), (6, "")], key=str)
+    rows = [(None, f"before {item} after"), (None, text[0]), (3, item), (3, text[1]), (4, text[2])]
+    assert pairs(stages["decontamination"](spark, frame(rows), SF)) == sorted([(None, text[0]), (3, text[1]), (4, text[2])], key=str)
