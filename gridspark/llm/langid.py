@@ -122,7 +122,8 @@ def _expected(index, box):
 def train(rows: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 3, sample_rows: int = 20_000, floor: float = 1e-7):
     """(languages, piece index, probabilities) from rows (key, text, lang), by expectation maximisation.
 
-    About ``sample_rows`` rows, those whose ``key`` hashes lowest, are used when there are more.
+    About ``sample_rows`` rows are used when there are more: of every language as many, those whose
+    ``key`` hashes lowest, or all where it has fewer.
     Word counts are made by Spark and each round's expected counts are summed by Spark; the driver
     holds one number for each piece and language. No usable row gives no languages.
     """
@@ -130,9 +131,13 @@ def train(rows: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 3, sample
     rows = rows.filter("text is not null and lang is not null")
     per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(per)
-    share = sample_rows / max(1, sum(per.values()))
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), "key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    if sum(per.values()) > sample_rows:
+        left, most = sample_rows, 0.0
+        for i, c in enumerate(sorted(per.values())):
+            most = left / (len(per) - i)
+            left -= min(c, most)
+        limit = F.create_map(*[F.lit(x) for lang, c in per.items() for x in (lang, int(min(1.0, most / c) * (1 << 40)))])
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), "key"), F.lit(1 << 40)) < limit[F.col("lang")])
     index = {p: i for i, p in enumerate(read_pieces(vocabulary))}
     if not langs:
         return [], index, np.zeros((len(index) + 2, 0))

@@ -52,6 +52,24 @@ def test_language(spark):
     assert langid.predict(odd.filter("false"), model).collect() == []
 
 
+def test_language_sample_keeps_rare(spark):
+    rows = [(i, f"the house of the man and the dog {i}", "en") for i in range(4_000)] + [(5_000 + i, "saluton mia bona amiko kaj lia granda hundo", "eo") for i in range(3)]
+    docs = spark.createDataFrame(rows, "key long, text string, lang string")
+    langs, index, prob = langid.train(docs, rounds=1, sample_rows=200)
+    flat = 1 / (len(index) + 1)
+    assert langs == ["en", "eo"] and (prob.max(0) > 100 * flat).all()
+    # Of the frequent language a sample is left: its words count less than in all rows.
+    seen = []
+    keep = langid.stored
+    langid.stored = lambda df, name: seen.append(keep(df, name)) or seen[-1]
+    try:
+        langid.train(docs, rounds=0, sample_rows=200)
+    finally:
+        langid.stored = keep
+    n = {r.lang: r.n for r in seen[0].filter(F.col("word").isin("▁dog", "▁hundo")).collect()}
+    assert n[1] == 3 and 120 <= n[0] <= 280
+
+
 def test_toxicity(spark):
     rows = [(i, ("nasty rude " if i % 5 == 0 else "") + " ".join(f"w{(i * j) % 97}x" for j in range(1, 40))) for i in range(600)]
     docs = spark.createDataFrame([(d, t, 9.0) for d, t in rows] + [(None, "nasty", 1.0), (1000, None, 1.0), (1001, "", 1.0), (1002, "fine " * 50_000, 1.0)],
