@@ -414,7 +414,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, ma
     verdicts = rows.filter("kind = 0").select("fp", "h", "lo", "hi")
     members = rows.filter("kind = 1").select("fp", "h", "k1", "k2", F.col("lo").alias("at"))
     spans = members.join(verdicts, ["fp", "h"]).select("k1", "k2", F.struct((F.col("at") + F.col("lo")).cast("int").alias("lo"), (F.col("at") + F.col("hi")).cast("int").alias("hi")).alias("s"))
-    spans = stored(spans.groupBy("k1", "k2").agg(F.collect_list("s").alias("spans")), "suffix-spans")  # of one text
+    spans = stored(spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")), "suffix-spans")  # of one text
     rows = docs.select("doc_id", "text", k1, k2).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
 
     def cut(batches):

@@ -111,3 +111,24 @@ def test_repeats(spark, max_group, chunk):
     assert suffix.remove_repeats(frame(spark, [])).collect() == []
     full = suffix.remove_repeats(frame(spark, rows), with_text=True).filter("doc_id = 1").first()
     assert full.n_bytes - len(full.kept) == full.n_removed and len(full.spans) == full.n_spans
+
+
+def test_spans_of_a_text_do_not_repeat(spark, monkeypatch):
+    kept, tables = suffix.stored, {}
+
+    def stored(df, name):
+        tables[name] = kept(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(suffix, "stored", stored)
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, text) for i in range(64)] + [(100, "other " + text)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == 65 and all(r.n_removed >= len(text) for r in got)
+    spans = [r.spans for r in tables["suffix-spans"].collect()]
+    assert spans and all(len(s) == len(set(s)) for s in spans)
