@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridspark.llm import ann, chat, decontam, langid, licenses, mixing, ngram_join, sharding, suffix, toxicity
+from gridspark.llm import ann, balltree, chat, decontam, langid, licenses, mixing, ngram_join, sharding, suffix, toxicity, urls
 
 
 def _table(spark, sf, name):
@@ -64,7 +64,16 @@ def op10_ngram_join(spark, sf):
     return ngram_join.jaccard_components(_table(spark, sf, "documents"))
 
 
+def op11_url_filters(spark, sf):
+    return urls.judge(_table(spark, sf, "pages"), urls.rule_table(spark, urls.RULES))
+
+
+def op12_ranked_search(spark, sf):
+    return balltree.rank(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_language_id, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_mixing, op7_decontamination,
-    op8_nearest, op9_sharding, op10_ngram_join)}
-ORACLES = {"op6_mixing": mixing.SQL, "op7_decontamination": decontam.SQL}
+    op8_nearest, op9_sharding, op10_ngram_join, op11_url_filters, op12_ranked_search)}
+ORACLES = {"op6_mixing": mixing.SQL, "op7_decontamination": decontam.SQL,
+           "op11_url_filters": urls.SQL, "op12_ranked_search": balltree.SQL}
