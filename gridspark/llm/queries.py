@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridspark.llm import ann, balltree, chat, decontam, langid, licenses, mixing, ngram_join, sharding, suffix, toxicity, urls
+from gridspark.llm import ann, balltree, chat, decontam, langid, licenses, mixing, ngram_join, phrases, sharding, suffix, toxicity, urls
 
 
 def _table(spark, sf, name):
@@ -72,8 +72,13 @@ def op12_ranked_search(spark, sf):
     return balltree.rank(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op13_phrase_mining(spark, sf):
+    return phrases.collocations(_table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_language_id, op3_toxicity, op4_suffix_dedup, op5_license_scan, op6_mixing, op7_decontamination,
-    op8_nearest, op9_sharding, op10_ngram_join, op11_url_filters, op12_ranked_search)}
+    op8_nearest, op9_sharding, op10_ngram_join, op11_url_filters, op12_ranked_search,
+    op13_phrase_mining)}
 ORACLES = {"op6_mixing": mixing.SQL, "op7_decontamination": decontam.SQL,
-           "op11_url_filters": urls.SQL, "op12_ranked_search": balltree.SQL}
+           "op11_url_filters": urls.SQL, "op12_ranked_search": balltree.SQL, "op13_phrase_mining": phrases.SQL}
