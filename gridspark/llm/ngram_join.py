@@ -20,6 +20,9 @@ from gridspark.llm.graph import components
 #: N-grams of one block, and sets of the sample that every block of a group has.
 BLOCK_GRAMS = 2_000_000
 PIVOTS = 32
+#: Signatures that a task brings together, about, and the bounds (of 64) of the rounds in which they are dealt.
+PART_SIGNATURES = 4_000_000
+TURNS = (0, 2, 12, 64)
 _K1, _K2, _K3 = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
@@ -218,72 +221,82 @@ def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def _sign_documents(n: int, percent: int, parts: int):
-    """Arrow batches of (doc_id, text) to packed rows (part, kind, a, b, c): signatures with their
-    document, documents with size and set hash. Sets met before in a batch sign only once; their
-    documents are tied by the set hash."""
+def _sign_documents(n: int, percent: int):
+    """Arrow batches of (doc_id, text) to rows (doc_id, n, w1, w2, sigs): set size, set hash of 128 bits and
+    signatures. Sets met before in a batch sign only once; their documents are tied by the set hash."""
     def run(batches):
         ranges = Ranges(percent)
         for b in batches:
-            ids_all = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            sig, own, count, whole = [], [], [], []
             seen = set()
             for lo, hi, buf, offs in text_slices(b.column("text")):
-                for d, grams in zip(range(lo, hi), shingle_sets(buf, offs, n)):
-                    h = int(mix(mix(grams ^ _K3).sum(keepdims=True) + np.uint64(len(grams)))[0]) if len(grams) else 0
+                count, whole, sigs, size = [], [], [], []
+                for grams in shingle_sets(buf, offs, n):
+                    h = tuple(int(mix(mix(grams ^ k).sum(keepdims=True) + np.uint64(len(grams)))[0].astype(np.int64)) if len(grams) else 0 for k in (_K3, _K2))
                     count.append(len(grams))
                     whole.append(h)
-                    if len(grams) and h not in seen:
-                        seen.add(h)
-                        for x in ranges.sign(grams):
-                            sig.append(x)
-                            own.append(np.full(len(x), ids_all[d], np.int64))
-            whole = np.array(whole, np.uint64)
-            count = np.array(count, np.int64)
-            none = np.zeros(0, np.uint64)
-            sig, own = np.concatenate([none, *sig]), np.concatenate([np.zeros(0, np.int64), *own])
-            rows = []
-            for kind, key, columns in ((0, sig, (sig, own)), (1, np.where(whole == 0, ids_all.view(np.uint64), whole), (whole, ids_all, count))):
-                part = (mix(key) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order])) + 1
-                for rows_of in np.split(order, cuts):
-                    if len(rows_of):
-                        packed = [_blob(c[rows_of]) for c in columns]
-                        rows.append((int(part[rows_of[0]]), kind, *packed, *[b""] * (3 - len(packed))))
-            yield _packed(rows)
+                    signed = ranges.sign(grams) if len(grams) and h not in seen else []
+                    seen.add(h)
+                    sigs += signed
+                    size.append(sum(map(len, signed)))
+                sigs = np.concatenate([np.zeros(0, np.uint64), *sigs]).view(np.int64)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(count, pa.int64()), *[pa.array([h[k] for h in whole], pa.int64()) for k in (0, 1)],
+                                                  pa.ListArray.from_arrays(offsets, pa.array(sigs))], ["doc_id", "n", "w1", "w2", "sigs"])
+    return run
+
+
+def _deal(turn: int, parts: int):
+    """(own, sigs) to packed rows (part, kind, a, b, c): the round's distinct signatures with their owner."""
+    low, high = TURNS[turn], TURNS[turn + 1]
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("sigs")
+            own = np.repeat(b.column("own").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            sig = lists.flatten().to_numpy().view(np.uint64)
+            spread = mix(sig ^ _K2)
+            now = (spread >> np.uint64(58) >= low) & (spread >> np.uint64(58) < high)
+            sig, own, spread = sig[now], own[now], spread[now]
+            part = (spread % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((own, sig, part))
+            sig, own, part = sig[order], own[order], part[order]
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+            sig, own, part = sig[new], own[new], part[new]
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            yield _packed([(int(part[x[0]]), 0, _blob(sig[x]), _blob(own[x]), b"") for x in np.split(np.arange(len(part)), cuts) if len(x)])
     return run
 
 
-def _stars(key: np.ndarray, doc: np.ndarray):
-    """For equal keys: each document and the smallest one, without loops and repeats."""
+def spanning(key: np.ndarray, doc: np.ndarray):
+    """A forest over documents with equal keys: every document but the smallest of its tree, with that one."""
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
-    head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-    hub = doc[np.flatnonzero(head)][np.cumsum(head) - 1] if len(key) else doc
-    off = hub != doc
-    return (np.unique(np.stack([doc[off], hub[off]], 1), axis=0) if off.any() else np.zeros((0, 2), np.int64)), (order, hub)
+    ids, at = np.unique(doc, return_inverse=True)
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    hub = at[np.flatnonzero(first)][np.cumsum(first) - 1]
+    root = np.arange(len(ids))
+    while True:
+        a, b = root[at], root[hub]
+        open_ = a != b
+        if not open_.any():
+            break
+        np.minimum.at(root, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        while (root[root] != root).any():
+            root = root[root]
+    off = root != np.arange(len(ids))
+    return ids[off], ids[root[off]]
 
 
-def _gather(batches):
-    """Packed rows to rows (kind, doc_id, other, n): kind 0 pairs that agree in a range, kind 1
-    documents with the smallest document of the same set and their set size."""
-    held: dict[tuple[int, int], list] = {}
+def _forests(batches):
+    """Packed signatures to rows (u, v): a spanning forest of the owners that agree in one, over all that the task has."""
+    sigs, owners = [], []
     for b in batches:
-        for r in b.to_pylist():
-            held.setdefault((r["part"], r["kind"]), []).append((r["a"], r["b"], r["c"]))
-    for (_, kind), rows in sorted(held.items()):
-        key = np.frombuffer(b"".join(r[0] for r in rows), np.uint64)
-        doc = np.frombuffer(b"".join(r[1] for r in rows), np.int64)
-        if kind == 0:
-            pairs, _ = _stars(key, doc)
-            cols = [np.zeros(len(pairs), np.int32), pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)]
-        else:
-            n = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
-            _, (order, hub) = _stars(key, doc)
-            other = np.where(n[order] > 0, hub, doc[order])
-            cols = [np.ones(len(doc), np.int32), doc[order], other, n[order]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "doc_id", "other", "n"])
+        sigs += [np.frombuffer(x, np.uint64) for x in b.column("a").to_pylist()]
+        owners += [np.frombuffer(x, np.int64) for x in b.column("b").to_pylist()]
+    if sigs:
+        u, v = spanning(np.concatenate(sigs), np.concatenate(owners))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def _grams_of_groups(n: int, parts: int):
@@ -346,7 +359,7 @@ def _packed(rows):
 
 
 def _join_blocks(n: int, percent: int):
-    """Arrow batches of (grp, block, doc_id, text), sorted by group and block, to links (u, v)."""
+    """Arrow batches of (grp, block, chunk, doc_id, text), sorted by the first three, to links (u, v)."""
     def links(ids, sets):
         if len(ids) < 2:
             return []
@@ -355,12 +368,12 @@ def _join_blocks(n: int, percent: int):
     def run(batches):
         now, ids, sets, out = None, [], [], []
         for b in batches:
-            grp, block, doc = (b.column(c).to_numpy() for c in ("grp", "block", "doc_id"))
+            grp, block, chunk, doc = (b.column(c).to_numpy() for c in ("grp", "block", "chunk", "doc_id"))
             for lo, hi, buf, offs in text_slices(b.column("text")):
                 for d, grams in zip(range(lo, hi), shingle_sets(buf, offs, n)):
-                    if now != (grp[d], block[d]):
+                    if now != (grp[d], block[d], chunk[d]):
                         out += links(ids, sets)
-                        now, ids, sets = (grp[d], block[d]), [], []
+                        now, ids, sets = (grp[d], block[d], chunk[d]), [], []
                     ids.append(doc[d])
                     sets.append(grams)
             if out:
@@ -372,14 +385,18 @@ def _join_blocks(n: int, percent: int):
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
 def _with_texts(docs: DataFrame, cand: DataFrame) -> DataFrame:
-    n = cand.count()
-    return docs.join(F.broadcast(cand) if n <= MAX_BROADCAST_ROWS else cand, "doc_id")
+    return docs.join(_small(cand), "doc_id")
 
 
 def _run_blocks(rows: DataFrame, n: int, percent: int) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("grp", "block", "doc_id", "text").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block")
+    key = ("grp", "block", "chunk")
+    rows = rows.select(*key, "doc_id", "text").repartition(parts, *key).sortWithinPartitions(*key)
     return stored(rows.mapInArrow(_join_blocks(n, percent), "u long, v long"), "ngram-links")
 
 
@@ -388,13 +405,29 @@ _PACKED = "part int, kind int, a binary, b binary, c binary"
 
 def _groups(known: DataFrame, n: int, percent: int):
     """The documents (doc_id, other: smallest of the same set, n), and one document of each set in
-    groups of two sets or more: (grp, doc_id, least: its smallest set, grams: of the group)."""
-    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = known.select("doc_id", "text").mapInArrow(_sign_documents(n, percent, 4 * parts), _PACKED)
-    found = stored(packed.repartition(parts, "part").mapInArrow(_gather, "kind int, doc_id long, other long, n long"), "ngram-agree")
-    sizes = found.filter("kind = 1").select("doc_id", "other", "n")
-    same = sizes.filter("doc_id <> other").select("doc_id", "other")
-    agree = components(found.filter("kind = 0").select("doc_id", "other").unionByName(same), "ngram-groups")
+    groups of two sets or more: (grp, doc_id, least: its smallest set, grams: of the group).
+
+    Signatures are dealt out in rounds, few at first. Documents that agree become one before the
+    next round, so a group that the first one joins sends each signature once from then on.
+    """
+    signed = stored(known.select("doc_id", "text").mapInArrow(_sign_documents(n, percent), "doc_id long, n long, w1 long, w2 long, sigs array<long>"), "ngram-signed")
+    equal = signed.filter("n > 0").groupBy("w1", "w2").agg(F.min("doc_id").alias("other"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    equal = stored(equal, "ngram-equal")
+    sizes = signed.select("doc_id", "n", "w1", "w2").join(_small(equal), ["w1", "w2"], "left")
+    sizes = stored(sizes.select("doc_id", F.coalesce("other", "doc_id").alias("other"), "n"), "ngram-sizes")
+    edges = sizes.filter("doc_id <> other").select(F.col("doc_id").alias("u"), F.col("other").alias("v"))
+    signed = signed.filter("size(sigs) > 0")
+    total = signed.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SIGNATURES))
+    agree = components(edges, "ngram-groups")
+    for turn in range(len(TURNS) - 1):
+        agree = stored(agree, "ngram-agree")
+        own = signed.join(_small(agree.filter("node <> root")), F.col("doc_id") == F.col("node"), "left").select(F.coalesce("root", "doc_id").alias("own"), "sigs")
+        packed = own.mapInArrow(_deal(turn, 4 * parts), _PACKED).repartition(parts, "part")
+        found = stored(packed.mapInArrow(_forests, "u long, v long"), "ngram-forests")
+        if not found.isEmpty():
+            stars = agree.filter("node <> root").toDF("u", "v")
+            agree = components(stars.unionByName(found), "ngram-groups")
     heads = sizes.filter("doc_id = other and n > 0").groupBy("doc_id").agg(F.min("n").alias("least"), F.max("n").alias("n")).join(
         agree.withColumnsRenamed({"node": "doc_id", "root": "grp"}), "doc_id")
     totals = heads.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).filter("m > 1")
@@ -443,7 +476,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block_gra
         pivots = pivots.select("grp", "blocks", F.explode("p").alias("doc_id"))
         pivots = pivots.select("grp", "doc_id", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
         first = first.unionByName(pivots).distinct()
-    first = stored(first, "ngram-blocks")
+    first = stored(first.withColumn("chunk", F.lit(-1)), "ngram-blocks")
     links = _run_blocks(_with_texts(known, first), n, percent)
 
     if is_large:
@@ -454,10 +487,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block_gra
         rest = state.filter("rest").withColumn("chunk", block)
         chunks = rest.select("grp", "chunk").distinct()
         # Every block once for each chunk of the rest, and each chunk with every block.
-        sides = state.withColumn("blk", block).join(chunks, "grp").select("grp", "doc_id", F.struct("blk", "chunk").alias("key")).unionByName(
-            rest.select("grp", "doc_id", F.explode(F.expr("sequence(0, blocks - 1)")).alias("blk"), "chunk").select("grp", "doc_id", F.struct("blk", "chunk").alias("key")))
-        sides = sides.distinct().select("grp", "doc_id", (F.col("key.blk").cast("long") * 1_000_000 + F.col("key.chunk")).alias("block"))
-        sides = stored(sides, "ngram-rest")
+        sides = state.withColumn("block", block).join(chunks, "grp").select("grp", "doc_id", "block", "chunk").unionByName(
+            rest.select("grp", "doc_id", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "chunk"))
+        sides = stored(sides.distinct(), "ngram-rest")
         links = links.unionByName(_run_blocks(_with_texts(known, sides), n, percent))
 
     final = components(links.unionByName(same.toDF("u", "v")), "ngram-final")
@@ -479,11 +511,12 @@ def _count_only(n: int):
 
 def one_per_component(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` without near copies: of each component the document with the smallest id
-    stays, of rows that repeat its id one. Rows without an id stay. All columns stay."""
+    stays, of rows that repeat its id the one whose content hashes lowest. Rows without an id stay. All columns stay."""
     found = jaccard_components(docs, n, percent).filter("doc_id is not null")
     drop = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "ngram-drop")
-    many = drop.count()
-    kept = docs.join(F.broadcast(drop) if many <= MAX_BROADCAST_ROWS else drop, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(_small(drop), "doc_id", "left_anti").select(*docs.columns)
     if docs.select("doc_id").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    row = F.struct(*docs.columns)
+    one = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("row"))
+    return one.select("row.*").unionByName(kept.filter("doc_id is null"))
