@@ -22,6 +22,7 @@ BLOCK_GRAMS = 2_000_000
 PIVOTS = 32
 #: Signatures that a task brings together, about, and the bounds (of 64) of the rounds in which they are dealt.
 PART_SIGNATURES = 4_000_000
+SEND_GRAMS = 1_000_000
 TURNS = (0, 2, 12, 64)
 _K1, _K2, _K3 = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
@@ -301,23 +302,31 @@ def _forests(batches):
 
 def _grams_of_groups(n: int, parts: int):
     """(grp, doc_id, text) to packed rows (part, kind, a, b, c): n-grams within their group, with their document."""
+    def rows(held, own):
+        key, own = np.concatenate(held), np.concatenate(own)
+        part = (key % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        out = []
+        for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(at):
+                table, index = np.unique(own[at], return_inverse=True)
+                out.append((int(part[at[0]]), 0, _blob(key[at]), _blob(index.astype(np.uint32)), _blob(table)))
+        return _packed(out)
+
     def run(batches):
+        held, own, size = [], [], 0
         for b in batches:
             grp, ids = b.column("grp").to_numpy().view(np.uint64), b.column("doc_id").to_numpy()
-            held, own = [], []
             for lo, hi, buf, offs in text_slices(b.column("text")):
                 for d, grams in zip(range(lo, hi), shingle_sets(buf, offs, n)):
                     held.append(mix(grams ^ mix(grp[d:d + 1] + _K1)))
                     own.append(np.full(len(grams), ids[d], np.int64))
-            key, own = np.concatenate([np.zeros(0, np.uint64), *held]), np.concatenate([np.zeros(0, np.int64), *own])
-            part = (key % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            rows = []
-            for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                if len(at):
-                    table, index = np.unique(own[at], return_inverse=True)
-                    rows.append((int(part[at[0]]), 0, _blob(key[at]), _blob(index.astype(np.uint32)), _blob(table)))
-            yield _packed(rows)
+                    size += len(grams)
+                if size > SEND_GRAMS:
+                    yield rows(held, own)
+                    held, own, size = [], [], 0
+        if held:
+            yield rows(held, own)
     return run
 
 
@@ -419,15 +428,17 @@ def _groups(known: DataFrame, n: int, percent: int):
     signed = signed.filter("size(sigs) > 0")
     total = signed.agg(F.sum(F.size("sigs"))).first()[0] or 0
     parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SIGNATURES))
-    agree = components(edges, "ngram-groups")
+    agree = stored(components(edges, "ngram-groups"), "ngram-agree")
     for turn in range(len(TURNS) - 1):
-        agree = stored(agree, "ngram-agree")
         own = signed.join(_small(agree.filter("node <> root")), F.col("doc_id") == F.col("node"), "left").select(F.coalesce("root", "doc_id").alias("own"), "sigs")
         packed = own.mapInArrow(_deal(turn, 4 * parts), _PACKED).repartition(parts, "part")
         found = stored(packed.mapInArrow(_forests, "u long, v long"), "ngram-forests")
-        if not found.isEmpty():
-            stars = agree.filter("node <> root").toDF("u", "v")
-            agree = components(stars.unionByName(found), "ngram-groups")
+        if found.isEmpty():
+            continue
+        # Only roots and documents without one are in the forests, so the components join those alone.
+        moved = _small(stored(components(found, "ngram-groups"), "ngram-moved"))
+        old = agree.join(moved.toDF("was", "now"), F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+        agree = stored(old.unionByName(moved.join(_small(agree.select("node")), "node", "left_anti")), "ngram-agree")
     heads = sizes.filter("doc_id = other and n > 0").groupBy("doc_id").agg(F.min("n").alias("least"), F.max("n").alias("n")).join(
         agree.withColumnsRenamed({"node": "doc_id", "root": "grp"}), "doc_id")
     totals = heads.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).filter("m > 1")

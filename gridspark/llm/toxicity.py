@@ -17,7 +17,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 #: Shares of a text's words above which a word or prefix counts as frequent, if it occurs twice.
 RATES = (0.002, 0.01)
 #: Words whose features a worker keeps; beyond it the table is started anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
