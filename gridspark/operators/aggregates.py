@@ -4,13 +4,13 @@ Plain and weighted means are algebraic, so Spark combines them before the shuffl
 a hot key costs one partial row per task.
 """
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridspark.functions import noleap as nl
 from gridspark.functions.geo import GridSpec, HALF_DEGREE, lat_band
 from gridspark.functions.nulls import only_value, sum0, weighted_avg
-from gridspark.functions.ranking import exact_quantiles
-from gridspark.functions.sizing import broadcast_bounded, one_row
+from gridspark.functions.ranking import exact_quantiles, quantile_sketches
+from gridspark.functions.sizing import broadcast_bounded, one_row, stored
 
 # Seconds of a mean month, and kilograms per Gt, used for budgets.
 SECONDS_PER_MEAN_MONTH = 365.0 / 12.0 * 86400.0
@@ -156,26 +156,49 @@ def scenario_means_of_bands(df: DataFrame, keys, n_scenarios: int, scenario: str
 
 
 def moments(df: DataFrame, keys=("variable",), value: str = "value") -> DataFrame:
-    """n, sum, sum of squares, min and max of present values in one pass."""
+    """n, sum, sum of squares, min, max and the sum of squared deviations ``m2`` of present values in one pass."""
     v = F.col(value)
     return df.groupBy(*keys).agg(
         F.count(v).alias("n"), F.sum(v).alias("sum"), F.sum(v * v).alias("sumsq"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
+        F.min(v).alias("min"), F.max(v).alias("max"), (F.var_pop(v) * F.count(v)).alias("m2"))
+
+
+def _spread(m: DataFrame):
+    """Sum of squared deviations; from the sum of squares, which loses digits far from 0, only where a
+    stored entry has nothing better."""
+    plain = F.greatest(F.col("sumsq") - F.try_divide(F.col("sum") * F.col("sum"), F.col("n")), F.lit(0.0))
+    return F.coalesce("m2", plain) if "m2" in m.columns else plain
 
 
 def finish_moments(m: DataFrame) -> DataFrame:
-    """Mean and population standard deviation; a negative variance counts as 0."""
-    mean = F.try_divide("sum", "n")
-    var = F.greatest(F.try_divide("sumsq", "n") - mean * mean, F.lit(0.0))
-    return m.withColumns({"mean": mean, "std": F.sqrt(var)})
+    """Mean and population standard deviation."""
+    return m.withColumns({"mean": F.try_divide("sum", "n"), "std": F.sqrt(F.try_divide(_spread(m), F.col("n")))}).drop("m2")
 
 
 def merge_moments(shards: DataFrame, keys=("variable",)) -> DataFrame:
-    """Merge partial moments; empty shards drop out."""
+    """Merge partial moments; empty shards drop out. Deviations meet pairwise, about the means, so far
+    from 0 no digit is lost."""
+    one = F.struct(F.col("n").cast("double").alias("n"), F.array(F.try_divide("sum", "n")).alias("mean"), F.array(_spread(shards)).alias("m2"), F.lit(None).cast("double").alias("c"))
     d = shards.filter(F.col("n") > 0).groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.sum("sumsq").alias("sumsq"),
-        F.min("min").alias("min"), F.max("max").alias("max"))
-    return finish_moments(d)
+        F.min("min").alias("min"), F.max("max").alias("max"), merged_deviations(one).alias("__m"))
+    return finish_moments(d.withColumn("m2", F.col("__m.m2")[0]).drop("__m"))
+
+
+def merged_deviations(shard: Column) -> Column:
+    """Aggregate over shards, each a struct of n, mean (of one or two series), m2 (their squared
+    deviations) and c (their product of deviations), to the same of all rows. A group has as many
+    entries as shards; their order does not matter."""
+    def step(a, b):
+        n = a["n"] + b["n"]
+        gap = F.zip_with(a["mean"], b["mean"], lambda x, y: y - x)
+        share = b["n"] / n
+        m2 = F.zip_with(F.zip_with(a["m2"], b["m2"], lambda x, y: x + y), gap, lambda x, d: x + d * d * a["n"] * share)
+        return F.struct(n.alias("n"), F.zip_with(a["mean"], gap, lambda x, d: x + d * share).alias("mean"), m2.alias("m2"),
+                        (a["c"] + b["c"] + F.get(gap, F.lit(0)) * F.get(gap, F.lit(1)) * a["n"] * share).alias("c"))
+
+    every = F.sort_array(F.collect_list(shard))
+    return F.aggregate(F.slice(every, 2, F.greatest(F.size(every) - 1, F.lit(0))), F.get(every, F.lit(0)), step)
 
 
 def residual_statistics(df: DataFrame, keys, value: str = "value") -> DataFrame:
@@ -256,9 +279,9 @@ def _beside(groups: DataFrame, found: DataFrame, keys, names) -> DataFrame:
 def robust_limits(df: DataFrame, keys, value: str = "value", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Percentile range, starting at 0 when no value is negative; a flat range gives the
     data range and a group without values none. Quantiles are exact and groups may be of any size."""
-    ends = df.groupBy(*keys).agg(F.min(value).alias("__min"), F.max(value).alias("__max"))
-    q = exact_quantiles(df.filter(F.col(value).isNotNull()), keys, value, [low, high], ["__lo", "__hi"])
-    q = _beside(ends, q, keys, ["__lo", "__hi"])
+    ends = stored(quantile_sketches(df, keys, value), "sketches")
+    q = _beside(ends.select(*keys, F.col("min").alias("__min"), F.col("max").alias("__max")),
+                exact_quantiles(df, keys, value, [low, high], ["__lo", "__hi"], sketches=ends), keys, ["__lo", "__hi"])
     flat = F.col("__lo") == F.col("__hi")
     vmin = F.when(flat, F.col("__min")).when(F.col("__min") >= 0, 0.0).otherwise(F.col("__lo"))
     vmax = F.when(flat, F.col("__max")).otherwise(F.col("__hi"))
@@ -269,8 +292,9 @@ def symmetric_limits(df: DataFrame, keys, value: str = "value", pct: float = 0.9
                      default: float = 1.0) -> DataFrame:
     """Plus and minus a percentile of the absolute values; ``default`` when it is 0 or the
     group has no value."""
-    d = df.filter(F.col(value).isNotNull()).withColumn("__abs", F.abs(value))
-    q = _beside(df.groupBy(*keys).agg(F.count(value).alias("__n")), exact_quantiles(d, keys, "__abs", [pct], ["__a"]), keys, ["__a"])
+    d = df.select(*keys, F.abs(value).alias("__abs"))
+    every = stored(quantile_sketches(d, keys, "__abs"), "sketches")
+    q = _beside(every.select(*keys), exact_quantiles(d, keys, "__abs", [pct], ["__a"], sketches=every), keys, ["__a"])
     a = F.when(F.col("__a") > 0, F.col("__a")).otherwise(F.lit(default))
     return q.select(*keys, (-a).alias("vmin"), a.alias("vmax"))
 

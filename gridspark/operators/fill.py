@@ -1,9 +1,12 @@
 """Gap filling."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridspark.functions import noleap as nl
 from gridspark.functions.geo import GridSpec, HALF_DEGREE
+from gridspark.functions.sizing import broadcast_bounded
 from gridspark.schema import CELL
 
 
@@ -82,9 +85,85 @@ def template_overwrite(df: DataFrame, template: DataFrame, keys, doy: str = "doy
     return d.withColumn(value, F.when(F.col("__bad"), F.col("__t")).otherwise(F.col(value))).drop("__bad", "__t")
 
 
+def nearest_source(cells: DataFrame, grid: GridSpec = HALF_DEGREE) -> DataFrame:
+    """(lat_idx, lon_idx, src_lat, src_lon, steps) for every cell of the grid: the cell of ``cells`` that is
+    reached from it in the fewest steps to one of eight neighbours, east and west meeting, poles
+    not; of several the one with the smallest row, then column. Without cells there are no rows.
+
+    The search starts from all cells at once and spreads ring by ring; it holds one grid, no more.
+    """
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        none = grid.nlat * grid.nlon
+        source = np.full((grid.nlat, grid.nlon), none)
+        source[frame["lat_idx"], frame["lon_idx"]] = frame["lat_idx"] * grid.nlon + frame["lon_idx"]
+        steps = np.where(source < none, 0, -1)
+        ring = 0
+        while (steps < 0).any():
+            ring += 1
+            best = np.minimum(source, np.minimum(np.roll(source, 1, 1), np.roll(source, -1, 1)))
+            wide = best.copy()
+            wide[1:] = np.minimum(wide[1:], best[:-1])
+            wide[:-1] = np.minimum(wide[:-1], best[1:])
+            new = (steps < 0) & (wide < none)
+            source[new], steps[new] = wide[new], ring
+        at = np.indices(source.shape).reshape(2, -1)
+        return pd.DataFrame({"lat_idx": at[0], "lon_idx": at[1], "src_lat": source.ravel() // grid.nlon, "src_lon": source.ravel() % grid.nlon, "steps": steps.ravel()}).astype("int32")
+
+    inside = cells.filter(F.col("lat_idx").between(0, grid.nlat - 1) & F.col("lon_idx").between(0, grid.nlon - 1)).select(*CELL).distinct()
+    return inside.groupBy().applyInPandas(search, "lat_idx int, lon_idx int, src_lat int, src_lon int, steps int")
+
+
 def nearest_template(locations: DataFrame, template: DataFrame, lat: str = "lat", lon: str = "lon",
-                     grid: GridSpec = HALF_DEGREE) -> DataFrame:
+                     grid: GridSpec = HALF_DEGREE, empty: str = "nearest") -> DataFrame:
     """Day-of-year template of each location, taken from the nearest cell of the template's
-    grid."""
+    grid. Where that cell has no template, ``empty`` says what holds: the nearest cell that has one
+    ('nearest'), a failed job ('fail'), or no row ('drop')."""
     where = locations.withColumns({"lat_idx": grid.lat_index(lat), "lon_idx": grid.lon_index(lon)})
-    return where.join(template, list(CELL))
+    if empty == "drop":
+        return where.join(template, list(CELL))
+    if empty == "fail":
+        have = template.select(*CELL).distinct().withColumn("__has", F.lit(True))
+        where = where.join(have, list(CELL), "left")
+        gone = F.raise_error(F.lit("a location's cell has no template")).cast("boolean")
+        where = where.withColumn("__has", F.coalesce(F.col("__has"), gone)).filter("__has").drop("__has")
+        return where.join(template, list(CELL))
+    if empty != "nearest":
+        raise ValueError(f"unknown rule {empty!r}")
+    found = broadcast_bounded(nearest_source(template, grid).drop("steps"), grid.n_cells)
+    where = where.join(found, list(CELL), "left")
+    source = template.withColumnsRenamed({"lat_idx": "src_lat", "lon_idx": "src_lon"})
+    return where.join(source, ["src_lat", "src_lon"], "left").drop("src_lat", "src_lon")
+
+
+def fill_all(df: DataFrame, keys, eligible: str = "land", value: str = "value", grid: GridSpec = HALF_DEGREE,
+             rounds: int | None = None) -> DataFrame:
+    """:func:`spatial_fill` of 3 x 3 blocks again and again, until no eligible cell is missing or can be filled,
+    or ``rounds`` times: what one round has filled gives to the next. A map is one value of
+    ``keys``; one without any value stays as it is. A task holds one map."""
+    keys, names = list(keys), df.columns
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        y, x = frame["lat_idx"].to_numpy(), frame["lon_idx"].to_numpy()
+        field = np.full((grid.nlat, grid.nlon), np.nan)
+        field[y, x] = frame[value].astype(float)
+        land = np.zeros(field.shape, bool)
+        land[y, x] = frame[eligible] == 1
+        hole = land & np.isnan(field)
+        done = 0
+        while hole.any() and (rounds is None or done < rounds):
+            gives = land & ~np.isnan(field)
+            sums = []
+            for a in (np.where(gives, field, 0.0), gives.astype(float)):
+                a = np.pad(a, 1, mode="edge")
+                a = a[:-2] + a[1:-1] + a[2:]
+                sums.append(a[:, :-2] + a[:, 1:-1] + a[:, 2:])
+            new = hole & (sums[1] > 0)
+            if not new.any():
+                break
+            field[new] = sums[0][new] / sums[1][new]
+            hole &= ~new
+            done += 1
+        frame[value] = field[y, x]
+        return frame[names]
+
+    return df.groupBy(*keys).applyInPandas(fill, df.schema)

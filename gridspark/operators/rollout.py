@@ -140,10 +140,7 @@ def rollout(df: DataFrame, keys, predict, states: dict[str, str], outputs, carry
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in names)
     schema += "".join(f", `{o}` double" for o in outputs)
     unit = [*keys, "__tile"]
-    tile = grid.tile_id(*cell) if cell == list(CELL) else F.pmod(F.xxhash64(*cell), F.lit(grid.n_tiles))
-    if split > 1:
-        tile = tile * split + F.pmod(F.xxhash64(*cell, F.lit("part")), F.lit(split))
-    d = df.withColumn("__tile", tile).repartition(*unit).sortWithinPartitions(*unit, year, *cell, *steps[1:])
+    d = in_tiles(df, "__tile", cell, grid, split).repartition(*unit).sortWithinPartitions(*unit, year, *cell, *steps[1:])
     rule = (names, cell, steps, predict, dict(states), list(outputs), carry, initial, dict(start or {}), list(complete), nudging)
 
     def run(batches):
@@ -165,6 +162,15 @@ def rollout(df: DataFrame, keys, predict, states: dict[str, str], outputs, carry
     return d.mapInPandas(run, schema)
 
 
+def in_tiles(df: DataFrame, name: str, cell, grid: GridSpec, split: int = 1) -> DataFrame:
+    """Add the tile of each cell, or its part of a tile cut into ``split``."""
+    cell = list(cell)
+    tile = grid.tile_id(*cell) if cell == list(CELL) else F.pmod(F.xxhash64(*cell), F.lit(grid.n_tiles))
+    if split > 1:
+        tile = tile * split + F.pmod(F.xxhash64(*cell, F.lit("part")), F.lit(split))
+    return df.withColumn(name, tile)
+
+
 def _starts(frame, columns) -> list[int]:
     """First rows of the runs of equal values; missing values are equal."""
     change = np.zeros(max(len(frame) - 1, 0), bool)

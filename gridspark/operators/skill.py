@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.functions.nulls import finite
+from gridspark.operators.aggregates import merged_deviations
 from gridspark.operators.time_axis import day_to_month, to_annual
 
 
@@ -56,6 +57,10 @@ def metric_table(df: DataFrame, y: str = "y", p: str = "yhat", by: str = "variab
     """Metrics per variable after a global row: plain mean of the metrics, sum of n."""
     per = df.groupBy(by).agg(n_pairs(y, p).alias("n"), r2(y, p).alias("R2"),
                              nrmse(y, p).alias("nRMSE"), acc(y, p).alias("ACC"))
+    return _with_global(per, by)
+
+
+def _with_global(per: DataFrame, by: str) -> DataFrame:
     whole = per.agg(F.sum("n").alias("n"), *[F.avg(m).alias(m) for m in ("R2", "nRMSE", "ACC")])
     top = whole.select(F.lit(GLOBAL_ROW).alias(by), "n", "R2", "nRMSE", "ACC")
     return top.unionByName(per).orderBy(F.col(by) != GLOBAL_ROW, by)
@@ -75,6 +80,44 @@ def taylor_statistics(df: DataFrame, keys, y: str = "y", p: str = "yhat") -> Dat
                           "theta": F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("corr"))))})
 
 
+def pair_moments(df: DataFrame, keys, y: str = "y", p: str = "yhat") -> DataFrame:
+    """All that the metrics need of a shard: n, means, squared deviations and their product, squared error."""
+    a, b = _pairs(y, p)
+    n = F.count(a)
+    return df.groupBy(*keys).agg(
+        n.alias("n"), F.avg(a).alias("mean_y"), F.avg(b).alias("mean_p"), (F.var_pop(a) * n).alias("m2_y"), (F.var_pop(b) * n).alias("m2_p"),
+        (F.covar_pop(a, b) * n).alias("c"), F.sum((a - b) * (a - b)).alias("sse"))
+
+
+def merge_pair_moments(shards: DataFrame, keys) -> DataFrame:
+    """The pair moments of all rows from those of any shards of them, met pairwise about their means;
+    a key without pairs has n = 0."""
+    shard = F.struct(F.col("n").cast("double").alias("n"), F.array("mean_y", "mean_p").alias("mean"), F.array("m2_y", "m2_p").alias("m2"), "c")
+    d = shards.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), merged_deviations(F.when(F.col("n") > 0, shard)).alias("__m"))
+    m = lambda name, i: F.get(F.col(f"__m.{name}"), F.lit(i))
+    return d.select(*keys, "n", m("mean", 0).alias("mean_y"), m("mean", 1).alias("mean_p"), m("m2", 0).alias("m2_y"), m("m2", 1).alias("m2_p"),
+                    F.col("__m.c").alias("c"), "sse")
+
+
+def skill_of_moments(m: DataFrame, keys) -> DataFrame:
+    """Every metric of this module from pair moments: n, r2 (three kinds), rmse, nrmse, acc and the Taylor statistics."""
+    n, sse = F.col("n"), F.col("sse")
+    spread = (F.col("m2_y") > 0) & (F.col("m2_p") > 0)
+    corr = F.when(spread, F.col("c") / F.sqrt(F.col("m2_y")) / F.sqrt(F.col("m2_p")))
+    samples = lambda c: F.when(n > 1, F.sqrt(F.col(c) / (n - 1)))
+    rmse_ = F.sqrt(F.try_divide(sse, n))
+    d = m.select(*keys, n, F.when(F.col("m2_y") > 0, 1 - sse / F.col("m2_y")).alias("r2"), F.when(F.col("m2_p") > 0, 1 - sse / F.col("m2_p")).alias("r2_prediction"),
+                 (corr * corr).alias("r2_pearson"), rmse_.alias("rmse"), F.when(F.col("m2_y") > 0, rmse_ / F.sqrt(F.col("m2_y") / n)).alias("nrmse"), corr.alias("acc"),
+                 samples("m2_y").alias("ref_std"), samples("m2_p").alias("std"))
+    return d.withColumns({"rel_std": F.try_divide("std", "ref_std"), "theta": F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("acc"))))})
+
+
+def metric_table_of_moments(m: DataFrame, by: str = "variable") -> DataFrame:
+    """:func:`metric_table` from merged pair moments."""
+    per = skill_of_moments(m, [by]).select(by, "n", F.col("r2").alias("R2"), F.col("nrmse").alias("nRMSE"), F.col("acc").alias("ACC"))
+    return _with_global(per, by)
+
+
 TOTAL_ROW = "TOTAL"
 
 

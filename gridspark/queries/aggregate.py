@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from gridspark.functions.ranking import exact_quantiles, merge_sketches, quantile_sketches
+from gridspark.functions.sizing import stored
 from gridspark.operators import aggregates as ag, masks as mk
 from gridspark.queries.registry import AREA, AREA_COS, LAT, SECONDS_MEAN_MONTH, query, rounded
 from gridspark.sources import adapters as ad
@@ -252,6 +254,16 @@ def quantile_clip(spark, sf):
     return rounded(ag.quantile_clip(d, []), "clip_low", "clip_high")
 
 
+@query("a25_limits_from_shards", f"""
+WITH {ad.PAIRS_SQL}, q AS (SELECT variable, quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.5) AS mid, quantile_cont(y, 0.99) AS hi FROM pairs GROUP BY ALL)
+SELECT variable, round(lo, 4) AS lo, round(mid, 4) AS mid, round(hi, 4) AS hi FROM q""")
+def limits_from_shards(spark, sf):
+    """Sketches of 30 shards, merged; the ranks they bracket are exact."""
+    d = ad.pairs(spark, sf).select("variable", "y", F.pmod("l_suppkey", F.lit(30)).alias("shard"))
+    merged = stored(merge_sketches(quantile_sketches(d, ["variable", "shard"], "y"), ["variable"]), "merged")
+    return rounded(exact_quantiles(d, ["variable"], "y", [0.01, 0.5, 0.99], ["lo", "mid", "hi"], sketches=merged), "lo", "mid", "hi", n=4)
+
+
 @query("a27_distinct_values", "SELECT DISTINCT event_type FROM events")
 def distinct_values(spark, sf):
     return ag.distinct_values(ad.table(spark, sf, "events"), "event_type")

@@ -115,4 +115,40 @@ def nearest_template(spark, sf):
     k = F.col("c_custkey")
     pts = ad.table(spark, sf, "customer").select(
         k, (F.pmod(k * 37, F.lit(3600)) / 20.0 - 90.0 + 0.013).alias("lat"), (F.pmod(k * 11, F.lit(8)) / 10.0 - 0.4 + 0.017).alias("lon"))
+    return rounded(fi.nearest_template(pts, template, empty="drop").drop("lat", "lon"), "value")
+
+
+def _rounds_sql(n: int) -> str:
+    """Rounds of the 3 x 3 fill, each on what the one before has left."""
+    ctes = [f"{ad.CELLS_SQL}, o AS (SELECT i, j FROM (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j))",
+            "f0 AS (SELECT lat_idx, lon_idx, land, CASE WHEN value < 4 THEN NULL ELSE value END AS value FROM cells)"]
+    for k in range(n):
+        ctes += [f"w{k} AS (SELECT lat_idx, lon_idx, least(359, greatest(0, lat_idx + i)) AS di, least(719, greatest(0, lon_idx + j)) AS dj FROM f{k}, o WHERE value IS NULL AND land = 1)",
+                 f"m{k} AS (SELECT w{k}.lat_idx, w{k}.lon_idx, avg(d.value) AS f FROM w{k} JOIN f{k} d ON d.lat_idx = di AND d.lon_idx = dj AND d.value IS NOT NULL AND d.land = 1 GROUP BY ALL)",
+                 f"f{k + 1} AS (SELECT lat_idx, lon_idx, land, coalesce(value, f) AS value FROM f{k} LEFT JOIN m{k} USING (lat_idx, lon_idx))"]
+    return "WITH " + ", ".join(ctes) + f" SELECT lat_idx, lon_idx, land, round(value, 6) AS value FROM f{n}"
+
+
+@query("h02_fill_in_rounds", _rounds_sql(4))
+def fill_in_rounds(spark, sf):
+    """Up to four rounds, so that wide gaps close from their rims."""
+    cells = ad.cells(spark, sf).select(*CELL, "land", F.when(F.col("value") >= 4, F.col("value")).alias("value"))
+    return rounded(fi.fill_all(cells, [], rounds=4), "value")
+
+
+@query("h06_nearest_with_template", f"""
+WITH {ad.field_month_sql()}, tp AS (SELECT lat_idx, lon_idx, {ad.CUM_SQL}[month] + 1 AS doy, avg(value) AS value FROM field GROUP BY ALL),
+p AS (SELECT c_custkey, (c_custkey * 37 % 3600) / 20.0 - 90.0 + 0.013 AS lat, (c_custkey * 11 % 3600) / 10.0 - 180 + 0.017 AS lon FROM customer),
+i AS (SELECT c_custkey, least(359, greatest(0, CAST(floor((lat + 89.75) / 0.5 + 0.5) AS INT))) AS lat_idx,
+  CAST(((CAST(floor(lon / 0.5 + 0.5) AS BIGINT) % 720) + 720) % 720 AS INT) AS lon_idx FROM p),
+c AS (SELECT DISTINCT lat_idx AS a, lon_idx AS o FROM tp), u AS (SELECT DISTINCT lat_idx, lon_idx FROM i),
+n AS (SELECT lat_idx, lon_idx, min((greatest(abs(lat_idx - a), least(abs(lon_idx - o), 720 - abs(lon_idx - o))), a, o)) AS s FROM u, c GROUP BY ALL)
+SELECT c_custkey, i.lat_idx, i.lon_idx, doy, round(value, 6) AS value FROM i JOIN n USING (lat_idx, lon_idx) JOIN tp ON tp.lat_idx = struct_extract(s, 2) AND tp.lon_idx = struct_extract(s, 3)""")
+def nearest_with_template(spark, sf):
+    """Locations all over the grid, each with the template of the nearest cell that has one."""
+    f = ad.field_month(spark, sf).withColumn("doy", nl.doy_of("t"))
+    template = f.groupBy(*CELL, "doy").agg(F.avg("value").alias("value"))
+    k = F.col("c_custkey")
+    pts = ad.table(spark, sf, "customer").select(
+        k, (F.pmod(k * 37, F.lit(3600)) / 20.0 - 90.0 + 0.013).alias("lat"), (F.pmod(k * 11, F.lit(3600)) / 10.0 - 180 + 0.017).alias("lon"))
     return rounded(fi.nearest_template(pts, template).drop("lat", "lon"), "value")

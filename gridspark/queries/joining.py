@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gridspark.functions.geo import HALF_DEGREE
 from gridspark.functions.sizing import one_row
 from gridspark.operators import aggregates as ag, joins as jn
+from gridspark.operators.asof import asof_join
 from gridspark.queries.registry import TILE, query, rounded
 from gridspark.sources import adapters as ad
 
@@ -133,3 +134,40 @@ def skip_tiles(spark, sf):
     done = ad.cells(spark, sf).groupBy(tile.alias("tile_id")).agg(F.avg("value").alias("v")).filter("v > 3.5")
     d = jn.skip_tiles(ad.field_month(spark, sf).withColumn("tile_id", tile), done)
     return rounded(d.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value")), "value")
+
+
+# Irregular axes: order dates against ship dates, a third of all rows under one key.
+_IRREGULAR = """a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE 'M' || CAST(o_custkey % 50 AS VARCHAR) END AS source, CAST(date_diff('day', DATE '1992-01-01', o_orderdate) AS INT) AS t FROM orders),
+b AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE 'M' || CAST(l_suppkey % 50 AS VARCHAR) END AS source, CAST(date_diff('day', DATE '1992-01-01', l_shipdate) AS INT) AS t, max(l_extendedprice) AS value
+  FROM lineitem WHERE l_partkey % 7 = 0 GROUP BY ALL)"""
+
+
+def _irregular(spark, sf):
+    day = lambda c: F.datediff(c, F.lit("1992-01-01").cast("date"))
+    key = lambda row, of: F.when(F.pmod(row, F.lit(3)) == 0, "hot").otherwise(F.concat(F.lit("M"), F.pmod(of, F.lit(50)).cast("string")))
+    a = ad.table(spark, sf, "orders").select("o_orderkey", key("o_orderkey", "o_custkey").alias("source"), day("o_orderdate").alias("t"))
+    b = ad.table(spark, sf, "lineitem").filter(F.pmod("l_partkey", F.lit(7)) == 0).select(
+        key("l_orderkey", "l_suppkey").alias("source"), day("l_shipdate").alias("t"), F.col("l_extendedprice").alias("value"))
+    return a, b
+
+
+@query("t19_hold_irregular", f"""
+WITH {_IRREGULAR} SELECT o_orderkey, a.source, a.t, CASE WHEN a.t - b.t <= 5 THEN b.t END AS t_right, CASE WHEN a.t - b.t <= 5 THEN value END AS value FROM a ASOF LEFT JOIN b ON a.source = b.source AND a.t >= b.t""")
+def hold_irregular(spark, sf):
+    """The last value at or before each step, no older than five days."""
+    return asof_join(*_irregular(spark, sf), "t", ["source"], "backward", tolerance=5)
+
+
+@query("j04_next_on_axis", f"""
+WITH {_IRREGULAR} SELECT o_orderkey, a.source, a.t, b.t AS t_right, value FROM a ASOF LEFT JOIN b ON a.source = b.source AND a.t <= b.t""")
+def next_on_axis(spark, sf):
+    return asof_join(*_irregular(spark, sf), "t", ["source"], "forward")
+
+
+@query("j06_nearest_on_axis", f"""
+WITH {_IRREGULAR}, p AS (SELECT o_orderkey, a.source, a.t, b.t AS t0, value AS v0 FROM a ASOF LEFT JOIN b ON a.source = b.source AND a.t >= b.t),
+n AS (SELECT o_orderkey, b.t AS t1, value AS v1 FROM a ASOF LEFT JOIN b ON a.source = b.source AND a.t <= b.t),
+h AS (SELECT *, t0 IS NOT NULL AND (t1 IS NULL OR t - t0 <= t1 - t) AS back FROM p JOIN n USING (o_orderkey))
+SELECT o_orderkey, source, t, CASE WHEN back THEN t0 ELSE t1 END AS t_right, CASE WHEN back THEN v0 ELSE v1 END AS value FROM h""")
+def nearest_on_axis(spark, sf):
+    return asof_join(*_irregular(spark, sf), "t", ["source"], "nearest")

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from gridspark.operators import aggregates as ag, rollout as ro
 from gridspark.operators.apply import apply_series, apply_steps
+from gridspark.operators.resume import rollout_resumable
 from gridspark.queries.registry import query, rounded
+from gridspark.session import scratch_path
 from gridspark.sources import adapters as ad
 
 K = ad.MONTHLY_KEYS
@@ -64,12 +66,17 @@ SELECT {KS}, year, month, round(CASE WHEN i = 1 THEN s WHEN NOT bad THEN 30 + 0.
   round(CASE WHEN i = 1 THEN l WHEN NOT bad THEN 20 + 0.8 * (0.5 * l + 0.5 * v - 20) END, 6) AS leaf, round(CASE WHEN NOT bad THEN v - 0.1 * s + 0.05 * l END, 6) AS gpp FROM x"""
 
 
-def _pinned(spark, sf, carry):
+def _pinned_forcing(spark, sf):
     f = ad.field_month(spark, sf).withColumn("value", F.when(F.col("value") < 260, F.col("value")))
-    f = f.withColumns({"soil0": F.col("value") * 2, "leaf0": F.col("value") * 3})
-    d = ro.rollout(f, ["source"], _predict_two, {"soil": "annual", "leaf": "monthly"}, ["soil", "leaf", "gpp"], carry=carry,
-                   start={"soil": "soil0", "leaf": "leaf0"}, complete=["value"], nudging=ro.Nudging(_NUDGE_TO, 0.2), split=2)
-    return rounded(d, "soil", "leaf", "gpp")
+    return f.withColumns({"soil0": F.col("value") * 2, "leaf0": F.col("value") * 3})
+
+
+_PINNED = dict(keys=["source"], predict=_predict_two, states={"soil": "annual", "leaf": "monthly"}, outputs=["soil", "leaf", "gpp"],
+               start={"soil": "soil0", "leaf": "leaf0"}, complete=["value"], nudging=ro.Nudging(_NUDGE_TO, 0.2), split=2)
+
+
+def _pinned(spark, sf, carry):
+    return rounded(ro.rollout(_pinned_forcing(spark, sf), carry=carry, **_PINNED), "soil", "leaf", "gpp")
 
 
 @query("r01_rollout_pinned_annual", _pinned_sql("annual"))
@@ -82,6 +89,15 @@ def rollout_pinned_december(spark, sf):
     return _pinned(spark, sf, "december")
 
 
+@query("r01_rollout_resumed", _pinned_sql("december"))
+def rollout_resumed(spark, sf):
+    """A run that ended after 1994 goes on from its stored states, in blocks of three years."""
+    path = scratch_path(spark, "rollout")
+    f = _pinned_forcing(spark, sf)
+    rollout_resumable(f, path, carry="december", block_years=3, until=1994, **_PINNED)
+    return rounded(rollout_resumable(f, path, carry="december", block_years=3, **_PINNED), "soil", "leaf", "gpp")
+
+
 @query("r02_carry_annual_mean", f"""
 WITH {FM}, p AS (SELECT {KS}, year + 1 AS year, avg(value) AS state FROM field GROUP BY ALL)
 SELECT {KS}, year, month, round(state, 6) AS state FROM field LEFT JOIN p USING ({KS}, year)""")

@@ -44,6 +44,29 @@ def metric_table(spark, sf):
     return rounded(sk.metric_table(ad.pairs(spark, sf)), "R2", "nRMSE", "ACC")
 
 
+_METRICS = f"""
+WITH {P}, m AS (SELECT variable, count(*) AS n, {_R2} AS r2, {_RMSE} / stddev_pop(y) AS nr, corr(y, yhat) AS acc FROM pairs GROUP BY ALL)
+SELECT variable, n, round(r2, 6) AS "R2", round(nr, 6) AS "nRMSE", round(acc, 6) AS "ACC" FROM m
+UNION ALL SELECT 'GLOBAL(equal_weight)', CAST(sum(n) AS BIGINT), round(avg(r2), 6), round(avg(nr), 6), round(avg(acc), 6) FROM m"""
+
+
+@query("k05_metric_table_from_shards", _METRICS)
+def metric_table_from_shards(spark, sf):
+    shards = sk.pair_moments(ad.pairs(spark, sf).withColumn("shard", F.pmod("l_orderkey", F.lit(40))), ["variable", "shard"])
+    return rounded(sk.metric_table_of_moments(sk.merge_pair_moments(shards, ["variable"])), "R2", "nRMSE", "ACC")
+
+
+@query("k08_skill_from_shards", f"""
+WITH {P}, o AS (SELECT variable, y + 1e9 AS y, yhat + 1e9 AS yhat, y AS y0, yhat AS p0 FROM pairs)
+SELECT variable, count(*) AS n, round(1 - sum((y0 - p0) * (y0 - p0)) / (count(*) * var_pop(y0)), 6) AS r2, round(sqrt(avg((p0 - y0) * (p0 - y0))), 4) AS rmse,
+  round(stddev_samp(y0), 4) AS ref_std, round(stddev_samp(p0), 4) AS std, round(corr(y0, p0), 6) AS acc FROM o GROUP BY ALL""")
+def skill_from_shards(spark, sf):
+    """Values near 1e9: the metrics of the deviations all the same."""
+    d = ad.pairs(spark, sf).withColumns({"y": F.col("y") + 1e9, "yhat": F.col("yhat") + 1e9, "shard": F.pmod("l_suppkey", F.lit(30))})
+    m = sk.skill_of_moments(sk.merge_pair_moments(sk.pair_moments(d, ["variable", "shard"]), ["variable"]), ["variable"])
+    return rounded(rounded(m.select("variable", "n", "r2", "rmse", "ref_std", "std", "acc"), "r2", "acc"), "rmse", "ref_std", "std", n=4)
+
+
 @query("k06_cell_metrics", f"""
 WITH {P} SELECT variable, lat_idx, lon_idx, round(CASE WHEN var_pop(y) > 0 THEN {_R2} END, 6) AS r2, round({_RMSE}, 6) AS rmse FROM pairs GROUP BY ALL""")
 def cell_metrics(spark, sf):

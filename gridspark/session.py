@@ -19,6 +19,7 @@ def build_session(app: str = "gridspark", master: str | None = None, **conf) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         **conf,
     }
     for k, v in settings.items():
