@@ -17,6 +17,20 @@ _STEPS = tuple(_U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED
                                0x589965CC75374CC3, 0x1D8E4E27C47D124F))
 
 
+#: Rows of a batch of texts on its way to Python and back; a batch is held on both sides.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df):
+    """``df``, after its session was told to send no more than BATCH_ROWS rows at a time."""
+    conf = df.sparkSession.conf
+    now = int(conf.get(_BATCH, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def mix(x):
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> _U(32))

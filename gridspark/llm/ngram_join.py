@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridspark.functions.sizing import MAX_BROADCAST_ROWS, stored
-from gridspark.llm.arrays import mix, shingle_sets, text_slices
+from gridspark.llm.arrays import mix, shingle_sets, small_batches, text_slices
 from gridspark.llm.graph import components
 
 #: N-grams of one block, and sets of the sample that every block of a group has.
-BLOCK_GRAMS = 2_000_000
+BLOCK_GRAMS = 1_000_000
 PIVOTS = 32
 #: Signatures that a task brings together, about, and the bounds (of 64) of the rounds in which they are dealt.
 PART_SIGNATURES = 4_000_000
@@ -460,7 +460,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block_gra
     group's largest component then meet every block, so no link that joins components is lost.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
     sizes, heads = _groups(known, n, percent)
     same = sizes.filter("doc_id <> other").select("doc_id", "other")

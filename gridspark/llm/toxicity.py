@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridspark.functions.sizing import stored
+from gridspark.llm.arrays import small_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
 BITS = 24
@@ -126,6 +127,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, held_out, sample_positive:
     apart. Of several labels of a document the largest counts; null ids and texts take no part.
     Without a confirmed example nothing is toxic.
     """
+    small_batches(docs)
     found = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = docs.filter(~held_out).select("doc_id").filter("doc_id is not null").distinct().join(found, "doc_id", "left")
     ids = stored(ids, "toxic-ids")
@@ -145,7 +147,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on); needs only the column text, whole
     and of any length. A null or empty text has no feature, so its score is the bias's. Columns
     named score or predicted are replaced. Each row stands alone."""
-    box = docs.sparkSession.sparkContext.broadcast(model)
+    box = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     send = keep if "text" in keep else [*keep, "text"]
 
