@@ -88,7 +88,15 @@ def replace_labels(df: DataFrame, mapping: dict[str, str], label_groups, group:
     return df.withColumn("actual_variable", F.coalesce(actual, F.col(name)))
 
 
-def select_variables(df: DataFrame, names, name: str = "variable") -> DataFrame:
+def select_variables(df: DataFrame, names, name: str = "variable", absent: str = "fail") -> DataFrame:
+    """Rows of the wanted variables. One that the field does not hold fails at once, with the names that are
+    there, unless ``absent`` is 'skip'; only the column of names is read for it."""
+    if absent == "fail":
+        gone = absent_variables(df, names, name).collect()  # as many rows as wanted names
+        if gone:
+            raise ValueError(f"no variable {', '.join(sorted(r['variable'] for r in gone))}; there are {', '.join(gone[0]['available'])}")
+    elif absent != "skip":
+        raise ValueError(f"unknown rule {absent!r}")
     return df.filter(F.col(name).isin(*names))
 
 

@@ -118,7 +118,8 @@ def nearest_template(locations: DataFrame, template: DataFrame, lat: str = "lat"
     """Day-of-year template of each location, taken from the nearest cell of the template's
     grid. Where that cell has no template, ``empty`` says what holds: the nearest cell that has one
     ('nearest'), a failed job ('fail'), or no row ('drop')."""
-    where = locations.withColumns({"lat_idx": grid.lat_index(lat), "lon_idx": grid.lon_index(lon)})
+    there = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    where = locations.withColumns({"lat_idx": F.when(there, grid.lat_index(lat)), "lon_idx": F.when(there, grid.lon_index(lon))})
     if empty == "drop":
         return where.join(template, list(CELL))
     if empty == "fail":

@@ -158,10 +158,11 @@ def balance_scores(residuals: DataFrame, weights: dict[str, float], loss: str =
     w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
     per = (per.withColumn("weight", F.coalesce(F.try_element_at(w, F.col("balance")), F.lit(0.0)))
            .filter(F.col("weight") > 0).withColumn("weighted", F.col("weight") * F.col("loss")))
-    total = per.agg(F.sum("weighted").alias("weighted"), F.sum("n").alias("n")).select(
-        F.lit("TOTAL").alias("balance"), F.lit(None).cast("double").alias("loss"), "n",
-        F.lit(None).cast("double").alias("weight"), "weighted")
-    return per.unionByName(total)
+    whole = F.grouping("balance") == 1  # one pass gives the balances and their sum
+    d = per.rollup("balance").agg(F.first("loss").alias("loss"), F.sum("n").alias("n"), F.first("weight").alias("weight"),
+                                  F.sum("weighted").alias("weighted"), whole.alias("__all"))
+    return d.select(F.when(F.col("__all"), "TOTAL").otherwise(F.col("balance")).alias("balance"),
+                    F.when(~F.col("__all"), F.col("loss")).alias("loss"), "n", F.when(~F.col("__all"), F.col("weight")).alias("weight"), "weighted")
 
 
 def bias(df: DataFrame, keys, role: str = "role", value: str = "value", label_minus_predicted=False) -> DataFrame:

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridspark.functions.nulls import finite
-from gridspark.functions.sizing import one_row
 from gridspark.schema import CELL
 
 # Allowed axis lengths, time units and calendars.
@@ -19,22 +18,17 @@ def missing_report(df: DataFrame, keys=(), cell=CELL, t: str = "t", land: str |
     the grid and axis where some cell or step has no row at all."""
     d = df.filter(F.col(land) == 1) if land else df
     d = d.select(*keys, *cell, t, F.col(value).isNotNull().cast("int").alias("__ok"))
-    by_t = d.groupBy(*keys, t).agg(F.sum("__ok").alias("ok"))
-    by_cell = d.groupBy(*keys, *cell).agg(F.sum("__ok").alias("ok"))
-
-    def totals(x, *aggs):
-        return x.groupBy(*keys).agg(*aggs) if keys else x.agg(*aggs)
-
-    def size(n):
-        return F.count(F.lit(1)) if n is None else F.lit(n).cast("long")
-
-    some = F.count(F.when(F.col("ok") > 0, 1))
-    a = totals(by_t, F.sum("ok").alias("__ok"), size(n_steps).alias("n_steps"), (size(n_steps) - some).alias("empty_steps"))
-    b = totals(by_cell, size(n_cells).alias("n_cells"), (size(n_cells) - some).alias("empty_cells"))
-    if keys:
-        out = a.join(b, list(keys))
-    else:
-        out = a.withColumn("__b", one_row(b)).select("*", "__b.*").drop("__b")
+    # One read gives the sums per step and per cell.
+    sums = d.groupingSets([[*keys, t], [*keys, *cell]], *keys, t, *cell).agg(F.sum("__ok").alias("ok"), F.grouping(t).alias("__cells"))
+    steps, cells = F.col("__cells") == 0, F.col("__cells") == 1
+
+    def size(of, n):
+        return F.count(F.when(of, 1)) if n is None else F.lit(n).cast("long")
+
+    aggs = [F.sum(F.when(steps, F.col("ok"))).alias("__ok")]
+    for name, of, n in (("steps", steps, n_steps), ("cells", cells, n_cells)):
+        aggs += [size(of, n).alias(f"n_{name}"), (size(of, n) - F.count(F.when(of & (F.col("ok") > 0), 1))).alias(f"empty_{name}")]
+    out = sums.groupBy(*keys).agg(*aggs) if keys else sums.agg(*aggs)
     out = out.withColumn("n", F.col("n_cells") * F.col("n_steps"))
     out = out.withColumn("n_missing", F.col("n") - F.coalesce("__ok", F.lit(0))).drop("__ok")
     return out.withColumn("missing_share", F.try_divide("n_missing", "n"))

@@ -264,6 +264,16 @@ def nudge_states(df: DataFrame, stats: DataFrame, states, lam: float, mode: str,
                         .otherwise(F.col(value))).drop("mean", "std")
 
 
+def nudge_by_modes(df: DataFrame, stats: DataFrame, states, lam: float, modes, value: str = "value") -> DataFrame:
+    """:func:`nudge_states` under each of ``modes``, named in the column ``mode``; the field is read once."""
+    d = df.join(broadcast_bounded(stats_of(stats, states), len(states)), "variable", "left")
+    d = d.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    pulled = F.col(value)
+    for m in modes:
+        pulled = F.when(F.col("mode") == m, nudge(F.col(value), F.col("mean"), F.col("std"), lam, m)).otherwise(pulled)
+    return d.withColumn(value, F.when(F.col("variable").isin(*states), pulled).otherwise(F.col(value))).drop("mean", "std")
+
+
 # --- counterfactual offsets ----------------------------------------------------------
 
 SCOPES = ("daily", "monthly", "annual")

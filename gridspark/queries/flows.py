@@ -1,11 +1,14 @@
 """End-to-end flows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gridspark.plans import budgets, ensemble, training
+from gridspark.operators.rollout import parse_offsets
+from gridspark.plans import budgets, ensemble, prediction, training
 from gridspark.queries.masking import SPLIT_RULES_SQL, SPLIT_SQL
 from gridspark.queries.aggregate import BANDS, bands_sql
 from gridspark.queries.registry import AREA, SECONDS_MEAN_MONTH, hash_sql, query, rounded
+from gridspark.session import scratch_path
 from gridspark.sources import adapters as ad
 
 _M = ("source", "cell", "year", "month")
@@ -61,3 +64,73 @@ SELECT year, {bands_sql().replace(', 6)', ', 3)')} FROM v GROUP BY year""")
 def exchange_budget_with_bands(spark, sf):
     f = ad.field_vars(spark, sf, *_M, variables=("gpp", "ra", "rh"))
     return rounded(budgets.budget_from_fluxes(f, ad.cells(spark, sf), [0, 1]), *BANDS, n=3)
+
+
+# A whole prediction run: half-months as the finest step, one state, a gap in the annual forcing of some cells.
+_STATS = {"tmp": (100.0, 40.0), "drynhx": (80.0, 30.0), "co2": (90.0, 50.0), "cTotal": (60.0, 20.0), "gpp": (50.0, 9.0), "ra": (20.0, 4.0), "rh": (15.0, 3.0)}
+#: Outputs gpp, ra, rh, cTotal by inputs tmp, drynhx, co2, cTotal.
+_WEIGHTS = ((0.6, 0.0, 0.1, -0.2), (0.3, 0.2, 0.0, 0.1), (0.1, 0.0, 0.4, 0.3), (0.3, 0.2, 0.0, 0.5))
+
+
+def _emulate(z):
+    return z @ np.array(_WEIGHTS).T
+
+
+_MODEL = prediction.Emulator(_emulate, ("gpp", "ra", "rh", "cTotal"), daily=("tmp",), monthly=("drynhx",), annual=("co2",), annual_states=("cTotal",))
+_OFFSETS = "daily:tmp=2.5,annual:co2=-10%,weekly:tmp=9"
+
+
+def _out_sql(i: int) -> str:
+    name = _MODEL.outputs[i]
+    mean, std = _STATS[name]
+    return f"{mean} + {std} * (" + " + ".join(f"{w} * z_{c}" for w, c in zip(_WEIGHTS[i], ("tmp", "dep", "co2", "state"))) + ")"
+
+
+_GAP = "lat_idx % 7 = 0 AND year = 1996"
+_RUN_SQL = f"""WITH RECURSIVE d AS (SELECT source, lat_idx, lon_idx, year, month, day, avg(v) AS tmp FROM (SELECT {ad._KEY_SQL["source"]}, {ad._cell_sql("l_suppkey")}, CAST(year(l_shipdate) AS INT) AS year,
+    CAST(month(l_shipdate) AS INT) AS month, CASE WHEN day(l_shipdate) <= 15 THEN 1 ELSE 2 END AS day, l_extendedprice / 365.2425 AS v FROM lineitem) GROUP BY ALL),
+{ad.field_sql("source", "cell", "year", "month", measure="npp", name="dep")}, {ad.field_sql("source", "cell", "year", name="co2")}, {ad.field_sql("source", "cell", "year", measure="rh", name="st")},
+x AS (SELECT d.*, (d.tmp + 2.5 - 100) / 40 AS z_tmp, (dep.value - 80) / 30 AS z_dep, CASE WHEN NOT ({_GAP}) THEN (co2.value * 0.9 - 90) / 50 END AS z_co2, st.value AS s0
+  FROM d JOIN dep USING (source, lat_idx, lon_idx, year, month) JOIN co2 USING (source, lat_idx, lon_idx, year) JOIN st USING (source, lat_idx, lon_idx, year)),
+y AS (SELECT source, lat_idx, lon_idx, year, row_number() OVER (PARTITION BY source, lat_idx, lon_idx ORDER BY year) AS i, bool_or(z_co2 IS NULL) AS gap, avg(z_tmp) AS zt, avg(z_dep) AS zd, any_value(s0) AS s0 FROM x GROUP BY ALL),
+r(source, lat_idx, lon_idx, i, year, bad, s) AS (SELECT source, lat_idx, lon_idx, i, year, gap, s0 FROM y WHERE i = 1
+  UNION ALL SELECT y.source, y.lat_idx, y.lon_idx, y.i, y.year, y.gap OR r.s IS NULL, CASE WHEN NOT y.gap AND r.s IS NOT NULL THEN 60 + 0.8 * 20 * (0.3 * y.zt + 0.2 * y.zd + 0.5 * (r.s - 60) / 20) END
+  FROM r JOIN y USING (source, lat_idx, lon_idx) WHERE y.i = r.i + 1),
+z AS (SELECT x.*, r.i, r.bad, (CASE WHEN r.i = 1 THEN x.s0 ELSE p.s END - 60) / 20 AS z_state FROM x JOIN r USING (source, lat_idx, lon_idx, year) LEFT JOIN (SELECT source, lat_idx, lon_idx, i + 1 AS i, s FROM r) p USING (source, lat_idx, lon_idx, i)),
+o AS (SELECT source, lat_idx, lon_idx, year, month, day, CASE WHEN NOT bad THEN {_out_sql(0)} END AS gpp, CASE WHEN NOT bad THEN {_out_sql(1)} END AS ra, CASE WHEN NOT bad THEN {_out_sql(2)} END AS rh,
+  CASE WHEN i = 1 THEN s0 WHEN NOT bad THEN 60 + 0.8 * ({_out_sql(3)} - 60) END AS "cTotal" FROM z)"""
+
+
+def _prediction(spark, sf):
+    keys = ["source", "lat_idx", "lon_idx", "year"]
+    li = ad.table(spark, sf, "lineitem").withColumns({"day": F.when(F.dayofmonth("l_shipdate") <= 15, 1).otherwise(2)})
+    parts = {}
+    for scope, name, measure, extra in (("daily", "tmp", "gpp", ("month", "day")), ("monthly", "drynhx", "npp", ("month",)), ("annual", "co2", "gpp", ()), ("annual", "cTotal", "rh", ())):
+        by = [*ad._keys(*keys[:1], "year"), *[c.alias(n) for n, c in ad.cell_of("l_suppkey").items()], *(ad._keys("month") if extra else []), *(["day"] if "day" in extra else [])]
+        d = li.groupBy(*by).agg(F.avg(ad._measure(measure)).alias("value"))
+        if name == "co2":
+            d = d.filter("NOT (lat_idx % 7 = 0 AND year = 1996)")
+        parts[name] = d.withColumns({"scope": F.lit(scope), "variable": F.lit(name)})
+    fields = None
+    for d in parts.values():
+        fields = d if fields is None else fields.unionByName(d, allowMissingColumns=True)
+    stats = spark.createDataFrame([(k, *v) for k, v in _STATS.items()], "variable string, mean double, std double")
+    offsets = parse_offsets(spark.createDataFrame([(_OFFSETS,)], "spec string"))
+    return prediction.prediction_run(fields, stats, _MODEL, offsets=offsets, nudge=(0.2, "z_shrink"), path=scratch_path(spark, "prediction"))
+
+
+@query("e03_prediction_run", _RUN_SQL + """
+SELECT source, lat_idx, lon_idx, year, month, day, round(gpp, 6) AS gpp, round(ra, 6) AS ra, round(rh, 6) AS rh, round("cTotal", 6) AS "cTotal" FROM o""")
+def prediction_run(spark, sf):
+    """Offsets, channels, standardising, complete cells, predictor, nudging and carry in one run kept in a folder."""
+    return rounded(_prediction(spark, sf), "gpp", "ra", "rh", "cTotal")
+
+
+@query("e03_predicted_budget", _RUN_SQL + f""", {ad.CELLS_SQL},
+n AS (SELECT source, lat_idx, lon_idx, year, month, avg(gpp) - avg(rh) - avg(ra) AS nee FROM o GROUP BY ALL),
+m AS (SELECT n.source, n.year, lat_idx, CASE WHEN tvt IN (0, 1) THEN nee END AS value FROM n LEFT JOIN cells USING (lat_idx, lon_idx)),
+v AS (SELECT source, year, coalesce(sum(value * {AREA}), 0) * {SECONDS_MEAN_MONTH} / 1e12 AS value FROM m GROUP BY ALL)
+SELECT year, {bands_sql().replace(', 6)', ', 3)')} FROM v GROUP BY year""")
+def predicted_budget(spark, sf):
+    d = prediction.predicted_budget(_prediction(spark, sf), _MODEL, ad.cells(spark, sf), [0, 1])
+    return rounded(d, *BANDS, n=3)

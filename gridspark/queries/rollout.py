@@ -170,11 +170,7 @@ WITH {ad.field_vars_sql("source", "scenario", "cell", "year")}, st AS (SELECT va
 def nudge_states(spark, sf):
     f = ad.field_vars(spark, sf, "source", "scenario", "cell", "year")
     st = ag.finish_moments(ag.moments(f))
-    out = None
-    for m in _NUDGES:
-        d = ro.nudge_states(f, st, ["gpp", "ra"], 0.3, m).withColumn("mode", F.lit(m))
-        out = d if out is None else out.unionByName(d)
-    return rounded(out, "value", n=4)
+    return rounded(ro.nudge_by_modes(f, st, ["gpp", "ra"], 0.3, _NUDGES), "value", n=4)
 
 
 SPEC = "monthly:pre=-20%, annual:lai=0.5,spfh=-20%,weekly:tmp=2,monthly:tmp=x, monthly:tmp=-3,monthly:pre=-50%"

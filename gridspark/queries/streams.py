@@ -11,7 +11,7 @@ from gridspark.streaming import ingest, pieces
 def _ingested(spark, sf, name):
     """Run the lineitem file through the stream as field rows of two variables."""
     schema = ad.table(spark, sf, "lineitem").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").option("maxFilesPerTrigger", 1_000).parquet(sf)
 
     def to_field(batch):
         d = batch.select("l_suppkey", F.year("l_shipdate").alias("year"), (F.col("l_extendedprice") / 365.2425).alias("gpp"),

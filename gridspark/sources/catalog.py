@@ -21,9 +21,11 @@ def filter_catalog(df: DataFrame, **wanted) -> DataFrame:
 
 
 def resolve_catalog(catalog: DataFrame, keys, aliases: dict[str, tuple[str, int]] | None = None,
-                    strict: bool = True, path: str = "path") -> DataFrame:
+                    strict: bool = True, path: str = "path", wanted: DataFrame | None = None) -> DataFrame:
     """One path per (model, scenario, variable).
 
+    With ``wanted`` (the keys) these rows alone are resolved, and one without any candidate fails the job.
+
     ``aliases`` maps a stored variable to (name, rank). ``strict`` fails the job when a key
     has more than one candidate, aliases included; otherwise the lowest rank wins and
     ``n_paths`` says how many paths share it.
@@ -40,6 +42,10 @@ def resolve_catalog(catalog: DataFrame, keys, aliases: dict[str, tuple[str, int]
     per = d.groupBy(*keys, "__rank").agg(F.min(path).alias(path), F.count(F.lit(1)).alias("n_paths"))
     out = per.groupBy(*keys).agg(F.min_by(F.struct(path, "n_paths"), "__rank").alias("__r"),
                                  F.sum("n_paths").alias("__all")).select(*keys, "__r.*", "__all")
+    if wanted is not None:
+        out = wanted.select(*keys).distinct().join(out, list(keys), "left")
+        none = F.raise_error(F.concat_ws(" ", F.lit("no input for"), *keys))
+        out = out.withColumn(path, F.coalesce(path, none))
     if not strict:
         return out.drop("__all")
     bad = F.raise_error(F.concat_ws(" ", F.lit("several inputs for"), *keys))

@@ -1,5 +1,7 @@
 """Reading and writing gridded fields as partitioned Parquet."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from gridspark.functions.geo import GridSpec, HALF_DEGREE
@@ -51,25 +53,36 @@ def materialise(df: DataFrame, path: str, overwrite: bool = False, parts=()) ->
 
 
 def upsert_variable(df: DataFrame, path: str, grid: GridSpec = HALF_DEGREE, parts=PARTITIONS) -> None:
-    """Add or replace the variables in ``df``; the other partitions stay."""
-    w = _layout(df, grid, parts).write.partitionBy(*parts).mode("overwrite")
-    w.option("partitionOverwriteMode", "dynamic").parquet(path)
-
-
-def with_aliases(df: DataFrame, aliases=EXPORT_ALIASES) -> DataFrame:
-    """Export names; where several sources share a name, the first in name order wins."""
+    """Add or replace the variables in ``df``; other variables stay. A variable is replaced whole: scenarios
+    that ``df`` lacks are gone afterwards. Each variable is one write of its own folder."""
+    first, *rest = parts
+    names = [r[0] for r in df.select(first).distinct().collect()]  # variables of one store
+    for name in names:
+        if name is None or not re.fullmatch(r"[\w.\-]+", str(name)):
+            raise ValueError(f"{name!r} cannot name a folder")
+    laid = _layout(df, grid, parts)
+    for name in names:
+        w = laid.filter(F.col(first) == name).drop(first).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        (w.partitionBy(*rest) if rest else w).parquet(f"{path}/{first}={name}")
+
+
+def with_aliases(df: DataFrame, aliases=EXPORT_ALIASES, order=()) -> DataFrame:
+    """Export names; where several sources share a name, the first in ``order`` wins, then the first in
+    name order among those it does not list."""
     lookup = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     d = df.withColumn("target", F.coalesce(F.try_element_at(lookup, F.col("variable")), F.col("variable")))
-    first = d.groupBy("target").agg(F.min("variable").alias("variable"))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(n) for n in order]).cast("array<string>"), F.col("variable")), F.lit(0)), F.lit(len(order) + 1))
+    first = d.groupBy("target").agg(F.min_by("variable", F.struct(rank, "variable")).alias("variable"))
     keep = first.groupBy().agg(F.collect_list("variable").alias("__keep"))  # one name per target
     d = d.filter(F.array_contains(one_row(keep)["__keep"], F.col("variable")))
     return d.withColumn("variable", F.col("target")).drop("target")
 
 
-def export_sets(df: DataFrame, windows=TEST_WINDOWS, annual_vars=ANNUAL_EXPORTS, keys=("source", "scenario", *CELL)) -> DataFrame:
+def export_sets(df: DataFrame, windows=TEST_WINDOWS, annual_vars=ANNUAL_EXPORTS, keys=("source", "scenario", *CELL), order=()) -> DataFrame:
     """Full, early and late sets of every export name, tagged ``period``. In a monthly
-    field the variables of ``annual_vars`` take their year's mean in every month."""
-    d = with_aliases(df)
+    field the variables of ``annual_vars`` take their year's mean in every month. ``order`` lists
+    which of several sources of one name comes first."""
+    d = with_aliases(df, order=order)
     if annual_vars and "month" in d.columns:
         w = W.partitionBy("variable", *[k for k in keys if k in d.columns], "year")
         flat = F.avg("value").over(w)
@@ -85,6 +98,8 @@ def write_export(df: DataFrame, path: str, windows=TEST_WINDOWS, grid: GridSpec
     write_field(export_sets(df, windows), path, "overwrite", grid=grid, parts=["variable", "period"])
 
 
-def write_report_csv(table: DataFrame, path: str) -> None:
-    """Report table (already one row per year, month or latitude) as one CSV file."""
-    table.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_report_csv(table: DataFrame, path: str, max_rows: int = 100_000) -> None:
+    """Report table (already one row per year, month or latitude) as one CSV file; with more than
+    ``max_rows`` rows as several."""
+    small = table.limit(max_rows + 1).count() <= max_rows
+    (table.coalesce(1) if small else table).write.mode("overwrite").csv(path, header=True)

@@ -12,7 +12,8 @@ from gridspark.operators.aggregates import merge_moments, moments
 
 def ingest_pieces(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str,
                   to_field=None, keys=("variable",), whole_years: bool = False) -> None:
-    """Run all waiting pieces of ``stream`` (a readStream frame) into ``path``.
+    """Run all waiting pieces of ``stream`` (a readStream frame) into ``path``. How many files a
+    micro-batch takes is the reader's ``maxFilesPerTrigger``.
 
     ``to_field`` turns raw rows of a batch into field rows (variable, year, ..., value).
     With ``whole_years`` every piece holds its (variable, year) completely, and a piece
@@ -30,8 +31,12 @@ def ingest_pieces(spark: SparkSession, stream: DataFrame, path: str, checkpoint:
             (df.hint("rebalance", *[F.col(c) for c in parts]).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{path}/{where}"))
 
-        put(d, "field", unit if whole_years else [*unit, "variable", "year"])
-        put(moments(d, list(dict.fromkeys([*keys, *unit]))), "moments", unit)
+        d = d.persist()  # both tables come from one evaluation of the batch
+        try:
+            put(d, "field", unit if whole_years else [*unit, "variable", "year"])
+            put(moments(d, list(dict.fromkeys([*keys, *unit]))), "moments", unit)
+        finally:
+            d.unpersist()
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
