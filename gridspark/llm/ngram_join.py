@@ -23,7 +23,7 @@ PIVOTS = 32
 #: Signatures that a task brings together, about, and the bounds (of 64) of the rounds in which they are dealt.
 PART_SIGNATURES = 4_000_000
 SEND_GRAMS = 1_000_000
-TURNS = (0, 2, 12, 64)
+TURNS = (0, 4, 64)
 _K1, _K2, _K3 = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
@@ -428,7 +428,10 @@ def _groups(known: DataFrame, n: int, percent: int):
     signed = signed.filter("size(sigs) > 0")
     total = signed.agg(F.sum(F.size("sigs"))).first()[0] or 0
     parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SIGNATURES))
-    agree = stored(components(edges, "ngram-groups"), "ngram-agree")
+    repeated = not signed.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    # Each document hangs on the smallest of its set already, unless one has several sets.
+    agree = components(edges, "ngram-groups") if repeated else edges.unionByName(edges.select(F.col("v").alias("u"), "v").distinct()).toDF("node", "root")
+    agree = stored(agree, "ngram-agree")
     for turn in range(len(TURNS) - 1):
         own = signed.join(_small(agree.filter("node <> root")), F.col("doc_id") == F.col("node"), "left").select(F.coalesce("root", "doc_id").alias("own"), "sigs")
         packed = own.mapInArrow(_deal(turn, 4 * parts), _PACKED).repartition(parts, "part")
