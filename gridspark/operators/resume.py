@@ -101,7 +101,7 @@ def rollout_resumable(df: DataFrame, path: str, keys, predict, states: dict[str,
     names = [*keys, *cell, *steps]
     rows = in_tiles(df, "tile", cell, grid, split)
     first, last = df.agg(F.min(year), F.max(year)).first()
-    rule = (names, cell, steps, predict, dict(states), outputs, carry, initial, dict(start or {}), list(complete), nudging)
+    rule = (names, cell, steps, predict, dict(states), outputs, carry, initial, dict(start or {}), list(complete), nudging, True)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*names, "tile"]) + "".join(f", `{o}` double" for o in outputs)
     schema += ", kind int, states array<double>, decembers array<double>"

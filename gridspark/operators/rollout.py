@@ -113,7 +113,7 @@ class Nudging(NamedTuple):
 def rollout(df: DataFrame, keys, predict, states: dict[str, str], outputs, carry: str = "annual",
             cell=CELL, steps=("year", "month"), initial: float = 0.0, grid: GridSpec = HALF_DEGREE,
             start: dict[str, str] | None = None, complete=(), nudging: Nudging | None = None,
-            split: int = 1) -> DataFrame:
+            split: int = 1, pin: bool = True) -> DataFrame:
     """Yearly rollout with any predictor, a tile of cells at a time.
 
     ``predict(frame)`` gets one year of all cells of a tile as a pandas frame, ordered by
@@ -124,8 +124,8 @@ def rollout(df: DataFrame, keys, predict, states: dict[str, str], outputs, carry
     take last December in January, 0 in other months); missing steps do not enter a mean.
 
     In the first year of a cell a state is ``initial``, or the column that ``start`` names
-    for it (``seed_states`` may have changed that column); then the state's output of that
-    year is this start value too, and is what is carried on. In later years ``nudging``
+    for it (``seed_states`` may have changed that column); then, unless ``pin`` is off, the state's
+    output of that year is this start value too, and is what is carried on. In later years ``nudging``
     pulls the state outputs before they are carried. With ``complete`` columns a cell-year
     with a missing value in one of them or in a state is not predicted: its outputs are
     missing, and so is the state it hands on.
@@ -141,7 +141,7 @@ def rollout(df: DataFrame, keys, predict, states: dict[str, str], outputs, carry
     schema += "".join(f", `{o}` double" for o in outputs)
     unit = [*keys, "__tile"]
     d = in_tiles(df, "__tile", cell, grid, split).repartition(*unit).sortWithinPartitions(*unit, year, *cell, *steps[1:])
-    rule = (names, cell, steps, predict, dict(states), list(outputs), carry, initial, dict(start or {}), list(complete), nudging)
+    rule = (names, cell, steps, predict, dict(states), list(outputs), carry, initial, dict(start or {}), list(complete), nudging, pin)
 
     def run(batches):
         held, now, carried = [], None, {}
@@ -190,7 +190,7 @@ def _means(values, first, use):
 def _score_year(frame, rule, carried):
     """Score one year of a tile; returns its rows and leaves in ``carried`` what each cell hands
     on: (cell) -> (year means, December means) of the states. A cell without rows keeps its own."""
-    names, cell, steps, predict, states, outputs, carry, initial, start, complete, nudging = rule
+    names, cell, steps, predict, states, outputs, carry, initial, start, complete, nudging, pin = rule
     frame = frame.reset_index(drop=True)
     first = np.array(_starts(frame, cell))
     ids = [tuple(None if pd.isna(x) else x for x in t) for t in frame[cell].iloc[first].itertuples(index=False, name=None)]
@@ -218,7 +218,7 @@ def _score_year(frame, rule, carried):
             out[ok] = np.asarray(got[o], dtype=float)
         if o in states and nudging:
             out = np.where(later, nudging.of(o, out), out)
-        if o in start:
+        if o in start and pin:
             out = np.where(later, out, frame[o])
         res[o] = out
     values = [res[name].to_numpy() for name in states]

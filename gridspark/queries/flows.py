@@ -56,6 +56,26 @@ def training_field_statistics(spark, sf):
     return rounded(rounded(rounded(rounded(d, "min", "max", "mean"), "sum", n=3), "sumsq", n=2), "std", n=5)
 
 
+_ROUTED = """raw AS (SELECT 'S' || CAST(l_linenumber % 4 AS VARCHAR) AS scenario, CASE l_returnflag WHEN 'A' THEN 'pre' WHEN 'N' THEN 'co2' ELSE 'primf' END AS variable,
+  CASE l_linestatus WHEN 'F' THEN 'historical' ELSE 'preindustrial' END AS origin, {cell}, CAST(year(l_shipdate) AS INT) AS year, avg(l_extendedprice / 365.2425) AS value FROM lineitem GROUP BY ALL)"""
+
+
+@query("e02_training_inputs", f"""
+WITH {_LOCATIONS_SQL}, {_ROUTED.format(cell=ad._cell_sql("l_partkey"))},
+w AS (SELECT *, CASE WHEN scenario = 'S0' OR (scenario = 'S1' AND variable <> 'co2') OR (scenario = 'S2' AND variable = 'primf') THEN 'preindustrial' ELSE 'historical' END AS wanted FROM raw)
+SELECT scenario, variable, lat_idx, lon_idx, year, loc_id, origin, round(value, 6) AS value FROM w JOIN loc USING (lat_idx, lon_idx) WHERE origin = wanted""")
+def training_inputs(spark, sf):
+    """Each scenario's variables from the origin they are routed to, at the chosen locations."""
+    loc = training.location_table(ad.cells(spark, sf).select("lat_idx", "lon_idx", "land"), block=10)
+    name = F.when(F.col("l_returnflag") == "A", "pre").when(F.col("l_returnflag") == "N", "co2").otherwise("primf")
+    f = ad.table(spark, sf, "lineitem").groupBy(
+        F.concat(F.lit("S"), F.pmod("l_linenumber", F.lit(4)).cast("string")).alias("scenario"), name.alias("variable"),
+        F.when(F.col("l_linestatus") == "F", "historical").otherwise("preindustrial").alias("origin"),
+        *[c.alias(n) for n, c in ad.cell_of("l_partkey").items()], F.year("l_shipdate").alias("year")).agg(F.avg(F.col("l_extendedprice") / 365.2425).alias("value"))
+    d = training.training_inputs(f, loc.filter("tvt >= 0"))
+    return rounded(d.select("scenario", "variable", "lat_idx", "lon_idx", "year", "loc_id", "origin", "value"), "value")
+
+
 @query("e03_exchange_budget_with_bands", f"""
 WITH {ad.field_wide_sql(*_M)}, {ad.CELLS_SQL},
 m AS (SELECT w.source, w.year, lat_idx, CASE WHEN tvt IN (0, 1) THEN gpp - rh - ra END AS value FROM wide w LEFT JOIN cells USING (lat_idx, lon_idx)),
@@ -92,7 +112,7 @@ _RUN_SQL = f"""WITH RECURSIVE d AS (SELECT source, lat_idx, lon_idx, year, month
 {ad.field_sql("source", "cell", "year", "month", measure="npp", name="dep")}, {ad.field_sql("source", "cell", "year", name="co2")}, {ad.field_sql("source", "cell", "year", measure="rh", name="st")},
 x AS (SELECT d.*, (d.tmp + 2.5 - 100) / 40 AS z_tmp, (dep.value - 80) / 30 AS z_dep, CASE WHEN NOT ({_GAP}) THEN (co2.value * 0.9 - 90) / 50 END AS z_co2, st.value AS s0
   FROM d JOIN dep USING (source, lat_idx, lon_idx, year, month) JOIN co2 USING (source, lat_idx, lon_idx, year) JOIN st USING (source, lat_idx, lon_idx, year)),
-y AS (SELECT source, lat_idx, lon_idx, year, row_number() OVER (PARTITION BY source, lat_idx, lon_idx ORDER BY year) AS i, bool_or(z_co2 IS NULL) AS gap, avg(z_tmp) AS zt, avg(z_dep) AS zd, any_value(s0) AS s0 FROM x GROUP BY ALL),
+y AS (SELECT source, lat_idx, lon_idx, year, row_number() OVER (PARTITION BY source, lat_idx, lon_idx ORDER BY year) AS i, bool_or(z_co2 IS NULL) AS gap, avg(z_tmp) AS zt, avg(z_dep) AS zd, any_value(s0) AS s0 FROM x GROUP BY source, lat_idx, lon_idx, year),
 r(source, lat_idx, lon_idx, i, year, bad, s) AS (SELECT source, lat_idx, lon_idx, i, year, gap, s0 FROM y WHERE i = 1
   UNION ALL SELECT y.source, y.lat_idx, y.lon_idx, y.i, y.year, y.gap OR r.s IS NULL, CASE WHEN NOT y.gap AND r.s IS NOT NULL THEN 60 + 0.8 * 20 * (0.3 * y.zt + 0.2 * y.zd + 0.5 * (r.s - 60) / 20) END
   FROM r JOIN y USING (source, lat_idx, lon_idx) WHERE y.i = r.i + 1),

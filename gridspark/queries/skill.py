@@ -1,8 +1,9 @@
 """Skill metrics."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from gridspark.operators import skill as sk
+from gridspark.operators import evaluate as ev, skill as sk
 from gridspark.queries.registry import query, rounded
 from gridspark.sources import adapters as ad
 
@@ -11,6 +12,10 @@ _R2 = "1 - sum((y - yhat) * (y - yhat)) / (count(*) * var_pop(y))"
 _RMSE = "sqrt(avg((yhat - y) * (yhat - y)))"
 
 
+def _predict_pool(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"soil": 0.6 * frame["soil"] + 0.4 * frame["value"], "gpp": frame["value"] - 0.1 * frame["soil"]})
+
+
 def _by_variable(spark, sf, **aggs):
     d = ad.pairs(spark, sf).groupBy("variable").agg(*[e.alias(n) for n, e in aggs.items()])
     return rounded(d, *aggs)
@@ -67,6 +72,33 @@ def skill_from_shards(spark, sf):
     return rounded(rounded(m.select("variable", "n", "r2", "rmse", "ref_std", "std", "acc"), "r2", "acc"), "rmse", "ref_std", "std", n=4)
 
 
+_KEY = "source, lat_idx, lon_idx"
+
+
+@query("k05_evaluation_modes", f"""
+WITH RECURSIVE {ad.field_sql("source", "cell", "year", "month", name="v")}, {ad.field_sql("source", "cell", "year", "month", measure="npp", name="l0")}, {ad.field_sql("source", "cell", "year", measure="rh", name="st")},
+l AS (SELECT {_KEY}, year, month, CASE WHEN value < 255 THEN value END AS y FROM l0), ok AS (SELECT {_KEY}, year FROM l GROUP BY ALL HAVING bool_and(y IS NOT NULL)),
+y AS (SELECT {_KEY}, year, row_number() OVER (PARTITION BY {_KEY} ORDER BY year) AS i, avg(v.value) AS m, any_value(st.value) AS s0 FROM v JOIN st USING ({_KEY}, year) GROUP BY {_KEY}, year),
+r(source, lat_idx, lon_idx, i, year, s, o) AS (SELECT {_KEY}, i, year, s0, 0.6 * s0 + 0.4 * m FROM y WHERE i = 1
+  UNION ALL SELECT {_KEY}, y.i, y.year, r.o, 0.6 * r.o + 0.4 * y.m FROM r JOIN y USING ({_KEY}) WHERE y.i = r.i + 1),
+p AS (SELECT 'teacher_forced' AS mode, {_KEY}, year, s0 AS s, 0.6 * s0 + 0.4 * m AS o FROM y UNION ALL SELECT 'full_sequence', {_KEY}, year, s, o FROM r
+  UNION ALL SELECT 'tail_only', {_KEY}, y.year, 0.6 * q.s0 + 0.4 * q.m, 0.6 * (0.6 * q.s0 + 0.4 * q.m) + 0.4 * y.m FROM y JOIN (SELECT {_KEY}, i + 1 AS i, s0, m FROM y) q USING ({_KEY}, i)),
+pairs AS (SELECT mode, 'gpp' AS variable, y, value - 0.1 * s AS yhat FROM p JOIN v USING ({_KEY}, year) JOIN l USING ({_KEY}, year, month) JOIN ok USING ({_KEY}, year)
+  UNION ALL SELECT mode, 'soil', a.y, o FROM p JOIN (SELECT {_KEY}, year, avg(y) AS y FROM l GROUP BY ALL) a USING ({_KEY}, year) JOIN ok USING ({_KEY}, year)),
+m AS (SELECT mode, variable, count(*) AS n, {_R2} AS r2, {_RMSE} / stddev_pop(y) AS nr, corr(y, yhat) AS acc FROM pairs GROUP BY ALL)
+SELECT mode, variable, n, round(r2, 6) AS "R2", round(nr, 6) AS "nRMSE", round(acc, 6) AS "ACC" FROM m
+UNION ALL SELECT mode, 'GLOBAL(equal_weight)', CAST(sum(n) AS BIGINT), round(avg(r2), 6), round(avg(nr), 6), round(avg(acc), 6) FROM m GROUP BY mode""")
+def evaluation_modes(spark, sf):
+    """One predictor from given states, carried over all years, and after a run-up of one year."""
+    key, by = ["source", "lat_idx", "lon_idx"], ("source", "cell", "year")
+    table = ad.field(spark, sf, *by, "month").join(ad.field(spark, sf, *by, measure="rh").withColumnRenamed("value", "start_soil"), [*key, "year"])
+    label = ad.field(spark, sf, *by, "month", measure="npp").withColumn("value", F.when(F.col("value") < 255, F.col("value")))
+    annual = label.groupBy(*key, "year").agg(F.avg("value").alias("value")).withColumns({"variable": F.lit("soil"), "month": F.lit(None).cast("int")})
+    labels = label.withColumn("variable", F.lit("gpp")).unionByName(annual)
+    d = ev.evaluate_modes(table, labels, ["source"], _predict_pool, {"soil": "annual"}, ["soil", "gpp"], monthly=["gpp"], annual=["soil"], complete=["value"])
+    return rounded(d, "R2", "nRMSE", "ACC")
+
+
 @query("k06_cell_metrics", f"""
 WITH {P} SELECT variable, lat_idx, lon_idx, round(CASE WHEN var_pop(y) > 0 THEN {_R2} END, 6) AS r2, round({_RMSE}, 6) AS rmse FROM pairs GROUP BY ALL""")
 def cell_metrics(spark, sf):
