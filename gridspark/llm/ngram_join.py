@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridspark.functions.sizing import MAX_BROADCAST_ROWS, stored
 from gridspark.llm.arrays import mix, shingle_sets, small_batches, text_slices
-from gridspark.llm.graph import components
+from gridspark.llm.graph import components, roots_of
 
 #: N-grams of one block, and sets of the sample that every block of a group has.
 BLOCK_GRAMS = 1_000_000
@@ -276,15 +276,7 @@ def spanning(key: np.ndarray, doc: np.ndarray):
     ids, at = np.unique(doc, return_inverse=True)
     first = np.concatenate(([True], key[1:] != key[:-1]))
     hub = at[np.flatnonzero(first)][np.cumsum(first) - 1]
-    root = np.arange(len(ids))
-    while True:
-        a, b = root[at], root[hub]
-        open_ = a != b
-        if not open_.any():
-            break
-        np.minimum.at(root, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
-        while (root[root] != root).any():
-            root = root[root]
+    root = roots_of(at, hub, len(ids))
     off = root != np.arange(len(ids))
     return ids[off], ids[root[off]]
 

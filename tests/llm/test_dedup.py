@@ -38,10 +38,12 @@ def test_components(spark, n, percent, block):
     assert got == brute.components(rows, n, percent)
 
 
-@pytest.mark.parametrize("hub_rows", [2, 1000])
-def test_components_of_hubs(spark, monkeypatch, hub_rows):
-    """Stars, a path of hubs, repeated, null and looped edges, with and without nodes that count as hubs."""
+@pytest.mark.parametrize("hub_rows,finish", [(2, 0), (1000, 0), (2, 53), (1000, 250_000)])
+def test_components_of_hubs(spark, monkeypatch, hub_rows, finish):
+    """Stars, a path of hubs, repeated, null and looped edges, with and without nodes that count as
+    hubs; by rounds alone, finished by a task after a round and from the start."""
     monkeypatch.setattr(graph, "HUB_ROWS", hub_rows)
+    monkeypatch.setattr(graph, "FINISH_EDGES", finish)
     edges = [(100 + i, 100) for i in range(40)] + [(300 + i, 300) for i in range(9)] + [(105, 304), (7, 139), (500, 501), (501, 502), (100, 101), (900, 900), (None, 3)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long")).collect()))
     large = {*range(100, 140), *range(300, 309), 7}
