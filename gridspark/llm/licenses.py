@@ -1,7 +1,8 @@
-"""Licence scan: templates confirmed by the wording, with their conditional compression."""
+"""Licence scan: candidate blocks ranked by conditional compression, winners confirmed by their wording."""
 
 import bisect
 import difflib
+import heapq
 import math
 import re
 from collections import Counter
@@ -51,6 +52,8 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
 }
+#: Bytes that the shortest match costs in a compressed block: a single differing digit may not show in the sizes.
+NEAR = 4
 _TOKEN = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -96,47 +99,147 @@ class Template:
             have[word] -= 1
 
 
+    def best(self, words: list[str], lo: int, hi: int):
+        """The notice with the highest score within words[lo:hi], the earlier of equals: (score, words in order, first, last word)."""
+        at: dict[str, list[int]] = {}
+        for p in range(lo, hi):
+            if words[p] in self.need:
+                at.setdefault(words[p], []).append(p)
+        return max(self.notices(at), key=lambda x: (x[0], x[1], -x[2]), default=None)
+
+
 class Scanner:
-    def __init__(self, templates, share: float = 0.9, level: int = 9):
+    """Finds notices in blocks of words around the rare words of the templates.
+
+    Every block is compressed plainly and with each template as raw dictionary (words lower-cased,
+    one space between them). Block and template are asked in the order of the bytes saved, and the
+    first pair whose wording confirms the template tells where a notice stands. That stretch alone is
+    ranked once more, so that what stands around it has no say between like templates; between those
+    whose savings differ by less than a match costs the exact wording decides. What is left of blocks
+    beside it is ranked again, until nothing is confirmed.
+    """
+
+    def __init__(self, templates, share: float = 0.9, level: int = 15):
         import zstandard
         self.items = [t for name, ts in templates.items() for x in ts if (t := Template(name, x, share)).words]
-        self.vocabulary = {w for t in self.items for w in t.words}
         make = lambda d=None: zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False)
         self.plain = make()
         # ".": the shortest raw dictionaries zstandard takes have 8 bytes.
-        self.given = [make(zstandard.ZstdCompressionDict(t.text.encode().ljust(8, b"."), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in self.items]
-        self.known: dict[tuple, tuple] = {}
+        self.given = [make(zstandard.ZstdCompressionDict(" ".join(t.words).encode().ljust(8, b"."), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in self.items]
+        self.known: dict[str, list] = {}
+        self.anchors = self._anchors()
+
+    def _anchors(self) -> dict[str, set[int]]:
+        """Words of which every notice has one, with the numbers of words that such notices may span: of each
+        template those that the fewest templates have, at more places than a notice may leave out."""
+        within = Counter(w for t in self.items for w in t.need)
+        out: dict[str, set[int]] = {}
+        for t in self.items:
+            places = len(t.words) - t.least + 1
+            for w in sorted(t.need, key=lambda w: (within[w], -len(w), w)):
+                if places <= 0:
+                    break
+                places -= t.need[w]
+                out.setdefault(w, set()).add(t.reach)
+        return out
+
+    def blocks(self, words: list[str]) -> set[tuple[int, int]]:
+        """Stretches [lo, hi) of words, each notice whole in one of them. One is at most three times as
+        long as a notice around its anchors may be, so their number grows with the text, not their length."""
+        around: dict[int, list[list[int]]] = {}
+        for p, w in enumerate(words):
+            for reach in self.anchors.get(w, ()):
+                runs = around.setdefault(reach, [])
+                lo, hi = max(0, p - reach + 1), min(len(words), p + reach)
+                if runs and lo <= runs[-1][1]:
+                    runs[-1][1] = hi
+                else:
+                    runs.append([lo, hi])
+        out = set()
+        for reach, runs in around.items():
+            for lo, hi in runs:
+                while hi - lo > 3 * reach:
+                    out.add((lo, lo + 2 * reach))
+                    lo += reach
+                out.add((lo, hi))
+        return out
+
+    def rank(self, words: list[str]):
+        """(reduction, plain bytes, bytes given the template, template) of the templates that save bytes, most first."""
+        text = " ".join(words)
+        if text not in self.known:
+            if len(self.known) > 5_000:
+                self.known.clear()
+            data = text.encode("utf-8", "replace")
+            plain = len(self.plain.compress(data))
+            sizes = ((len(z.compress(data)), i) for i, z in enumerate(self.given))
+            self.known[text] = sorted(((plain - n, plain, n, i) for n, i in sizes if n < plain), key=lambda x: (-x[0], -len(self.items[x[3]].words), x[3]))
+        return self.known[text]
+
+    def _winner(self, words: list[str], lo: int, hi: int):
+        """The confirmed template that saves most; of those within NEAR bytes of it, the one whose wording differs least."""
+        top, near = None, []
+        for saved, plain, given, i in self.rank(words[lo:hi]):
+            if top is not None and saved < top - NEAR:
+                break
+            found = self.items[i].best(words, lo, hi)
+            if found:
+                top = saved if top is None else top
+                near.append((found, (i, plain, given, *found[1:])))
+        return max(near, key=lambda x: x[0][:2])[1] if near else None
+
+    def found(self, words: list[str]):
+        """(first, last word, template, words in order, plain bytes, bytes given the template) of the notices, in order."""
+        taken, heap, known = [], [], set()
+
+        def add(lo, hi):
+            if (lo, hi) not in known and any(words[p] in self.anchors for p in range(lo, hi)):
+                known.add((lo, hi))
+                heap.extend((-saved, -len(self.items[i].words), i, lo, hi) for saved, _, _, i in self.rank(words[lo:hi]))
+
+        for block in self.blocks(words):
+            add(*block)
+        heapq.heapify(heap)
+        while heap:
+            _, _, i, lo, hi = heapq.heappop(heap)
+            k = bisect.bisect(taken, (lo, len(words)))
+            if k and taken[k - 1][1] >= lo:
+                k -= 1
+            if k < len(taken) and taken[k][0] < hi:  # what is left of the block goes back once
+                first, last = taken[k][:2]
+            else:
+                found = self.items[i].best(words, lo, hi)
+                if not found:
+                    continue
+                _, same, first, last = found
+                slack = len(self.items[i].words) - same + 1
+                a = max(first - slack, taken[k - 1][1] + 1 if k else 0)
+                b = min(last + 1 + slack, taken[k][0] if k < len(taken) else len(words))
+                won = self._winner(words, a, b)
+                if won is None:
+                    continue
+                i, plain, given, same, first, last = won
+                bisect.insort(taken, (first, last, i, same, plain, given))
+            size = len(heap)
+            add(lo, max(lo, first))
+            add(min(hi, last + 1), hi)
+            if len(heap) > size:
+                heapq.heapify(heap)
+        return taken
 
     def scan(self, text: str):
         """(line, licence, template, plain size, size given the template, wording share, differences)
-        of every notice in the text. Of notices that overlap the one with the best score stays."""
-        words, at = tokens(text), {}
-        for p, w in enumerate(words):
-            if w in self.vocabulary:
-                at.setdefault(w, []).append(p)
-        found = [(-score, -same, first, last, i) for i, t in enumerate(self.items) for score, same, first, last in t.notices(at)]
+        of every notice in the text."""
+        words = tokens(text)
+        found = self.found(words)
         if not found:
             return
-        taken = []
-        for _, same, first, last, i in sorted(found):
-            k = bisect.bisect(taken, (first, len(words)))
-            if (k == 0 or taken[k - 1][1] < first) and (k == len(taken) or taken[k][0] > last):
-                taken.insert(k, (first, last, i, -same))
-        place = [m.span() for m in _TOKEN.finditer(text)]
+        place = [m.start() for m in _TOKEN.finditer(text)]
         line, seen = 0, 0
-        for first, last, i, same in taken:
-            a, b = place[first][0], place[last][1]
-            line, seen = line + text.count("\n", seen, a), a
+        for first, last, i, same, plain, given in found:
+            line, seen = line + text.count("\n", seen, place[first]), place[first]
             t = self.items[i]
-            yield line, t.name, t.text, *self._sizes(text[a:b], i), same / len(t.words), self._differences(words[first:last + 1], i)
-
-    def _sizes(self, notice: str, i: int):
-        if (notice, i) not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            data = notice.encode("utf-8", "replace")
-            self.known[notice, i] = len(self.plain.compress(data)), len(self.given[i].compress(data))
-        return self.known[notice, i]
+            yield line, t.name, t.text, plain, given, same / len(t.words), self._differences(words[first:last + 1], i)
 
     def _differences(self, have: list[str], i: int) -> str:
         want = self.items[i].words
@@ -151,13 +254,16 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, share: float = 0.9) -> D
     (doc_id, line, license, template, plain_bytes, given_bytes, reduction, wording, differences).
 
     A notice is a stretch of words, on one line or many, that has ``share`` of a template's words or
-    more in order, and no more words put in than the template has, or ten. Every template is
-    looked for at every place; of notices that overlap, the one with the most words in order
-    less the words put in and left out stays, then the earlier one, then the earlier template.
-    ``line`` is where its first word stands. ``reduction`` is the bytes zstandard saves on the notice
-    with the template as raw dictionary; ``wording`` the share of the template's words found in
-    order; ``differences`` what was replaced, left out or put in. Null and empty texts give no row;
-    repeated rows give repeated rows. Each row stands alone, so nothing is shuffled.
+    more in order, and no more words put in than the template has, or ten. Blocks of words around
+    the templates' rare words are compressed with each template as raw dictionary, and templates are
+    confirmed in the order of the bytes they save; a template that saves none is not asked. Notices
+    do not overlap. ``line`` is where a notice's first word stands. ``plain_bytes`` and
+    ``given_bytes`` are the sizes, without and with the template, by which the winner was ranked,
+    ``reduction`` is their difference; ``wording`` the share of the template's words found in order;
+    ``differences`` what was replaced, left out or put in. Null and empty texts give no row; texts of
+    any length are scanned whole; repeated rows give repeated rows, and equal texts the same rows.
+    Other columns of ``docs`` are not read, so their names cannot clash. Each row stands alone, so
+    nothing is shuffled.
     """
     def run(batches):
         scanner = Scanner(templates, share)

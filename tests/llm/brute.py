@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+from gridspark.llm import licenses
+
 SPLIT = re.compile(rb"[\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -47,3 +49,17 @@ def repeats(texts, length):
         spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         out.append((len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def notices(text, items):
+    """(first, last word, template number) of the notices in a text, by the words of every template at every
+    place; of those that overlap the one with the best score stays."""
+    at = {}
+    for p, w in enumerate(licenses.tokens(text or "")):
+        at.setdefault(w, []).append(p)
+    found = [(-score, -same, first, last, i) for i, t in enumerate(items) for score, same, first, last in t.notices(at)]
+    taken = []
+    for _, _, first, last, i in sorted(found):
+        if all(b < first or a > last for a, b, _ in taken):
+            taken.append((first, last, i))
+    return sorted(taken)

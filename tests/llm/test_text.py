@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 import re
 import textwrap
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridspark.llm import ann, chat, decontam, langid, licenses, queries, toxicity
 from tests.conftest import SF
+from tests.llm import brute
 
 
 def segmentations(word, prob):
@@ -186,6 +188,32 @@ def test_licenses_each(spark):
     assert {d: sorted(g) for d, g in got.items()} == want
 
 
+def test_licenses_against_every_word(monkeypatch):
+    """Notices with words left out, put in or replaced, in prose, side by side and repeated, against the search at every place."""
+    r = random.Random(3)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    prose = [f"{a}{b}" for a in "ka le mi to su".split() for b in "ran vel dos".split()] + "the of under and in work this license rights all by version 3 2 part form language".split()
+    texts = ["All rights reserved.\n" * 400, "Licensed under CC BY-SA 4.0. " * 60, "mit " * 2_000, licenses.TEMPLATES["MIT"][2] * 5]
+    for _ in range(150):
+        words = r.choices(prose, k=r.randrange(0, 120))
+        for _ in range(r.randrange(1, 4)):
+            t = r.choice(scanner.items).text.split()
+            for _ in range(r.randrange(0, len(t) // 12 + 1)):
+                k = r.randrange(len(t))
+                t[k:k + 1] = r.choice([[], [t[k], "now"], ["other"]])
+            words += t + r.choices(prose, k=r.randrange(3, 80))
+        texts.append(" ".join(words))
+    want = [brute.notices(t, scanner.items) for t in texts]
+    got = [scanner.found(licenses.tokens(t)) for t in texts]
+    assert [len(w) for w in want[:4]] == [400, 60, 0, 5] and [[x[:3] for x in g] for g in got] == want
+    assert all(x[4] > x[5] for g in got for x in g)
+    # The ranking decides: asked in the reverse order, like licences are confirmed for each other.
+    rank = licenses.Scanner.rank
+    monkeypatch.setattr(licenses.Scanner, "rank", lambda self, words: [(-saved, *x) for saved, *x in rank(self, words)[::-1]])
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    assert [[x[:3] for x in scanner.found(licenses.tokens(t))] for t in texts] != want
+
+
 def test_leaks(spark):
     item = " ".join(f"q{i}" for i in range(20))
     part = " ".join(f"q{i}" for i in range(17))
