@@ -48,13 +48,31 @@ def select(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, min_docs: int, surp
     return (p >= min_docs) & (p / n_p > 2 * share) & (p - n_p * share > surprise * np.sqrt(n_p * share * (1 - share)))
 
 
+def _sigmoid(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+
+
+def nnpu_slope(p, u, w: np.ndarray, b: float, prior: float, non_negative: bool = True):
+    """The bracket E_u[loss(-)] - prior * E_p[loss(-)] at weights w and bias b, and the direction to step
+    against: the slope of prior * E_p[loss(+)] + bracket, or of the bracket turned round where it is
+    negative. p and u have (row, column, number of rows) of their features; the loss is the sigmoid's."""
+    def side(rows, columns, n):
+        s = _sigmoid(np.bincount(rows, w[columns], n) + b)
+        d = s * (1 - s)
+        return s.mean(), np.append(np.bincount(columns, d[rows], len(w)), d.sum()) / n
+
+    (mean_p, gp), (mean_u, gu) = side(*p), side(*u)
+    bracket = mean_u - prior * mean_p
+    return bracket, prior * gp - gu if non_negative and bracket < 0 else gu - 2 * prior * gp
+
+
 def nnpu_fit(x_p: list, x_u: list, prior: float, rounds: int = 100, rate: float = 0.03, decay: float = 0.02):
     """Weights {feature: weight} and bias of a linear classifier on sets of features.
 
     The risk is prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]) with the sigmoid
     loss; where the bracket is negative the step goes against its gradient, as the non-negative
-    estimator asks. A square penalty of ``decay`` holds the weights near their start, the logarithm
-    of how much more often a feature occurs among positives, shared with those it occurs with.
+    estimator asks. Weights start at zero and the bias at the prior's log-odds, so that training
+    alone tells texts apart; a square penalty of ``decay`` holds the weights near zero.
     """
     kept = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.asarray(s, np.int64) for s in x_p]]))
     size = len(kept)
@@ -68,19 +86,12 @@ def nnpu_fit(x_p: list, x_u: list, prior: float, rounds: int = 100, rate: float
         here = kept[at] == flat
         return row[here], at[here], len(sets)
 
-    (rp, cp, m), (ru, cu, n) = matrix(x_p), matrix(x_u)
-    share_p, share_u = np.bincount(cp, minlength=size) / m, np.bincount(cu, minlength=size) / n
-    with_p = np.bincount(cp, np.bincount(rp, minlength=m)[rp], size) / np.maximum(1, np.bincount(cp, minlength=size))
-    start = np.clip(np.log((share_p + 0.5 / m) / (share_u + 0.5 / n)), 0, 5) / np.sqrt(with_p)
-    w, b = start.copy(), -3.0
+    p, u = matrix(x_p), matrix(x_u)
+    w, b = np.zeros(size), float(np.log(min(max(prior, 1e-3), 0.5) / (1 - min(max(prior, 1e-3), 0.5))))
     mean, square = np.zeros(size + 1), np.zeros(size + 1)
-    sigmoid = lambda f: 1 / (1 + np.exp(-np.clip(f, -30, 30)))
     for step in range(1, rounds + 1):
-        sp, su = sigmoid(np.bincount(rp, w[cp], m) + b), sigmoid(np.bincount(ru, w[cu], n) + b)
-        slope = lambda r, c, s, k: np.append(np.bincount(c, (s * (1 - s))[r], size), (s * (1 - s)).sum()) / k
-        gp, gu = slope(rp, cp, sp, m), slope(ru, cu, su, n)
-        g = gu - 2 * prior * gp if su.mean() >= prior * sp.mean() else prior * gp - gu
-        g[:size] += decay / size * (w - start)
+        _, g = nnpu_slope(p, u, w, b, prior)
+        g[:size] += decay / size * w
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
         move = rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-8)
         w, b = w - move[:size], b - move[size]
@@ -143,12 +154,12 @@ def fit_documents(docs: DataFrame, labels: DataFrame, held_out, sample_positive:
     return _fit_sample(stored(rows.filter("text is not null").select("text", "toxic", "in_u"), "toxic-sample"), n["p"] / n["l"])
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on); needs only the column text, whole
-    and of any length. A null or empty text has no feature, so its score is the bias's. Columns
-    named score or predicted are replaced. Each row stands alone."""
+def score(docs: DataFrame, model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on), or two columns of other ``names``;
+    needs only the column text, whole and of any length. A null or empty text has no feature, so
+    its score is the bias's. Columns that have these names are replaced. Each row stands alone."""
     box = small_batches(docs).sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    keep = [c for c in docs.columns if c not in names]
     send = keep if "text" in keep else [*keep, "text"]
 
     def run(batches):
@@ -177,8 +188,8 @@ def score(docs: DataFrame, model) -> DataFrame:
                         if c > 1:
                             x += sum(weights.get(f + level, 0.0) for level, r in enumerate(RATES, 1) if c >= r * len(words))
                     total[a + i] = x
-            found = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(found), pa.array((found >= 0.5).astype(np.int32))], keep + ["score", "predicted"])
+            found = _sigmoid(total)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*keep, *names])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return docs.select(*send).mapInArrow(run, schema + "score double, predicted int")
+    return docs.select(*send).mapInArrow(run, schema + f"`{names[0]}` double, `{names[1]}` int")

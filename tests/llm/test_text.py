@@ -87,10 +87,47 @@ def test_toxicity(spark):
     assert toxicity.score(docs.filter("false"), model).collect() == []
 
 
-def test_nnpu_bracket():
-    x_p, x_u = [[1]] * 40 + [[1, 2]] * 10, [[1]] * 10 + [[3]] * 90
-    w, b = toxicity.nnpu_fit(x_p, x_u, 0.1)
-    assert 3 not in w and b < -3 and w[1] + b > b + 3  # only features of positives have weights
+def _risk_parts(x_p, x_u, prior, w, b):
+    """(prior * E_p[loss(+)], bracket), written out."""
+    loss = lambda f, y: 1 / (1 + math.exp(y * f))
+    f = lambda s: sum(w[x] for x in s) + b
+    mean = lambda xs: sum(xs) / len(xs)
+    return prior * mean([loss(f(s), 1) for s in x_p]), mean([loss(f(s), -1) for s in x_u]) - prior * mean([loss(f(s), -1) for s in x_p])
+
+
+@pytest.mark.parametrize("prior,negative", [(0.2, False), (0.9, True)])
+def test_nnpu_slope(prior, negative):
+    """The step against the numeric derivative of the written risk, on both sides of the bracket."""
+    x_p, x_u = [[0, 1], [0], [0, 2], [1, 2]], [[2], [], [1], [0, 2], [2], [2, 1]]
+    flat = lambda sets: (np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.array([x for s in sets for x in s]), len(sets))
+    w, b = np.array([0.7, -0.2, 0.4]), -0.3
+    bracket, g = toxicity.nnpu_slope(flat(x_p), flat(x_u), w, b, prior)
+    confirmed, want = _risk_parts(x_p, x_u, prior, w, b)
+    assert abs(bracket - want) < 1e-12 and (bracket < 0) == negative
+    risk = lambda v: (lambda a, c: -c if negative else a + c)(*_risk_parts(x_p, x_u, prior, v[:3], v[3]))
+    v, h = np.append(w, b), 1e-6
+    assert np.allclose(g, [(risk(v + h * e) - risk(v - h * e)) / (2 * h) for e in np.eye(4)], atol=1e-8)
+
+
+def test_nnpu_training_decides(monkeypatch):
+    """Without a step nothing is found; with them positives among the unlabelled and new ones are. The
+    bracket turns negative in some steps: without its floor the confirmed texts alone are learnt."""
+    r = random.Random(1)
+    # A positive has some of the features 0 to 5, another text of 6 to 11; those from 100 on tell nothing.
+    one = lambda positive: sorted({*(r.choices(range(6), k=3) if positive else r.choices(range(6, 12), k=3)), *r.choices(range(100, 400), k=2)})
+    x_p, hidden, clean, new = ([one(x < 180) for x in range(a, b)] for a, b in ((0, 60), (60, 120), (180, 720), (120, 180)))
+    hits = lambda sets, w, b: sum(sum(w.get(x, 0.0) for x in s) + b >= 0 for s in sets)
+    w, b = toxicity.nnpu_fit(x_p, hidden + clean, 0.1, rounds=0)
+    assert not any(w.values()) and abs(b - math.log(0.1 / 0.9)) < 1e-12 and hits(x_p + hidden, w, b) == 0
+    seen, slope = [], toxicity.nnpu_slope
+    monkeypatch.setattr(toxicity, "nnpu_slope", lambda *a: (lambda out: seen.append(out[0]) or out)(slope(*a)))
+    w, b = toxicity.nnpu_fit(x_p, hidden + clean, 0.1, rounds=400)
+    assert hits(hidden, w, b) >= 55 and hits(new, w, b) >= 55 and hits(clean, w, b) == 0
+    assert -0.01 < min(seen) < 0 and sum(x < 0 for x in seen) > 20
+    seen.clear()
+    monkeypatch.setattr(toxicity, "nnpu_slope", lambda *a: (lambda out: seen.append(out[0]) or out)(slope(*a, non_negative=False)))
+    w, b = toxicity.nnpu_fit(x_p, hidden + clean, 0.1, rounds=400)
+    assert min(seen) < -0.03 and hits(x_p, w, b) >= 55 and hits(hidden, w, b) <= 30 and hits(new, w, b) <= 40
 
 
 def legal(roles):
