@@ -125,4 +125,3 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
-

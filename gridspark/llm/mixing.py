@@ -5,6 +5,7 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridspark.functions.sizing import broadcast_counted, stored
+from gridspark.llm.names import free_names
 
 WEIGHTS = (5, 2, 1)
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -85,13 +86,14 @@ def mix_documents(docs: DataFrame, max_epochs: int = 3, weights=WEIGHTS, seed: s
     takes at least half. All columns stay. The plan comes back as one row a source (whole
     repetitions, last key), so texts are not shuffled."""
     plan = plan_mix(docs, max_epochs, weights, seed)
-    cuts = plan.groupBy("source").agg(F.max("whole").alias("_whole"), F.max(F.when(
-        (F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size")), F.col("key"))).alias("_cut"))
-    cuts = stored(cuts.withColumnRenamed("source", "_source"), "mix-cuts")
-    once_more = F.coalesce((seeded_key(seed, "doc_id") <= F.col("_cut")).cast("int"), F.lit(0))
-    out = docs.join(broadcast_counted(cuts), F.col("source").eqNullSafe(F.col("_source")))
-    out = out.withColumn("_times", (F.col("_whole") + once_more).cast("int")).filter("_times > 0")
-    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*[docs[c] for c in docs.columns])
+    whole, cut, of, times, time = free_names(docs.columns, "_whole", "_cut", "_source", "_times", "_time")
+    cuts = plan.groupBy("source").agg(F.max("whole").alias(whole), F.max(F.when(
+        (F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size")), F.col("key"))).alias(cut))
+    cuts = stored(cuts.withColumnRenamed("source", of), "mix-cuts")
+    once_more = F.coalesce((seeded_key(seed, "doc_id") <= F.col(cut)).cast("int"), F.lit(0))
+    out = docs.join(broadcast_counted(cuts), F.col("source").eqNullSafe(F.col(of)))
+    out = out.withColumn(times, (F.col(whole) + once_more).cast("int")).filter(F.col(times) > 0)
+    return out.withColumn(time, F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
 
 
 SQL = r"""

@@ -53,3 +53,15 @@ def test_stages_on_null_and_repeated_ids(spark):
         assert pairs(stages["ngram_join"](spark, frame(order), SF)) == sorted([(3, text[0]), (3, text[1]), (None, text[2]), (5, text[3]), (6, "")], key=str)
     rows = [(None, f"before {item} after"), (None, text[0]), (3, item), (3, text[1]), (4, text[2])]
     assert pairs(stages["decontamination"](spark, frame(rows), SF)) == sorted([(None, text[0]), (3, text[1]), (4, text[2])], key=str)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like those that stages work with come out as they went in."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = ["score", "Predicted", "_times", "_time", "_whole", "_CUT", "_source", "no", "row", "grp", "text_", "size", "item_id", "n_shingles", "component_id", "was"]
+    wide = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for rows in (wide, wide.unionByName(wide.limit(3))):
+            got = stage(spark, rows, SF)
+            assert got.columns == wide.columns, name
+            assert got.filter(" or ".join(f"`{c}` <> concat('{c}', doc_id)" for c in extra)).isEmpty(), name
