@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.functions.sizing import stored
 from gridspark.llm import decontam, mixing, ngram_join, sharding, toxicity
+from gridspark.llm.names import free_names
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5. The classifier learns from all labelled documents given."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_documents(docs, labels, F.lit(False))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    names = free_names(docs.columns, "score", "predicted")
+    return toxicity.score(docs, model, tuple(names)).filter(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def _numbered(docs: DataFrame) -> DataFrame | None:
