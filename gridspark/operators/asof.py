@@ -79,17 +79,20 @@ def _all(conditions) -> Column:
 
 
 def _carried(rows: DataFrame, dealt: DataFrame, seen: Column, sort, backward: bool) -> DataFrame:
-    """Add ``before`` (or ``after``): the last right row up to each row (the first from it on)."""
-    name, pick = ("before", F.last) if backward else ("after", F.first)
-    here = W.partitionBy("part").orderBy(*sort)
-    here = here.rowsBetween(W.unboundedPreceding, 0) if backward else here.rowsBetween(0, W.unboundedFollowing)
-    rows = rows.withColumn(name, pick(seen, ignorenulls=True).over(here))
+    """Add ``before`` (or ``after``): the last right row up to each row (the first from it on).
+
+    Both look back, forward over rows in reversed order: a frame that ends at its row is carried from
+    row to row, one that begins there would be read anew for each.
+    """
+    name = "before" if backward else "after"
+    way = (lambda c: c.asc()) if backward else (lambda c: c.desc())
+    here = W.partitionBy("part").orderBy(*[way(c) for c in sort]).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn(name, F.last(seen, ignorenulls=True).over(here))
     # One right row a range: its last, or its first, carried past ranges without one.
     place = F.struct(*sort)
     ends = dealt.groupBy("part").agg((F.max_by if backward else F.min_by)(seen, F.when(F.col("is_right"), place)).alias("end"))
-    over = W.partitionBy(F.lit(0)).orderBy("part")
-    over = over.rowsBetween(W.unboundedPreceding, -1) if backward else over.rowsBetween(1, W.unboundedFollowing)
-    ends = ends.select("part", pick("end", ignorenulls=True).over(over).alias("border"))
+    over = W.partitionBy(F.lit(0)).orderBy(way(F.col("part"))).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("part", F.last("end", ignorenulls=True).over(over).alias("border"))
     rows = rows.join(broadcast_counted(stored(ends, "borders")), "part", "left")
     return rows.withColumn(name, F.coalesce(F.col(name), F.col("border"))).drop("border")
 

@@ -238,6 +238,19 @@ def test_asof_without_keys_and_rows(spark):
         asof_join(a, b, "t", direction="sideways")
 
 
+@pytest.mark.parametrize("direction", ["forward"])
+def test_asof_reads_each_row_once(spark, direction):
+    """A frame that begins at its row is summed up anew for every row of a range."""
+    a, b = spark.range(3000).selectExpr("id", "id * 2 AS t"), spark.range(1000).selectExpr("id * 6 + 1 AS t", "id AS v")
+    got = asof_join(a, b, "t", direction=direction, ranges=1)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    for i, t, at, v in got.collect():
+        after = next((x for x in range(t, t + 7) if x % 6 == 1 and x < 6000), None)
+        before = next((x for x in range(t, t - 7, -1) if x % 6 == 1 and x >= 0), None)
+        want = after if direction == "forward" else min((x for x in (before, after) if x is not None), key=lambda x: (abs(x - t), x))
+        assert (at, v) == ((want, want // 6) if want is not None else (None, None))
+
+
 def test_series_on_an_irregular_axis(spark):
     f = spark.createDataFrame([("s", 3, 1.0), ("s", 10, None), ("s", 12, 5.0)], "k string, t int, value double")
     axis = spark.createDataFrame([("s", t) for t in (1, 3, 11, 40)], "k string, t int")
