@@ -238,7 +238,7 @@ def test_asof_without_keys_and_rows(spark):
         asof_join(a, b, "t", direction="sideways")
 
 
-@pytest.mark.parametrize("direction", ["forward"])
+@pytest.mark.parametrize("direction", ["forward", "nearest"])
 def test_asof_reads_each_row_once(spark, direction):
     """A frame that begins at its row is summed up anew for every row of a range."""
     a, b = spark.range(3000).selectExpr("id", "id * 2 AS t"), spark.range(1000).selectExpr("id * 6 + 1 AS t", "id AS v")
