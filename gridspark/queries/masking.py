@@ -56,9 +56,11 @@ WITH {_FRACTIONS}, c AS (SELECT *, greatest(0.0, least(1.0, coalesce(value, 0)))
 d AS (SELECT *, CASE WHEN v > 0.9 THEN 1.0 ELSE v END AS u FROM c)
 SELECT lat_idx, lon_idx, round(CASE WHEN min(u) = 0 THEN 0 ELSE avg(u) END, 6) AS land_fraction FROM d GROUP BY ALL""")
 def consensus_land_fraction(spark, sf):
+    """Some means are 0.9, the threshold, exactly: decimals are summed, so that no order of rows moves one across it."""
+    total = F.sum(F.col("l_quantity").cast("decimal(18, 6)"))
     d = ad.table(spark, sf, "lineitem").groupBy(
         F.col("l_linenumber").alias("model"), *[c.alias(n) for n, c in ad.cell_of("l_suppkey").items()]).agg(
-        F.when(F.max("l_quantity") % 11 != 0, F.avg(F.col("l_quantity") / 27.0)).alias("value"))
+        F.when(F.max("l_quantity") % 11 != 0, total.cast("double") / F.count("l_quantity") / 27).alias("value"))
     return rounded(mk.consensus_land_fraction(d), "land_fraction")
 
 

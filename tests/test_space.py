@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import geo
 from gridspark.functions.geo import GridSpec
 from gridspark.operators import fill as fi, masks as mk, space as sp
+from gridspark.queries import QUERIES
 
 
 def test_cell_areas_sum_to_the_sphere(spark):
@@ -132,3 +133,12 @@ def test_template_overwrites_the_whole_series(spark):
     t = spark.createDataFrame([(0, 0, 1, 10.0), (0, 0, 2, 20.0)], "lat_idx int, lon_idx int, doy int, value double")
     got = {(r.k, r.doy): r.value for r in fi.template_overwrite(df, t, ["k"]).collect()}
     assert got == {("a", 1): 10.0, ("a", 2): 20.0, ("b", 1): 5.0, ("b", 2): 6.0}
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_land_fraction_on_the_threshold_in_any_order(spark, tmp_path, turn):
+    """Ten quantities whose mean over 27 is 0.9 exactly; added up as they stand, it comes out above."""
+    q = [1.0, 8.0, 29.0, 46.0, 29.0, 23.0, 20.0, 35.0, 26.0, 26.0][::turn]
+    rows = spark.createDataFrame([(7, 1, v) for v in q], "l_suppkey long, l_linenumber int, l_quantity double")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.land_fraction for r in QUERIES["m05_consensus_land_fraction"](spark, str(tmp_path)).collect()] == [0.9]
