@@ -184,6 +184,30 @@ def test_apply_series(spark):
     assert {(r.k, r.t): r.value for r in d.collect()} == {("a", 1): 2.0, ("a", 2): 3.0, ("b", 1): 5.0}
 
 
+def test_apply_series_over_batches(spark):
+    """Series cut by the ends of batches, whole numbers and missing keys next to others without, and few hand-overs to Python."""
+    big = 2**60
+    rows = [(k, t, None if k == 3 and t == 2 else big + t, float(t)) for k in (1, 2, 3, None, 0) for t in range(1, 8)] + [(4, 1, big, None)]
+    df = spark.createDataFrame(rows, "k int, t int, n long, value double").coalesce(1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def fn(f):
+        assert f["t"].is_monotonic_increasing and f["k"].nunique(dropna=False) == 1
+        whole = f["n"].notna().all()
+        assert (f["n"].dtype.kind == "i") == whole
+        return f.assign(total=f["value"].sum(min_count=1), n=f["n"] if whole else 0, m=len(f))[["m", "n", "k", "t", "total"]]
+
+    for batch in (3, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = apply_series(df, ["k"], fn, "k int, t int, n long, total double, m long")
+            assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+            want = [(k, t, 0 if k == 3 else n, None if k == 4 else 28.0, 1 if k == 4 else 7) for k, t, n, v in rows]
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_months_carried_inside_a_year(spark):
     df = spark.createDataFrame([("a", 2000, m, 1.0, 4.0) for m in (2, 1, 3)], "k string, year int, month int, value double, start double")
     assert values(ro.carry_months(df, ["k"], 0.5), "state", "month") == [3.0, 2.5, 2.25]
