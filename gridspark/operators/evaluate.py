@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridspark.functions.geo import GridSpec, HALF_DEGREE
+from gridspark.functions.sizing import stored
 from gridspark.operators.rollout import rollout
 from gridspark.operators.skill import complete_label_years, metric_table
 from gridspark.schema import CELL
@@ -37,10 +38,12 @@ def evaluation_predictions(table: DataFrame, keys, predict, states: dict[str, st
     if mode == "full_sequence":
         return rollout(table, keys, **rules)
     d = run_up_windows(table, [*keys, *CELL], 0 if mode == "teacher_forced" else horizon)
-    # A window is a series of its own; only its last year counts.
-    last = d.filter("target = __at").select(*keys, *CELL, steps[0], "target").distinct()
+    # A window is a series of its own; only its last year counts, the one at its target.
     out = rollout(d.drop("__at"), [*keys, "target"], **rules)
-    return out.join(last, [*keys, *CELL, steps[0], "target"], "left_semi").drop("target")
+    if mode == "teacher_forced":
+        return out.drop("target")
+    last = F.max(steps[0]).over(W.partitionBy(*keys, *CELL, "target"))  # one window's years
+    return out.withColumn("__last", last).filter(F.col(steps[0]) == F.col("__last")).drop("__last", "target")
 
 
 def evaluation_pairs(predicted: DataFrame, labels: DataFrame, keys, monthly=(), annual=()) -> DataFrame:
@@ -64,10 +67,13 @@ def evaluation_pairs(predicted: DataFrame, labels: DataFrame, keys, monthly=(),
 
 
 def evaluate_modes(table: DataFrame, labels: DataFrame, keys, predict, states, outputs, monthly=(), annual=(), modes=MODES, horizon: int = 1, **rules) -> DataFrame:
-    """The metric table of every mode, named in the column ``mode``."""
-    out = None
+    """The metric table of every mode, named in the column ``mode``.
+
+    The table, the labels and what a mode predicts are read several times and computed once.
+    """
+    table, labels, out = stored(table, "forcing"), stored(labels, "labels"), None
     for mode in modes:
-        predicted = evaluation_predictions(table, keys, predict, states, outputs, mode, horizon, **rules)
+        predicted = stored(evaluation_predictions(table, keys, predict, states, outputs, mode, horizon, **rules), mode)
         d = metric_table(evaluation_pairs(predicted, labels, keys, monthly, annual)).withColumn("mode", F.lit(mode))
         out = d if out is None else out.unionByName(d)
     return out

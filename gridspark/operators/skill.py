@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.functions.nulls import finite
+from gridspark.functions.sizing import stored
 from gridspark.operators.aggregates import merged_deviations
 from gridspark.operators.time_axis import day_to_month, to_annual
 
@@ -61,6 +62,7 @@ def metric_table(df: DataFrame, y: str = "y", p: str = "yhat", by: str = "variab
 
 
 def _with_global(per: DataFrame, by: str) -> DataFrame:
+    per = stored(per, "metrics")  # a row a variable, read twice
     whole = per.agg(F.sum("n").alias("n"), *[F.avg(m).alias(m) for m in ("R2", "nRMSE", "ACC")])
     top = whole.select(F.lit(GLOBAL_ROW).alias(by), "n", "R2", "nRMSE", "ACC")
     return top.unionByName(per).orderBy(F.col(by) != GLOBAL_ROW, by)

@@ -1,6 +1,7 @@
 """Resumed rollouts, keyed state, sketches, shards, as-of joins, layouts: against whole runs and brute force."""
 
 import random
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import ranking as rk
 from gridspark.functions.geo import GridSpec
-from gridspark.operators import aggregates as ag, fill as fi, joins as jn, resume as rs, rollout as ro, sampling as sa, series as se, skill as sk
+from gridspark.operators import aggregates as ag, evaluate as ev, fill as fi, joins as jn, resume as rs, rollout as ro, sampling as sa, series as se, skill as sk
 from gridspark.operators.asof import asof_join, hold_last, nearest_step
 from gridspark.sources import layout
 from gridspark.streaming import pieces
@@ -251,6 +252,23 @@ def test_asof_reads_each_row_once(spark, direction):
         assert (at, v) == ((want, want // 6) if want is not None else (None, None))
 
 
+def test_evaluation_predicts_once(spark, tmp_path):
+    """One call of the predictor for each year of a window, however many tables its rows go into."""
+    def counted(frame):
+        (tmp_path / uuid.uuid4().hex).touch()
+        return pd.DataFrame({"soil": 0.6 * frame["soil"] + 0.4 * frame["value"], "gpp": frame["value"]})
+
+    rows = [("M0", 0, 0, y, m, float(y % 7 + m), 5.0) for y in (2001, 2002, 2003) for m in (1, 2)]
+    table = spark.createDataFrame(rows, "source string, lat_idx int, lon_idx int, year int, month int, value double, start_soil double")
+    labels = table.select("source", "lat_idx", "lon_idx", "year", "month", F.lit("gpp").alias("variable"), (F.col("value") + F.col("month")).alias("value"))
+    labels = labels.unionByName(labels.filter("month = 1").withColumns({"variable": F.lit("soil"), "month": F.lit(None).cast("int")}))
+    d = ev.evaluate_modes(table, labels, ["source"], counted, {"soil": "annual"}, ["soil", "gpp"], monthly=["gpp"], annual=["soil"], complete=["value"])
+    got = {(r["mode"], r["variable"]): r["n"] for r in d.collect()}
+    want = {"teacher_forced": (6, 3), "full_sequence": (6, 3), "tail_only": (4, 2)}
+    assert got == {(m, v): n for m, (g, a) in want.items() for v, n in (("gpp", g), ("soil", a), (sk.GLOBAL_ROW, g + a))}
+    assert len(list(tmp_path.iterdir())) == 3 + 3 + 2 * 2
+
+
 def test_series_on_an_irregular_axis(spark):
     f = spark.createDataFrame([("s", 3, 1.0), ("s", 10, None), ("s", 12, 5.0)], "k string, t int, value double")
     axis = spark.createDataFrame([("s", t) for t in (1, 3, 11, 40)], "k string, t int")
