@@ -198,3 +198,17 @@ def test_log_lines_keep_their_order_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     got = [r.line for r in rows]
     assert got == [f"{n} {i}" for n, k in (("a.log", 3000), ("b.log", 1700), ("c.log", 40)) for i in range(k)]
+
+
+def test_editions_are_not_sorted_in_memory(spark, tmp_path):
+    """One file an edition, and tasks that hold no more than their writers do."""
+    from gridspark.queries.streams import _editions
+    d = spark.range(4000).selectExpr("CAST(id % 6 AS INT) AS piece", "id % 2 AS version", "CAST(id AS DOUBLE) AS value")
+    _editions(d, str(tmp_path / "in"))
+    assert len(list(tmp_path.glob("in/*/*/*.parquet"))) == 6
+    store = spark._jsc.sc().statusStore()
+    stages = store.jobsList(None).head().stageIds()
+    tasks = [store.taskList(stages.apply(i), 0, 100) for i in range(stages.size())]
+    peaks = [t.apply(i).taskMetrics().get().peakExecutionMemory() for t in tasks for i in range(t.size()) if t.apply(i).taskMetrics().isDefined()]
+    assert peaks and max(peaks) == 0
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 4000
