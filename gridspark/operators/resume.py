@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.functions.geo import HALF_DEGREE, GridSpec
-from gridspark.functions.sizing import broadcast_counted
+from gridspark.functions.sizing import broadcast_counted, stored
 from gridspark.operators.rollout import Nudging, _score_year, _starts, in_tiles
 from gridspark.schema import CELL
 
@@ -100,12 +100,16 @@ def rollout_resumable(df: DataFrame, path: str, keys, predict, states: dict[str,
     year, unit = steps[0], [*keys, "tile"]
     names = [*keys, *cell, *steps]
     rows = in_tiles(df, "tile", cell, grid, split)
-    first, last = df.agg(F.min(year), F.max(year)).first()
+    present = stored(rows.select(*unit, year).distinct(), "units")  # what there is to do, from one pass over the forcing
+    first, last = present.agg(F.min(year), F.max(year)).first()
     rule = (names, cell, steps, predict, dict(states), outputs, carry, initial, dict(start or {}), list(complete), nudging, True)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*names, "tile"]) + "".join(f", `{o}` double" for o in outputs)
-    schema += ", kind int, states array<double>, decembers array<double>"
-    carried_kinds = {"states": "array<double>", "decembers": "array<double>", "kind": "int"}
+    # States travel as plain numbers: Arrow walks over all missing arrays of a batch again for each row it adds.
+    hands = {"states": [f"__state{i}" for i in range(len(states))], "decembers": [f"__december{i}" for i in range(len(states))]}
+    numbers = [*hands["states"], *hands["decembers"]]
+    schema += ", kind int" + "".join(f", `{c}` double" for c in numbers)
+    carried_kinds = {"kind": "int", **dict.fromkeys(numbers, "double")}
 
     def plain(name):
         """What a state row has in a column of the forcing: no missing value where that would change a type."""
@@ -115,7 +119,8 @@ def rollout_resumable(df: DataFrame, path: str, keys, predict, states: dict[str,
         frame = pd.DataFrame([*carried], columns=cell)
         for c, v in zip([*unit, year], [*unit_now, year_now]):
             frame[c] = v
-        return frame.assign(kind=STATES, states=[v for v, _ in carried.values()], decembers=[v for _, v in carried.values()])
+        frame[numbers] = np.array([np.concatenate(v) for v in carried.values()]).reshape(len(carried), len(numbers))
+        return frame.assign(kind=STATES)
 
     def run(batches):
         held, now, carried = [], None, {}
@@ -124,9 +129,9 @@ def rollout_resumable(df: DataFrame, path: str, keys, predict, states: dict[str,
             frame, of, at = pd.concat(held), now[:-1], now[-1]
             if frame["kind"].iat[0] == STATES:
                 ids = [tuple(None if pd.isna(x) else x for x in t) for t in frame[cell].itertuples(index=False, name=None)]
-                carried.update({i: (np.asarray(a, float), np.asarray(b, float)) for i, a, b in zip(ids, frame["states"], frame["decembers"])})
+                carried.update(zip(ids, zip(*[frame[hands[c]].to_numpy(dtype=float) for c in hands])))
                 return
-            out = _score_year(frame.drop(columns=["kind", "states", "decembers"]), rule, carried)
+            out = _score_year(frame.drop(columns=["kind", *numbers]), rule, carried)
             yield shaped(out.assign(tile=of[-1], kind=FORCING))
             yield shaped(rows_of(of, at, carried))
 
@@ -144,28 +149,30 @@ def rollout_resumable(df: DataFrame, path: str, keys, predict, states: dict[str,
         if held:
             yield from finish()
 
-    order = [*names, "tile", *outputs, "kind", "states", "decembers"]
+    order = [*names, "tile", *outputs, "kind", *numbers]
 
     def shaped(frame):
-        none = {c: [None] * len(frame) for c in ("states", "decembers") if c not in frame}
-        return frame.assign(**none).reindex(columns=order)
+        return frame.reindex(columns=order)
 
     end = last if until is None or last is None else min(last, until)
     for a in range(first if first is not None else 0, (end if end is not None else -1) + 1, block_years):
-        todo = rows.filter(F.col(year).between(a, min(a + block_years - 1, end)))
+        within = F.col(year).between(a, min(a + block_years - 1, end))
+        todo, open_units = rows.filter(within), present.filter(within)
         done = finished(spark, path)
         if done is not None:
-            todo = todo.alias("l").join(broadcast_counted(done).alias("r"), _same("l", "r", [*unit, year]), "left_anti").select(*rows.columns)
-        if todo.isEmpty():
+            todo, open_units = (d.alias("l").join(broadcast_counted(done).alias("r"), _same("l", "r", [*unit, year]), "left_anti").select(*d.columns) for d in (todo, open_units))
+        if open_units.isEmpty():
             continue
         fed = todo.select("*", *[F.lit(FORCING if c == "kind" else None).cast(t).alias(c) for c, t in carried_kinds.items()])
         if done is not None:
             have = {*unit, *cell, year}
-            fed = fed.unionByName(_handed_on(spark, path, done, todo, unit, year).select(
-                *[F.col(c) if c in have else plain(c) for c in rows.columns], *carried_kinds))
+            fed = fed.unionByName(_handed_on(spark, path, done, open_units, unit, year).select(
+                *[F.col(c) if c in have else plain(c) for c in rows.columns], "kind", *[F.col(kept)[i].alias(c) for kept, of in hands.items() for i, c in enumerate(of)]))
         fed = fed.repartition(*unit).sortWithinPartitions(*unit, year, "kind", *cell, *steps[1:])
         attempt = f"a-{uuid.uuid4().hex}"
-        fed.mapInPandas(run, schema).write.partitionBy("kind").parquet(f"{path}/blocks/attempt={attempt}")
+        kept = {c: F.when(F.col("kind") == STATES, F.array(*of).cast("array<double>")) for c, of in hands.items()}
+        out = fed.mapInPandas(run, schema).withColumns(kept).drop(*numbers)
+        out.write.partitionBy("kind").parquet(f"{path}/blocks/attempt={attempt}")
         wrote = spark.read.parquet(f"{path}/blocks/attempt={attempt}").filter(F.col("kind") == FORCING)
         _append(wrote.select(*unit, year).distinct().withColumn("attempt", F.lit(attempt)), path, True)
     if finished(spark, path) is None:

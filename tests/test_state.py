@@ -87,6 +87,17 @@ def test_attempt_that_missed_the_log_is_not_read(spark, tmp_path, monkeypatch):
     assert empty.collect() == [] and empty.columns == ["source", "lat_idx", "lon_idx", "year", "month", "soil", "leaf", "gpp"]
 
 
+def test_states_travel_as_numbers(spark, tmp_path, monkeypatch):
+    """A column of missing arrays costs Arrow a walk over the whole batch for each row."""
+    df, path, fed = forcing(spark), str(tmp_path / "run"), []
+    plain = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda d, run, schema, *a, **k: (fed.append((d.dtypes, schema)), plain(d, run, schema, *a, **k))[1])
+    rs.rollout_resumable(df, path, predict=predict, block_years=20, **RUN)
+    assert len(fed) == 1 and all("array" not in kind for _, kind in fed[0][0]) and "array" not in fed[0][1]
+    kept = dict(spark.read.parquet(f"{path}/blocks").dtypes)
+    assert kept["states"] == kept["decembers"] == "array<double>"
+
+
 @pytest.mark.parametrize("mode", ["none", "original", "z_shrink", "z_mirror", "z_adaptive"])
 @pytest.mark.parametrize("lam", [0.0, 0.3, 1.4])
 def test_nudging_of_arrays_and_columns_is_one(spark, mode, lam):
