@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from gridspark.functions.sizing import stored
 from gridspark.operators import aggregates as ag, rollout as ro
 from gridspark.operators.apply import apply_series, apply_steps
 from gridspark.operators.resume import rollout_resumable
@@ -93,7 +94,7 @@ def rollout_pinned_december(spark, sf):
 def rollout_resumed(spark, sf):
     """A run that ended after 1994 goes on from its stored states, in blocks of three years."""
     path = scratch_path(spark, "rollout")
-    f = _pinned_forcing(spark, sf)
+    f = stored(_pinned_forcing(spark, sf), "forcing")  # read by both runs and by every block
     rollout_resumable(f, path, carry="december", block_years=3, until=1994, **_PINNED)
     return rounded(rollout_resumable(f, path, carry="december", block_years=3, **_PINNED), "soil", "leaf", "gpp")
 

@@ -98,6 +98,20 @@ def test_states_travel_as_numbers(spark, tmp_path, monkeypatch):
     assert kept["states"] == kept["decembers"] == "array<double>"
 
 
+def test_resumed_query_makes_its_forcing_once(spark, monkeypatch):
+    from gridspark.queries import rollout as rq
+    made, sf = spark.sparkContext.accumulator(0), "/root/testdata/sf0.001"
+    f = rq._pinned_forcing(spark, sf)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(rq, "_pinned_forcing", lambda *a: f.mapInArrow(counted, f.schema))
+    assert rq.rollout_resumed(spark, sf).count() == made.value == f.count()
+
+
 @pytest.mark.parametrize("mode", ["none", "original", "z_shrink", "z_mirror", "z_adaptive"])
 @pytest.mark.parametrize("lam", [0.0, 0.3, 1.4])
 def test_nudging_of_arrays_and_columns_is_one(spark, mode, lam):
