@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from gridspark.functions.nulls import finite
-from gridspark.functions.sizing import broadcast_bounded
+from gridspark.functions.sizing import broadcast_bounded, one_row
 from gridspark.operators.series import lag_state
 from gridspark.schema import INPUT_GROUPS, OUTPUT_GROUPS
 
@@ -26,6 +26,18 @@ def standardise(df: DataFrame, stats: DataFrame, variables, value: str = "value"
     return d.withColumn(value, z).drop("mean", "std")
 
 
+def standardise_columns(df: DataFrame, stats: DataFrame, names) -> DataFrame:
+    """:func:`standardise` of a wide table, which has a column for each variable."""
+    s = stats_of(stats, names)
+    row = one_row(s.agg(*[F.max(F.when(F.col("variable") == n, F.struct("mean", "std"))).alias(f"s{i}") for i, n in enumerate(names)]))
+    z = {}
+    for i, n in enumerate(names):
+        mean, std = row[f"s{i}"]["mean"], row[f"s{i}"]["std"]
+        ok = finite(mean) & finite(std) & (F.coalesce(std, F.lit(0.0)) > 0)
+        z[n] = F.when(ok, (F.col(n) - mean) / std).otherwise(F.raise_error(F.lit(f"no usable statistics for {n}")).cast("double"))
+    return df.withColumns(z)
+
+
 def destandardise(df: DataFrame, stats: DataFrame, variables, value: str = "value") -> DataFrame:
     """x = z * std + mean, with mean 0 and std 1 where none is known."""
     s = broadcast_bounded(stats_of(stats, variables), len(variables))
@@ -70,7 +82,9 @@ def order_channels(df: DataFrame, role: str = "input") -> DataFrame:
 
 
 def _columns(df: DataFrame, stats: DataFrame, names, by) -> DataFrame:
-    """Standardised values, one column per variable; there is one row per key and variable."""
+    """Standardised values, one column per variable; there is one row per key and variable, or per key where ``df`` is wide."""
+    if "variable" not in df.columns:
+        return standardise_columns(df.select(*by, *names), stats, names)
     z = standardise(df, stats, names)
     return z.groupBy(*by).agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
 
@@ -83,7 +97,8 @@ def _without_first_year(df: DataFrame, keys) -> DataFrame:
 def assemble_samples(daily: DataFrame, monthly: DataFrame, annual: DataFrame, stats: DataFrame,
                      daily_vars, monthly_vars, annual_vars, monthly_states=(), annual_states=(),
                      keys=("scenario", "loc_id")) -> DataFrame:
-    """Daily sample rows, one column per input channel.
+    """Daily sample rows, one column per input channel. The tables are long, or wide with a column for each
+    variable, where a row stands for its step in all of them.
 
     States are lagged by one month or one year, every value is standardised, monthly and
     annual values are held over their days, and the first year of a location, whose lag
@@ -96,6 +111,10 @@ def assemble_samples(daily: DataFrame, monthly: DataFrame, annual: DataFrame, st
     def lagged(df, states, order):
         if not states:
             return df
+        if "variable" not in df.columns:
+            for n in states:
+                df = lag_state(df, keys, order, n, f"__{n}")
+            return df.withColumns({n: F.col(f"__{n}") for n in states})
         s = lag_state(df, [*keys, "variable"], order, out="__p")
         state = F.col("variable").isin(*states)
         return s.withColumn("value", F.when(state, F.col("__p")).otherwise(F.col("value"))).drop("__p")
@@ -103,7 +122,7 @@ def assemble_samples(daily: DataFrame, monthly: DataFrame, annual: DataFrame, st
     m = _columns(lagged(monthly, monthly_states, ["year", "month"]), stats, monthly_vars, [*keys, "year", "month"])
     a = _columns(lagged(annual, annual_states, "year"), stats, annual_vars, [*keys, "year"])
     slow = m.join(_without_first_year(a, keys), [*keys, "year"])
-    spread = daily.repartition(*keys, "year", "month")
+    spread = daily.repartition(*keys, "year", "month") if "variable" in daily.columns else daily
     d = _columns(spread, stats, daily_vars, [*keys, "year", "month", "t"])
     order = [*daily_vars, *monthly_vars, *annual_vars]
     return d.join(slow, [*keys, "year", "month"]).select(*keys, "year", "month", "t", *order)

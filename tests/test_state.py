@@ -371,3 +371,31 @@ def test_work_by_cell_on_a_layout_shuffles_nothing(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert layout.buckets_for(0) == 1 and layout.buckets_for(10 * layout.BUCKET_ROWS) == 16
+
+
+def test_samples_from_wide_tables_made_once(spark, monkeypatch):
+    from gridspark.functions.sizing import stored
+    from gridspark.operators import samples as sm
+    from gridspark.queries import samples as sq
+    sf, made = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0)
+    tables = [stored(d, "samples") for d in sq._sample_tables(spark, sf)]
+    stats = stored(sq._sample_stats(*tables), "stats")
+    by = [[c for c in d.columns if c in ("scenario", "loc_id", "year", "month", "t")] for d in tables]
+    names = [[c for c in d.columns if c not in b] for d, b in zip(tables, by)]
+    # A missing value of a state stays one in the next month.
+    tables[1] = tables[1].withColumn("lai", F.when(F.col("month") != 5, F.col("lai")))
+    long = [d.unpivot(b, n, "variable", "value") for d, b, n in zip(tables, by, names)]
+    rows = lambda given: sorted(map(tuple, sm.assemble_samples(*given, stats, *names, monthly_states=["lai"], annual_states=["cVeg"]).na.fill(-1e9).collect()))
+    assert rows(tables) == rows(long) and len(rows(long)) > 100
+    with pytest.raises(Exception, match="no usable statistics"):
+        sm.standardise_columns(tables[2], stats.filter("variable <> 'co2'"), ["co2", "cVeg"]).collect()
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    given = [d.mapInArrow(counted, d.schema) for d in tables]
+    monkeypatch.setattr(sq, "_sample_tables", lambda *a: given)
+    sq.assemble_samples(spark, sf).collect()
+    assert made.value == sum(d.count() for d in tables)
