@@ -49,9 +49,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by=(), direction: str
     dealt = both.repartitionByRange(ranges, *sort).withColumn("part", F.spark_partition_id())
     dealt = stored(dealt, "asof")
     seen = F.when(F.col("is_right"), F.struct(*keys, "found"))
-    out = dealt
+    borders = _borders(dealt, seen, sort, ranges, sides)
+    out = dealt.join(broadcast_counted(stored(borders, "borders")), "part", "left")
     for backward in sides:
-        out = _carried(out, dealt, seen, sort, backward)
+        out = _carried(out, seen, sort, backward)
     out = out.filter(~F.col("is_right"))
     same = lambda side: _all([F.col(f"{side}.{k}").eqNullSafe(F.col(k)) for k in keys])
     hits = []
@@ -78,7 +79,18 @@ def _all(conditions) -> Column:
     return out
 
 
-def _carried(rows: DataFrame, dealt: DataFrame, seen: Column, sort, backward: bool) -> DataFrame:
+def _borders(dealt: DataFrame, seen: Column, sort, ranges: int, sides) -> DataFrame:
+    """One row a range: the last right row of the ranges before it (``before_border``), the first one of
+    those after it (``after_border``), past ranges without any. Only right rows are read, once for both."""
+    place, right = F.struct(*sort), dealt.filter("is_right").groupBy("part")
+    names = {True: "before_border", False: "after_border"}
+    ends = right.agg(*[(F.max_by if backward else F.min_by)(seen, place).alias(names[backward]) for backward in sides])
+    ends = dealt.sparkSession.range(ranges).select(F.col("id").cast("int").alias("part")).join(ends, "part", "left")
+    over = {backward: W.partitionBy(F.lit(0)).orderBy(F.col("part").asc() if backward else F.col("part").desc()).rowsBetween(W.unboundedPreceding, -1) for backward in sides}
+    return ends.select("part", *[F.last(names[backward], ignorenulls=True).over(over[backward]).alias(names[backward]) for backward in sides])
+
+
+def _carried(rows: DataFrame, seen: Column, sort, backward: bool) -> DataFrame:
     """Add ``before`` (or ``after``): the last right row up to each row (the first from it on).
 
     Both look back, forward over rows in reversed order: a frame that ends at its row is carried from
@@ -87,14 +99,7 @@ def _carried(rows: DataFrame, dealt: DataFrame, seen: Column, sort, backward: bo
     name = "before" if backward else "after"
     way = (lambda c: c.asc()) if backward else (lambda c: c.desc())
     here = W.partitionBy("part").orderBy(*[way(c) for c in sort]).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn(name, F.last(seen, ignorenulls=True).over(here))
-    # One right row a range: its last, or its first, carried past ranges without one.
-    place = F.struct(*sort)
-    ends = dealt.groupBy("part").agg((F.max_by if backward else F.min_by)(seen, F.when(F.col("is_right"), place)).alias("end"))
-    over = W.partitionBy(F.lit(0)).orderBy(way(F.col("part"))).rowsBetween(W.unboundedPreceding, -1)
-    ends = ends.select("part", F.last("end", ignorenulls=True).over(over).alias("border"))
-    rows = rows.join(broadcast_counted(stored(ends, "borders")), "part", "left")
-    return rows.withColumn(name, F.coalesce(F.col(name), F.col("border"))).drop("border")
+    return rows.withColumn(name, F.coalesce(F.last(seen, ignorenulls=True).over(here), F.col(f"{name}_border"))).drop(f"{name}_border")
 
 
 def hold_last(df: DataFrame, axis: DataFrame, keys, t: str = "t", value: str = "value", tolerance: float | None = None) -> DataFrame:

@@ -254,6 +254,16 @@ def test_asof_against_brute_force(spark, direction, tolerance):
         assert sorted(map(tuple, got.collect()), key=repr) == brute_asof(left, right, direction, tolerance)
 
 
+def test_nearest_summarises_its_ranges_once(spark, monkeypatch):
+    from gridspark.operators import asof
+    kept, plain = [], asof.stored
+    monkeypatch.setattr(asof, "stored", lambda df, name: (kept.append((name, df)), plain(df, name))[1])
+    a, b = spark.range(40).selectExpr("id", "cast(id as int) AS t"), spark.createDataFrame([(3, "x"), (30, "y")], "t int, c string")
+    got = asof_join(a, b, "t", direction="nearest", ranges=8)
+    assert [n for n, _ in kept] == ["asof", "borders"] and kept[1][1].count() == 8
+    assert [r.c for r in got.orderBy("id").collect()] == ["x"] * 17 + ["y"] * 23
+
+
 def test_asof_without_keys_and_rows(spark):
     a = spark.createDataFrame([(1, 1.5), (2, None)], "id int, t double")
     b = spark.createDataFrame([(1.0, "x"), (2.0, "y")], "t double, c string")
