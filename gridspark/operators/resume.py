@@ -16,6 +16,7 @@ from gridspark.functions.geo import HALF_DEGREE, GridSpec
 from gridspark.functions.sizing import broadcast_counted, stored
 from gridspark.operators.rollout import Nudging, _score_year, _starts, in_tiles
 from gridspark.schema import CELL
+from gridspark.session import own_writers
 
 FORCING, STATES = 1, 0
 
@@ -101,7 +102,9 @@ def rollout_resumable(df: DataFrame, path: str, keys, predict, states: dict[str,
     names = [*keys, *cell, *steps]
     rows = in_tiles(df, "tile", cell, grid, split)
     present = stored(rows.select(*unit, year).distinct(), "units")  # what there is to do, from one pass over the forcing
-    first, last = present.agg(F.min(year), F.max(year)).first()
+    first, last, units = present.agg(F.min(year), F.max(year), F.count_distinct(F.struct(*unit))).first()
+    # As many tasks as the session asks for: what a task costs is Python's time, so few bytes do not make one of many units.
+    tasks = max(1, min(units, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rule = (names, cell, steps, predict, dict(states), outputs, carry, initial, dict(start or {}), list(complete), nudging, True)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*names, "tile"]) + "".join(f", `{o}` double" for o in outputs)
@@ -119,7 +122,7 @@ def rollout_resumable(df: DataFrame, path: str, keys, predict, states: dict[str,
         frame = pd.DataFrame([*carried], columns=cell)
         for c, v in zip([*unit, year], [*unit_now, year_now]):
             frame[c] = v
-        frame[numbers] = np.array([np.concatenate(v) for v in carried.values()]).reshape(len(carried), len(numbers))
+        frame[numbers] = np.hstack([np.array([v[k] for v in carried.values()]) for k in range(len(hands))])
         return frame.assign(kind=STATES)
 
     def run(batches):
@@ -168,11 +171,12 @@ def rollout_resumable(df: DataFrame, path: str, keys, predict, states: dict[str,
             have = {*unit, *cell, year}
             fed = fed.unionByName(_handed_on(spark, path, done, open_units, unit, year).select(
                 *[F.col(c) if c in have else plain(c) for c in rows.columns], "kind", *[F.col(kept)[i].alias(c) for kept, of in hands.items() for i, c in enumerate(of)]))
-        fed = fed.repartition(*unit).sortWithinPartitions(*unit, year, "kind", *cell, *steps[1:])
+        fed = fed.repartition(tasks, *unit).sortWithinPartitions(*unit, year, "kind", *cell, *steps[1:])
         attempt = f"a-{uuid.uuid4().hex}"
         kept = {c: F.when(F.col("kind") == STATES, F.array(*of).cast("array<double>")) for c, of in hands.items()}
         out = fed.mapInPandas(run, schema).withColumns(kept).drop(*numbers)
-        out.write.partitionBy("kind").parquet(f"{path}/blocks/attempt={attempt}")
+        with own_writers(spark, 2):  # both kinds are written as they come, without a sort of the task's rows by kind
+            out.write.partitionBy("kind").parquet(f"{path}/blocks/attempt={attempt}")
         wrote = spark.read.parquet(f"{path}/blocks/attempt={attempt}").filter(F.col("kind") == FORCING)
         _append(wrote.select(*unit, year).distinct().withColumn("attempt", F.lit(attempt)), path, True)
     if finished(spark, path) is None:

@@ -307,9 +307,20 @@ def apply_offsets(df: DataFrame, rules: DataFrame, scope: str = "scope", value:
     r = rules.select(F.col("scope").alias(scope), "variable", F.col("mode").alias("__m"), F.col("value").alias("__x"))
     d = df.join(broadcast_counted(r, 10_000), [scope, "variable"], "left")
     v = F.col(value)
-    moved = F.when(F.col("__m") == "percent", v * (1 + F.col("__x") / 100)).otherwise(v + F.col("__x"))
-    clipped = F.when(F.col("variable").isin(*non_negative) & (moved < 0), 0.0).otherwise(moved)
-    return d.withColumn(value, F.when(F.col("__m").isNotNull(), clipped).otherwise(v)).drop("__m", "__x")
+    moved = _moved(v, F.col("__m"), F.col("__x"), F.col("variable").isin(*non_negative))
+    return d.withColumn(value, F.when(F.col("__m").isNotNull(), moved).otherwise(v)).drop("__m", "__x")
+
+
+def offset_columns(df: DataFrame, rules: DataFrame, scopes: dict[str, str], non_negative=NON_NEGATIVE_OFFSETS) -> DataFrame:
+    """:func:`apply_offsets` for a table with a column for each variable, whose scopes ``scopes`` has."""
+    found = {(r.scope, r.variable): r for r in rules.filter(F.col("variable").isin(*scopes)).collect()}  # one for each variable and scope
+    return df.withColumns({n: _moved(F.col(n), F.lit(found[s, n].mode), F.lit(found[s, n].value), F.lit(n in non_negative))
+                           for n, s in scopes.items() if (s, n) in found})
+
+
+def _moved(v: Column, mode: Column, x: Column, clip: Column) -> Column:
+    moved = F.when(mode == "percent", v * (1 + x / 100)).otherwise(v + x)
+    return F.when(clip & (moved < 0), 0.0).otherwise(moved)
 
 
 # Offset sweeps.

@@ -9,9 +9,11 @@ from gridspark.schema import CELL
 
 def with_net_ecosystem_exchange(df: DataFrame, keys) -> DataFrame:
     """nee rows of every key whose gpp, rh and ra are all there once."""
-    wide = jn.member_columns(df, keys, ["gpp", "rh", "ra"], "value")
-    d = ph.net_ecosystem_exchange(wide)
-    return d.withColumnRenamed("nee", "value").drop("gpp", "rh", "ra")
+    return _exchange(jn.member_columns(df, keys, ["gpp", "rh", "ra"], "value"))
+
+
+def _exchange(wide: DataFrame) -> DataFrame:
+    return ph.net_ecosystem_exchange(wide).withColumnRenamed("nee", "value").drop("gpp", "rh", "ra")
 
 
 def budget_report(df: DataFrame, mask: DataFrame, codes, grid: GridSpec = HALF_DEGREE) -> DataFrame:
@@ -27,3 +29,8 @@ def budget_from_fluxes(df: DataFrame, mask: DataFrame, codes, grid: GridSpec = H
     """Budget report of the net ecosystem exchange of long gpp, rh and ra fields."""
     nee = with_net_ecosystem_exchange(df, ["source", *CELL, "year", "month"])
     return budget_report(nee, mask, codes, grid)
+
+
+def budget_from_wide(df: DataFrame, mask: DataFrame, codes, grid: GridSpec = HALF_DEGREE) -> DataFrame:
+    """:func:`budget_from_fluxes` of fluxes that are columns of one row for each source, cell, year and month."""
+    return budget_report(_exchange(df.select("source", *CELL, "year", "month", "gpp", "rh", "ra")), mask, codes, grid)

@@ -4,9 +4,10 @@ from typing import Callable, NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridspark.functions.geo import GridSpec, HALF_DEGREE
+from gridspark.functions.sizing import stored
 from gridspark.operators import rollout as ro
 from gridspark.operators.resume import rollout_resumable
 from gridspark.operators.samples import stats_vectors
@@ -66,6 +67,31 @@ def forcing_table(fields: DataFrame, model: Emulator, keys=("source",), offsets:
     return base.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in model.forcing if c in zero_fill})
 
 
+def forcing_of_rows(rows: DataFrame, model: Emulator, columns: dict[str, Column], keys=("source",), offsets: DataFrame | None = None,
+                    zero_fill=NITROGEN_FERTILISER, day: str = "day") -> DataFrame:
+    """:func:`forcing_table` of rows that are not yet means.
+
+    ``rows`` have the keys, cell, year, month and, where there is daily forcing, ``day``; a channel is the mean of its
+    expression in ``columns`` over the rows of its day, month or year. Rows are shuffled once, by series: finest steps are summed there, and months and years are windows over them.
+    """
+    series = [*CELL, *keys]  # the cell first: rows of many cells are sorted, of few keys
+    month, year = [*series, "year", "month"], [*series, "year"]
+    fine = [*month, day] if model.daily else month
+    by = {**dict.fromkeys(model.daily, fine), **dict.fromkeys(model.monthly + model.monthly_states, month), **dict.fromkeys(model.annual + model.annual_states, year)}
+    means = [F.avg(columns[n]).alias(n) for n, over in by.items() if over == fine]
+    parts = [p for n, over in by.items() if over != fine for p in (F.sum(columns[n]).alias(f"__sum_{n}"), F.count(columns[n]).alias(f"__n_{n}"))]
+    table = rows.repartition(*series).groupBy(*fine).agg(*means, *parts)
+    for over in (month, year):  # the order of months within series is one of years too
+        w = W.partitionBy(*over)
+        mean = {n: F.when(F.sum(f"__n_{n}").over(w) > 0, F.sum(f"__sum_{n}").over(w) / F.sum(f"__n_{n}").over(w)) for n, o in by.items() if o == over != fine}
+        table = table.withColumns(mean) if mean else table
+    if offsets is not None:
+        scopes = {**dict.fromkeys(model.daily, "daily"), **dict.fromkeys(model.monthly, "monthly"), **dict.fromkeys(model.annual, "annual")}
+        table = ro.offset_columns(table, offsets, scopes)
+    filled = {n: F.coalesce(n, F.lit(0.0)).alias(n) if n in zero_fill else F.col(n) for n in model.forcing}
+    return table.select(*keys, *CELL, *fine[len(series):], *filled.values(), *[F.col(n).alias(f"start_{n}") for n in model.states])
+
+
 class _Standardised:
     """The predictor on physical units."""
 
@@ -85,15 +111,17 @@ def _vectors(stats: DataFrame, names):
 
 def prediction_run(fields: DataFrame, stats: DataFrame, model: Emulator, keys=("source",), offsets: DataFrame | None = None,
                    carry: str = "annual", nudge: tuple[float, str] | None = None, seed: tuple[int, tuple[str, ...]] | None = None,
-                   grid: GridSpec = HALF_DEGREE, path: str | None = None, day: str = "day", split: int = 1, block_years: int = 10) -> DataFrame:
+                   grid: GridSpec = HALF_DEGREE, path: str | None = None, day: str = "day", split: int = 1, block_years: int = 10,
+                   columns: dict[str, Column] | None = None) -> DataFrame:
     """Predictions at the finest step: keys, cell, year, month, ``day`` where there is daily forcing, and the outputs.
 
     The first year of a cell starts from its own states (``seed`` = (year, names) takes those of another
     year for the names), later ones from what the year before handed on by the rule ``carry``. A cell-year with a
     gap in its forcing is not predicted. ``nudge`` = (strength, mode) pulls state outputs towards the
-    mean of their statistics. With ``path`` the run is kept there and goes on where it broke.
+    mean of their statistics. With ``path`` the run is kept there and goes on where it broke. ``fields`` are
+    those of :func:`forcing_table` or, with ``columns``, the rows of :func:`forcing_of_rows`.
     """
-    table = forcing_table(fields, model, keys, offsets, day=day)
+    table = forcing_of_rows(fields, model, columns, keys, offsets, day=day) if columns else forcing_table(fields, model, keys, offsets, day=day)
     if seed:
         year, names = seed
         of = [*keys, *CELL, "month", *([day] if model.daily else [])]
@@ -110,16 +138,18 @@ def prediction_run(fields: DataFrame, stats: DataFrame, model: Emulator, keys=("
                  complete=list(model.forcing), nudging=pull, grid=grid, split=split)
     if path is None:
         return ro.rollout(table, **rules)
-    return rollout_resumable(table, path, block_years=block_years, **rules)
+    return rollout_resumable(stored(table, "forcing"), path, block_years=block_years, **rules)  # read for what there is to do and by every block
 
 
 def step_means(predicted: DataFrame, model: Emulator, keys=("source",), by=("year", "month")) -> DataFrame:
     """Long field (variable, keys, cell, ``by``, value): means of the predicted steps, missing ones left out."""
-    keys = [*keys, *CELL, *by]
-    means = predicted.groupBy(*keys).agg(*[F.avg(o).alias(o) for o in model.outputs])
-    return means.unpivot(keys, list(model.outputs), "variable", "value")
+    return _wide_means(predicted, model, keys, by).unpivot([*keys, *CELL, *by], list(model.outputs), "variable", "value")
+
+
+def _wide_means(predicted: DataFrame, model: Emulator, keys=("source",), by=("year", "month")) -> DataFrame:
+    return predicted.groupBy(*keys, *CELL, *by).agg(*[F.avg(o).alias(o) for o in model.outputs])
 
 
 def predicted_budget(predicted: DataFrame, model: Emulator, mask: DataFrame, codes, grid: GridSpec = HALF_DEGREE) -> DataFrame:
     """Net ecosystem exchange of the predicted fluxes, masked, as annual totals with their bands across sources."""
-    return budgets.budget_from_fluxes(step_means(predicted, model), mask, codes, grid)
+    return budgets.budget_from_wide(_wide_means(predicted, model), mask, codes, grid)
