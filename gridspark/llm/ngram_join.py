@@ -3,11 +3,13 @@
 Two sets are linked when 100 * |intersection| >= percent * |union|, so they differ in at most
 k = (|x| + |y|) * (100 - percent) / (100 + percent) n-grams. Work is dealt out by what linked sets
 must share: the space of n-gram hashes is cut into k + s equal ranges, of which two linked sets
-agree in s at least. Sets that agree in a range are joined into groups, and the members of a group
-meet in prefix trees, which decide exactly. A group too large for a task is cut into blocks.
+agree in s at least. So each set may leave out its s - 1 ranges that most other sets have. Sets that
+agree in one of the others are joined into groups, and the members of a group meet in prefix
+trees, which decide exactly. A group too large for a task is cut into blocks.
 """
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridspark.functions.sizing import MAX_BROADCAST_ROWS, stored
 from gridspark.llm.arrays import mix, shingle_sets, small_batches, text_slices
 from gridspark.llm.graph import components, roots_of
+from gridspark.llm.names import free_names
 
 #: N-grams of one block, and sets of the sample that every block of a group has.
 BLOCK_GRAMS = 1_000_000
@@ -24,6 +27,9 @@ PIVOTS = 32
 PART_SIGNATURES = 4_000_000
 SEND_GRAMS = 1_000_000
 TURNS = (0, 4, 64)
+#: Signatures that are on their way at once while sets that share them are counted, about; bits of a map of ids.
+COUNT_SIGNATURES = 200_000_000
+ID_BITS = 1 << 24
 _K1, _K2, _K3 = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
@@ -34,7 +40,8 @@ class Ranges:
     that may be linked share a band, whose k fits its largest sizes. Ranges with fewer than
     ``poor`` n-grams are left out where fewer than s ranges of the set are so poor: linked sets
     agree in s ranges at least, so one of these is rich, or else both sets are too poor in the same
-    ranges and keep them all.
+    ranges and keep them all. What is left of s is what a set needs: as many signatures at least it
+    has in common with any set that it is linked with.
     """
 
     def __init__(self, percent: int):
@@ -46,13 +53,13 @@ class Ranges:
             low = self.low[-1]
             high = low * 100 // self.percent
             k = 2 * high * (100 - self.percent) // (100 + self.percent)
-            spare = 1 + math.ceil(0.12 * k) if k else 1
+            spare = 1 + math.ceil(0.25 * k) if k else 1
             parts = k + spare
             load = low / parts
             poor, tail, term = 1, 0.0, math.exp(-load)
             for c in range(0, 6):  # the expected number of ranges with c n-grams or fewer
                 tail += term
-                if tail * parts + 2 * math.sqrt(tail * parts) > spare - 1:
+                if tail * parts + 2 * math.sqrt(tail * parts) > (spare - 1) / 2:
                     break
                 poor, term = c + 1, term * load / (c + 1)
             cuts = np.array([(j << 64) // parts for j in range(1, parts)], np.uint64)
@@ -60,12 +67,13 @@ class Ranges:
             self.low.append(high + 1)
         return self.bands[i]
 
-    def sign(self, grams: np.ndarray) -> list[np.ndarray]:
+    def sign(self, grams: np.ndarray) -> tuple[list[np.ndarray], int]:
+        """Signatures by band, and how many of them the set needs."""
         n = len(grams)
         while self.low[-1] <= n:
             self._band(len(self.bands))
         i = int(np.searchsorted(self.low, n, "right")) - 1
-        sums, out = None, []
+        sums, out, needs = None, [], []
         for band in (i, i + 1):
             k, spare, poor, cuts, salt = self._band(band)
             if not k:
@@ -76,8 +84,13 @@ class Ranges:
             count = at[1:] - at[:-1]
             sig = mix((sums[at[1:]] - sums[at[:-1]]) + salt)
             rich = count >= poor
-            out.append(sig[rich] if len(sig) - rich.sum() < spare else sig)
-        return out
+            if len(sig) - rich.sum() < spare:
+                out.append(sig[rich])
+                needs.append(spare - len(sig) + int(rich.sum()))
+            else:
+                out.append(sig)
+                needs.append(spare)
+        return out, min(needs, default=0)
 
 
 class Tree:
@@ -223,52 +236,117 @@ def _blob(x: np.ndarray) -> bytes:
 
 
 def _sign_documents(n: int, percent: int):
-    """Arrow batches of (doc_id, text) to rows (doc_id, n, w1, w2, sigs): set size, set hash of 128 bits and
-    signatures. Sets met before in a batch sign only once; their documents are tied by the set hash."""
+    """Arrow batches of (doc_id, text) to rows (doc_id, n, w1, w2, m, need, sigs): set size, set hash of 128 bits,
+    signatures, their count and need. Sets met before in a batch sign only once; their documents are tied by the set hash."""
     def run(batches):
         ranges = Ranges(percent)
         for b in batches:
             seen = set()
             for lo, hi, buf, offs in text_slices(b.column("text")):
-                count, whole, sigs, size = [], [], [], []
+                count, whole, sigs, size, needs = [], [], [], [], []
                 for grams in shingle_sets(buf, offs, n):
                     h = tuple(int(mix(mix(grams ^ k).sum(keepdims=True) + np.uint64(len(grams)))[0].astype(np.int64)) if len(grams) else 0 for k in (_K3, _K2))
                     count.append(len(grams))
                     whole.append(h)
-                    signed = ranges.sign(grams) if len(grams) and h not in seen else []
+                    signed, need = ranges.sign(grams) if len(grams) and h not in seen else ([], 0)
                     seen.add(h)
                     sigs += signed
                     size.append(sum(map(len, signed)))
+                    needs.append(need)
                 sigs = np.concatenate([np.zeros(0, np.uint64), *sigs]).view(np.int64)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(count, pa.int64()), *[pa.array([h[k] for h in whole], pa.int64()) for k in (0, 1)],
-                                                  pa.ListArray.from_arrays(offsets, pa.array(sigs))], ["doc_id", "n", "w1", "w2", "sigs"])
+                                                  pa.array(size, pa.int64()), pa.array(needs, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sigs))], ["doc_id", "n", "w1", "w2", "m", "need", "sigs"])
     return run
 
 
-def _deal(turn: int, parts: int):
-    """(own, sigs) to packed rows (part, kind, a, b, c): the round's distinct signatures with their owner."""
-    low, high = TURNS[turn], TURNS[turn + 1]
+def _by_part(part, a, b, c):
+    """Packed rows of three columns by part, in the order they have within it."""
+    if len(part) and part.max() < 1 << 16:
+        part = part.astype(np.uint16)  # these are sorted by counting
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    return _packed([(int(part[at[0]]), 0, _blob(a[at]), _blob(b[at]), _blob(c[at])) for at in np.split(order, cuts) if len(at)])
 
+
+def _deal(low: int, high: int, parts: int, distinct: bool):
+    """(own, need, sigs) to packed rows (part, kind, a, b, c): the signatures of a round (its bounds are of 64)
+    with their owner and what it needs; ``distinct`` takes out those that an owner has twice in a batch."""
     def run(batches):
         for b in batches:
             lists = b.column("sigs")
-            own = np.repeat(b.column("own").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            size = np.diff(lists.offsets.to_numpy())
+            own, need = (np.repeat(b.column(c).to_numpy(), size) for c in ("own", "need"))
             sig = lists.flatten().to_numpy().view(np.uint64)
             spread = mix(sig ^ _K2)
             now = (spread >> np.uint64(58) >= low) & (spread >> np.uint64(58) < high)
-            sig, own, spread = sig[now], own[now], spread[now]
-            part = (spread % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((own, sig, part))
-            sig, own, part = sig[order], own[order], part[order]
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
-            sig, own, part = sig[new], own[new], part[new]
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            yield _packed([(int(part[x[0]]), 0, _blob(sig[x]), _blob(own[x]), b"") for x in np.split(np.arange(len(part)), cuts) if len(x)])
+            at = np.flatnonzero(now)
+            if distinct:
+                at = at[_distinct(sig[at], own[at], need[at])]
+            yield _by_part((spread[at] % np.uint64(parts)).astype(np.int64), sig[at], own[at], np.minimum(need[at], 65535).astype(np.uint16))
+    return run
+
+
+def _distinct(sig, own, need):
+    """Places of the rows in the order by signature and owner, for each such pair the one with the smallest need."""
+    order = np.lexsort((need, own, sig))
+    s, o = sig[order], own[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
+    return order[new]
+
+
+def _gathered(batches, *kinds):
+    """Part after part the columns a, b and c of its packed rows."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            held.setdefault(r["part"], []).append((r["a"], r["b"], r["c"]))
+    for key in sorted(held):
+        yield [np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for rows in [held.pop(key)] for k, kind in enumerate(kinds)]
+
+
+#: How many owners a signature has, and what one of them needs.
+_RANK = np.dtype([("df", "<u4"), ("need", "<u2")])
+
+
+def _shared(parts: int):
+    """Packed signatures to packed rows by owner: those that another one has too, with how many have them."""
+    def run(batches):
+        for sig, own, need in _gathered(batches, np.uint64, np.int64, np.uint16):
+            order = np.argsort(sig)
+            same = np.concatenate(([False], sig[order[1:]] == sig[order[:-1]], [False]))
+            order = order[same[1:] | same[:-1]]  # most signatures have one owner
+            order = order[_distinct(sig[order], own[order], need[order])]
+            sig, own, need = sig[order], own[order], need[order]
+            at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+            df = np.repeat(np.diff(at, append=len(sig)), np.diff(at, append=len(sig)))
+            keep = df > 1
+            rank = np.empty(int(keep.sum()), _RANK)
+            rank["df"], rank["need"] = df[keep], need[keep]
+            yield _by_part((mix(own[keep].view(np.uint64) ^ _K3) % np.uint64(parts)).astype(np.int64), sig[keep], own[keep], rank)
     return run
 
 
+def _trim(batches):
+    """Packed signatures by owner to rows (doc_id, need, sigs) without the need - 1 that most others have.
+
+    Of the signatures that two linked sets have in common, as many as either needs, the one that
+    fewest have comes behind need - 1 others in the order of both, so both keep it.
+    """
+    for sig, own, rank in _gathered(batches, np.uint64, np.int64, _RANK):
+        order = np.lexsort((sig, -rank["df"].astype(np.int64), own))
+        sig, own, need = sig[order], own[order], rank["need"][order].astype(np.int64)
+        at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        size = np.diff(at, append=len(own))
+        need = np.repeat(np.minimum.reduceat(need, at), size) if len(at) else need
+        keep = np.arange(len(own)) - np.repeat(at, size) >= need - 1
+        sig, own = sig[keep], own[keep]
+        at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        offsets = pa.array(np.append(at, len(own)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(np.zeros(len(at), np.int64)), pa.ListArray.from_arrays(offsets, pa.array(sig.view(np.int64)))], ["doc_id", "need", "sigs"])
+
+
 def spanning(key: np.ndarray, doc: np.ndarray):
     """A forest over documents with equal keys: every document but the smallest of its tree, with that one."""
     order = np.lexsort((doc, key))
@@ -391,7 +469,16 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _with_texts(docs: DataFrame, cand: DataFrame) -> DataFrame:
-    return docs.join(_small(cand), "doc_id")
+    """Rows of ``docs`` whose id is in ``cand``, with its columns. Where these are too many for a broadcast,
+    a bit map of hashes of their ids, of ID_BITS bits however many there are, holds back other texts before the join."""
+    if cand.count() <= MAX_BROADCAST_ROWS:
+        return docs.join(F.broadcast(cand), "doc_id")
+    names = free_names([*docs.columns, *cand.columns], "word", "bits", "at")
+    word, bits, at = names
+    place = F.pmod(F.xxhash64(F.lit("text"), "doc_id"), F.lit(ID_BITS))
+    seen = cand.select(place.alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{at}` & 63 as int))")).alias(bits))
+    near = docs.withColumn(at, place).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(seen), word)
+    return near.filter(F.expr(f"getbit(`{bits}`, cast(`{at}` & 63 as int)) = 1")).drop(*names).join(cand, "doc_id")
 
 
 def _run_blocks(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -408,25 +495,36 @@ def _groups(known: DataFrame, n: int, percent: int):
     """The documents (doc_id, other: smallest of the same set, n), and one document of each set in
     groups of two sets or more: (grp, doc_id, least: its smallest set, grams: of the group).
 
-    Signatures are dealt out in rounds, few at first. Documents that agree become one before the
-    next round, so a group that the first one joins sends each signature once from then on.
+    Signatures that several sets have are counted first, and each set leaves out those that most have,
+    as many as it can spare. The others are dealt out in rounds, few at first. Documents that agree become
+    one before the next round, so a group that the first one joins sends each signature once from then on.
     """
-    signed = stored(known.select("doc_id", "text").mapInArrow(_sign_documents(n, percent), "doc_id long, n long, w1 long, w2 long, sigs array<long>"), "ngram-signed")
+    signed = stored(known.select("doc_id", "text").mapInArrow(_sign_documents(n, percent), "doc_id long, n long, w1 long, w2 long, m long, need long, sigs array<long>"), "ngram-signed")
     equal = signed.filter("n > 0").groupBy("w1", "w2").agg(F.min("doc_id").alias("other"), F.count("*").alias("m")).filter("m > 1").drop("m")
     equal = stored(equal, "ngram-equal")
     sizes = signed.select("doc_id", "n", "w1", "w2").join(_small(equal), ["w1", "w2"], "left")
     sizes = stored(sizes.select("doc_id", F.coalesce("other", "doc_id").alias("other"), "n"), "ngram-sizes")
     edges = sizes.filter("doc_id <> other").select(F.col("doc_id").alias("u"), F.col("other").alias("v"))
-    signed = signed.filter("size(sigs) > 0")
-    total = signed.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    signed = signed.filter("m > 0")
+    total = signed.agg(F.sum("m")).first()[0] or 0
     parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_SIGNATURES))
     repeated = not signed.groupBy("doc_id").count().filter("count > 1").isEmpty()
     # Each document hangs on the smallest of its set already, unless one has several sets.
     agree = components(edges, "ngram-groups") if repeated else edges.unionByName(edges.select(F.col("v").alias("u"), "v").distinct()).toDF("node", "root")
     agree = stored(agree, "ngram-agree")
-    for turn in range(len(TURNS) - 1):
-        own = signed.join(_small(agree.filter("node <> root")), F.col("doc_id") == F.col("node"), "left").select(F.coalesce("root", "doc_id").alias("own"), "sigs")
-        packed = own.mapInArrow(_deal(turn, 4 * parts), _PACKED).repartition(parts, "part")
+
+    def dealt(signed, low, high, distinct):
+        own = signed.join(_small(agree.filter("node <> root")), F.col("doc_id") == F.col("node"), "left").select(F.coalesce("root", "doc_id").alias("own"), "need", "sigs")
+        return own.mapInArrow(_deal(low, high, 4 * parts, distinct), _PACKED).repartition(parts, "part")
+
+    rounds = min(64, -(-total // COUNT_SIGNATURES)) or 1
+    shared = [dealt(signed, 64 * i // rounds, 64 * (i + 1) // rounds, False).mapInArrow(_shared(4 * parts), _PACKED) for i in range(rounds)]
+    if rounds > 1:
+        shared = [stored(x, "ngram-shared") for x in shared]
+    shared = reduce(DataFrame.unionByName, shared).repartition(parts, "part")
+    signed = stored(shared.mapInArrow(_trim, "doc_id long, need long, sigs array<long>"), "ngram-trimmed")
+    for low, high in zip(TURNS, TURNS[1:]):
+        packed = dealt(signed, low, high, True)
         found = stored(packed.mapInArrow(_forests, "u long, v long"), "ngram-forests")
         if found.isEmpty():
             continue

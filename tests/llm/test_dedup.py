@@ -1,8 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gridspark.functions import sizing
 from gridspark.llm import graph, ngram_join, suffix
 from tests.llm import brute
 
@@ -134,3 +137,41 @@ def test_spans_of_a_text_do_not_repeat(spark, monkeypatch):
     assert len(got) == 65 and all(r.n_removed >= len(text) for r in got)
     spans = [r.spans for r in tables["suffix-spans"].collect()]
     assert spans and all(len(s) == len(set(s)) for s in spans)
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {x for x in (found.apply(i).getName() for i in range(found.size())) if x.startswith("shuffle_")}
+
+    before = files()
+    summary = sizing.stored(spark.range(1000).groupBy(F.col("id") % 7).count(), "summary")
+    for _ in range(50):  # they go in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert summary.count() == 7
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_common_passages_join_no_groups(spark, monkeypatch, small):
+    """Texts that share a passage but too little else are in no group; near copies among them are.
+    With small limits signatures are counted in rounds and a bit map holds back other texts."""
+    if small:
+        monkeypatch.setattr(ngram_join, "COUNT_SIGNATURES", 5_000)
+        monkeypatch.setattr(ngram_join, "MAX_BROADCAST_ROWS", 3)
+        monkeypatch.setattr(ngram_join, "ID_BITS", 128)
+    r = random.Random(4)
+    passage = " ".join(f"b{i}" for i in range(40))
+    rows = [(d, passage + " " + " ".join(f"w{r.randrange(5000)}" for _ in range(300))) for d in range(100)]
+    rows += [(1000 + d, t.replace("b7 ", "z ")) for d, t in rows[:6]] + [(2000 + d, t) for d, t in rows[3:8]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for grp, doc_id in ngram_join._groups(docs, 5, 80)[1].select("grp", "doc_id").collect():
+        groups.setdefault(grp, set()).add(doc_id)
+    assert sorted(map(sorted, groups.values())) == [[d, 1000 + d] for d in range(6)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(docs, 5, 80, 2_000).collect()}
+    assert got == brute.components(rows, 5, 80)
