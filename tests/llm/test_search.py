@@ -219,6 +219,18 @@ def test_phrases_against_brute_force(spark, monkeypatch, lookup, percent, top):
     assert sorted(map(tuple, got.collect())) == mined(docs, 10, top, percent)
 
 
+def test_phrases_take_texts_in_small_batches(spark):
+    """Batches of texts are held in the executor and in Python, so their rows are bounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        phrases.collocations(spark.createDataFrame([(1, "a b", "en", 1, "x")], DOCS), least=1)
+        assert int(spark.conf.get(name)) <= 1_000
+    finally:
+        spark.conf.set(name, old)
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], DOCS)).collect() == []
     assert phrases.collocations(spark.createDataFrame([(1, None, None, 1, "x"), (2, "a b", "en", 1, "x")], DOCS)).collect() == []
